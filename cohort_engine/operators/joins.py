@@ -1,0 +1,29 @@
+"""Join helpers with a checked broadcast.
+
+A side is broadcast only after its row count is proven below a bound (a
+``limit(bound + 1).count()`` probe, which stops reading as soon as the bound
+is passed).  Beyond the bound the join is left to the planner (sort-merge
+with AQE skew handling).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Join ``small`` to ``big``, broadcasting ``small`` only when its size is
+    proven to be at most ``max_rows`` rows."""
+    if fits(small, max_rows):
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)
+
