@@ -48,7 +48,10 @@ def guarded_ratio(num, den, lo=None, hi=None, null_policy: str = "zero") -> Colu
     elif null_policy == "null":
         r = F.when(den.isNotNull() & (den > 0), num / den)
     elif null_policy == "drop":
-        r = F.try_divide(num, den)
+        # pandas division: x/0 is +inf, -x/0 is -inf, 0/0 NaN (-> null)
+        big = F.lit(float("inf"))
+        r = (F.when(den == 0, F.when(num > 0, big).when(num < 0, -big))
+             .otherwise(num / F.when(den == 0, F.lit(1.0)).otherwise(den)))
     else:
         raise ValueError(f"unknown null_policy {null_policy!r}")
     return clip(r, lo, hi)
@@ -132,10 +135,10 @@ def safe_number(x, default=0, integer: bool = False) -> Column:
     Non-numeric, blank, null and (for integers) non-finite text give the
     default.  Integer parsing truncates toward zero.
     """
-    d = F.try_cast(F.trim(_c(x)), "double")
+    d = F.trim(_c(x)).try_cast("double")
     if integer:
         finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
-        return F.when(finite, F.try_cast(d, "bigint")).otherwise(F.lit(int(default)).cast("bigint"))
+        return F.when(finite, d.try_cast("bigint")).otherwise(F.lit(int(default)).cast("bigint"))
     return F.coalesce(d, F.lit(float(default)))
 
 

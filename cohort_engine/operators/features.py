@@ -156,7 +156,8 @@ def factor_rules(df: DataFrame, key: str = "patient_id") -> DataFrame:
 
     Numbers are rounded half-up before formatting so Spark and SQL engines
     print the same text."""
-    r2 = lambda c: F.format_string("%.2f", F.round(F.col(c), 2))
+    def r2(c):
+        return F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.round(F.col(c), 2)))
     ratio, burden = F.col("refill_ratio"), F.col("financial_burden")
     ag, mc, sc, gap = (F.col(c) for c in ("age_group", "medication_complexity", "supply_category",
                                            "refill_gap"))
@@ -174,3 +175,27 @@ def factor_rules(df: DataFrame, key: str = "patient_id") -> DataFrame:
                for i, (name, (v, imp)) in enumerate(zip(FACTOR_NAMES, rows), start=1)]
     return (df.select(key, F.explode(F.array(*structs)).alias("f"))
             .select(key, "f.factor_rank", "f.factor", "f.value", "f.impact"))
+
+
+def _tokens(name: str) -> list[str]:
+    import re
+    return [t for t in re.split(r"[^0-9a-z]+", name.lower()) if t]
+
+
+def model_matrix(df: DataFrame, target: str, key: str | None = None, drop_tokens=("id",),
+                 superseded=("expected_refills", "refills_received"), fill=0,
+                 substring: bool = False) -> DataFrame:
+    """Feature matrix for fitting.
+
+    Drops the target (carried as ``label``), columns whose lower-case name
+    contains a drop token (whole tokens by default; ``substring=True``
+    reproduces plain substring matching, which also drops e.g. 'medicaid'),
+    raw columns superseded by derived ones, and fills remaining nulls with
+    ``fill``.  The key is carried through for joins, never used as a feature.
+    """
+    def dropped(c):
+        lc = c.lower()
+        return any((t in lc) if substring else (t in _tokens(c)) for t in drop_tokens)
+    feats = [c for c in df.columns if c not in (target, key) and not dropped(c) and c not in superseded]
+    out = df.select(*([key] if key else []), F.col(target).cast("int").alias("label"), *feats)
+    return out.fillna(fill, subset=feats)

@@ -8,10 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohort_engine.functions import scalar
+from cohort_engine.operators import clean, profile, reports
 from cohort_engine.operators import features as feat
-from cohort_engine.operators import reports
+from cohort_engine.plans import pipeline
 from cohort_engine.plans.registry import register
-from cohort_engine.plans.sqlbase import FEATURES, with_
+from cohort_engine.plans.sqlbase import (
+    CLEANED,
+    CONDITION_LEVELS,
+    COHORT,
+    FEATURES,
+    INSURANCE_LEVELS,
+    OUTLIER_COLS,
+    median_sql,
+    mode_sql,
+    with_,
+)
 from cohort_engine.sources import bindings
 
 
@@ -63,4 +75,400 @@ def q_rate_with_se(spark, sf_dir):
                            drop_null_group=False)
 
 
-_ = F  # keep the functions import for the sections below
+
+
+# --------------------------------------------------------------------------
+# Sources (S1) and cleaning
+# --------------------------------------------------------------------------
+
+@register("scan_cohort", ids="S1", sql=with_(COHORT, "SELECT * FROM cohort"))
+def q_scan_cohort(spark, sf_dir):
+    return bindings.cohort(spark, sf_dir)
+
+
+@register("impute_median", ids="C1", round6=("annual_contribution", "claim_amount"), sql=with_(COHORT, f"""
+SELECT patient_id,
+       coalesce(annual_contribution, {median_sql('annual_contribution')}) AS annual_contribution,
+       coalesce(claim_amount, {median_sql('claim_amount')}) AS claim_amount
+FROM cohort"""))
+def q_impute_median(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir)
+    params = clean.fit_impute(raw, num_cols=["annual_contribution", "claim_amount"], cat_cols=[])
+    return clean.impute(raw, params).select("patient_id", "annual_contribution", "claim_amount")
+
+
+@register("impute_mode", ids="C2", sql=with_(COHORT, f"""
+SELECT patient_id, coalesce(gender, {mode_sql('gender')}) AS gender,
+       coalesce(insurance_type, {mode_sql('insurance_type')}) AS insurance_type,
+       coalesce(chronic_condition, {mode_sql('chronic_condition')}) AS chronic_condition
+FROM cohort"""))
+def q_impute_mode(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir)
+    params = clean.fit_impute(raw, num_cols=[], cat_cols=["gender", "insurance_type", "chronic_condition"])
+    return clean.impute(raw, params).select("patient_id", "gender", "insurance_type", "chronic_condition")
+
+
+@register("null_total", ids="C3", sql=with_(CLEANED, """
+SELECT CAST(sum(CASE WHEN annual_contribution IS NULL THEN 1 ELSE 0 END)
+          + sum(CASE WHEN claim_amount IS NULL THEN 1 ELSE 0 END)
+          + sum(CASE WHEN chronic_condition IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_total
+FROM imputed"""))
+def q_null_total(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir)
+    x = clean.impute(raw, clean.fit_impute(raw, exclude=("patient_id", "adherent")))
+    return clean.null_total(x)
+
+
+@register("dedup_rows", ids="C4", sql=with_(COHORT, """
+SELECT CAST(count(*) AS BIGINT) AS rows_before,
+       (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (patient_id) FROM cohort)) AS rows_after,
+       CAST(count(*) AS BIGINT) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (patient_id) FROM cohort))
+         AS removed
+FROM cohort"""))
+def q_dedup_rows(spark, sf_dir):
+    # A unique key makes full-row dedup a no-op (Q5), so the report uses the
+    # row without its key.
+    raw = bindings.cohort(spark, sf_dir)
+    return clean.dedup_report(raw, [c for c in raw.columns if c != "patient_id"])
+
+
+_UNPIVOT_FENCES = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", q[1] AS q1, q[2] AS q3, q[1] - 1.5 * (q[2] - q[1]) AS lower, "
+    f"q[2] + 1.5 * (q[2] - q[1]) AS upper FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q "
+    f"FROM cohort)" for c in OUTLIER_COLS)
+
+
+@register("iqr_fences", ids="C5", round6=("q1", "q3", "lower", "upper"), sql=with_(COHORT, _UNPIVOT_FENCES))
+def q_iqr_fences(spark, sf_dir):
+    return clean.fences_frame(bindings.cohort(spark, sf_dir), clean.OUTLIER_COLS)
+
+
+_OUTLIERS = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", CAST(sum(CASE WHEN {c} < lo OR {c} > hi THEN 1 ELSE 0 END) AS BIGINT) AS outliers "
+    f"FROM cohort, (SELECT q[1] - 1.5 * (q[2] - q[1]) AS lo, q[2] + 1.5 * (q[2] - q[1]) AS hi FROM "
+    f"(SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q FROM cohort))" for c in OUTLIER_COLS)
+
+
+@register("iqr_outlier_counts", ids="C6", sql=with_(COHORT, _OUTLIERS))
+def q_iqr_outlier_counts(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir)
+    return clean.outlier_counts(raw, clean.fit_fences(raw))
+
+
+@register("iqr_cap", ids="C7", round6=OUTLIER_COLS, sql=with_(CLEANED, f"""
+SELECT patient_id, {", ".join(OUTLIER_COLS)} FROM capped"""))
+def q_iqr_cap(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir)
+    x = clean.impute(raw, clean.fit_impute(raw, exclude=("patient_id", "adherent")))
+    return clean.cap(x, clean.fit_fences(x)).select("patient_id", *OUTLIER_COLS)
+
+
+@register("label_encode", ids="C8", sql=with_(COHORT, """
+SELECT patient_id, CAST(dense_rank() OVER (ORDER BY gender) - 1 AS INTEGER) AS gender_encoded FROM cohort"""))
+def q_label_encode(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir).select("patient_id", "gender")
+    return clean.encode(raw, clean.fit_encoder(raw, label_cols=["gender"]))
+
+
+_ONEHOT_SQL = ",\n       ".join(
+    [f"CAST(coalesce(insurance_type = '{v}', false) AS INTEGER) AS \"insurance_type_{v}\""
+     for v in INSURANCE_LEVELS[1:]] +
+    [f"CAST(coalesce(chronic_condition = '{v}', false) AS INTEGER) AS \"chronic_condition_{v}\""
+     for v in CONDITION_LEVELS[1:]])
+
+
+@register("one_hot", ids="C9", sql=with_(COHORT, f"SELECT patient_id, {_ONEHOT_SQL} FROM cohort"))
+def q_one_hot(spark, sf_dir):
+    # Nulls are kept (not imputed) so the null -> all-zeros rule is exercised.
+    raw = bindings.cohort(spark, sf_dir).select("patient_id", "insurance_type", "chronic_condition")
+    return clean.encode(raw, clean.fit_encoder(raw, onehot_cols=["insurance_type", "chronic_condition"]))
+
+
+_STD_COLS = ("age", "annual_contribution", "claim_amount", "days_supply", "num_medications")
+
+
+@register("standardize", ids="C10", round6=_STD_COLS, sql=with_(COHORT, "SELECT patient_id, " + ", ".join(
+    f"(CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM cohort)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+    f"ELSE stddev_pop({c}) END FROM cohort) AS {c}" for c in _STD_COLS) + " FROM cohort"))
+def q_standardize(spark, sf_dir):
+    raw = bindings.cohort(spark, sf_dir)
+    return clean.scale(raw, clean.fit_scaler(raw, list(_STD_COLS))).select("patient_id", *_STD_COLS)
+
+
+_SCALE_CAND = ("age", "annual_contribution", "claim_amount", "expected_refills", "refills_received",
+               "days_supply", "num_medications", "adherent")
+
+
+@register("scale_columns", ids="P5", sql=with_(COHORT, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) > 2 AS scaled "
+    f"FROM cohort" for c in _SCALE_CAND)))
+def q_scale_columns(spark, sf_dir):
+    return clean.scale_columns_frame(bindings.cohort(spark, sf_dir), _SCALE_CAND)
+
+
+@register("burden_complete", ids="P7", sql=with_(COHORT, """
+SELECT * FROM cohort WHERE claim_amount IS NOT NULL AND annual_contribution IS NOT NULL"""))
+def q_burden_complete(spark, sf_dir):
+    return bindings.cohort(spark, sf_dir).dropna(subset=["claim_amount", "annual_contribution"])
+
+
+# --------------------------------------------------------------------------
+# Features (F1-F14) and assembly
+# --------------------------------------------------------------------------
+
+@register("refill_ratio", ids="F1", round6=("refill_ratio",), sql=with_(FEATURES,
+          "SELECT patient_id, refill_ratio FROM features"))
+def q_refill_ratio(spark, sf_dir):
+    return featured(spark, sf_dir).select("patient_id", "refill_ratio")
+
+
+@register("financial_burden", ids="F2", round6=("financial_burden", "burden_r", "burden_dash"),
+          sql=with_(FEATURES, """
+SELECT patient_id, financial_burden,
+       CASE WHEN annual_contribution IS NOT NULL AND annual_contribution > 0
+            THEN claim_amount / annual_contribution END AS burden_r,
+       CASE WHEN claim_amount IS NULL OR annual_contribution IS NULL THEN NULL
+            WHEN annual_contribution = 0 THEN CASE WHEN claim_amount > 0 THEN 5.0 WHEN claim_amount < 0 THEN 0.0 END
+            WHEN claim_amount / annual_contribution < 0 THEN 0.0
+            WHEN claim_amount / annual_contribution > 5 THEN 5.0
+            ELSE claim_amount / annual_contribution END AS burden_dash
+FROM features"""))
+def q_financial_burden(spark, sf_dir):
+    df = featured(spark, sf_dir)
+    return df.select("patient_id", "financial_burden",
+                     feat.financial_burden(policy="null", cap=None).alias("burden_r"),
+                     feat.financial_burden(policy="drop").alias("burden_dash"))
+
+
+@register("age_group", ids="F4", sql=with_(FEATURES, "SELECT patient_id, age, age_group FROM features"))
+def q_age_group(spark, sf_dir):
+    return featured(spark, sf_dir).select("patient_id", "age", "age_group")
+
+
+@register("medication_complexity", ids="F5", sql=with_(FEATURES,
+          "SELECT patient_id, num_medications, medication_complexity FROM features"))
+def q_medication_complexity(spark, sf_dir):
+    return featured(spark, sf_dir).select("patient_id", "num_medications", "medication_complexity")
+
+
+@register("supply_category", ids="F6", sql=with_(FEATURES,
+          "SELECT patient_id, days_supply, supply_category FROM features"))
+def q_supply_category(spark, sf_dir):
+    return featured(spark, sf_dir).select("patient_id", "days_supply", "supply_category")
+
+
+@register("refill_gap", ids="F3", sql=with_(FEATURES, "SELECT patient_id, refill_gap FROM features"))
+def q_refill_gap(spark, sf_dir):
+    return featured(spark, sf_dir).select("patient_id", "refill_gap")
+
+
+@register("quantile_buckets", ids="F7", sql=with_(COHORT, """
+, e AS (SELECT quantile_cont(claim_amount, [0.0, 1.0/3, 2.0/3, 1.0]) AS q FROM cohort)
+SELECT patient_id,
+       CASE WHEN claim_amount < q[1] THEN NULL WHEN claim_amount <= q[2] THEN 0
+            WHEN claim_amount <= q[3] THEN 1 WHEN claim_amount <= q[4] THEN 2 END AS claim_bucket,
+       CASE WHEN age <= 35 THEN 0 WHEN age <= 64 THEN 1 WHEN age IS NOT NULL THEN 2 END AS age_group
+FROM cohort, e""".replace("\n, e AS", ", e AS", 1)))
+def q_quantile_buckets(spark, sf_dir):
+    # The F7 switch: age is fully in range -> fixed buckets; claim_amount is
+    # checked against an unreachable range (nulls also count as outside) ->
+    # 3-quantile buckets.
+    raw = bindings.cohort(spark, sf_dir)
+    rules = feat.fit_bucket_rules(raw, {"age": (0, 120), "claim_amount": (0, 1)})
+    claim = feat.quantile_bucket("claim_amount", rules["claim_amount"].edges) \
+        if not rules["claim_amount"].fixed else F.lit(None)
+    age = feat.age_group() if rules["age"].fixed else feat.quantile_bucket("age", rules["age"].edges)
+    return raw.select("patient_id", claim.alias("claim_bucket"), age.alias("age_group"))
+
+
+_FM_DOUBLE = ("age", "annual_contribution", "claim_amount", "expected_refills", "refills_received",
+              "num_medications", "refill_ratio", "financial_burden")
+
+
+@register("feature_matrix", ids="F8,W8,W9,P1,C1-C9", round6=_FM_DOUBLE,
+          sql=with_(CLEANED, "SELECT * FROM feature_matrix"))
+def q_feature_matrix(spark, sf_dir):
+    return pipeline.feature_table(bindings.cohort(spark, sf_dir))
+
+
+@register("model_matrix", ids="P1-P3,P6", round6=("age", "annual_contribution", "claim_amount",
+                                                  "num_medications", "refill_ratio", "financial_burden"),
+          sql=with_(CLEANED, """
+SELECT patient_id, adherent AS label,
+       * EXCLUDE (patient_id, adherent, expected_refills, refills_received, financial_burden),
+       coalesce(financial_burden, 0.0) AS financial_burden
+FROM feature_matrix"""))
+def q_model_matrix(spark, sf_dir):
+    return pipeline.model_input(bindings.cohort(spark, sf_dir))
+
+
+@register("indicators", ids="F9", sql=with_(COHORT, """
+SELECT *, CAST(gender = 'Male' AS INTEGER) AS gender_male, CAST(age >= 65 AS INTEGER) AS elderly,
+       CAST(days_supply = 90 AS INTEGER) AS long_supply, CAST(num_medications >= 5 AS INTEGER) AS high_med
+FROM cohort"""))
+def q_indicators(spark, sf_dir):
+    return feat.indicators(bindings.cohort(spark, sf_dir))
+
+
+@register("factor_rules", ids="F12", sql=with_(FEATURES, """
+SELECT patient_id, factor_rank, factor, value, impact FROM (
+  SELECT patient_id, 1 AS factor_rank, 'Refill Ratio' AS factor, printf('%.2f', round(refill_ratio, 2)) AS value,
+         CASE WHEN refill_ratio > 0.75 THEN 'High ↑' ELSE 'Risk ↓' END AS impact FROM features
+  UNION ALL
+  SELECT patient_id, 2, 'Financial Burden', printf('%.2f', round(financial_burden, 2)),
+         CASE WHEN financial_burden > 0.6 THEN 'Risk ↑' ELSE 'Low ↓' END FROM features
+  UNION ALL
+  SELECT patient_id, 3, 'Age Group', ['Young', 'Adult', 'Elderly'][age_group + 1],
+         CASE WHEN age_group = 1 THEN 'Moderate' ELSE 'At Risk' END FROM features
+  UNION ALL
+  SELECT patient_id, 4, 'Medication Complexity', ['Low', 'Medium', 'High'][medication_complexity + 1],
+         CASE WHEN medication_complexity = 0 THEN 'Low' WHEN medication_complexity = 1 THEN 'Medium'
+              ELSE 'High Risk ↑' END FROM features
+  UNION ALL
+  SELECT patient_id, 5, 'Supply Category', ['Short(30d)', 'Medium(60d)', 'Long(90d)'][supply_category + 1],
+         CASE WHEN supply_category = 2 THEN 'Positive ↑' ELSE 'Neutral' END FROM features
+  UNION ALL
+  SELECT patient_id, 6, 'Refill Gap', CAST(refill_gap AS VARCHAR),
+         CASE WHEN refill_gap = 0 THEN 'Good ✓' ELSE printf('Gap of %d ↓', refill_gap) END FROM features
+) t"""))
+def q_factor_rules(spark, sf_dir):
+    return feat.factor_rules(featured(spark, sf_dir))
+
+
+@register("safe_parse", ids="F14", round6=("total_price",), sql="""
+SELECT o_orderkey,
+       coalesce(TRY_CAST(trim(CAST(o_totalprice AS VARCHAR)) AS DOUBLE), 0.0) AS total_price,
+       CASE WHEN isfinite(TRY_CAST(trim(CAST(o_totalprice AS VARCHAR)) AS DOUBLE))
+            THEN CAST(trunc(TRY_CAST(trim(CAST(o_totalprice AS VARCHAR)) AS DOUBLE)) AS BIGINT) ELSE 0 END AS price_int,
+       CASE WHEN isfinite(TRY_CAST(trim(o_orderpriority) AS DOUBLE))
+            THEN CAST(trunc(TRY_CAST(trim(o_orderpriority) AS DOUBLE)) AS BIGINT) ELSE 0 END AS priority_int,
+       CASE WHEN isfinite(TRY_CAST(trim(substr(o_orderpriority, 1, 1)) AS DOUBLE))
+            THEN CAST(trunc(TRY_CAST(trim(substr(o_orderpriority, 1, 1)) AS DOUBLE)) AS BIGINT) ELSE 0 END
+            AS priority_code
+FROM orders""")
+def q_safe_parse(spark, sf_dir):
+    o = bindings.table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"])
+    txt = F.col("o_totalprice").cast("string")
+    return o.select("o_orderkey", scalar.safe_number(txt, 0.0).alias("total_price"),
+                    scalar.safe_number(txt, 0, integer=True).alias("price_int"),
+                    scalar.safe_number("o_orderpriority", 0, integer=True).alias("priority_int"),
+                    scalar.safe_number(F.substring("o_orderpriority", 1, 1), 0, integer=True).alias("priority_code"))
+
+
+# --------------------------------------------------------------------------
+# Profiling
+# --------------------------------------------------------------------------
+
+_DTYPES = {"patient_id": "bigint", "age": "int", "gender": "string", "insurance_type": "string",
+           "annual_contribution": "double", "claim_amount": "double", "expected_refills": "bigint",
+           "refills_received": "bigint", "days_supply": "int", "chronic_condition": "string",
+           "num_medications": "int", "adherent": "int"}
+
+
+@register("profile_columns", ids="A1,A2", sql=with_(COHORT, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS nulls, "
+    f"round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct, count(DISTINCT {c}) AS n_distinct, "
+    f"{i} AS ordinal FROM cohort" for i, (c, t) in enumerate(_DTYPES.items()))))
+def q_profile_columns(spark, sf_dir):
+    return profile.profile_columns(bindings.cohort(spark, sf_dir))
+
+
+@register("missing_report", ids="A3", sql=with_(COHORT, "SELECT * FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, "
+    f"round((count(*) - count({c})) * 100.0 / count(*), 2) AS missing_pct FROM cohort" for c in _DTYPES)
+    + ") WHERE missing > 0"))
+def q_missing_report(spark, sf_dir):
+    return profile.missing_report(bindings.cohort(spark, sf_dir))
+
+
+_NUM = [c for c, t in _DTYPES.items() if t != "string"]
+
+
+@register("numeric_summary", ids="A4", sql=with_(COHORT, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 2) AS mean, "
+    f"round(stddev_samp({c}), 2) AS std, round(CAST(min({c}) AS DOUBLE), 2) AS min, "
+    f"round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 2) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 2) AS p50, "
+    f"round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 2) AS p75, round(CAST(max({c}) AS DOUBLE), 2) AS max FROM cohort"
+    for c in _NUM)))
+def q_numeric_summary(spark, sf_dir):
+    return profile.numeric_summary(bindings.cohort(spark, sf_dir), _NUM, digits=2)
+
+
+@register("value_counts", ids="A5", sql=with_(COHORT, """
+SELECT insurance_type, count(*) AS n FROM cohort WHERE insurance_type IS NOT NULL GROUP BY insurance_type"""))
+def q_value_counts(spark, sf_dir):
+    return profile.value_counts(bindings.cohort(spark, sf_dir), "insurance_type")
+
+
+@register("cohort_kpis", ids="A6", round6=("rate",), sql=with_(COHORT, """
+SELECT count(*) AS total, CAST(sum(CASE WHEN adherent = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives,
+       CAST(sum(CASE WHEN adherent = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+       avg(CAST(adherent AS DOUBLE)) AS rate FROM cohort"""))
+def q_cohort_kpis(spark, sf_dir):
+    return reports.cohort_kpis(bindings.cohort(spark, sf_dir), "adherent")
+
+
+def _hist_sql(value, by, bins, src, shared=True):
+    if shared:
+        rng = f"(SELECT min(CAST({value} AS DOUBLE)) AS lo, max(CAST({value} AS DOUBLE)) AS hi FROM {src} " \
+              f"WHERE {value} IS NOT NULL) r"
+        join = f"FROM {src} s, {rng}"
+    else:
+        rng = f"(SELECT {by} AS rk, min(CAST({value} AS DOUBLE)) AS lo, max(CAST({value} AS DOUBLE)) AS hi " \
+              f"FROM {src} WHERE {value} IS NOT NULL GROUP BY {by}) r"
+        join = f"FROM {src} s JOIN {rng} ON s.{by} = r.rk"
+    b = (f"CAST(CASE WHEN hi > lo THEN least(floor((CAST(s.{value} AS DOUBLE) - lo) / (hi - lo) * {float(bins)}), "
+         f"{bins - 1}) ELSE 0 END AS INTEGER)")
+    return f"""
+SELECT {by}, bin, lo + bin * ((hi - lo) / {float(bins)}) AS lo_edge, lo + (bin + 1) * ((hi - lo) / {float(bins)}) AS hi_edge,
+       count(*) AS n
+FROM (SELECT s.{by}, lo, hi, {b} AS bin {join} WHERE s.{value} IS NOT NULL) t
+GROUP BY {by}, bin, lo, hi"""
+
+
+@register("ratio_histogram", ids="A11,A12", round6=("lo_edge", "hi_edge"),
+          sql=with_(FEATURES, _hist_sql("refill_ratio", "adherent", 20, "features")))
+def q_ratio_histogram(spark, sf_dir):
+    return profile.histogram(featured(spark, sf_dir), "refill_ratio", 20, by="adherent")
+
+
+@register("age_histogram", ids="A12", round6=("lo_edge", "hi_edge"),
+          sql=with_(FEATURES, _hist_sql("age", "adherent", 15, "features", shared=False)))
+def q_age_histogram(spark, sf_dir):
+    return profile.histogram(featured(spark, sf_dir), "age", 15, by="adherent", range_mode="per_group")
+
+
+@register("box_stats", ids="A13", round6=("q1", "median", "q3", "whisker_low", "whisker_high"),
+          sql=with_(FEATURES, """
+, q AS (SELECT age_group, count(*) AS n, quantile_cont(financial_burden, 0.25) AS q1,
+              quantile_cont(financial_burden, 0.5) AS median, quantile_cont(financial_burden, 0.75) AS q3
+       FROM features WHERE financial_burden IS NOT NULL GROUP BY age_group)
+SELECT q.age_group, n, q1, median, q3,
+       min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_low,
+       max(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_high,
+       CAST(sum(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT)
+         AS outliers
+FROM (SELECT age_group, financial_burden AS x FROM features WHERE financial_burden IS NOT NULL) f
+JOIN q ON f.age_group = q.age_group
+GROUP BY q.age_group, n, q1, median, q3""".replace("\n, q AS", ", q AS", 1)))
+def q_box_stats(spark, sf_dir):
+    return profile.box_stats(featured(spark, sf_dir), "financial_burden", "age_group")
+
+
+@register("scatter_sample", ids="A14", sql=with_(FEATURES, """
+SELECT patient_id, annual_contribution, claim_amount, adherent FROM features
+WHERE claim_amount IS NOT NULL AND annual_contribution IS NOT NULL AND financial_burden < 4
+ORDER BY md5('42|' || CAST(patient_id AS VARCHAR)) LIMIT 500"""))
+def q_scatter_sample(spark, sf_dir):
+    df = featured(spark, sf_dir).dropna(subset=["claim_amount", "annual_contribution"])
+    df = df.filter(F.col("financial_burden") < 4)
+    # Deterministic seeded sample: a top-n by a hash of (seed, key) — the
+    # limit is the feature (at most n points), not a cost cap.
+    return (df.orderBy(F.md5(F.concat(F.lit("42|"), F.col("patient_id").cast("string"))))
+            .limit(500).select("patient_id", "annual_contribution", "claim_amount", "adherent"))
+
+
+@register("feature_means", ids="A19", round6=("mean",), sql=with_(FEATURES, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, avg({c}) AS mean FROM features" for c in feat.FEATURE_COLS)))
+def q_feature_means(spark, sf_dir):
+    return reports.feature_means(featured(spark, sf_dir), feat.FEATURE_COLS)

@@ -82,3 +82,65 @@ scored AS (
 
 def with_(cte: str, body: str) -> str:
     return "WITH " + cte.strip() + "\n" + body.strip()
+
+
+def median_sql(col: str, src: str = "cohort") -> str:
+    return f"(SELECT median({col}) FROM {src})"
+
+
+def mode_sql(col: str, src: str = "cohort") -> str:
+    return (f"(SELECT {col} FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} "
+            f"ORDER BY count(*) DESC, {col} LIMIT 1)")
+
+
+OUTLIER_COLS = ("age", "annual_contribution", "claim_amount", "expected_refills",
+                "refills_received", "num_medications")
+INSURANCE_LEVELS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+CONDITION_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+_cap_cols = ",\n    ".join(
+    f"CAST(CASE WHEN {c} < (SELECT lo_{c} FROM fences) THEN (SELECT lo_{c} FROM fences) "
+    f"WHEN {c} > (SELECT hi_{c} FROM fences) THEN (SELECT hi_{c} FROM fences) ELSE CAST({c} AS DOUBLE) END "
+    f"AS DOUBLE) AS {c}" for c in OUTLIER_COLS)
+_fence_cols = ",\n    ".join(
+    f"q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) AS lo_{c}, q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1]) AS hi_{c}"
+    for c in OUTLIER_COLS)
+_q_cols = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q_{c}" for c in OUTLIER_COLS)
+_onehot = ",\n    ".join(
+    [f'CAST(coalesce(insurance_type = \'{v}\', false) AS INTEGER) AS "insurance_type_{v}"'
+     for v in INSURANCE_LEVELS[1:]] +
+    [f'CAST(coalesce(chronic_condition = \'{v}\', false) AS INTEGER) AS "chronic_condition_{v}"'
+     for v in CONDITION_LEVELS[1:]])
+
+CLEANED = FEATURES + f""",
+imputed AS (
+  SELECT patient_id,
+    coalesce(age, CAST({median_sql('age')} AS INTEGER)) AS age,
+    coalesce(gender, {mode_sql('gender')}) AS gender,
+    coalesce(insurance_type, {mode_sql('insurance_type')}) AS insurance_type,
+    coalesce(annual_contribution, {median_sql('annual_contribution')}) AS annual_contribution,
+    coalesce(claim_amount, {median_sql('claim_amount')}) AS claim_amount,
+    expected_refills, refills_received, days_supply,
+    coalesce(chronic_condition, {mode_sql('chronic_condition')}) AS chronic_condition,
+    num_medications, adherent
+  FROM cohort
+),
+fences_q AS (SELECT {_q_cols} FROM imputed),
+fences AS (SELECT {_fence_cols} FROM fences_q),
+capped AS (
+  SELECT patient_id, gender, insurance_type, chronic_condition, days_supply, adherent,
+    {_cap_cols}
+  FROM imputed
+),
+cleaned AS (
+  SELECT patient_id, age, annual_contribution, claim_amount, expected_refills, refills_received,
+    days_supply, num_medications, adherent,
+    CAST(dense_rank() OVER (ORDER BY gender) - 1 AS INTEGER) AS gender_encoded,
+    {_onehot}
+  FROM capped
+),
+feature_matrix AS (
+  SELECT c.*, f.refill_ratio, f.financial_burden, f.age_group, f.medication_complexity,
+         f.supply_category, f.refill_gap
+  FROM cleaned c LEFT JOIN features f ON c.patient_id = f.patient_id
+)"""
