@@ -125,6 +125,13 @@ def code_label(x, mapping: dict) -> Column:
     return out
 
 
+def round_half_up(x, digits: int) -> Column:
+    """Half-up rounding written as floor(x * 10^d + 0.5) / 10^d: plain IEEE
+    operations, so Spark and SQL engines give the identical double."""
+    m = float(10 ** digits)
+    return F.floor(_c(x) * F.lit(m) + F.lit(0.5)) / F.lit(m)
+
+
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(x)))
 

@@ -10,7 +10,8 @@ aggregated, so a hot score value is a single row).  Steps:
 2. per (group, bucket) totals — groups x buckets rows;
 3. exclusive prefix sums of those totals (a window over the small table);
 4. a window partitioned by (group, bucket) ordered by score for the
-   in-bucket running sum, plus the bucket offset (checked broadcast join).
+   in-bucket running sum, plus the bucket offset (a join AQE broadcasts from
+   the runtime size of the groups x buckets table).
 
 Equal scores are one row, so ties can never straddle a bucket boundary.
 """
@@ -22,8 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_engine.operators.joins import join_small
-
 DEFAULT_BUCKETS = 256
 
 
@@ -63,7 +62,7 @@ def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequenc
     groups = list(groups)
     edges = score_edges(df, score, buckets)
     b = bucket_of(F.col(score), edges).alias("__b") if edges else F.lit(0).alias("__b")
-    d = df.select(*groups, score, *counts, b)
+    d = df.select(*df.columns, b)
     order_b = F.col("__b").desc() if descending else F.col("__b").asc()
     order_s = F.col(score).desc() if descending else F.col(score).asc()
 
@@ -78,7 +77,9 @@ def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequenc
     nxt_cols = [F.lead(f"__f_{c}").over(wb).alias(f"__n_{c}") for c in counts] if with_next else []
     offsets = tot.select(*groups, "__b", *off_cols, *nxt_cols)
 
-    j = join_small(d, offsets, [*groups, "__b"])
+    # groups x buckets rows: AQE sees the materialised size at runtime and
+    # broadcasts it (spark.sql.autoBroadcastJoinThreshold), else sort-merge.
+    j = d.join(offsets, [*groups, "__b"])
     w = Window.partitionBy(*groups, "__b").orderBy(order_s)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {f"{prefix}{c}": F.sum(c).over(run) + F.col(f"__o_{c}") for c in counts}

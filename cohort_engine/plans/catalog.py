@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, profile, reports
+from cohort_engine.operators import clean, metrics, profile, reports, score
 from cohort_engine.operators import features as feat
-from cohort_engine.plans import pipeline
+from cohort_engine.plans import bi, pipeline
 from cohort_engine.plans.registry import register
 from cohort_engine.plans.sqlbase import (
+    BI,
     CLEANED,
+    SCORES,
     CONDITION_LEVELS,
     COHORT,
     FEATURES,
@@ -27,6 +29,11 @@ from cohort_engine.plans.sqlbase import (
 from cohort_engine.sources import bindings
 
 
+def metrics_cte():
+    from cohort_engine.plans.sqlbase import CONFUSION
+    return CONFUSION
+
+
 def featured(spark, sf_dir):
     """Cohort with the six derived features (fixed buckets: the binding's
     values are in range by construction)."""
@@ -472,3 +479,264 @@ def q_scatter_sample(spark, sf_dir):
     f"SELECT '{c}' AS feature, avg({c}) AS mean FROM features" for c in feat.FEATURE_COLS)))
 def q_feature_means(spark, sf_dir):
     return reports.feature_means(featured(spark, sf_dir), feat.FEATURE_COLS)
+
+
+# --------------------------------------------------------------------------
+# Classification metrics (K1-K11) on the long score table
+# --------------------------------------------------------------------------
+
+def scores(spark, sf_dir):
+    return bindings.score_table(spark, sf_dir)
+
+
+_CM = ("accuracy", "precision", "recall", "at_risk_recall", "f1_score")
+
+
+@register("class_metrics", ids="K1,K2,K3", round6=_CM, sql=with_(SCORES + "," + metrics_cte(),
+          "SELECT model, accuracy, precision, recall, at_risk_recall, f1_score FROM cm2"))
+def q_class_metrics(spark, sf_dir):
+    return metrics.class_metrics(scores(spark, sf_dir))
+
+
+@register("roc_auc", ids="K4", round6=("roc_auc",), sql=with_(SCORES + "," + metrics_cte(),
+          "SELECT model, roc_auc FROM auc"))
+def q_roc_auc(spark, sf_dir):
+    return metrics.roc_auc(scores(spark, sf_dir))
+
+
+@register("pr_auc_at_risk", ids="K5", round6=("pr_auc_at_risk",), sql=with_(SCORES + "," + metrics_cte(),
+          "SELECT model, pr_auc_at_risk FROM ap"))
+def q_pr_auc_at_risk(spark, sf_dir):
+    return metrics.average_precision(scores(spark, sf_dir), positive=0)
+
+
+@register("confusion_matrix", ids="K6", sql=with_(SCORES + "," + metrics_cte(),
+          "SELECT model, tn, fp, fn, tp FROM conf"))
+def q_confusion_matrix(spark, sf_dir):
+    return metrics.confusion(scores(spark, sf_dir))
+
+
+@register("class_report", ids="K7", round6=("precision", "recall", "f1_score"),
+          sql=with_(SCORES + "," + metrics_cte(), """
+, pr AS (
+  SELECT model, tn, fp, fn, tp,
+    coalesce(CAST(tn AS DOUBLE) / nullif(CAST(tn + fn AS DOUBLE), 0), 0.0) AS p0,
+    coalesce(CAST(tn AS DOUBLE) / nullif(CAST(tn + fp AS DOUBLE), 0), 0.0) AS r0,
+    coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS p1,
+    coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS r1
+  FROM conf
+), f AS (
+  SELECT *, CASE WHEN p0 + r0 > 0 THEN 2.0 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0,
+            CASE WHEN p1 + r1 > 0 THEN 2.0 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1,
+            tn + fp AS s0, tp + fn AS s1 FROM pr
+)
+SELECT model, '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM f
+UNION ALL SELECT model, '1', p1, r1, f1, s1 FROM f
+UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM f
+UNION ALL SELECT model, 'weighted avg', (p0 * s0 + p1 * s1) / CAST(s0 + s1 AS DOUBLE),
+       (r0 * s0 + r1 * s1) / CAST(s0 + s1 AS DOUBLE), (f0 * s0 + f1 * s1) / CAST(s0 + s1 AS DOUBLE), s0 + s1 FROM f
+""".replace("\n, pr AS", ", pr AS", 1)))
+def q_class_report(spark, sf_dir):
+    return metrics.class_report(scores(spark, sf_dir))
+
+
+@register("roc_curve", ids="K8", round6=("fpr", "tpr"), sql=with_(SCORES, """
+, d AS (SELECT model, p AS s, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg
+        FROM scored GROUP BY model, p),
+c AS (
+  SELECT model, s, pos, neg, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg,
+         lead(pos) OVER w2 AS next_pos, lead(neg) OVER w2 AS next_neg, row_number() OVER w2 AS rn
+  FROM d
+  WINDOW w AS (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         w2 AS (PARTITION BY model ORDER BY s DESC)
+),
+t AS (SELECT model, sum(pos) AS tp_all, sum(neg) AS tn_all FROM d GROUP BY model)
+SELECT c.model, s AS threshold,
+       coalesce(CAST(cum_neg AS DOUBLE) / nullif(CAST(tn_all AS DOUBLE), 0), 0.0) AS fpr,
+       coalesce(CAST(cum_pos AS DOUBLE) / nullif(CAST(tp_all AS DOUBLE), 0), 0.0) AS tpr
+FROM c JOIN t ON c.model = t.model
+WHERE rn = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+UNION ALL
+SELECT model, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM t""".replace("\n, d AS", ", d AS", 1)))
+def q_roc_curve(spark, sf_dir):
+    return metrics.roc_points(scores(spark, sf_dir))
+
+
+@register("pr_curve", ids="K9", round6=("threshold", "precision", "recall"), sql=with_(SCORES, """
+, d AS (SELECT model, 1.0::DOUBLE - p AS s, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+               CAST(sum(CASE WHEN y = 0 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+        FROM scored GROUP BY model, 1.0::DOUBLE - p),
+c AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM d
+      WINDOW w AS (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT model, sum(pos) AS pa FROM d GROUP BY model)
+SELECT c.model, s AS threshold, coalesce(CAST(cp AS DOUBLE) / nullif(CAST(cp + cn AS DOUBLE), 0), 0.0) AS precision,
+       CASE WHEN pa = 0 THEN 1.0 ELSE cp / CAST(pa AS DOUBLE) END AS recall
+FROM c JOIN t ON c.model = t.model
+UNION ALL SELECT model, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM t""".replace("\n, d AS", ", d AS", 1)))
+def q_pr_curve(spark, sf_dir):
+    return metrics.pr_points(scores(spark, sf_dir), positive=0)
+
+
+@register("pr_baseline", ids="K10", round6=("baseline",), sql=with_(SCORES, """
+SELECT model, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS baseline FROM scored GROUP BY model"""))
+def q_pr_baseline(spark, sf_dir):
+    return metrics.prevalence(scores(spark, sf_dir), positive=0)
+
+
+@register("model_metrics", ids="K11,B10", sql=with_(SCORES + "," + metrics_cte(), "SELECT * FROM model_metrics"))
+def q_model_metrics(spark, sf_dir):
+    return metrics.model_metrics(scores(spark, sf_dir))
+
+
+@register("best_model", ids="A15,M12", sql=with_(SCORES + "," + metrics_cte(), """
+SELECT max(roc_auc) AS best_roc_auc, (SELECT model FROM model_metrics ORDER BY roc_auc DESC, model LIMIT 1)
+       AS best_model FROM model_metrics"""))
+def q_best_model(spark, sf_dir):
+    return reports.best_by(bi.model_metrics_table(spark, sf_dir), "model", "roc_auc")
+
+
+@register("metrics_long", ids="A18,B10", sql=with_(SCORES + "," + metrics_cte(), """
+UNPIVOT model_metrics ON accuracy, precision, recall, at_risk_recall, f1_score, roc_auc, pr_auc_at_risk
+INTO NAME metric VALUE value"""))
+def q_metrics_long(spark, sf_dir):
+    return reports.metrics_long(bi.model_metrics_table(spark, sf_dir), "model",
+                                ["accuracy", "precision", "recall", "at_risk_recall", "f1_score", "roc_auc",
+                                 "pr_auc_at_risk"])
+
+
+# --------------------------------------------------------------------------
+# Export and BI panels
+# --------------------------------------------------------------------------
+
+@register("predictions_export", ids="S10,M13,F10,P14", sql=with_(BI, "SELECT * FROM final_predictions"))
+def q_predictions_export(spark, sf_dir):
+    return bi.final_predictions(spark, sf_dir)
+
+
+@register("confidence_bands", ids="F10,F11", sql=with_(SCORES, """
+SELECT model, patient_id, p,
+       CASE WHEN p > 0.75 OR p < 0.25 THEN 'High' WHEN p > 0.60 OR p < 0.40 THEN 'Medium' ELSE 'Low' END AS confidence,
+       CAST(p >= 0.5 AS INTEGER) AS decision, 1.0::DOUBLE - p AS risk
+FROM scored"""))
+def q_confidence_bands(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    return s.select("model", "patient_id", "p", scalar.confidence_band("p").alias("confidence"),
+                    (F.col("p") >= 0.5).cast("int").alias("decision"), (F.lit(1.0) - F.col("p")).alias("risk"))
+
+
+@register("bi_cohort", ids="S11,P14", sql=with_(BI, "SELECT * FROM tableau_output"))
+def q_bi_cohort(spark, sf_dir):
+    return bi.tableau_output(spark, sf_dir)
+
+
+def _panel(name, sql_name=None):
+    def build(spark, sf_dir):
+        return bi.panel(spark, sf_dir, name)
+    register(name, ids="B", sql=with_(BI, bi.PANELS[sql_name or name]))(build)
+
+
+for _p in ("bi_total", "bi_rate", "bi_accuracy", "bi_best_auc", "bi_rate_by_age", "bi_rate_by_insurance",
+           "confidence_distribution", "bi_metrics_table"):
+    _panel(_p)
+
+
+@register("confusion_components", ids="B8,W6,K6", sql=with_(BI, bi.PANELS["confusion_components_sql"]))
+def q_confusion_components(spark, sf_dir):
+    # One conditional aggregate + unpivot instead of four scans.
+    fp = bi.final_predictions(spark, sf_dir).select(
+        F.lit("fp").alias("model"), F.col("actual_adherence").alias("y"), F.col("predicted_adherence").alias("y_hat"))
+    c = metrics.confusion(fp)
+    return c.select(F.col("tp").alias("TP"), F.col("tn").alias("TN"), F.col("fp").alias("FP"),
+                    F.col("fn").alias("FN")).unpivot([], ["TP", "TN", "FP", "FN"], "metric", "value")
+
+
+_BROWSE_SQL = """SELECT * FROM final_predictions
+WHERE prediction_label IN ('Adherent') AND confidence IN ('High', 'Medium') AND correct_prediction = 1"""
+
+
+@register("browse_predictions", ids="P10", sql=with_(BI, _BROWSE_SQL))
+def q_browse_predictions(spark, sf_dir):
+    return reports.browse(bi.final_predictions(spark, sf_dir), labels=["Adherent"], bands=["High", "Medium"],
+                          correct="correct")
+
+
+@register("browse_kpis", ids="A16", round6=("accuracy", "mean_probability"), sql=with_(BI, """
+SELECT count(*) AS rows, avg(CAST(correct_prediction AS DOUBLE)) AS accuracy,
+       avg(adherence_probability) AS mean_probability, CAST(sum(correct_prediction) AS BIGINT) AS correct
+FROM final_predictions WHERE confidence IN ('High', 'Medium')"""))
+def q_browse_kpis(spark, sf_dir):
+    return reports.browse_kpis(reports.browse(bi.final_predictions(spark, sf_dir), bands=["High", "Medium"]))
+
+
+@register("report_kpis", ids="A17", round6=("adherence_rate", "accuracy"), sql=with_(BI, """
+SELECT count(*) AS total,
+       100.0 * coalesce(sum(actual_adherence), 0) / greatest(count(*), 1) AS adherence_rate,
+       100.0 * coalesce(sum(correct_prediction), 0) / greatest(count(*), 1) AS accuracy
+FROM final_predictions"""))
+def q_report_kpis(spark, sf_dir):
+    return reports.report_kpis(bi.final_predictions(spark, sf_dir))
+
+
+@register("distinct_bands", ids="P16", sql=with_(BI, "SELECT DISTINCT confidence FROM final_predictions"))
+def q_distinct_bands(spark, sf_dir):
+    return reports.distinct_values(bi.final_predictions(spark, sf_dir), "confidence")
+
+
+@register("prob_histogram", ids="A12", round6=("lo_edge", "hi_edge"),
+          sql=with_(BI, _hist_sql("adherence_probability", "actual_adherence", 20, "final_predictions")))
+def q_prob_histogram(spark, sf_dir):
+    return profile.histogram(bi.final_predictions(spark, sf_dir), "adherence_probability", 20,
+                             by="actual_adherence")
+
+
+# --------------------------------------------------------------------------
+# Grouped reports
+# --------------------------------------------------------------------------
+
+@register("summary_by_label", ids="A10", sql=with_(COHORT, """
+SELECT CASE WHEN adherent = 1 THEN 'Adherent' ELSE 'Non-Adherent' END AS adherence_label, count(*) AS n,
+       round(avg(age), 1) AS mean_age,
+       round(avg(CASE WHEN expected_refills > 0 THEN CAST(refills_received AS DOUBLE) / expected_refills ELSE 0.0 END), 3)
+         AS mean_refill_ratio,
+       round(avg(claim_amount), 2) AS mean_claim_amount,
+       round(avg(CASE WHEN annual_contribution IS NOT NULL AND annual_contribution > 0
+                      THEN claim_amount / annual_contribution END), 3) AS mean_financial_burden,
+       round(avg(num_medications), 1) AS mean_num_medications
+FROM cohort GROUP BY 1"""))
+def q_summary_by_label(spark, sf_dir):
+    c = bindings.cohort(spark, sf_dir)
+    r = c.select(scalar.code_label("adherent", {0: "Non-Adherent", 1: "Adherent"}).alias("adherence_label"), "age",
+                 scalar.guarded_ratio("refills_received", "expected_refills", null_policy="zero")
+                 .alias("refill_ratio"),
+                 "claim_amount", feat.financial_burden(policy="null", cap=None).alias("financial_burden"),
+                 "num_medications")
+    return reports.summary_by(r, "adherence_label", {"age": 1, "refill_ratio": 3, "claim_amount": 2,
+                                                     "financial_burden": 3, "num_medications": 1})
+
+
+@register("class_share", ids="A20,A5", round6=("share",), sql=with_(COHORT, """
+SELECT adherent, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share
+FROM cohort GROUP BY adherent"""))
+def q_class_share(spark, sf_dir):
+    return reports.class_share(bindings.cohort(spark, sf_dir), "adherent")
+
+
+@register("share_by_age_group", ids="W5", round6=("pct",), sql=with_(FEATURES, """
+SELECT age_group, adherent, count(*) AS n,
+       count(*) / CAST(sum(count(*)) OVER (PARTITION BY age_group) AS DOUBLE) AS pct
+FROM features GROUP BY age_group, adherent"""))
+def q_share_by_age_group(spark, sf_dir):
+    return reports.share_within(featured(spark, sf_dir), "age_group", "adherent")
+
+
+@register("share_by_supply", ids="W5", round6=("pct",), sql=with_(COHORT, """
+SELECT days_supply, adherent, count(*) AS n,
+       count(*) / CAST(sum(count(*)) OVER (PARTITION BY days_supply) AS DOUBLE) AS pct
+FROM cohort GROUP BY days_supply, adherent"""))
+def q_share_by_supply(spark, sf_dir):
+    return reports.share_within(bindings.cohort(spark, sf_dir), "days_supply", "adherent")
+
+
+@register("head_n", ids="P13", sql=with_(COHORT, "SELECT * FROM cohort ORDER BY patient_id LIMIT 5"))
+def q_head_n(spark, sf_dir):
+    return reports.head_n(bindings.cohort(spark, sf_dir), 5, "patient_id")

@@ -144,3 +144,82 @@ feature_matrix AS (
          f.supply_category, f.refill_gap
   FROM cleaned c LEFT JOIN features f ON c.patient_id = f.patient_id
 )"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+CONFUSION = """
+conf AS (
+  SELECT model,
+    CAST(sum(CASE WHEN y = 0 AND y_hat = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+    CAST(sum(CASE WHEN y = 0 AND y_hat = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(sum(CASE WHEN y = 1 AND y_hat = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(sum(CASE WHEN y = 1 AND y_hat = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  FROM scored GROUP BY model
+),
+cm AS (
+  SELECT model, """ + _div("tp + tn", "tp + tn + fp + fn") + """ AS accuracy,
+    """ + _div("tp", "tp + fp") + """ AS precision,
+    """ + _div("tp", "tp + fn") + """ AS recall,
+    """ + _div("tn", "tn + fp") + """ AS at_risk_recall
+  FROM conf
+),
+cm2 AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END
+    AS f1_score FROM cm
+),
+auc_d AS (
+  SELECT model, p AS s, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg
+  FROM scored GROUP BY model, p
+),
+auc_c AS (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY s
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM auc_d
+),
+auc AS (
+  SELECT model, sum(pos * (below + neg * 0.5)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS roc_auc
+  FROM auc_c GROUP BY model
+),
+ap_d AS (
+  SELECT model, 1.0::DOUBLE - p AS s, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+         CAST(sum(CASE WHEN y = 0 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+  FROM scored GROUP BY model, 1.0::DOUBLE - p
+),
+ap_c AS (
+  SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM ap_d
+  WINDOW w AS (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+ap AS (
+  SELECT model, coalesce(sum(pos * (CAST(cp AS DOUBLE) / CAST(cp + cn AS DOUBLE))) / nullif(CAST(sum(pos) AS DOUBLE), 0), 0.0)
+    AS pr_auc_at_risk
+  FROM ap_c GROUP BY model
+),
+model_metrics AS (
+  SELECT cm2.model, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall,
+         round(at_risk_recall, 4) AS at_risk_recall, round(f1_score, 4) AS f1_score, round(roc_auc, 4) AS roc_auc,
+         round(pr_auc_at_risk, 4) AS pr_auc_at_risk
+  FROM cm2 JOIN auc ON cm2.model = auc.model JOIN ap ON cm2.model = ap.model
+)"""
+
+BI = SCORES + "," + CONFUSION + """,
+final_predictions AS (
+  SELECT patient_id, y AS actual_adherence, y_hat AS predicted_adherence,
+         floor(p * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS adherence_probability,
+         CAST(y = y_hat AS INTEGER) AS correct_prediction,
+         CASE WHEN y = 1 THEN 'Adherent' WHEN y = 0 THEN 'Non-Adherent' END AS adherence_label,
+         CASE WHEN y_hat = 1 THEN 'Adherent' WHEN y_hat = 0 THEN 'Non-Adherent' END AS prediction_label,
+         CASE WHEN floor(p * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE > 0.75
+                OR floor(p * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE < 0.25 THEN 'High'
+              WHEN floor(p * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE > 0.60
+                OR floor(p * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE < 0.40 THEN 'Medium'
+              ELSE 'Low' END AS confidence
+  FROM scored WHERE model = 'ratio_score'
+),
+tableau_output AS (
+  SELECT patient_id, ['Young (18–35)', 'Adult (36–64)', 'Elderly (65+)'][age_group + 1] AS age_group_label,
+         insurance_type, adherent
+  FROM features
+)"""
