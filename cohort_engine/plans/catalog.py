@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, metrics, profile, reports, score
+from cohort_engine.operators import clean, metrics, profile, reports, score, stats
 from cohort_engine.operators import features as feat
 from cohort_engine.plans import bi, pipeline
 from cohort_engine.plans.registry import register
@@ -22,6 +22,7 @@ from cohort_engine.plans.sqlbase import (
     FEATURES,
     INSURANCE_LEVELS,
     OUTLIER_COLS,
+    RFEAT,
     median_sql,
     mode_sql,
     with_,
@@ -740,3 +741,177 @@ def q_share_by_supply(spark, sf_dir):
 @register("head_n", ids="P13", sql=with_(COHORT, "SELECT * FROM cohort ORDER BY patient_id LIMIT 5"))
 def q_head_n(spark, sf_dir):
     return reports.head_n(bindings.cohort(spark, sf_dir), 5, "patient_id")
+
+
+# --------------------------------------------------------------------------
+# Statistical tests and association (ST1-ST12)
+# --------------------------------------------------------------------------
+
+def r_features(spark, sf_dir):
+    """Cohort with the statistics-script feature forms (burden null when the
+    contribution is null or <= 0, no cap) and the adherence label."""
+    f = featured(spark, sf_dir)
+    return f.withColumns({
+        "burden_r": feat.financial_burden(policy="null", cap=None),
+        "adherence_label": scalar.code_label("adherent", {0: "Non-Adherent", 1: "Adherent"})})
+
+
+_WELCH_SQL = with_(RFEAT, """
+, long AS (
+  SELECT adherent, 'refill_ratio' AS measure, refill_ratio AS x FROM rfeat
+  UNION ALL SELECT adherent, 'financial_burden', burden_r FROM rfeat
+), m AS (
+  SELECT measure,
+    count(x) FILTER (WHERE adherent = 1) AS n1, avg(x) FILTER (WHERE adherent = 1) AS mean1,
+    var_samp(x) FILTER (WHERE adherent = 1) AS var1,
+    count(x) FILTER (WHERE adherent = 0) AS n2, avg(x) FILTER (WHERE adherent = 0) AS mean2,
+    var_samp(x) FILTER (WHERE adherent = 0) AS var2
+  FROM long WHERE x IS NOT NULL GROUP BY measure
+)
+SELECT measure, n1, mean1, var1, n2, mean2, var2,
+       (mean1 - mean2) / sqrt(var1 / n1 + var2 / n2) AS t,
+       ((var1 / n1 + var2 / n2) * (var1 / n1 + var2 / n2)) /
+       ((var1 / n1) * (var1 / n1) / (n1 - 1) + (var2 / n2) * (var2 / n2) / (n2 - 1)) AS df
+FROM m""".replace("\n, long AS", ", long AS", 1))
+
+
+@register("welch_t", ids="ST1,P11", round6=("mean1", "var1", "mean2", "var2", "t", "df"), sql=_WELCH_SQL)
+def q_welch_t(spark, sf_dir):
+    f = r_features(spark, sf_dir).select("adherent", "refill_ratio", F.col("burden_r").alias("financial_burden"))
+    return stats.welch_t(f, ["refill_ratio", "financial_burden"], "adherent", first=1, second=0)
+
+
+_ANOVA_SQL = with_(RFEAT, """
+, g AS (SELECT age_group, count(*) AS n, avg(refill_ratio) AS mean, var_samp(refill_ratio) AS var
+       FROM rfeat WHERE refill_ratio IS NOT NULL AND age_group IS NOT NULL GROUP BY age_group),
+t AS (SELECT sum(n) AS N, sum(n * mean) / sum(n) AS grand, count(*) AS k FROM g),
+s AS (SELECT sum(g.n * (g.mean - t.grand) * (g.mean - t.grand)) AS ss_between,
+             sum((g.n - 1) * coalesce(g.var, 0.0)) AS ss_within, max(t.k) - 1 AS df_between,
+             max(t.N) - max(t.k) AS df_within FROM g, t)
+SELECT ss_between, ss_within, CAST(df_between AS BIGINT) AS df_between, CAST(df_within AS BIGINT) AS df_within,
+       ss_between / df_between AS ms_between, ss_within / df_within AS ms_within,
+       (ss_between / df_between) / (ss_within / df_within) AS f
+FROM s""".replace("\n, g AS", ", g AS", 1))
+
+
+@register("anova_oneway", ids="ST2", round6=("ss_between", "ss_within", "ms_between", "ms_within", "f"),
+          sql=_ANOVA_SQL)
+def q_anova_oneway(spark, sf_dir):
+    return stats.anova_oneway(r_features(spark, sf_dir), "refill_ratio", "age_group")
+
+
+_TUKEY_SQL = with_(RFEAT, """
+, g AS (SELECT age_group, count(*) AS n, avg(refill_ratio) AS mean, var_samp(refill_ratio) AS var
+       FROM rfeat WHERE refill_ratio IS NOT NULL AND age_group IS NOT NULL GROUP BY age_group),
+t AS (SELECT sum(n) AS N, count(*) AS k, sum((n - 1) * coalesce(var, 0.0)) AS ssw FROM g)
+SELECT CAST(b.age_group AS VARCHAR) || '-' || CAST(a.age_group AS VARCHAR) AS comparison,
+       b.mean - a.mean AS diff,
+       sqrt(t.ssw / (t.N - t.k) / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
+       abs(b.mean - a.mean) / sqrt(t.ssw / (t.N - t.k) / 2 * (1.0 / a.n + 1.0 / b.n)) AS q,
+       CAST(t.k AS BIGINT) AS k, CAST(t.N - t.k AS BIGINT) AS df
+FROM g a JOIN g b ON a.age_group < b.age_group, t""".replace("\n, g AS", ", g AS", 1))
+
+
+@register("tukey_pairs", ids="ST3", round6=("diff", "se", "q"), sql=_TUKEY_SQL)
+def q_tukey_pairs(spark, sf_dir):
+    return stats.tukey_pairs(r_features(spark, sf_dir), "refill_ratio", "age_group", levels=[0, 1, 2])
+
+
+_CHI_SQL = with_(COHORT, """
+, cells AS (SELECT insurance_type, adherent, count(*) AS o FROM cohort
+            WHERE insurance_type IS NOT NULL AND adherent IS NOT NULL GROUP BY 1, 2),
+ra AS (SELECT insurance_type, sum(o) AS ra FROM cells GROUP BY 1),
+cb AS (SELECT adherent, sum(o) AS cb FROM cells GROUP BY 1)
+SELECT sum(CAST(o AS DOUBLE) * o / (ra * cb)) * sum(o) - sum(o) AS chi2,
+       CAST((count(DISTINCT cells.insurance_type) - 1) * (count(DISTINCT cells.adherent) - 1) AS BIGINT) AS df,
+       CAST(sum(o) AS BIGINT) AS n
+FROM cells JOIN ra ON cells.insurance_type = ra.insurance_type JOIN cb ON cells.adherent = cb.adherent
+""".replace("\n, cells AS", ", cells AS", 1))
+
+
+@register("chi2_independence", ids="ST4", round6=("chi2",), sql=_CHI_SQL)
+def q_chi2_independence(spark, sf_dir):
+    return stats.chi2_independence(bindings.cohort(spark, sf_dir), "insurance_type", "adherent")
+
+
+@register("contingency", ids="ST5", sql=with_(COHORT, """
+SELECT insurance_type, count(*) FILTER (WHERE adherent = 0) AS "0", count(*) FILTER (WHERE adherent = 1) AS "1"
+FROM cohort WHERE insurance_type IS NOT NULL AND adherent IS NOT NULL GROUP BY insurance_type"""))
+def q_contingency(spark, sf_dir):
+    return stats.contingency(bindings.cohort(spark, sf_dir), "insurance_type", "adherent", [0, 1])
+
+
+_HEAT = ("adherent", "refill_ratio", "financial_burden", "age_group", "refill_gap", "medication_complexity",
+         "supply_category")
+
+
+def _corr_sql(cols, src, where=""):
+    parts = [f"SELECT '{c}' AS var1, '{c}' AS var2, 1.0::DOUBLE AS r" for c in cols]
+    for i, x in enumerate(cols):
+        for y in cols[i + 1:]:
+            parts.append(f"SELECT '{x}', '{y}', (SELECT corr({x}, {y}) FROM {src} {where})")
+            parts.append(f"SELECT '{y}', '{x}', (SELECT corr({x}, {y}) FROM {src} {where})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("corr_pairwise", ids="ST8", round6=("r",), sql=with_(FEATURES, _corr_sql(_HEAT, "features")))
+def q_corr_pairwise(spark, sf_dir):
+    return stats.corr_matrix(featured(spark, sf_dir), _HEAT, nulls="pairwise")
+
+
+_RCORR = ("adherent", "age", "refill_ratio", "burden_r", "num_medications", "expected_refills", "refills_received")
+_RCORR_WHERE = "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _RCORR)
+
+
+@register("corr_listwise", ids="ST9,P8", round6=("r",), sql=with_(RFEAT, _corr_sql(_RCORR, "rfeat", _RCORR_WHERE)))
+def q_corr_listwise(spark, sf_dir):
+    return stats.corr_matrix(r_features(spark, sf_dir), _RCORR, nulls="listwise")
+
+
+@register("corr_target", ids="ST10,W1", round6=("r",), sql=with_(RFEAT, "\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS variable, r, CASE WHEN r > 0 THEN '+' ELSE '-' END AS direction FROM "
+     f"(SELECT corr({c}, adherent) AS r FROM rfeat {_RCORR_WHERE})" for c in _RCORR])))
+def q_corr_target(spark, sf_dir):
+    return stats.corr_target(r_features(spark, sf_dir), "adherent", list(_RCORR[1:]), nulls="listwise")
+
+
+@register("group_linear_fit", ids="ST11", round6=("slope", "intercept", "r2", "sxx", "x_mean", "resid_se",
+                                                  "se_fit"), sql=with_(RFEAT, """
+, g AS (
+  SELECT adherence_label, regr_count(refill_ratio, burden_r) AS n, regr_slope(refill_ratio, burden_r) AS slope,
+         regr_intercept(refill_ratio, burden_r) AS intercept, regr_r2(refill_ratio, burden_r) AS r2,
+         regr_sxx(refill_ratio, burden_r) AS sxx, regr_syy(refill_ratio, burden_r) AS syy,
+         regr_sxy(refill_ratio, burden_r) AS sxy, regr_avgx(refill_ratio, burden_r) AS x_mean
+  FROM rfeat WHERE burden_r IS NOT NULL AND burden_r < 4 AND refill_ratio IS NOT NULL GROUP BY adherence_label
+)
+SELECT adherence_label, CAST(n AS BIGINT) AS n, slope, intercept, r2, sxx, x_mean,
+       sqrt(greatest(syy - slope * sxy, 0.0) / (n - 2)) AS resid_se,
+       sqrt(greatest(syy - slope * sxy, 0.0) / (n - 2)) * sqrt(1.0 / n) AS se_fit
+FROM g""".replace("\n, g AS", ", g AS", 1)))
+def q_group_linear_fit(spark, sf_dir):
+    f = r_features(spark, sf_dir).filter(F.col("burden_r") < 4)
+    return stats.group_linear_fit(f, "refill_ratio", "burden_r", "adherence_label")
+
+
+@register("test_pvalues", ids="ST12")
+def q_test_pvalues(spark, sf_dir):
+    """Tail probabilities of the reduced test rows (pandas_udf finishers)."""
+    rf = r_features(spark, sf_dir)
+    w = stats.welch_t(rf.select("adherent", "refill_ratio", F.col("burden_r").alias("financial_burden")),
+                      ["refill_ratio", "financial_burden"], "adherent", pvalues=True)
+    a = stats.anova_oneway(rf, "refill_ratio", "age_group", pvalues=True)
+    t = stats.tukey_pairs(rf, "refill_ratio", "age_group", levels=[0, 1, 2], pvalues=True)
+    c = stats.chi2_independence(rf, "insurance_type", "adherent", pvalues=True)
+    cols = ["test", "item", "statistic", "df1", "df2", "p_value"]
+    return (w.select(F.lit("welch_t").alias("test"), F.col("measure").alias("item"), F.col("t").alias("statistic"),
+                     F.col("df").alias("df1"), F.lit(None).cast("double").alias("df2"), "p_value")
+            .unionByName(a.select(F.lit("anova").alias("test"), F.lit("refill_ratio~age_group").alias("item"),
+                                  F.col("f").alias("statistic"), F.col("df_between").cast("double").alias("df1"),
+                                  F.col("df_within").cast("double").alias("df2"), "p_value"))
+            .unionByName(t.select(F.lit("tukey").alias("test"), F.col("comparison").alias("item"),
+                                  F.col("q").alias("statistic"), F.col("k").cast("double").alias("df1"),
+                                  F.col("df").cast("double").alias("df2"), F.col("p_adj").alias("p_value")))
+            .unionByName(c.select(F.lit("chi2").alias("test"), F.lit("insurance_type x adherent").alias("item"),
+                                  F.col("chi2").alias("statistic"), F.col("df").cast("double").alias("df1"),
+                                  F.lit(None).cast("double").alias("df2"), "p_value"))
+            .select(*cols))

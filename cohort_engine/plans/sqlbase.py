@@ -223,3 +223,13 @@ tableau_output AS (
          insurance_type, adherent
   FROM features
 )"""
+
+
+# R-script feature forms: burden null when contribution is null or <= 0, no clip.
+RFEAT = FEATURES + """,
+rfeat AS (
+  SELECT *, CASE WHEN annual_contribution IS NOT NULL AND annual_contribution > 0
+                 THEN claim_amount / annual_contribution END AS burden_r,
+         CASE WHEN adherent = 1 THEN 'Adherent' ELSE 'Non-Adherent' END AS adherence_label
+  FROM features
+)"""
