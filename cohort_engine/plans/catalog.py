@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, metrics, profile, reports, score, stats
+from cohort_engine.operators import clean, metrics, profile, reports, sampling, score, stats
 from cohort_engine.operators import features as feat
 from cohort_engine.plans import bi, pipeline
 from cohort_engine.plans.registry import register
@@ -915,3 +915,67 @@ def q_test_pvalues(spark, sf_dir):
                                   F.col("chi2").alias("statistic"), F.col("df").cast("double").alias("df1"),
                                   F.lit(None).cast("double").alias("df2"), "p_value"))
             .select(*cols))
+
+
+# --------------------------------------------------------------------------
+# Sampling (R1, R2, R4, R5)
+# --------------------------------------------------------------------------
+
+_RANKED = """
+, ranked AS (
+  SELECT patient_id, adherent,
+         row_number() OVER (PARTITION BY adherent ORDER BY md5('42|' || CAST(patient_id AS VARCHAR)), patient_id) AS rk
+  FROM cohort
+)"""
+
+_SPLIT_SQL = with_(COHORT, _RANKED.replace("\n, ranked AS", ", ranked AS", 1) + """,
+cc AS (SELECT adherent, count(*) AS n FROM cohort GROUP BY adherent),
+tot AS (SELECT sum(n) AS total, sum(n) - CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_train FROM cc),
+fl AS (SELECT adherent, n, n_train, floor(n_train * n / total) AS fl,
+              n_train * n / total - floor(n_train * n / total) AS frac FROM cc, tot),
+al AS (SELECT adherent, n - (fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, CAST(adherent AS VARCHAR))
+                                       <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS test_size FROM fl)
+SELECT r.patient_id, r.adherent, CASE WHEN r.rk <= al.test_size THEN 'test' ELSE 'train' END AS split
+FROM ranked r JOIN al ON r.adherent = al.adherent""")
+
+
+@register("stratified_split", ids="R1,S9", sql=_SPLIT_SQL)
+def q_stratified_split(spark, sf_dir):
+    c = bindings.cohort(spark, sf_dir).select("patient_id", "adherent")
+    return sampling.stratified_split(c, "adherent", "patient_id", 0.2, 42)
+
+
+@register("stratified_folds", ids="R4", sql=with_(COHORT, _RANKED.replace("\n, ranked AS", ", ranked AS", 1) + """
+SELECT patient_id, adherent, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM ranked"""))
+def q_stratified_folds(spark, sf_dir):
+    c = bindings.cohort(spark, sf_dir).select("patient_id", "adherent")
+    return sampling.stratified_folds(c, "adherent", "patient_id", 5, 42)
+
+
+_OVERSAMPLE_SQL = with_(COHORT, _RANKED.replace("\n, ranked AS", ", ranked AS", 1) + """,
+cc AS (SELECT adherent, count(*) AS n FROM cohort GROUP BY adherent),
+mn AS (SELECT adherent AS minority, n AS n_min FROM cc ORDER BY n, CAST(adherent AS VARCHAR) LIMIT 1),
+mx AS (SELECT n AS n_maj FROM cc ORDER BY n DESC, CAST(adherent AS VARCHAR) LIMIT 1),
+draws AS (
+  SELECT i AS draw, CAST(('0x' || substr(md5('42|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) % n_min + 1 AS rk
+  FROM mx, mn, range(0, (SELECT n_maj FROM mx)) t(i)
+)
+SELECT c.patient_id, c.adherent, CAST(NULL AS BIGINT) AS draw FROM cohort c, mn WHERE c.adherent <> mn.minority
+UNION ALL
+SELECT r.patient_id, r.adherent, d.draw FROM draws d JOIN ranked r ON r.rk = d.rk JOIN mn ON r.adherent = mn.minority""")
+
+
+@register("random_oversample", ids="R2,W7", sql=_OVERSAMPLE_SQL)
+def q_random_oversample(spark, sf_dir):
+    c = bindings.cohort(spark, sf_dir).select("patient_id", "adherent")
+    return sampling.random_oversample(c, "adherent", "patient_id", 42)
+
+
+@register("resample_report", ids="R5,A5", sql=with_(COHORT, """
+, cc AS (SELECT adherent, count(*) AS n FROM cohort GROUP BY adherent)
+SELECT 'before' AS stage, adherent, n FROM cc
+UNION ALL
+SELECT 'after', adherent, (SELECT max(n) FROM cc) FROM cc""".replace("\n, cc AS", ", cc AS", 1)))
+def q_resample_report(spark, sf_dir):
+    c = bindings.cohort(spark, sf_dir).select("patient_id", "adherent")
+    return sampling.resample_report(c, sampling.random_oversample(c, "adherent", "patient_id", 42), "adherent")
