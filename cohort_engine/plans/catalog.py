@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, metrics, profile, reports, sampling, score, stats
+from cohort_engine.operators import clean, explain, metrics, models, profile, reports, sampling, score, stats
 from cohort_engine.operators import features as feat
-from cohort_engine.plans import bi, pipeline
+from cohort_engine.plans import bi, modeling, pipeline
 from cohort_engine.plans.registry import register
 from cohort_engine.plans.sqlbase import (
     BI,
@@ -979,3 +979,144 @@ SELECT 'after', adherent, (SELECT max(n) FROM cc) FROM cc""".replace("\n, cc AS"
 def q_resample_report(spark, sf_dir):
     c = bindings.cohort(spark, sf_dir).select("patient_id", "adherent")
     return sampling.resample_report(c, sampling.random_oversample(c, "adherent", "patient_id", 42), "adherent")
+
+
+# --------------------------------------------------------------------------
+# Models (M1-M9, ST6, ST7): MLlib PipelineModels; results are not bit-equal
+# to other libraries (binned splits, RNG), so these get the rows-only check
+# plus quality-floor unit tests.
+# --------------------------------------------------------------------------
+
+def _fit_query(name):
+    def build(spark, sf_dir):
+        s = modeling.test_scores(spark, sf_dir, [name])
+        return metrics.model_metrics(s)
+    return build
+
+
+for _key, _name in (("fit_logistic", "Logistic Regression"), ("fit_tree", "Decision Tree"),
+                    ("fit_forest", "Random Forest"), ("fit_gbt", "Gradient Boosting")):
+    register(_key, ids="M1-M4,M6")(_fit_query(_name))
+
+
+@register("score_test", ids="M6")
+def q_score_test(spark, sf_dir):
+    return modeling.test_scores(spark, sf_dir, ["Random Forest"])
+
+
+@register("score_all_models", ids="M7,K11")
+def q_score_all_models(spark, sf_dir):
+    s = modeling.test_scores(spark, sf_dir, list(models.MODEL_SPECS))
+    return metrics.model_metrics(s)
+
+
+@register("cv_auc", ids="M5,R4")
+def q_cv_auc(spark, sf_dir):
+    """5-fold stratified CV ROC-AUC (mean, population sd) of the logistic
+    model on the training split; each fold fits on the other four."""
+    train, _ = modeling.train_test(spark, sf_dir, oversample=False)
+    folds = sampling.stratified_folds(train, modeling.LABEL, modeling.KEY, 5, 42).persist()
+    feats = modeling.feature_names(train)
+    parts = []
+    for f in range(5):
+        m = models.fit_model(folds.filter(F.col("fold") != f), feats, "Logistic Regression")
+        parts.append(models.score(m, folds.filter(F.col("fold") == f), modeling.KEY, name=f"fold{f}"))
+    s = parts[0]
+    for p in parts[1:]:
+        s = s.unionByName(p)
+    auc = metrics.roc_auc(s)
+    return auc.agg(F.avg("roc_auc").alias("cv_auc_mean"), F.stddev_pop("roc_auc").alias("cv_auc_sd"),
+                   F.count(F.lit(1)).alias("folds"))
+
+
+@register("feature_importance", ids="M9,W3")
+def q_feature_importance(spark, sf_dir):
+    return models.feature_importance(spark, modeling.fitted(spark, sf_dir, "Random Forest"), top=15)
+
+
+_GLM_FEATURES = ["refill_ratio", "burden_r", "age", "gender_male", "long_supply", "high_med"]
+
+
+@register("glm_summary", ids="ST6,F9")
+def q_glm_summary(spark, sf_dir):
+    rf = feat.indicators(r_features(spark, sf_dir)).filter(F.col("burden_r").isNotNull())
+    return models.glm_summary(rf, "adherent", _GLM_FEATURES)
+
+
+@register("odds_ratios", ids="ST7")
+def q_odds_ratios(spark, sf_dir):
+    return models.odds_ratios(q_glm_summary(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Explanations and record scoring
+# --------------------------------------------------------------------------
+
+_ABL_FEATURES = ("refill_ratio", "financial_burden", "age", "num_medications", "days_supply", "refill_gap")
+# Fixed weights of the closed-form logistic score used by the SQL-checkable
+# ablation (not a fitted model).
+_ABL_WEIGHTS = {"refill_ratio": 4.0, "financial_burden": -1.5, "age": -0.02, "num_medications": -0.3,
+                "days_supply": 0.01, "refill_gap": -0.2}
+_ABL_BIAS = 0.5
+
+
+@register("baseline_medians", ids="M10", round6=("median",), sql=with_(FEATURES, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, median(CAST({c} AS DOUBLE)) AS median FROM features" for c in _ABL_FEATURES)))
+def q_baseline_medians(spark, sf_dir):
+    return explain.medians_frame(featured(spark, sf_dir), _ABL_FEATURES)
+
+
+def _abl_sql():
+    z = " + ".join(f"{w!r} * {c}" for c, w in _ABL_WEIGHTS.items())
+    cf_rows = "\nUNION ALL\n".join(
+        f"SELECT patient_id, '{c}' AS feature, (SELECT {c} FROM med) AS median, "
+        f"1.0 / (1.0 + exp(-({_ABL_BIAS!r} + " +
+        " + ".join(f"{w!r} * " + (f"(SELECT {c2} FROM med)" if c2 == c else c2) for c2, w in _ABL_WEIGHTS.items())
+        + f"))) AS p FROM x WHERE {c} IS DISTINCT FROM (SELECT {c} FROM med)" for c in _ABL_FEATURES)
+    return with_(FEATURES, f"""
+, x AS (SELECT patient_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _ABL_FEATURES)} FROM features),
+med AS (SELECT {", ".join(f"median({c}) AS {c}" for c in _ABL_FEATURES)} FROM x),
+base AS (SELECT patient_id, 1.0 / (1.0 + exp(-({_ABL_BIAS!r} + {z}))) AS base_p FROM x),
+cf AS ({cf_rows}),
+d AS (SELECT cf.patient_id, feature, median, base_p, base_p - p AS delta FROM cf JOIN base USING (patient_id)
+      WHERE abs(base_p - p) >= 0.0001),
+r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY round(abs(delta), 12) DESC, feature) AS rank FROM d)
+SELECT patient_id, rank, feature, median, base_p, delta,
+       CASE WHEN delta > 0 THEN 'Supports adherence' ELSE 'Raises risk' END AS direction
+FROM r WHERE rank <= 6""".replace("\n, x AS", ", x AS", 1))
+
+
+@register("ablation_linear", ids="M11,W4", round6=("median", "base_p", "delta"), sql=_abl_sql())
+def q_ablation_linear(spark, sf_dir):
+    f = featured(spark, sf_dir).select("patient_id", *[F.col(c).cast("double").alias(c) for c in _ABL_FEATURES])
+    med = explain.baseline_medians(f, _ABL_FEATURES)
+    return explain.local_drivers(f, explain.linear_scorer(_ABL_WEIGHTS, _ABL_BIAS), "patient_id",
+                                 _ABL_FEATURES, med, top_n=6)
+
+
+@register("local_drivers", ids="M11,W4,M3,M10")
+def q_local_drivers(spark, sf_dir):
+    """Forest ablation drivers for every test record: all counterfactuals
+    scored in one transform, top 6 per record."""
+    _, test = modeling.train_test(spark, sf_dir)
+    feats = modeling.feature_names(test)
+    model = modeling.fitted(spark, sf_dir, "Random Forest")
+    med = explain.baseline_medians(test, feats)
+
+    return explain.local_drivers(test, lambda d: _score_keep(model, d), modeling.KEY, feats, med, top_n=6)
+
+
+def _score_keep(model, d):
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(d)
+    return out.withColumn("p", vector_to_array(F.col("probability"))[1])
+
+
+@register("score_batch", ids="M8,P12,F11")
+def q_score_batch(spark, sf_dir):
+    """Incoming profiles scored with the stored pipeline: derive features with
+    the same functions, align to the model's columns, transform, label."""
+    from cohort_engine.streaming.scoring import score_profiles
+    model = modeling.fitted(spark, sf_dir, "Random Forest")
+    profiles = bindings.cohort(spark, sf_dir)
+    return score_profiles(profiles, model)
