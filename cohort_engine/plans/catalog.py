@@ -1120,3 +1120,126 @@ def q_score_batch(spark, sf_dir):
     model = modeling.fitted(spark, sf_dir, "Random Forest")
     profiles = bindings.cohort(spark, sf_dir)
     return score_profiles(profiles, model)
+
+
+# --------------------------------------------------------------------------
+# Typed text loads
+# --------------------------------------------------------------------------
+
+def _typed_sql():
+    parts = []
+    for i, c in enumerate(bindings.COHORT_COLUMNS):
+        t = f"trim(coalesce(CAST({c} AS VARCHAR), ''))"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CASE WHEN ni = nb THEN 'INTEGER' WHEN nf = nb THEN 'REAL' ELSE 'TEXT' END "
+            f"AS sql_type, nb AS non_blank, {i} AS ordinal FROM (SELECT count(*) FILTER (WHERE {t} <> '') AS nb, "
+            f"count(*) FILTER (WHERE {t} <> '' AND regexp_full_match({t}, '[+-]?[0-9]+')) AS ni, "
+            f"count(*) FILTER (WHERE {t} <> '' AND TRY_CAST({t} AS DOUBLE) IS NOT NULL) AS nf FROM cohort)")
+    return with_(COHORT, "\nUNION ALL\n".join(parts))
+
+
+@register("typed_load", ids="S5", sql=_typed_sql())
+def q_typed_load(spark, sf_dir):
+    from cohort_engine.sources import typed
+    return typed.infer_frame(typed.as_text(bindings.cohort(spark, sf_dir)))
+
+
+# The report's display header of the metric table.
+METRIC_HEADERS = {"model": "Model", "accuracy": "Accuracy", "precision": "Precision", "recall": "Recall",
+                  "at_risk_recall": "At-Risk Recall", "f1_score": "F1 Score", "roc_auc": "ROC-AUC",
+                  "pr_auc_at_risk": "PR-AUC (At-Risk)"}
+
+
+@register("normalized_metrics", ids="S6,S5", sql=with_(SCORES + "," + metrics_cte(), """
+SELECT model, accuracy, precision, recall, at_risk_recall, f1_score, roc_auc, pr_auc_at_risk AS "pr_auc_(at_risk)"
+FROM model_metrics"""))
+def q_normalized_metrics(spark, sf_dir):
+    from cohort_engine.sources import typed
+    mm = bi.model_metrics_table(spark, sf_dir)
+    text = typed.as_text(mm.select(*[F.col(k).alias(v) for k, v in METRIC_HEADERS.items()]))
+    text = typed.normalize_columns(text)
+    return typed.apply_types(text, typed.infer_types(text))
+
+
+# --------------------------------------------------------------------------
+# Line-item scale bindings (the bench set): the same operators on lineitem.
+# --------------------------------------------------------------------------
+
+_CLAIMS_SCORES = """
+claims AS (
+  SELECT l_orderkey * 8 + l_linenumber AS patient_id, CAST(l_returnflag = 'R' AS INTEGER) AS y,
+         floor((0.5::DOUBLE * l_discount * 10.0::DOUBLE + 0.5::DOUBLE * l_quantity / 50.0::DOUBLE) * 10000.0::DOUBLE
+               + 0.5::DOUBLE) / 10000.0::DOUBLE AS p
+  FROM lineitem
+),
+scored AS (SELECT 'claims' AS model, patient_id, y, p, CAST(p >= 0.5 AS INTEGER) AS y_hat FROM claims)"""
+
+
+@register("claims_roc_auc", ids="K4", round6=("roc_auc",), sql=with_(_CLAIMS_SCORES + "," + metrics_cte(),
+          "SELECT model, roc_auc FROM auc"))
+def q_claims_roc_auc(spark, sf_dir):
+    return metrics.roc_auc(bindings.claims_scores(spark, sf_dir))
+
+
+@register("claims_pr_auc", ids="K5", round6=("pr_auc_at_risk",), sql=with_(_CLAIMS_SCORES + "," + metrics_cte(),
+          "SELECT model, pr_auc_at_risk FROM ap"))
+def q_claims_pr_auc(spark, sf_dir):
+    return metrics.average_precision(bindings.claims_scores(spark, sf_dir), positive=0)
+
+
+_CLAIM_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("claims_welch_t", ids="ST1", round6=("mean1", "var1", "mean2", "var2", "t", "df"), sql=with_("""
+long AS (""" + "\nUNION ALL\n".join(
+    f"SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, '{c}' AS measure, CAST({c} AS DOUBLE) AS x FROM lineitem"
+    for c in _CLAIM_MEASURES) + """),
+m AS (
+  SELECT measure,
+    count(x) FILTER (WHERE label = 1) AS n1, avg(x) FILTER (WHERE label = 1) AS mean1,
+    var_samp(x) FILTER (WHERE label = 1) AS var1,
+    count(x) FILTER (WHERE label = 0) AS n2, avg(x) FILTER (WHERE label = 0) AS mean2,
+    var_samp(x) FILTER (WHERE label = 0) AS var2
+  FROM long WHERE x IS NOT NULL GROUP BY measure
+)""", """
+SELECT measure, n1, mean1, var1, n2, mean2, var2,
+       (mean1 - mean2) / sqrt(var1 / n1 + var2 / n2) AS t,
+       ((var1 / n1 + var2 / n2) * (var1 / n1 + var2 / n2)) /
+       ((var1 / n1) * (var1 / n1) / (n1 - 1) + (var2 / n2) * (var2 / n2) / (n2 - 1)) AS df
+FROM m"""))
+def q_claims_welch_t(spark, sf_dir):
+    return stats.welch_t(bindings.claims_wide(spark, sf_dir), _CLAIM_MEASURES, "label", first=1, second=0)
+
+
+_CLAIM_COLS = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+               "l_returnflag", "l_linestatus")
+_CLAIM_TYPES = ("bigint", "int", "double", "double", "double", "double", "string", "string")
+
+
+@register("claims_profile", ids="A2", sql="\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS nulls, "
+    f"round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct, count(DISTINCT {c}) AS n_distinct, "
+    f"{i} AS ordinal FROM lineitem" for i, (c, t) in enumerate(zip(_CLAIM_COLS, _CLAIM_TYPES))))
+def q_claims_profile(spark, sf_dir):
+    return profile.profile_columns(bindings.table(spark, sf_dir, "lineitem", list(_CLAIM_COLS)))
+
+
+@register("claims_split", ids="R1", sql="""
+WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS k, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem),
+ranked AS (SELECT k, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(k AS VARCHAR)), k) AS rk
+           FROM c),
+cc AS (SELECT label, count(*) AS n FROM c GROUP BY label),
+tot AS (SELECT sum(n) AS total, sum(n) - CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_train FROM cc),
+fl AS (SELECT label, n, n_train, floor(n_train * n / total) AS fl,
+              n_train * n / total - floor(n_train * n / total) AS frac FROM cc, tot),
+al AS (SELECT label, n - (fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, CAST(label AS VARCHAR))
+                                    <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS test_size FROM fl)
+SELECT label AS split_label, CASE WHEN r.rk <= al.test_size THEN 'test' ELSE 'train' END AS split, count(*) AS n,
+       CAST(sum(k) AS BIGINT) AS key_sum
+FROM ranked r JOIN al USING (label) GROUP BY 1, 2""")
+def q_claims_split(spark, sf_dir):
+    c = bindings.claims_wide(spark, sf_dir).select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "label")
+    s = sampling.stratified_split(c, "label", "k", 0.2, 42)
+    return s.groupBy(F.col("label").alias("split_label"), "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("k").cast("bigint").alias("key_sum"))
