@@ -40,7 +40,7 @@ def rank_within(df: DataFrame, label: str, key: str, seed: int = 42, col: str =
     # classes x 4096 rows: AQE broadcasts it from its runtime size.
     j = d.join(offsets, [label, "__b"])
     w = Window.partitionBy(label, "__b").orderBy("__h", key)
-    return j.withColumn(col, F.row_number().over(w) + F.col("__off")).drop("__h", "__b", "__off")
+    return j.select(*df.columns, (F.row_number().over(w) + F.col("__off")).alias(col))
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
