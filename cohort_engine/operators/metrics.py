@@ -162,10 +162,15 @@ def class_report(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_ha
 
 
 def model_metrics(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_hat", p: str = "p",
-                  digits: int | None = 4, buckets: int = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+                  digits: int | None = 4, buckets: int = rankcum.DEFAULT_BUCKETS,
+                  materialize: bool = True) -> DataFrame:
     """One row per model: accuracy, precision, recall, at-risk recall,
     F1, ROC-AUC and PR-AUC (at-risk), rounded to ``digits``.  The three
-    aggregates share the (persisted or checkpointed) score table."""
+    aggregates (and two edge fits) share the score table, written once to
+    the shared checkpoint folder ("score once")."""
+    if materialize:
+        from cohort_engine.session import cut_lineage
+        scores = cut_lineage(scores.select(*_l(by), y, y_hat, p))
     cm = class_metrics(scores, by, y, y_hat)
     auc = roc_auc(scores, by, y, p, buckets)
     ap = average_precision(scores, by, y, p, 0, buckets)

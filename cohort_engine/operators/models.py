@@ -40,13 +40,18 @@ def _logistic(n_train: int):
                               elasticNetParam=0.0, standardization=False)
 
 
+# Execution settings only (not model settings): more tree nodes per data pass
+# and cached node ids, i.e. fewer passes over the training data per level.
+_TREE_EXEC = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
+
 MODEL_SPECS = {
     "Logistic Regression": _logistic,
-    "Decision Tree": lambda n: DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=10, seed=42),
+    "Decision Tree": lambda n: DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=10, seed=42,
+                                                      **_TREE_EXEC),
     "Random Forest": lambda n: RandomForestClassifier(numTrees=200, maxDepth=8, minInstancesPerNode=8,
-                                                      featureSubsetStrategy="sqrt", seed=42),
+                                                      featureSubsetStrategy="sqrt", seed=42, **_TREE_EXEC),
     "Gradient Boosting": lambda n: GBTClassifier(maxIter=150, stepSize=0.08, maxDepth=4, subsamplingRate=0.8,
-                                                 minInstancesPerNode=10, seed=42),
+                                                 minInstancesPerNode=10, seed=42, **_TREE_EXEC),
 }
 
 

@@ -1243,3 +1243,18 @@ def q_claims_split(spark, sf_dir):
     s = sampling.stratified_split(c, "label", "k", 0.2, 42)
     return s.groupBy(F.col("label").alias("split_label"), "split").agg(
         F.count(F.lit(1)).alias("n"), F.sum("k").cast("bigint").alias("key_sum"))
+
+
+# --------------------------------------------------------------------------
+# Remaining profile items
+# --------------------------------------------------------------------------
+
+@register("shape", ids="A1", sql=with_(COHORT, "SELECT count(*) AS rows, 12 AS columns FROM cohort"))
+def q_shape(spark, sf_dir):
+    return profile.shape(bindings.cohort(spark, sf_dir))
+
+
+@register("group_means", ids="A11", round6=("mean_refill_ratio",), sql=with_(FEATURES, """
+SELECT adherent, avg(refill_ratio) AS mean_refill_ratio FROM features GROUP BY adherent"""))
+def q_group_means(spark, sf_dir):
+    return reports.group_means(featured(spark, sf_dir), "refill_ratio", "adherent")

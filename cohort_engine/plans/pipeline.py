@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from cohort_engine.operators import clean
 from cohort_engine.operators import features as feat
+from cohort_engine.session import cut_lineage
 
 LABEL_COLS = ("gender",)
 ONEHOT_COLS = ("insurance_type", "chronic_condition")
@@ -29,8 +30,14 @@ def clean_cohort(raw: DataFrame, key: str = "patient_id", target: str = "adheren
     return clean.encode(x, enc)
 
 
-def feature_table(raw: DataFrame, key: str = "patient_id") -> DataFrame:
-    """F8: cleaned rows left-joined with features derived from raw values."""
+def feature_table(raw: DataFrame, key: str = "patient_id", materialize: bool = True) -> DataFrame:
+    """F8: cleaned rows left-joined with features derived from raw values.
+
+    The raw table feeds five parameter fits and both join sides, so it is
+    written once to the shared checkpoint folder (one pass over the source
+    tables instead of one per fit)."""
+    if materialize:
+        raw = cut_lineage(raw)
     return feat.feature_matrix(raw, clean_cohort(raw, key), key)
 
 
