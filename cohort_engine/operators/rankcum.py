@@ -52,14 +52,21 @@ def bucket_of(score_col, edges: Sequence[float]):
 
 def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequence[str],
                descending: bool = False, buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_",
-               with_next: bool = False) -> DataFrame:
+               with_next: bool = False, materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``counts`` in score order within each group.
 
+    ``materialize`` checkpoints the input (reliable, shared folder) first.
     ``with_next=True`` also adds ``next_<c>`` — the count of the following
     row in the same order (null on the last row), used by curve
     simplification.
     """
     groups = list(groups)
+    if materialize:
+        # The distinct-score table feeds the edge fit, the bucket totals and
+        # the running window: write it once (it is far smaller than the
+        # scored rows) instead of re-reading the source three times.
+        from cohort_engine.session import cut_lineage
+        df = cut_lineage(df)
     edges = score_edges(df, score, buckets)
     b = bucket_of(F.col(score), edges).alias("__b") if edges else F.lit(0).alias("__b")
     d = df.select(*df.columns, b)
