@@ -4,10 +4,11 @@ Every ``fit_*`` runs ONE aggregate over all requested columns and returns a
 small frozen parameter object (a few numbers per column) — the only data
 that ever reaches the driver.  Every ``transform`` is a projection.
 
-Exact percentiles (``percentile``) keep a value->count map per column; they
-match pandas/DuckDB exactly and are the default.  For very high-cardinality
-columns at scale pass ``method='approx'`` (``percentile_approx``, bounded
-memory, rank error 1/accuracy).
+Quantile methods: ``exact`` (default, ``percentile``: one value->count map
+per column merged in one task, fine to ~10^7 distinct values),
+``distributed`` (same exact values via distinct counts + bucketed running
+counts, no single-task map — for high-cardinality columns at scale) and
+``approx`` (``percentile_approx``, bounded memory, rank error 1/accuracy).
 """
 
 from __future__ import annotations
@@ -56,6 +57,11 @@ def fit_impute(df: DataFrame, num_cols: Sequence[str] | None = None, cat_cols: S
     categorical columns, one aggregate for all of them."""
     num_cols = list(num_cols) if num_cols is not None else numeric_columns(df, exclude)
     cat_cols = list(cat_cols) if cat_cols is not None else categorical_columns(df, exclude)
+    if method == "distributed":
+        from cohort_engine.operators.quantiles import exact_quantiles
+        med = {c: v[0] for c, v in exact_quantiles(df, num_cols, [0.5]).items()} if num_cols else {}
+        modes = fit_impute(df, [], cat_cols).modes if cat_cols else {}
+        return ImputeParams(med, modes)
     aggs = []
     for c in num_cols:
         m = (F.median(F.col(c).cast("double")) if method == "exact"
@@ -129,7 +135,13 @@ OUTLIER_COLS = ("age", "annual_contribution", "claim_amount", "expected_refills"
 def fences_frame(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """C5 as a table (column, q1, q3, lower, upper): one aggregate, unpivoted."""
     cols = [c for c in cols if c in df.columns]
-    row = df.agg(*[_quantiles(c, (0.25, 0.75), method).alias(c) for c in cols])
+    if method == "distributed":
+        from cohort_engine.operators.quantiles import exact_quantiles
+        q = exact_quantiles(df, cols, (0.25, 0.75))
+        row = df.sparkSession.createDataFrame([tuple(q[c] for c in cols)],
+                                              ", ".join(f"`{c}` array<double>" for c in cols))
+    else:
+        row = df.agg(*[_quantiles(c, (0.25, 0.75), method).alias(c) for c in cols])
     long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q"))
                                           for c in cols])).alias("s")).select("s.column", "s.q")
     q1, q3 = F.col("q")[0], F.col("q")[1]

@@ -153,3 +153,20 @@ def test_model_matrix_token_match(spark):
     assert mm.first()["financial_burden"] == 0
     sub = feat.model_matrix(df, "adherent", "patient_id", substring=True)
     assert "insurance_type_Medicaid" not in sub.columns
+
+
+def test_distributed_quantiles_equal_exact(spark):
+    from cohort_engine.operators.quantiles import exact_quantiles
+    from cohort_engine.sources import bindings
+    from conftest import SF01
+    c = bindings.cohort(spark, SF01)
+    cols = ["age", "annual_contribution", "claim_amount", "expected_refills"]
+    probs = [0.25, 0.5, 0.75, 1 / 3]
+    got = exact_quantiles(c, cols, probs, buckets=8)
+    row = c.agg(*[F.percentile(F.col(x).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(x)
+                  for x in cols]).first()
+    assert got == {x: list(row[x]) for x in cols}
+    a = clean.fit_fences(c, method="exact")
+    b = clean.fit_fences(c, method="distributed")
+    assert a == b
+    assert clean.fit_impute(c, method="distributed") == clean.fit_impute(c)
