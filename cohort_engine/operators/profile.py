@@ -131,7 +131,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None,
                          (F.col("__lo") + (F.col("bin") + 1) * width).alias("hi_edge"), "n")
 
 
-def box_stats(df: DataFrame, value: str, by, k: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by, k: float = 1.5, method: str = "exact") -> DataFrame:
     """Per group quartiles, whiskers (extreme points inside the 1.5 IQR
     fences) and outlier count.  Two aggregates: quartiles per group, then —
     after a checked broadcast of the k-row quartile table — conditional
@@ -139,8 +139,19 @@ def box_stats(df: DataFrame, value: str, by, k: float = 1.5) -> DataFrame:
     by = _list(by)
     x = F.col(value).cast("double")
     src = df.filter(x.isNotNull())
-    q = src.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
-                             F.count(F.lit(1)).alias("n"))
+    if method == "distributed":
+        # exact quartiles per group without a per-group value map in one task
+        from cohort_engine.operators.quantiles import grouped_quantiles
+        got = grouped_quantiles(src, [value], (0.25, 0.5, 0.75), by)
+        schema = src.select(*by).schema
+        qrows = [(*key[1:], v) for key, v in got.items()]
+        from pyspark.sql.types import ArrayType, DoubleType
+        qtab = df.sparkSession.createDataFrame(qrows, schema.add("__q", ArrayType(DoubleType())))
+        counts = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        q = counts.join(qtab, by)
+    else:
+        q = src.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
+                                 F.count(F.lit(1)).alias("n"))
     q = q.select(*by, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                  F.col("__q")[2].alias("q3"))
     lo = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))

@@ -24,27 +24,33 @@ from cohort_engine.operators import rankcum
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     buckets: int = rankcum.DEFAULT_BUCKETS) -> dict[str, list]:
     """{column: [quantile per prob]} (None for an all-null column)."""
-    cols, probs = list(cols), [float(p) for p in probs]
+    got = grouped_quantiles(df, cols, probs, by=(), buckets=buckets)
+    return {c: got.get((c,), [None] * len(probs)) for c in cols}
+
+
+def grouped_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                      buckets: int = rankcum.DEFAULT_BUCKETS) -> dict[tuple, list]:
+    """{(column, *group values): [quantile per prob]} for every non-empty
+    (group, column).  A hot group is just more distinct rows spread over the
+    score buckets; no group is ever gathered in one task."""
+    cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     structs = [F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols]
-    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.col", "s.v").filter(F.col("v").isNotNull())
-    distinct = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = rankcum.cumulative(distinct, ["col"], "v", ["cnt"], buckets=buckets)
-    totals = cum.groupBy("col").agg(F.max("cum_cnt").alias("n"))
+    long = (df.select(*by, F.explode(F.array(*structs)).alias("s")).select(*by, "s.col", "s.v")
+            .filter(F.col("v").isNotNull()))
+    distinct = long.groupBy(*by, "col", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    cum = rankcum.cumulative(distinct, [*by, "col"], "v", ["cnt"], buckets=buckets)
+    totals = cum.groupBy(*by, "col").agg(F.max("cum_cnt").alias("n"))
     # 0-based target ranks floor(h), ceil(h) for every probability
     ranks = F.array(*[x for p in probs for x in (
         F.floor((F.col("n") - 1) * F.lit(p)), F.ceil((F.col("n") - 1) * F.lit(p)))])
-    hit = cum.join(totals, "col").withColumn("__k", ranks).filter(
+    hit = cum.join(totals, [*by, "col"]).withColumn("__k", ranks).filter(
         F.exists("__k", lambda k: ((F.col("cum_cnt") - F.col("cnt")) <= k) & (k < F.col("cum_cnt"))))
-    rows = hit.select("col", "v", "cnt", "cum_cnt", "n").collect()
-    by_col: dict[str, list] = {c: [] for c in cols}
+    rows = hit.select(*by, "col", "v", "cnt", "cum_cnt", "n").collect()
+    by_key: dict[tuple, list] = {}
     for r in rows:
-        by_col[r["col"]].append(r)
+        by_key.setdefault((r["col"], *[r[b] for b in by]), []).append(r)
     out = {}
-    for c in cols:
-        rs = by_col[c]
-        if not rs:
-            out[c] = [None] * len(probs)
-            continue
+    for key, rs in by_key.items():
         n = rs[0]["n"]
 
         def at(k, rs=rs):
@@ -59,5 +65,5 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             vlo, vhi = at(lo), at(hi)
             # same arithmetic as Spark's percentile (bit-identical results)
             vals.append(vlo if hi == lo else (hi - h) * vlo + (h - lo) * vhi)
-        out[c] = vals
+        out[key] = vals
     return out

@@ -170,3 +170,13 @@ def test_distributed_quantiles_equal_exact(spark):
     b = clean.fit_fences(c, method="distributed")
     assert a == b
     assert clean.fit_impute(c, method="distributed") == clean.fit_impute(c)
+
+
+def test_box_stats_distributed_equals_exact(spark):
+    from cohort_engine.operators import profile
+    from cohort_engine.sources import bindings
+    from conftest import SF01
+    f = feat.derive_features(bindings.cohort(spark, SF01))
+    a = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group").collect())
+    b = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group", method="distributed").collect())
+    assert a == b
