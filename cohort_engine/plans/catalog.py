@@ -1258,3 +1258,56 @@ def q_shape(spark, sf_dir):
 SELECT adherent, avg(refill_ratio) AS mean_refill_ratio FROM features GROUP BY adherent"""))
 def q_group_means(spark, sf_dir):
     return reports.group_means(featured(spark, sf_dir), "refill_ratio", "adherent")
+
+
+# --------------------------------------------------------------------------
+# The same operators on other bindings: documents (imbalanced label) and
+# events (a second guarded ratio).
+# --------------------------------------------------------------------------
+
+_DOC_SCORES = """
+scored AS (
+  SELECT 'doc_length' AS model, d.doc_id AS patient_id, l.quality AS y,
+         floor(least(CAST(d.n_chars AS DOUBLE) / 5000.0::DOUBLE, 1.0::DOUBLE) * 10000.0::DOUBLE + 0.5::DOUBLE)
+           / 10000.0::DOUBLE AS p,
+         CAST(floor(least(CAST(d.n_chars AS DOUBLE) / 5000.0::DOUBLE, 1.0::DOUBLE) * 10000.0::DOUBLE + 0.5::DOUBLE)
+           / 10000.0::DOUBLE >= 0.5 AS INTEGER) AS y_hat
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
+
+@register("doc_quality_metrics", ids="K11", sql=with_(_DOC_SCORES + "," + metrics_cte(), "SELECT * FROM model_metrics"))
+def q_doc_quality_metrics(spark, sf_dir):
+    return metrics.model_metrics(bindings.doc_scores(spark, sf_dir))
+
+
+@register("doc_oversample_report", ids="R2,R5", sql=with_(_DOC_SCORES, """
+, cc AS (SELECT y, count(*) AS n FROM scored GROUP BY y)
+SELECT 'before' AS stage, y AS quality, n FROM cc
+UNION ALL SELECT 'after', y, (SELECT max(n) FROM cc) FROM cc""".replace("\n, cc AS", ", cc AS", 1)))
+def q_doc_oversample_report(spark, sf_dir):
+    d = bindings.doc_quality(spark, sf_dir).select("doc_id", "quality")
+    return sampling.resample_report(d, sampling.random_oversample(d, "quality", "doc_id", 42), "quality")
+
+
+@register("events_ratio", ids="F1,F4,A7", round6=("rate",), sql="""
+WITH u AS (
+  SELECT user_id, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS n_view,
+         CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n_purchase
+  FROM events GROUP BY user_id
+), r AS (
+  SELECT user_id, CASE WHEN CAST(n_view AS DOUBLE) > 0 THEN CAST(n_purchase AS DOUBLE) / CAST(n_view AS DOUBLE)
+                       ELSE 0.0 END AS r0 FROM u
+), b AS (
+  SELECT user_id, CASE WHEN r0 < 0 THEN 0.0 WHEN r0 > 1 THEN 1.0 ELSE r0 END AS conversion FROM r
+)
+SELECT CASE WHEN conversion <= 0.25 THEN 0 WHEN conversion <= 0.75 THEN 1 WHEN conversion IS NOT NULL THEN 2 END
+         AS conversion_band,
+       avg(conversion) AS rate, count(*) AS n
+FROM b GROUP BY 1""")
+def q_events_ratio(spark, sf_dir):
+    u = bindings.user_events(spark, sf_dir)
+    conv = scalar.guarded_ratio("n_purchase", "n_view", 0.0, 1.0)
+    b = u.select(conv.alias("conversion"))
+    b = b.withColumn("conversion_band", scalar.bucketize("conversion", [0.25, 0.75]))
+    return b.groupBy("conversion_band").agg(F.avg("conversion").alias("rate"), F.count(F.lit(1)).alias("n"))

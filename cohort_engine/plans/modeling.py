@@ -22,8 +22,14 @@ _SPLITS: dict = {}
 _FITTED: dict = {}
 
 
+def _app(spark: SparkSession) -> str:
+    """Cache scope: one Spark application (a restarted session never sees
+    DataFrames or models of a stopped one)."""
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = (id(spark), sf_dir)
+    k = (_app(spark), sf_dir)
     if k not in _SPLITS:
         mi = pipeline.model_input(bindings.cohort(spark, sf_dir), KEY, "adherent")
         _SPLITS[k] = cut_lineage(sampling.stratified_split(mi, LABEL, KEY, 0.2, 42))
@@ -44,7 +50,7 @@ def train_test(spark: SparkSession, sf_dir: str, oversample: bool = True):
 
 
 def fitted(spark: SparkSession, sf_dir: str, name: str):
-    k = (id(spark), sf_dir, name)
+    k = (_app(spark), sf_dir, name)
     if k not in _FITTED:
         train, _ = train_test(spark, sf_dir)
         _FITTED[k] = models.fit_model(train, feature_names(train), name, LABEL)

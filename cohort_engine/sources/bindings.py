@@ -128,3 +128,22 @@ def claims_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("patient_id"),
                      F.col("label").alias("y"), p.cast("double").alias("p"),
                      (p >= 0.5).cast("int").alias("y_hat"))
+
+
+def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imbalanced-label scores: quality label, p from document length."""
+    d = doc_quality(spark, sf_dir)
+    p = round4(F.least(F.col("n_chars").cast("double") / F.lit(5000.0), F.lit(1.0)))
+    return d.select(F.lit("doc_length").alias("model"), F.col("doc_id").alias("patient_id"),
+                    F.col("quality").alias("y"), p.alias("p"), (p >= 0.5).cast("int").alias("y_hat"))
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second ratio binding: per-user view and purchase counts from events
+    (map-side partial aggregation; a user holding a third of all events is
+    one row per task before the shuffle)."""
+    e = table(spark, sf_dir, "events", ["user_id", "event_type"])
+    return e.groupBy("user_id").agg(
+        F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).cast("bigint").alias("n_view"),
+        F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).cast("bigint").alias("n_purchase"),
+        F.count(F.lit(1)).alias("n_events"))
