@@ -15,6 +15,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort_engine.operators.joins import join_small
+
 HASH_BUCKET_HEX = 3  # 16^3 = 4096 buckets per class
 
 
@@ -109,7 +111,10 @@ def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> Da
     mino = rank_within(df.filter(F.col(label) == F.lit(minority)), label, key, seed, "__rk")
     draws = spark.range(n_maj).select(F.col("id").alias("draw"),
                                       (hash_int(seeded_hash(F.col("id"), seed)) % n_min + 1).alias("__rk"))
-    drawn = draws.join(mino, "__rk").drop("__rk")
+    # A tiny minority makes every draw hit a few ranks: broadcast the ranked
+    # minority when its size is proven small, else sort-merge (AQE splits
+    # any skewed draw partition).
+    drawn = join_small(draws, mino, "__rk").drop("__rk")
     keep = df.filter(F.col(label) != F.lit(minority)).withColumn("draw", F.lit(None).cast("bigint"))
     return keep.unionByName(drawn)
 
