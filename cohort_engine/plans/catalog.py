@@ -1311,3 +1311,24 @@ def q_events_ratio(spark, sf_dir):
     b = u.select(conv.alias("conversion"))
     b = b.withColumn("conversion_band", scalar.bucketize("conversion", [0.25, 0.75]))
     return b.groupBy("conversion_band").agg(F.avg("conversion").alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+
+@register("box_stats_by_age_label", ids="A13", round6=("q1", "median", "q3", "whisker_low", "whisker_high"),
+          sql=with_(RFEAT, """
+, q AS (SELECT age_group, adherence_label, count(*) AS n, quantile_cont(burden_r, 0.25) AS q1,
+              quantile_cont(burden_r, 0.5) AS median, quantile_cont(burden_r, 0.75) AS q3
+       FROM rfeat WHERE burden_r IS NOT NULL GROUP BY age_group, adherence_label)
+SELECT q.age_group, q.adherence_label, n, q1, median, q3,
+       min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_low,
+       max(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_high,
+       CAST(sum(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT)
+         AS outliers
+FROM (SELECT age_group, adherence_label, burden_r AS x FROM rfeat WHERE burden_r IS NOT NULL) f
+JOIN q ON f.age_group = q.age_group AND f.adherence_label = q.adherence_label
+GROUP BY q.age_group, q.adherence_label, n, q1, median, q3""".replace("\n, q AS", ", q AS", 1)))
+def q_box_stats_by_age_label(spark, sf_dir):
+    """Two-key box statistics (the statistics script's burden-by-age-and-label
+    chart), R burden form; exact quartiles computed without per-group maps."""
+    return profile.box_stats(r_features(spark, sf_dir), "burden_r", ["age_group", "adherence_label"],
+                             method="distributed")
