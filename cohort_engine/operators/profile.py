@@ -68,13 +68,23 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = 2,
                     method: str = "exact") -> DataFrame:
     """A4: count, mean, sample sd, min, quartiles, max per numeric column —
-    one aggregate (exact linear-interpolated quartiles by default)."""
+    one aggregate (exact linear-interpolated quartiles by default;
+    ``method='distributed'`` for exact quartiles of high-cardinality columns,
+    ``'approx'`` for bounded-memory sketches)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
+    dq = None
+    if method == "distributed":
+        from cohort_engine.operators.quantiles import exact_quantiles
+        dq = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if method == "exact"
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000))
+        if dq is not None:
+            q = F.array(*[F.lit(v).cast("double") for v in dq[c]])
+        elif method == "exact":
+            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        else:
+            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000)
         aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"),
                              F.max(x).alias("max")).alias(f"s{i}"))

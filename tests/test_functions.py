@@ -180,3 +180,14 @@ def test_box_stats_distributed_equals_exact(spark):
     a = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group").collect())
     b = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group", method="distributed").collect())
     assert a == b
+
+
+def test_numeric_summary_methods_agree(spark):
+    from cohort_engine.operators import profile
+    from cohort_engine.sources import bindings
+    from conftest import SF01
+    c = bindings.cohort(spark, SF01)
+    cols = ["age", "annual_contribution", "claim_amount"]
+    a = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None).collect())
+    b = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None, method="distributed").collect())
+    assert a == b
