@@ -641,7 +641,8 @@ for _p in ("bi_total", "bi_rate", "bi_accuracy", "bi_best_auc", "bi_rate_by_age"
     _panel(_p)
 
 
-@register("confusion_components", ids="B8,W6,K6", sql=with_(BI, bi.PANELS["confusion_components_sql"]))
+@register("confusion_components", ids="B8,W6,K6", sql=with_(
+    BI, "SELECT metric, CAST(value AS BIGINT) AS value FROM (" + bi.PANELS["confusion_components_sql"] + ") AS p"))
 def q_confusion_components(spark, sf_dir):
     # One conditional aggregate + unpivot instead of four scans.
     fp = bi.final_predictions(spark, sf_dir).select(
@@ -1081,7 +1082,7 @@ cf AS ({cf_rows}),
 d AS (SELECT cf.patient_id, feature, median, base_p, base_p - p AS delta FROM cf JOIN base USING (patient_id)
       WHERE abs(base_p - p) >= 0.0001),
 r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY round(abs(delta), 12) DESC, feature) AS rank FROM d)
-SELECT patient_id, rank, feature, median, base_p, delta,
+SELECT patient_id, CAST(rank AS INTEGER) AS rank, feature, median, base_p, delta,
        CASE WHEN delta > 0 THEN 'Supports adherence' ELSE 'Raises risk' END AS direction
 FROM r WHERE rank <= 6""".replace("\n, x AS", ", x AS", 1))
 

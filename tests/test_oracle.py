@@ -11,6 +11,8 @@ import __spark_entry__ as E
 from conftest import SF001
 
 SLOW = {"fit_gbt", "score_all_models", "cv_auc"}
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean"}
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -40,6 +42,9 @@ def con():
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
+    rel = con.sql(E.oracle_sql()[name])
+    dtypes = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert dict(df.dtypes) == dtypes
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
