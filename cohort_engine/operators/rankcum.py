@@ -5,8 +5,9 @@ Input: one row per distinct (group..., score) with count columns (already
 aggregated, so a hot score value is a single row).  Steps:
 
 1. score buckets from approximate quantiles of the distinct scores (edges
-   are a bounded parameter: ``buckets - 1`` numbers), so every bucket holds
-   about the same number of distinct scores whatever the distribution;
+   are a bounded parameter, at most ``buckets - 1`` numbers, their count
+   chosen from the row count), so every bucket holds about the same number
+   of distinct scores whatever the distribution;
 2. per (group, bucket) totals — groups x buckets rows;
 3. exclusive prefix sums of those totals (a window over the small table);
 4. a window partitioned by (group, bucket) ordered by score for the
@@ -23,31 +24,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 256           # upper bound on buckets
+ROWS_PER_BUCKET = 100_000       # target distinct rows per (group, bucket) window
 
 
-def score_edges(df: DataFrame, score: str, buckets: int = DEFAULT_BUCKETS) -> list[float]:
-    """Approximate quantile edges of the distinct scores (deduplicated)."""
+def score_edges(df: DataFrame, score: str, buckets: int = DEFAULT_BUCKETS,
+                rows_per_bucket: int | None = None) -> list[float]:
+    """Approximate quantile edges of the distinct scores (deduplicated).
+
+    One aggregate returns the row count and ``buckets - 1`` candidate edges;
+    the number actually used grows with the data (about ``rows_per_bucket``
+    rows per bucket), so small inputs are not over-split and large ones are
+    spread evenly."""
     if buckets <= 1:
         return []
+    if rows_per_bucket is None:
+        rows_per_bucket = ROWS_PER_BUCKET  # module setting, read at call time
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10_000).alias("e")).first()
-    edges = sorted(set(x for x in (row["e"] or []) if x is not None))
-    return edges
-
-
-def bucket_of(score_col, edges: Sequence[float]):
-    """Index of the bucket holding the score: number of edges <= score.
-    Written as a balanced CASE tree so it stays in generated code."""
-    x = score_col
-
-    def build(lo: int, hi: int):
-        # bucket index in [lo, hi] given edges[lo-1] <= x < edges[hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(x >= F.lit(edges[mid - 1]), build(mid, hi)).otherwise(build(lo, mid - 1))
-    return build(0, len(edges))
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(F.col(score).cast("double"), probs, 10_000).alias("e")).first()
+    want = max(1, min(buckets, -(-int(row["n"] or 0) // max(rows_per_bucket, 1))))
+    cand = list(row["e"] or [])
+    step = buckets // want
+    picked = [cand[i - 1] for i in range(step, buckets, step)] if want > 1 else []
+    return sorted(set(x for x in picked if x is not None))
+
+
+def bucket_of(df: DataFrame, score: str, edges: Sequence[float], out: str = "__b") -> DataFrame:
+    """Add the bucket index (number of edges <= score) with MLlib's
+    ``Bucketizer`` (a JVM binary search, no per-row Python)."""
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf"), *edges, float("inf")]
+    tmp = "__bd"
+    b = Bucketizer(splits=splits, inputCol=score, outputCol=tmp, handleInvalid="keep")
+    src = df.withColumn(score, F.col(score).cast("double")) if dict(df.dtypes)[score] != "double" else df
+    return b.transform(src).withColumn(out, F.col(tmp).cast("int")).drop(tmp)
 
 
 def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequence[str],
@@ -68,8 +79,7 @@ def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequenc
         from cohort_engine.session import cut_lineage
         df = cut_lineage(df)
     edges = score_edges(df, score, buckets)
-    b = bucket_of(F.col(score), edges).alias("__b") if edges else F.lit(0).alias("__b")
-    d = df.select(*df.columns, b)
+    d = bucket_of(df, score, edges) if edges else df.withColumn("__b", F.lit(0))
     order_b = F.col("__b").desc() if descending else F.col("__b").asc()
     order_s = F.col(score).desc() if descending else F.col(score).asc()
 

@@ -1333,3 +1333,24 @@ def q_box_stats_by_age_label(spark, sf_dir):
     chart), R burden form; exact quartiles computed without per-group maps."""
     return profile.box_stats(r_features(spark, sf_dir), "burden_r", ["age_group", "adherence_label"],
                              method="distributed")
+
+
+
+@register("claims_box_stats", ids="A13", round6=("q1", "median", "q3", "whisker_low", "whisker_high"), sql="""
+WITH q AS (SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
+                  quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
+           FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag)
+SELECT q.l_returnflag, n, q1, median, q3,
+       min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_low,
+       max(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_high,
+       CAST(sum(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT)
+         AS outliers
+FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL) f
+JOIN q ON f.l_returnflag = q.l_returnflag
+GROUP BY q.l_returnflag, n, q1, median, q3""")
+def q_claims_box_stats(spark, sf_dir):
+    """Per return-flag box statistics of line prices: a skewed grouping (one
+    flag holds about half the rows) with exact quartiles computed without a
+    per-group value map in one task."""
+    li = bindings.table(spark, sf_dir, "lineitem", ["l_returnflag", "l_extendedprice"])
+    return profile.box_stats(li, "l_extendedprice", "l_returnflag", method="distributed")

@@ -155,7 +155,9 @@ def test_model_matrix_token_match(spark):
     assert "insurance_type_Medicaid" not in sub.columns
 
 
-def test_distributed_quantiles_equal_exact(spark):
+def test_distributed_quantiles_equal_exact(spark, monkeypatch):
+    from cohort_engine.operators import rankcum
+    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 50)
     from cohort_engine.operators.quantiles import exact_quantiles
     from cohort_engine.sources import bindings
     from conftest import SF01
@@ -172,7 +174,9 @@ def test_distributed_quantiles_equal_exact(spark):
     assert clean.fit_impute(c, method="distributed") == clean.fit_impute(c)
 
 
-def test_box_stats_distributed_equals_exact(spark):
+def test_box_stats_distributed_equals_exact(spark, monkeypatch):
+    from cohort_engine.operators import rankcum
+    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 20)
     from cohort_engine.operators import profile
     from cohort_engine.sources import bindings
     from conftest import SF01
@@ -182,7 +186,9 @@ def test_box_stats_distributed_equals_exact(spark):
     assert a == b
 
 
-def test_numeric_summary_methods_agree(spark):
+def test_numeric_summary_methods_agree(spark, monkeypatch):
+    from cohort_engine.operators import rankcum
+    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 50)
     from cohort_engine.operators import profile
     from cohort_engine.sources import bindings
     from conftest import SF01

@@ -61,15 +61,21 @@ def rand_scores(spark):
     return spark.createDataFrame(rows, "model string, patient_id long, y int, p double, y_hat int"), y, p
 
 
+@pytest.fixture()
+def small_buckets(monkeypatch):
+    # force the multi-bucket path on small test inputs
+    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 1)
+
+
 @pytest.mark.parametrize("buckets", [1, 7, 256])
-def test_auc_matches_brute_force(rand_scores, buckets):
+def test_auc_matches_brute_force(rand_scores, buckets, small_buckets):
     df, y, p = rand_scores
     got = metrics.roc_auc(df, buckets=buckets).first()["roc_auc"]
     assert got == pytest.approx(brute_auc(y, p), abs=1e-12)
 
 
 @pytest.mark.parametrize("buckets", [1, 16])
-def test_ap_matches_brute_force(rand_scores, buckets):
+def test_ap_matches_brute_force(rand_scores, buckets, small_buckets):
     df, y, p = rand_scores
     got = metrics.average_precision(df, positive=0, buckets=buckets).first()["pr_auc_at_risk"]
     assert got == pytest.approx(brute_ap((y == 0).astype(int), 1 - p), abs=1e-12)
@@ -83,7 +89,7 @@ def test_auc_symmetry_and_partition_invariance(rand_scores):
     assert metrics.roc_auc(df.repartition(13)).first()["roc_auc"] == pytest.approx(a, abs=1e-12)
 
 
-def test_roc_points_brute_force(rand_scores):
+def test_roc_points_brute_force(rand_scores, small_buckets):
     df, y, p = rand_scores
     pts = metrics.roc_points(df).collect()
     thr = np.unique(p)[::-1]
@@ -97,12 +103,13 @@ def test_roc_points_brute_force(rand_scores):
            {(a, round(b, 12), round(c, 12)) for a, b, c in want}
 
 
-def test_cumulative_order_independent_of_buckets(spark):
+def test_cumulative_order_independent_of_buckets(spark, small_buckets):
     df = spark.createDataFrame([("g", float(i % 17), 1) for i in range(500)], "g string, s double, c int") \
         .groupBy("g", "s").agg(F.sum("c").alias("c"))
     a = {r["s"]: r["cum_c"] for r in rankcum.cumulative(df, ["g"], "s", ["c"], buckets=1).collect()}
     b = {r["s"]: r["cum_c"] for r in rankcum.cumulative(df, ["g"], "s", ["c"], buckets=5).collect()}
     assert a == b and max(a.values()) == 500
+    assert len(rankcum.score_edges(df, "s", 5)) > 1  # the multi-bucket path really ran
 
 
 def test_class_report_supports(spark):
