@@ -15,7 +15,7 @@ COHORT = """
 per_cust AS (
   SELECT o_custkey, count(*) AS n_orders,
          sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n_filled,
-         avg(o_totalprice) AS avg_price
+         sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents
   FROM orders GROUP BY o_custkey
 ),
 cohort AS (
@@ -24,7 +24,8 @@ cohort AS (
          CASE WHEN c_nationkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
          r_name AS insurance_type,
          CAST(CASE WHEN c_custkey % 25 = 3 THEN NULL ELSE c_acctbal END AS DOUBLE) AS annual_contribution,
-         CAST(CASE WHEN c_custkey % 25 = 11 THEN NULL ELSE avg_price / 50.0::DOUBLE END AS DOUBLE) AS claim_amount,
+         CAST(CASE WHEN c_custkey % 25 = 11 THEN NULL
+              ELSE CAST(cents AS DOUBLE) / (CAST(n_orders AS DOUBLE) * 5000.0::DOUBLE) END AS DOUBLE) AS claim_amount,
          CAST(n_orders AS BIGINT) AS expected_refills,
          CAST(n_filled AS BIGINT) AS refills_received,
          CAST(30 * (1 + c_custkey % 3) AS INTEGER) AS days_supply,

@@ -37,10 +37,12 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
 
+    # The mean price is taken over exact integer cents and divided once, so
+    # the claim amount does not depend on summation order.
     per_cust = (orders.groupBy("o_custkey")
                 .agg(F.count(F.lit(1)).alias("n_orders"),
                      F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).cast("bigint").alias("n_filled"),
-                     F.avg("o_totalprice").alias("avg_price")))
+                     F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")))
     k = F.col("c_custkey")
     m = k % NULL_MOD
     df = (cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "inner")
@@ -53,8 +55,9 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("insurance_type"),
         F.when(m == NULL_CONTRIBUTION, F.lit(None)).otherwise(F.col("c_acctbal")).cast("double")
         .alias("annual_contribution"),
-        F.when(m == NULL_CLAIM, F.lit(None)).otherwise(F.col("avg_price") / F.lit(50.0)).cast("double")
-        .alias("claim_amount"),
+        F.when(m == NULL_CLAIM, F.lit(None))
+        .otherwise(F.col("cents").cast("double") / (F.col("n_orders").cast("double") * F.lit(5000.0)))
+        .cast("double").alias("claim_amount"),
         F.col("n_orders").cast("bigint").alias("expected_refills"),
         F.col("n_filled").cast("bigint").alias("refills_received"),
         (F.lit(30) * (F.lit(1) + k % 3)).cast("int").alias("days_supply"),
