@@ -117,13 +117,14 @@ def derive_features(df: DataFrame, rules: dict[str, BucketRule] | None = None) -
 
 
 def feature_matrix(raw: DataFrame, cleaned: DataFrame, key: str = "patient_id",
-                   check_ranges: bool = True, keep_key: bool = True) -> DataFrame:
+                   check_ranges: bool = True, keep_key: bool = True, rules: dict | None = None) -> DataFrame:
     """F8: features from *raw* values, left-joined to the cleaned rows by key.
 
     Both sides are keyed, so the join is a 1:1 sort-merge (or broadcast when
     AQE sees a small side); row order is never relied on.
     """
-    rules = fit_bucket_rules(raw) if check_ranges else None
+    if rules is None and check_ranges:
+        rules = fit_bucket_rules(raw)
     feats = derive_features(raw, rules).select(key, *FEATURE_COLS)
     out = cleaned.drop(*[c for c in FEATURE_COLS if c in cleaned.columns]).join(feats, key, "left")
     return out if keep_key else out.drop(key)

@@ -7,7 +7,10 @@ train split instead.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohort_engine.operators import clean
 from cohort_engine.operators import features as feat
@@ -17,17 +20,64 @@ LABEL_COLS = ("gender",)
 ONEHOT_COLS = ("insurance_type", "chronic_condition")
 
 
+@dataclass(frozen=True)
+class CleaningParams:
+    rules: dict
+    impute: clean.ImputeParams
+    fences: clean.Fences
+    encoder: clean.Encoder
+
+
+def fit_cleaning(raw: DataFrame, key: str = "patient_id", target: str = "adherent",
+                 max_levels: int = clean.MAX_LEVELS) -> CleaningParams:
+    """All fitted parameters of the cleaning + feature stages in TWO
+    aggregates: (1) on the raw rows — bucket-range checks and quantile edges,
+    medians, modes and a level-count bound per categorical; (2) on the
+    imputed rows — IQR quartiles and the sorted level sets (built only after
+    the bound in (1) holds)."""
+    num = clean.numeric_columns(raw, (key, target))
+    cat = clean.categorical_columns(raw, (key, target))
+    enc_cols = [c for c in (*LABEL_COLS, *ONEHOT_COLS) if c in raw.columns]
+    ranges = {c: r for c, r in feat.VALID_RANGES.items() if c in raw.columns}
+    probs = [i / 3 for i in range(4)]
+    a1 = []
+    for c, (lo, hi) in ranges.items():
+        a1.append(F.min(F.coalesce(F.col(c).between(lo, hi), F.lit(False)).cast("int")).alias(f"ok__{c}"))
+        a1.append(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q__{c}"))
+    a1 += [F.median(F.col(c).cast("double")).alias(f"m__{c}") for c in num]
+    a1 += [F.mode(F.col(c), True).alias(f"o__{c}") for c in cat]
+    a1 += [F.approx_count_distinct(c).alias(f"d__{c}") for c in enc_cols]
+    r1 = raw.agg(*a1).first()
+    rules = {c: feat.BucketRule(c, r1[f"ok__{c}"] == 1, tuple(r1[f"q__{c}"] or ())) for c in ranges}
+    imp = clean.ImputeParams({c: r1[f"m__{c}"] for c in num}, {c: r1[f"o__{c}"] for c in cat})
+    big = [c for c in enc_cols if r1[f"d__{c}"] > max_levels]
+    if big:
+        raise ValueError(f"too many levels to encode: {big}")
+    x = clean.impute(raw, imp)
+    fcols = [c for c in clean.OUTLIER_COLS if c in raw.columns]
+    a2 = [F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"f__{c}") for c in fcols]
+    a2 += [F.array_sort(F.collect_set(c)).alias(f"l__{c}") for c in enc_cols]
+    r2 = x.agg(*a2).first()
+    q1 = {c: r2[f"f__{c}"][0] for c in fcols}
+    q3 = {c: r2[f"f__{c}"][1] for c in fcols}
+    fences = clean.Fences(q1, q3, {c: q1[c] - 1.5 * (q3[c] - q1[c]) for c in fcols},
+                          {c: q3[c] + 1.5 * (q3[c] - q1[c]) for c in fcols})
+    enc = clean.Encoder({c: list(r2[f"l__{c}"]) for c in LABEL_COLS if c in enc_cols},
+                        {c: list(r2[f"l__{c}"]) for c in ONEHOT_COLS if c in enc_cols})
+    return CleaningParams(rules, imp, fences, enc)
+
+
+def apply_cleaning(raw: DataFrame, p: CleaningParams) -> DataFrame:
+    """impute -> cap -> encode with fitted parameters (projections only)."""
+    return clean.encode(clean.cap(clean.impute(raw, p.impute), p.fences), p.encoder)
+
+
 def clean_cohort(raw: DataFrame, key: str = "patient_id", target: str = "adherent",
                  fit_on: DataFrame | None = None, dedup_rows: bool = False) -> DataFrame:
-    fit_src = fit_on if fit_on is not None else raw
-    imp = clean.fit_impute(fit_src, exclude=(key, target))
-    x = clean.impute(raw, imp)
-    if dedup_rows:
-        x = clean.dedup(x)
-    fences = clean.fit_fences(clean.impute(fit_src, imp) if fit_on is not None else x, clean.OUTLIER_COLS)
-    x = clean.cap(x, fences)
-    enc = clean.fit_encoder(x, LABEL_COLS, ONEHOT_COLS)
-    return clean.encode(x, enc)
+    """Cleaned rows; parameters fitted on ``fit_on`` (default: all rows)."""
+    p = fit_cleaning(fit_on if fit_on is not None else raw, key, target)
+    x = clean.dedup(raw) if dedup_rows else raw
+    return apply_cleaning(x, p)
 
 
 def feature_table(raw: DataFrame, key: str = "patient_id", materialize: bool = True) -> DataFrame:
@@ -38,7 +88,8 @@ def feature_table(raw: DataFrame, key: str = "patient_id", materialize: bool = T
     tables instead of one per fit)."""
     if materialize:
         raw = cut_lineage(raw)
-    return feat.feature_matrix(raw, clean_cohort(raw, key), key)
+    p = fit_cleaning(raw, key)
+    return feat.feature_matrix(raw, apply_cleaning(raw, p), key, rules=p.rules)
 
 
 def model_input(raw: DataFrame, key: str = "patient_id", target: str = "adherent") -> DataFrame:
