@@ -57,17 +57,17 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def anova_oneway(df: DataFrame, value: str, group: str, pvalues: bool = False) -> DataFrame:
-    """ST2: one-way ANOVA from group moments: SS between/within, df, MS, F."""
+    """ST2: one-way ANOVA from group moments: SS between/within, df, MS, F.
+
+    Group moments are one grouped aggregate; the grand mean is a fitted
+    parameter (one number); the sums of squares are a second aggregate over
+    the k moment rows — nothing is gathered into a list."""
     gm = group_moments(df, value, group)
-    tot = gm.agg(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
-                 F.count(F.lit(1)).alias("k"),
-                 F.collect_list(F.struct("n", "mean", "var")).alias("g"))
-    # k group rows are folded with array aggregates (k bounded by the levels).
-    ssb = F.aggregate("g", F.lit(0.0), lambda acc, s: acc + s["n"] * (s["mean"] - F.col("grand")) ** 2)
-    ssw = F.aggregate("g", F.lit(0.0), lambda acc, s: acc + (s["n"] - 1) * F.coalesce(s["var"], F.lit(0.0)))
-    out = tot.select(ssb.alias("ss_between"), ssw.alias("ss_within"),
-                     (F.col("k") - 1).cast("bigint").alias("df_between"),
-                     (F.col("N") - F.col("k")).cast("bigint").alias("df_within"))
+    g = gm.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")).first()["grand"]
+    out = gm.agg(F.sum(F.col("n") * (F.col("mean") - F.lit(g)) ** 2).alias("ss_between"),
+                 F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ss_within"),
+                 (F.count(F.lit(1)) - 1).cast("bigint").alias("df_between"),
+                 (F.sum("n") - F.count(F.lit(1))).cast("bigint").alias("df_within"))
     out = out.withColumns({"ms_between": F.col("ss_between") / F.col("df_between"),
                            "ms_within": F.col("ss_within") / F.col("df_within")})
     out = out.withColumn("f", F.col("ms_between") / F.col("ms_within"))
@@ -80,8 +80,12 @@ def tukey_pairs(df: DataFrame, value: str, group: str, levels: Sequence | None =
                 pvalues: bool = False) -> DataFrame:
     """ST3: Tukey-Kramer pairwise differences (later level minus earlier),
     standard error sqrt(MSW/2 (1/ni + 1/nj)) and q = |diff| / se.  Pairs are
-    formed from the k group-moment rows (k bounded by the factor levels)."""
+    formed from the k group-moment rows; k is checked against ``MAX_LEVELS``
+    first, so the k(k-1)/2 comparisons have a proven bound."""
     gm = group_moments(df, value, group)
+    k_levels = gm.limit(MAX_LEVELS + 1).count()
+    if k_levels > MAX_LEVELS:
+        raise ValueError(f"Tukey pairs need at most {MAX_LEVELS} groups, found more")
     if levels is not None:
         order = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(group))
     else:
