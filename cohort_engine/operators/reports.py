@@ -142,3 +142,8 @@ def feature_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Means of derived features, one job, long form."""
     row = df.agg(*[F.avg(c).alias(c) for c in cols])
     return row.unpivot([], list(cols), "feature", "mean")
+
+
+def pretty(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Rename columns for display (absent names are ignored)."""
+    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})

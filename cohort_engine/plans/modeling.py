@@ -60,3 +60,10 @@ def fitted(spark: SparkSession, sf_dir: str, name: str):
 def test_scores(spark: SparkSession, sf_dir: str, names) -> DataFrame:
     _, test = train_test(spark, sf_dir)
     return models.score_all({n: fitted(spark, sf_dir, n) for n in names}, test, KEY, LABEL)
+
+
+def publish_split(spark: SparkSession, sf_dir: str, path: str, which: str = "test") -> None:
+    """Write one side of the keyed split as a parquet table (key, label
+    and model columns), so downstream reports read exactly the held-out rows."""
+    s = split_table(spark, sf_dir)
+    s.filter(F.col("split") == which).drop("split").write.mode("overwrite").parquet(path)

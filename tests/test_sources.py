@@ -53,3 +53,17 @@ def test_model_save_load_skip_bad(spark, tmpdir_path):
     s2 = models.score(loaded["Logistic Regression"], train.withColumn("k", F.monotonically_increasing_id()),
                       "k").orderBy("k").collect()
     assert [r["p"] for r in s1] == pytest.approx([r["p"] for r in s2])
+
+
+def test_publish_split_and_pretty(spark, tmpdir_path):
+    from cohort_engine.operators import reports
+    from cohort_engine.plans import modeling
+    from conftest import SF001
+    out = os.path.join(tmpdir_path, "test_split")
+    modeling.publish_split(spark, SF001, out)
+    t = spark.read.parquet(out)
+    s = modeling.split_table(spark, SF001)
+    assert t.count() == s.filter("split = 'test'").count()
+    assert "patient_id" in t.columns and "label" in t.columns and "split" not in t.columns
+    r = reports.pretty(t.select("patient_id", "label"), {"label": "Adherent", "nope": "x"})
+    assert r.columns == ["patient_id", "Adherent"]
