@@ -3,8 +3,9 @@
 Row order does not exist in Spark, so every random choice is a seeded hash:
 ``md5(seed || '|' || key)``.  Ranks inside a class are exact and
 distributed: rows are bucketed by the first hex digits of that hash (uniform
-by construction, so a class holding a third of all rows is spread over 4096
-buckets), per (class, bucket) counts give offsets, and the row number is
+by construction, so a class holding a third of all rows is spread evenly;
+the prefix length grows with the class size, ~1M rows per bucket, at least
+4096 buckets), per (class, bucket) counts give offsets, and the row number is
 taken inside (class, bucket) only — never one window over a whole class.
 """
 
@@ -17,7 +18,16 @@ from pyspark.sql import functions as F
 
 from cohort_engine.operators.joins import join_small
 
-HASH_BUCKET_HEX = 3  # 16^3 = 4096 buckets per class
+HASH_BUCKET_HEX = 3          # at least 16^3 = 4096 buckets per class
+ROWS_PER_HASH_BUCKET = 1_000_000
+
+
+def hash_digits(counts: dict, rows_per_bucket: int = ROWS_PER_HASH_BUCKET) -> int:
+    """Hex digits of the hash prefix so the largest class has about
+    ``rows_per_bucket`` rows per bucket (never fewer than 3 digits)."""
+    n = max(counts.values(), default=0)
+    need = math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16)) if n else 0
+    return max(HASH_BUCKET_HEX, min(need, 12))
 
 
 def seeded_hash(key, seed: int = 42):
@@ -31,15 +41,18 @@ def hash_int(h, digits: int = 8):
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint")
 
 
-def rank_within(df: DataFrame, label: str, key: str, seed: int = 42, col: str = "rank") -> DataFrame:
-    """Exact 1-based rank of each row inside its class by the seeded hash."""
+def rank_within(df: DataFrame, label: str, key: str, seed: int = 42, col: str = "rank",
+                digits: int = HASH_BUCKET_HEX) -> DataFrame:
+    """Exact 1-based rank of each row inside its class by the seeded hash.
+    ``digits`` hex digits of the hash form the buckets (see ``hash_digits``)."""
     h = seeded_hash(key, seed)
-    d = df.withColumns({"__h": h, "__b": F.substring(h, 1, HASH_BUCKET_HEX)})
+    d = df.withColumns({"__h": h, "__b": F.substring(h, 1, digits)})
     counts = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(label).orderBy("__b")
     offsets = counts.select(label, "__b", F.coalesce(F.sum("__n").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    # classes x 4096 rows: AQE broadcasts it from its runtime size.
+    # classes x 16^digits rows: AQE broadcasts it from its runtime size when
+    # small, else sort-merge.
     j = d.join(offsets, [label, "__b"])
     w = Window.partitionBy(label, "__b").orderBy("__h", key)
     return j.select(*df.columns, (F.row_number().over(w) + F.col("__off")).alias(col))
@@ -74,8 +87,9 @@ def split_sizes(counts: dict, test_frac: float) -> dict:
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
                      col: str = "split") -> DataFrame:
     """Exact stratified train/test split; adds ``split`` in {train, test}."""
-    sizes = split_sizes(class_counts(df, label), test_frac)
-    r = rank_within(df, label, key, seed, "__rk")
+    counts = class_counts(df, label)
+    sizes = split_sizes(counts, test_frac)
+    r = rank_within(df, label, key, seed, "__rk", hash_digits(counts))
     limit = None
     for c, s in sizes.items():
         cond = F.col(label) == F.lit(c)
@@ -86,7 +100,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
                      col: str = "fold") -> DataFrame:
     """Stratified fold id (rank - 1) mod k inside each class."""
-    r = rank_within(df, label, key, seed, "__rk")
+    r = rank_within(df, label, key, seed, "__rk", hash_digits(class_counts(df, label)))
     return r.withColumn(col, ((F.col("__rk") - 1) % k).cast("int")).drop("__rk")
 
 
@@ -108,7 +122,8 @@ def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> Da
     if n_min == n_maj:
         return df.withColumn("draw", F.lit(None).cast("bigint"))
     spark = df.sparkSession
-    mino = rank_within(df.filter(F.col(label) == F.lit(minority)), label, key, seed, "__rk")
+    mino = rank_within(df.filter(F.col(label) == F.lit(minority)), label, key, seed, "__rk",
+                       hash_digits({minority: n_min}))
     draws = spark.range(n_maj).select(F.col("id").alias("draw"),
                                       (hash_int(seeded_hash(F.col("id"), seed)) % n_min + 1).alias("__rk"))
     # A tiny minority makes every draw hit a few ranks: broadcast the ranked

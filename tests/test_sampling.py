@@ -55,3 +55,13 @@ def test_oversample_parity(spark):
 
 def test_split_sizes_helper():
     assert sampling.split_sizes({0: 853, 1: 647}, 0.2) == {0: 171, 1: 129}
+
+
+def test_hash_digits_grow_with_class_size(spark):
+    assert sampling.hash_digits({0: 10}) == 3
+    assert sampling.hash_digits({0: 6 * 10**11}) == 5
+    # exact ranks do not depend on the bucket granularity
+    c = bindings.cohort(spark, SF01).select("patient_id", "adherent")
+    a = {tuple(r) for r in sampling.rank_within(c, "adherent", "patient_id", digits=1).collect()}
+    b = {tuple(r) for r in sampling.rank_within(c, "adherent", "patient_id", digits=4).collect()}
+    assert a == b
