@@ -1354,3 +1354,12 @@ def q_claims_box_stats(spark, sf_dir):
     per-group value map in one task."""
     li = bindings.table(spark, sf_dir, "lineitem", ["l_returnflag", "l_extendedprice"])
     return profile.box_stats(li, "l_extendedprice", "l_returnflag", method="distributed")
+
+
+
+@register("model_bubbles", ids="B10,A18", sql=with_(SCORES + "," + metrics_cte(),
+          "SELECT model, recall, precision, f1_score AS bubble_size FROM model_metrics"))
+def q_model_bubbles(spark, sf_dir):
+    """Precision-recall comparison points per model, sized by F1."""
+    return bi.model_metrics_table(spark, sf_dir).select("model", "recall", "precision",
+                                                         F.col("f1_score").alias("bubble_size"))
