@@ -39,6 +39,7 @@ def guarded_ratio(num, den, lo=None, hi=None, null_policy: str = "zero") -> Colu
       * ``null``: denominator <= 0 or null gives null (the statistics script).
       * ``drop``: plain ratio, null when either side is null or den is 0;
         callers drop the nulls (the dashboard form).
+      * ``floor1``: num / max(den, 1), capped above only (the scoring page).
     Then a null-preserving clip to [lo, hi].
     """
     num = _c(num).cast("double")
@@ -47,6 +48,10 @@ def guarded_ratio(num, den, lo=None, hi=None, null_policy: str = "zero") -> Colu
         r = F.when(den > 0, num / den).otherwise(F.lit(0.0))
     elif null_policy == "null":
         r = F.when(den.isNotNull() & (den > 0), num / den)
+    elif null_policy == "floor1":
+        # the scoring page: num / max(den, 1), only the upper cap applies
+        r = num / F.when(den < 1, F.lit(1.0)).otherwise(den)
+        return clip(r, None, hi)
     elif null_policy == "drop":
         # pandas division: x/0 is +inf, -x/0 is -inf, 0/0 NaN (-> null)
         big = F.lit(float("inf"))

@@ -230,9 +230,12 @@ def q_refill_ratio(spark, sf_dir):
     return featured(spark, sf_dir).select("patient_id", "refill_ratio")
 
 
-@register("financial_burden", ids="F2", round6=("financial_burden", "burden_r", "burden_dash"),
+@register("financial_burden", ids="F2", round6=("financial_burden", "burden_r", "burden_dash", "burden_page"),
           sql=with_(FEATURES, """
 SELECT patient_id, financial_burden,
+       CASE WHEN claim_amount / CASE WHEN annual_contribution < 1 THEN 1.0 ELSE annual_contribution END > 5
+            THEN 5.0 ELSE claim_amount / CASE WHEN annual_contribution < 1 THEN 1.0 ELSE annual_contribution END
+       END AS burden_page,
        CASE WHEN annual_contribution IS NOT NULL AND annual_contribution > 0
             THEN claim_amount / annual_contribution END AS burden_r,
        CASE WHEN claim_amount IS NULL OR annual_contribution IS NULL THEN NULL
@@ -244,6 +247,7 @@ FROM features"""))
 def q_financial_burden(spark, sf_dir):
     df = featured(spark, sf_dir)
     return df.select("patient_id", "financial_burden",
+                     feat.financial_burden(policy="floor1").alias("burden_page"),
                      feat.financial_burden(policy="null", cap=None).alias("burden_r"),
                      feat.financial_burden(policy="drop").alias("burden_dash"))
 

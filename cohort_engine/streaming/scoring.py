@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohort_engine.functions.scalar import ADHERENCE_LABELS, risk_band
+from cohort_engine.functions.scalar import ADHERENCE_LABELS, guarded_ratio, risk_band
 from cohort_engine.operators import features as feat
 from cohort_engine.operators.score import align
 
@@ -31,7 +31,11 @@ def profile_matrix(profiles: DataFrame, columns: list[str], key: str = "patient_
     """Derive the model's columns from raw profiles with the pipeline's own
     feature functions; dummies ``col_level`` and the gender code are rebuilt
     from the column names; anything absent defaults to 0 (P12)."""
-    f = feat.derive_features(profiles)
+    f = feat.derive_features(profiles).withColumns({
+        # the scoring page guards denominators with max(den, 1)
+        "refill_ratio": guarded_ratio("refills_received", "expected_refills", None, 1.0, "floor1"),
+        "financial_burden": guarded_ratio("claim_amount", "annual_contribution", None, 5.0, "floor1"),
+    })
     extra = {}
     for c in columns:
         if c == "gender_encoded" and "gender" in f.columns:

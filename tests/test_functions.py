@@ -197,3 +197,14 @@ def test_numeric_summary_methods_agree(spark, monkeypatch):
     a = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None).collect())
     b = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None, method="distributed").collect())
     assert a == b
+
+
+def test_scoring_page_ratio_guard(spark):
+    # scoring page: min(r / max(e, 1), 1) and min(claim / max(contribution, 1), 5)
+    df = spark.createDataFrame([(0, 3, 100.0, 0.5), (4, 2, 100.0, 10.0), (2, 8, 60.0, -3.0)],
+                               "expected_refills int, refills_received int, claim_amount double, "
+                               "annual_contribution double")
+    r = df.select(scalar.guarded_ratio("refills_received", "expected_refills", None, 1.0, "floor1").alias("r"),
+                  feat.financial_burden(policy="floor1").alias("b")).collect()
+    assert [x["r"] for x in r] == [1.0, 0.5, 1.0]
+    assert [x["b"] for x in r] == [5.0, 5.0, 5.0]
