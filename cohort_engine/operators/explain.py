@@ -15,7 +15,30 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECTION = ("Supports adherence", "Raises risk")  # fixed values: verdict texts
+# Verdict texts and feature display names of the explanation view.
+DIRECTION = ("Supports adherence", "Raises risk")
+FEATURE_LABELS = {
+    "refill_ratio": "Refill ratio",
+    "refill_gap": "Refill gap (missed refills)",
+    "financial_burden": "Financial burden",
+    "claim_amount": "Claim amount",
+    "annual_contribution": "Annual contribution",
+    "age": "Age",
+    "age_group": "Age group",
+    "num_medications": "Number of medications",
+    "medication_complexity": "Medication complexity",
+    "supply_category": "Days-supply category",
+    "days_supply": "Days supply",
+    "gender_encoded": "Gender",
+}
+
+
+def feature_label(col):
+    """Display name of a feature column (the name itself when unmapped)."""
+    out = F.col(col)
+    for k, v in reversed(list(FEATURE_LABELS.items())):
+        out = F.when(F.col(col) == F.lit(k), F.lit(v)).otherwise(out)
+    return out
 
 
 def baseline_medians(df: DataFrame, features: Sequence[str]) -> dict:
@@ -63,7 +86,8 @@ def local_drivers(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], key:
     # feature name) whatever the last bits of exp() are.
     w = Window.partitionBy(key).orderBy(F.round(F.abs(F.col("delta")), 12).desc(), F.col("ablated"))
     ranked = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-    return ranked.select(key, "rank", F.col("ablated").alias("feature"), med.alias("median"), "base_p", "delta",
+    return ranked.select(key, "rank", F.col("ablated").alias("feature"), feature_label("ablated").alias("label"),
+                         med.alias("median"), "base_p", "delta",
                          F.when(F.col("delta") > 0, F.lit(DIRECTION[0])).otherwise(F.lit(DIRECTION[1]))
                          .alias("direction"))
 

@@ -1086,7 +1086,10 @@ cf AS ({cf_rows}),
 d AS (SELECT cf.patient_id, feature, median, base_p, base_p - p AS delta FROM cf JOIN base USING (patient_id)
       WHERE abs(base_p - p) >= 0.0001),
 r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY round(abs(delta), 12) DESC, feature) AS rank FROM d)
-SELECT patient_id, CAST(rank AS INTEGER) AS rank, feature, median, base_p, delta,
+SELECT patient_id, CAST(rank AS INTEGER) AS rank, feature,
+       CASE feature """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in explain.FEATURE_LABELS.items()) + """
+            ELSE feature END AS label,
+       median, base_p, delta,
        CASE WHEN delta > 0 THEN 'Supports adherence' ELSE 'Raises risk' END AS direction
 FROM r WHERE rank <= 6""".replace("\n, x AS", ", x AS", 1))
 
