@@ -101,6 +101,9 @@ MED_BOUNDS = (2, 5)
 SUPPLY_BOUNDS = (30, 60)
 SUPPLY_RANGE = (0, 365)
 AGE_LABELS = ("Young (18–35)", "Adult (36–64)", "Elderly (65+)")
+# the dashboard's bounded age bands (0, 35], (35, 64], (64, 120]
+AGE_BAND_RANGE = (0, 120)
+AGE_BAND_LABELS = ("Young (18-35)", "Adult (36-64)", "Elderly (65+)")
 MED_LABELS = ("Low (1–2)", "Medium (3–5)", "High (6+)")
 ADHERENCE_LABELS = ("Non-Adherent", "Adherent")
 CONFIDENCE_HIGH = (0.75, 0.25)

@@ -1370,3 +1370,16 @@ def q_model_bubbles(spark, sf_dir):
     """Precision-recall comparison points per model, sized by F1."""
     return bi.model_metrics_table(spark, sf_dir).select("model", "recall", "precision",
                                                          F.col("f1_score").alias("bubble_size"))
+
+
+
+@register("rate_by_age_band", ids="A8,F4", round6=("rate",), sql=with_(COHORT, """
+SELECT CASE WHEN age <= 0 THEN NULL WHEN age <= 35 THEN 'Young (18-35)' WHEN age <= 64 THEN 'Adult (36-64)'
+            WHEN age <= 120 THEN 'Elderly (65+)' END AS age_band,
+       avg(CAST(adherent AS DOUBLE)) AS rate, count(*) AS n
+FROM cohort GROUP BY 1 HAVING age_band IS NOT NULL"""))
+def q_rate_by_age_band(spark, sf_dir):
+    """Dashboard form: bounded right-closed age bands, values outside dropped."""
+    band = scalar.bucketize("age", scalar.AGE_BOUNDS, lowest=scalar.AGE_BAND_RANGE[0],
+                            highest=scalar.AGE_BAND_RANGE[1], labels=scalar.AGE_BAND_LABELS)
+    return reports.rate_by(bindings.cohort(spark, sf_dir).withColumn("age_band", band), "adherent", "age_band")
