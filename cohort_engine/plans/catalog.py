@@ -27,6 +27,7 @@ from cohort_engine.plans.sqlbase import (
     mode_sql,
     with_,
 )
+from cohort_engine.session import cut_lineage
 from cohort_engine.sources import bindings
 
 
@@ -166,7 +167,8 @@ def q_iqr_outlier_counts(spark, sf_dir):
 @register("iqr_cap", ids="C7", round6=OUTLIER_COLS, sql=with_(CLEANED, f"""
 SELECT patient_id, {", ".join(OUTLIER_COLS)} FROM capped"""))
 def q_iqr_cap(spark, sf_dir):
-    raw = bindings.cohort(spark, sf_dir)
+    # the cohort feeds two fits and the output: written once, read three times
+    raw = cut_lineage(bindings.cohort(spark, sf_dir))
     x = clean.impute(raw, clean.fit_impute(raw, exclude=("patient_id", "adherent")))
     return clean.cap(x, clean.fit_fences(x)).select("patient_id", *OUTLIER_COLS)
 
