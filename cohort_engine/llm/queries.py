@@ -7,9 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_engine.llm import licenses, mixing, topk
+import public_tokenizers
+
+from cohort_engine.llm import decontaminate, licenses, mixing, quality, tokenstore, topk
 from cohort_engine.llm.store import table, written
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items inside documents."""
+    return decontaminate.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP2_SQL = rf"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), d AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), ish AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k,
+         unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda p: array_to_string(w[p:p + least(len(w), 5) - 1], ' '))) AS s
+  FROM i WHERE len(w) > 0
+), n AS (
+  SELECT item_id, count(*) AS n_shingles FROM ish GROUP BY item_id
+), dsh AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s
+  FROM d CROSS JOIN (SELECT DISTINCT k FROM ish) WHERE len(w) >= k
+), f AS (
+  SELECT dsh.doc_id, ish.item_id, count(*) AS n_found FROM dsh JOIN ish USING (k, s) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM f JOIN n USING (item_id) WHERE 4 * n_found >= 3 * n_shingles
+"""
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to shards and read back."""
+    manifest = tokenstore.token_store(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return tokenstore.read_store(manifest)
+
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
@@ -62,6 +102,16 @@ FROM laid
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of a third of the ids are held out."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(F.coalesce(fold != 1, F.lit(False))))
+    return (quality.score(spark, docs.select("doc_id", "text"), model)
+            .select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best rows for every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -91,11 +141,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_token_store": op4_token_store,
     "op6_mix_sources": op6_mix_sources,
+    "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

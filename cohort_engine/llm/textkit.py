@@ -18,10 +18,13 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 21           # bytes hashed at a time, cut between words
 SLICE_BYTES = 8 << 20           # text bytes handled at a time, cut between rows
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PUNCTUATION = np.zeros(256, bool)   # every ASCII byte but letters and digits
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.int64).astype(U64)
-_BYTE[65:91] = _BYTE[97:123]    # A-Z hash as a-z
+_FOLD = _BYTE.copy()
+_FOLD[65:91] = _BYTE[97:123]    # A-Z hash as a-z
 _STEP = U64(0x9E3779B97F4A7C15)
 _BACK = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
@@ -69,14 +72,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, byte after the last, row pointer) of the words: the words
-    of row r are entries ptr[r]:ptr[r + 1]."""
+    of row r are entries ptr[r]:ptr[r + 1].  ``gap`` marks the bytes between
+    words."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(off), np.int64)
-    space = _SPACE[raw]
+    space = gap[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     before = np.empty(n, bool)
@@ -90,8 +94,10 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (spans in order, not overlapping)."""
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each byte span (spans in order, not overlapping);
+    ``fold`` hashes A-Z as a-z."""
+    values = _FOLD if fold else _BYTE
     out = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):
@@ -99,17 +105,17 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         to = max(int(np.searchsorted(ends, lo + CHUNK_BYTES, "right")), at + 1)
         hi = int(ends[to - 1])
         sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(_BYTE[raw[lo:hi]] * _power(_STEP, hi - lo), out=sums[1:])
+        np.cumsum(values[raw[lo:hi]] * _power(_STEP, hi - lo), out=sums[1:])
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = mix64((sums[e] - sums[s]) * _power(_BACK, hi - lo + 1)[s])
         at = to
     return out
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, row pointer) of a string column."""
     raw, off = text_bytes(texts)
-    starts, ends, ptr = word_spans(raw, off)
+    starts, ends, ptr = word_spans(raw, off, gap)
     return hash_spans(raw, starts, ends), ptr
 
 
@@ -146,7 +152,7 @@ def shingles(h: np.ndarray, ptr: np.ndarray, n: int = 5) -> tuple[np.ndarray, np
         rows = np.flatnonzero(lens == k)
         if len(rows):
             first = ptr[rows]
-            acc = np.full(len(rows), U64(k) * U64(0xA0761D6478BD642F), U64)
+            acc = np.full(len(rows), k, U64) * U64(0xA0761D6478BD642F)
             for i in range(k):
                 acc += h[first + i] * _GRAM[i]
             out[out_ptr[rows]] = mix64(acc)
