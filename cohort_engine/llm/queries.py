@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from cohort_engine.llm import decontaminate, licenses, mixing, quality, tokenstore, topk
+from cohort_engine.llm import decontaminate, licenses, mixing, quality, tokenstore, topk, warc
 from cohort_engine.llm.store import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -102,6 +102,32 @@ FROM laid
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back: responses with their
+    payloads, revisits by their headers alone."""
+    folder = warc.archive(spark, table(spark, sf_dir, "pages"))
+    read = lambda payload: spark.read.format("warc").option("payload", payload).load(folder)
+    full = (read("read").filter(F.col("record_type") == "response")
+            .select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+                    F.sha1("payload").alias("payload_digest"), "record_type", "refers_to"))
+    again = (read("skip").filter(F.col("record_type") == "revisit")
+             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    return full.unionByName(again)
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of a third of the ids are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -144,11 +170,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_token_store": op4_token_store,
     "op6_mix_sources": op6_mix_sources,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op6_mix_sources": OP6_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
