@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from cohort_engine.llm import decontaminate, licenses, mixing, quality, tokenstore, topk, warc
+from cohort_engine.llm import decontaminate, licenses, mixing, ngram_join, quality, tokenstore, topk, warc
 from cohort_engine.llm.store import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,33 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(manifest)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return ngram_join.link_components(spark, table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                                                lambda p: array_to_string(w[p:p + 4], ' '))) AS g
+  FROM d WHERE len(w) > 0
+), n AS (
+  SELECT d.doc_id, count(s.g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n nx ON nx.doc_id = a JOIN n ny ON ny.doc_id = b WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM n
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.other) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY ALL
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     sizes = written(mixing.sized(table(spark, sf_dir, "documents")), "op6-sizes")
@@ -169,13 +196,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_token_store": op4_token_store,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
 }
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op6_mix_sources": OP6_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
