@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from cohort_engine.llm import decontaminate, licenses, mixing, ngram_join, quality, tokenstore, topk, warc
+from cohort_engine.llm import decontaminate, licenses, lm_score, mixing, ngram_join, quality, tokenstore, topk, warc
 from cohort_engine.llm.store import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document; a seventh of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = lm_score.train(spark, docs.filter(~held))
+    return (lm_score.score(spark, docs.select("doc_id", "text"), model, ["doc_id"])
+            .select("doc_id", held.alias("held_out"), "n_tokens", "n_known",
+                    F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items inside documents."""
     return decontaminate.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -194,6 +204,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
     "op4_token_store": op4_token_store,
     "op5_ngram_join": op5_ngram_join,
