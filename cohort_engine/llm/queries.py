@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from cohort_engine.llm import decontaminate, licenses, lm_score, mixing, ngram_join, quality, tokenstore, topk, warc
+from cohort_engine.llm import decontaminate, licenses, lm_score, mixing, ngram_join, passages, quality, tokenstore, topk, warc
 from cohort_engine.llm.store import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,11 @@ FROM f JOIN n USING (item_id) WHERE 4 * n_found >= 3 * n_shingles
 """
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat between documents."""
+    return passages.repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to shards and read back."""
     manifest = tokenstore.token_store(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -206,6 +211,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
+    "op3_passages": op3_passages,
     "op4_token_store": op4_token_store,
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
