@@ -45,8 +45,8 @@ LEAST_BITS = 7
 HEAD_WORDS = 1 << 19            # largest broadcast table of counts: 8 MB
 FRAGMENT_BYTES = 12 << 20       # text bytes whose counts make one fragment
 LEAST_FRAGMENT_BITS = 6
-D2 = 0.75                       # discount of pairs
-ALPHA = 16                      # levels of the mass left over
+D2 = 1.5                       # discount of pairs
+ALPHA = 32                      # levels of the mass left over
 U64 = np.uint64
 END = textkit.mix64(np.array([0x454E44], U64))
 _TAG = textkit.mix64(np.array([11, 12, 13], U64))
@@ -167,7 +167,8 @@ class Counts:
 
     def rows(self, bits: int) -> pa.RecordBatch:
         """kind 1: words (key is the word's hash); 2: pairs seen twice or
-        more; 3: contexts, with the level of the mass their pairs hold."""
+        more; 3: contexts, with the level of the mass that their pairs with
+        counts of ``start`` or more hold, for each start 2, 4, 8, ..."""
         self.settle()
         words, c = self.words[0][0], self.words[1][0]
         pairs, n = self.pairs[0][0], self.pairs[1][0]
@@ -175,15 +176,21 @@ class Counts:
         stored = n >= 2
         v = pairs >> U64(32)
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-        held = np.add.reduceat(np.where(stored, n - D2, 0.0), first) if len(v) else np.zeros(0)
-        total = np.add.reduceat(n, first) if len(v) else np.zeros(0)
-        level = np.ceil(ALPHA * held / np.maximum(total, 1)).astype(np.int64)
-        some = level > 0
-        kinds = [np.full(len(words), 1), np.full(int(stored.sum()), 2), np.full(int(some.sum()), 3)]
-        keys = [words, pair_key(frag, pairs[stored]), context_key(frag, v[first][some])]
+        kinds, starts = [np.full(len(words), 1), np.full(int(stored.sum()), 2)], [np.zeros(len(words) + int(stored.sum()))]
+        keys, counts, start = [words, pair_key(frag, pairs[stored])], [c, n[stored]], 2
+        while len(v) and n.max() >= start:
+            held = np.add.reduceat(np.where(n >= start, n - D2, 0.0), first)
+            level = np.rint(ALPHA * held / np.add.reduceat(n, first)).astype(np.int64)
+            some = level > 0
+            kinds.append(np.full(int(some.sum()), 3))
+            starts.append(np.full(int(some.sum()), start))
+            keys.append(context_key(frag, v[first][some]))
+            counts.append(level[some])
+            start *= 2
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)),
-             pa.array(np.concatenate([c, n[stored], level[some]]).astype(np.int64))], names=["kind", "key", "c"])
+             pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(starts).astype(np.int64))],
+            names=["kind", "key", "c", "start"])
 
 
 def _merge(bits: int):
@@ -295,26 +302,28 @@ class Model:
     filter: Filter
 
 
-def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """Counts all texts of ``docs`` and builds the filter."""
+def train(spark: SparkSession, docs: DataFrame, most_segments: int = MOST_SEGMENTS, least_bits: int = LEAST_BITS) -> Model:
+    """Counts all texts of ``docs`` and builds the filter, of at most
+    ``most_segments`` segments with ``least_bits`` bits an entry at least."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_FRAGMENT_BITS, math.ceil(math.log2(max(size / FRAGMENT_BYTES, 1))))
     dealt = docs.select("text").mapInArrow(_count(bits), "fragment int, " + ", ".join(f"{k} binary" for k in _PARTS))
     grams = written(dealt.repartition("fragment").sortWithinPartitions("fragment")
-                    .mapInArrow(_merge(bits), "kind int, key long, c long"), "lm-grams")
+                    .mapInArrow(_merge(bits), "kind int, key long, c long, start long"), "lm-grams")
     # a histogram by power of two: a few dozen rows, whatever the corpus
     octave = F.floor(F.log2(F.col("c"))).cast("int")
-    hist = (grams.groupBy("kind", octave.alias("octave")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"),
+    hist = (grams.groupBy("kind", "start", octave.alias("octave")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"),
                                                               F.count(F.when(F.col("c") == 1, 1)).alias("ones"),
                                                               F.count(F.when(F.col("c") == 2, 1)).alias("twos")).collect())
     words = [r for r in hist if r["kind"] == 1]
     ones, twos = sum(r["ones"] for r in words), sum(r["twos"] for r in words)
     start = 1
-    while (entries := _entries(hist, start)) * LEAST_BITS > MOST_SEGMENTS << SEGMENT_BITS:
+    while (entries := _entries(hist, start)) * least_bits > most_segments << SEGMENT_BITS:
         start *= 2
-    segments = min(max(1, math.ceil(entries * BITS / (1 << SEGMENT_BITS))), MOST_SEGMENTS)
+    segments = min(max(1, math.ceil(entries * BITS / (1 << SEGMENT_BITS))), most_segments)
     probes = min(max(round(math.log(2) * (segments << SEGMENT_BITS) / max(entries, 1)), 1), 8)
-    rows = (grams.mapInArrow(_deal(segments, start), "segment int, keys binary, levels binary")
+    stored = grams.filter((F.col("kind") < 3) | (F.col("start") == max(start, 2))).select("kind", "key", "c")
+    rows = (stored.mapInArrow(_deal(segments, start), "segment int, keys binary, levels binary")
             .repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill(segments, probes), "segment int, bits binary").collect())
     data = np.zeros((segments, 1 << (SEGMENT_BITS - 3)), np.uint8)
     for r in rows:
@@ -328,7 +337,7 @@ def _entries(hist: list, start: int) -> int:
     total = 0
     for r in hist:
         if r["kind"] == 3:
-            total += r["c"]
+            total += r["c"] * (r["start"] == max(start, 2))
         elif 2 ** r["octave"] >= start:
             top = np.array([2 ** (r["octave"] + 1) - 1])
             kind = np.array([r["kind"]])

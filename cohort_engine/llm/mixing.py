@@ -34,7 +34,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, seed: int = SEED, row_col: str | None = None) -> DataFrame:
-    """row, doc_id, source, size and the seeded order of every row."""
+    """row, doc_id, source, size and the seeded order of every row.  Without
+    ``row_col`` the result must be written before it is used twice."""
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     key = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(row.alias("row"), F.col("doc_id"), F.col("source"),
@@ -183,18 +184,17 @@ def mix(spark: SparkSession, sizes: DataFrame, sources: DataFrame, block_words:
 def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed documents with their own columns: one row per document and
     repeat the mix takes; of the document where a source's target ends, only
-    the words taken (joined by single spaces)."""
-    cols = docs.columns
-    kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    sizes = written(sized(kept, seed, "__row"), "mix-sizes")
+    the words taken (joined by single spaces; n_chars, if there is such a
+    column, follows).  Other columns may have any names."""
+    kept = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-documents")
+    sizes = written(sized(kept.select("row", "doc.doc_id", "doc.source", "doc.text"), seed, "row"), "mix-sizes")
     sources = written(source_targets(sizes), "mix-sources")
-    taken = (mix(spark, sizes, sources, seed=seed).groupBy("row", "epoch").agg(F.sum("n_words").alias("__taken"))
-             .join(sizes.select("row", "size"), "row").withColumnsRenamed({"row": "__row", "size": "__size"}))
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    text = F.when(F.col("__taken") < F.col("__size"),
-                  F.array_join(F.slice(words, F.lit(1), F.col("__taken").cast("int")), " ")).otherwise(F.col("text"))
-    out = kept.join(taken, "__row").withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("__taken") < F.col("__size"), F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    taken = (mix(spark, sizes, sources, seed=seed).groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"))
+             .join(sizes.select("row", "size"), "row"))
+    cut = F.col("taken") < F.col("size")
+    words = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), 0), F.lit(1), F.col("taken").cast("int")), " ")
+    fields = {c: F.col("doc").getField(c) for c in docs.columns}
+    fields["text"] = F.when(cut, words).otherwise(fields["text"])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(cut, F.length(words).cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])
+    return kept.select("row", "doc").join(taken, "row").select(*[v.alias(c) for c, v in fields.items()])

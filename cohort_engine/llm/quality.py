@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in got[:2 * rows]])
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with column ``score``: P(label 1) from the text alone.
+def score(spark: SparkSession, docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with one more column: P(label 1) from the text alone (a column
+    of that name is replaced).
 
     Defined cases: null and empty texts get the score of the bias; repeated
     rows score alike; other columns pass through; an empty table stays empty.
@@ -185,8 +186,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in textkit.slices(batch, "text"):
                 got = pa.array(score_rows(part.column("text"), z, bias), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*part.schema.names, column])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
-    kept = docs.drop("score")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    kept = docs.drop(column)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(column, DoubleType())]))

@@ -208,6 +208,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(spark, table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
@@ -219,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL}
 
