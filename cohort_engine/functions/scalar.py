@@ -144,13 +144,18 @@ def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(x)))
 
 
+# A decimal number, or inf / nan; the cast alone would also take 1D and 5f.
+NUMBER_PATTERN = r"(?i)^[+-]?([0-9]+\.?[0-9]*([e][+-]?[0-9]+)?|\.[0-9]+([e][+-]?[0-9]+)?|inf(inity)?|nan)$"
+
+
 def safe_number(x, default=0, integer: bool = False) -> Column:
     """Text to number with a default: ``float(x.strip())`` or ``int(float(...))``.
 
     Non-numeric, blank, null and (for integers) non-finite text give the
     default.  Integer parsing truncates toward zero.
     """
-    d = F.trim(_c(x)).try_cast("double")
+    text = F.trim(_c(x))
+    d = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
     if integer:
         finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
         return F.when(finite, d.try_cast("bigint")).otherwise(F.lit(int(default)).cast("bigint"))

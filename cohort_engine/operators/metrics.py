@@ -57,19 +57,20 @@ def _distinct_scores(scores, by, y, score_expr, positive):
 
 
 def roc_auc(scores: DataFrame, by="model", y: str = "y", p: str = "p",
-            buckets: int = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+            buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
     """K4: ROC-AUC with ties counted half: sum over distinct scores of
     pos * (negatives below + neg/2), divided by P*N."""
     d = _distinct_scores(scores, by, y, F.col(p).cast("double"), 1)
     cum = rankcum.cumulative(d, _l(by), "s", ["neg"], descending=False, buckets=buckets)
     below = F.col("cum_neg") - F.col("neg")
+    # null for a group with one class only
     return cum.groupBy(*_l(by)).agg(
-        (F.sum(F.col("pos") * (below + F.col("neg") * F.lit(0.5))) /
-         (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("roc_auc"))
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") * F.lit(0.5))),
+                     F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, by="model", y: str = "y", p: str = "p", positive: int = 0,
-                      buckets: int = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+                      buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
     """K5: step-wise average precision sum(dR * P) for ``positive`` class.
     For class 0 the score is 1 - p (as the reference flips scores)."""
     s = (F.lit(1.0) - F.col(p).cast("double")) if positive == 0 else F.col(p).cast("double")
@@ -83,7 +84,7 @@ def average_precision(scores: DataFrame, by="model", y: str = "y", p: str = "p",
 
 
 def roc_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", drop_intermediate: bool = True,
-               buckets: int = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+               buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
     """K8: ROC curve (threshold, fpr, tpr) per group, descending thresholds,
     starting at (0, 0) with a null threshold.  ``drop_intermediate`` drops
     points where neither count changes its step (collinear points)."""
@@ -108,7 +109,7 @@ def roc_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", drop_i
 
 
 def pr_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", positive: int = 0,
-              buckets: int = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
     """K9: precision-recall curve for ``positive`` (class 0 uses score 1 - p):
     one point per distinct threshold plus the closing point (recall 0,
     precision 1, null threshold)."""
@@ -162,7 +163,7 @@ def class_report(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_ha
 
 
 def model_metrics(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_hat", p: str = "p",
-                  digits: int | None = 4, buckets: int = rankcum.DEFAULT_BUCKETS,
+                  digits: int | None = 4, buckets: int | None = rankcum.DEFAULT_BUCKETS,
                   materialize: bool = True) -> DataFrame:
     """One row per model: accuracy, precision, recall, at-risk recall,
     F1, ROC-AUC and PR-AUC (at-risk), rounded to ``digits``.  The three

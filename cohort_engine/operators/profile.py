@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_engine.operators.clean import numeric_columns
-from cohort_engine.operators.joins import join_small
 
 
 def _list(x):
@@ -109,7 +108,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None,
     closed; lo = hi puts everything in bin 0).
 
     ``range_mode='shared'``: one range for all groups (two-number parameter);
-    ``'per_group'``: each group its own range (k-row table, checked join).
+    ``'per_group'``: each group its own range (null is a group).
     Output: (by, bin, lo_edge, hi_edge, n).
     """
     x = F.col(col).cast("double")
@@ -134,7 +133,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None,
         return counts.select(*keys, "bin", (lo + F.col("bin") * width).alias("lo_edge"),
                              (lo + (F.col("bin") + 1) * width).alias("hi_edge"), "n")
     ranges = src.groupBy(by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    withr = join_small(src, ranges, by)
+    withr = (src.alias("s").join(ranges.alias("r"), F.col(f"s.{by}").eqNullSafe(F.col(f"r.{by}")))
+             .select("s.*", "__lo", "__hi"))
     b, width = bin_expr(F.col("__lo"), F.col("__hi"))
     counts = withr.groupBy(by, b.alias("bin"), "__lo", "__hi").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(by, "bin", (F.col("__lo") + F.col("bin") * width).alias("lo_edge"),
@@ -144,7 +144,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None,
 def box_stats(df: DataFrame, value: str, by, k: float = 1.5, method: str = "exact") -> DataFrame:
     """Per group quartiles, whiskers (extreme points inside the 1.5 IQR
     fences) and outlier count.  Two aggregates: quartiles per group, then —
-    after a checked broadcast of the k-row quartile table — conditional
+    after a join with the k-row quartile table — conditional
     min/max/count per group."""
     by = _list(by)
     x = F.col(value).cast("double")
@@ -166,7 +166,9 @@ def box_stats(df: DataFrame, value: str, by, k: float = 1.5, method: str = "exac
                  F.col("__q")[2].alias("q3"))
     lo = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
-    j = join_small(src.select(*by, x.alias("__x")), q, by)
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]     # null is a group
+    j = (src.select(*by, x.alias("__x")).alias("s").join(q.alias("q"), same)
+         .select(*[F.col(f"s.{c}") for c in by], "__x", "n", "q1", "median", "q3"))
     inside = (F.col("__x") >= lo) & (F.col("__x") <= hi)
     w = j.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),

@@ -4,9 +4,8 @@ for a global ordered window (which Spark plans on a single partition).
 Input: one row per distinct (group..., score) with count columns (already
 aggregated, so a hot score value is a single row).  Steps:
 
-1. score buckets from approximate quantiles of the distinct scores (edges
-   are a bounded parameter, at most ``buckets - 1`` numbers, their count
-   chosen from the row count), so every bucket holds about the same number
+1. score buckets from approximate quantiles of the distinct scores (their
+   count follows the row count), so every bucket holds about the same number
    of distinct scores whatever the distribution;
 2. per (group, bucket) totals — groups x buckets rows;
 3. exclusive prefix sums of those totals (a window over the small table);
@@ -24,30 +23,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256           # upper bound on buckets
+DEFAULT_BUCKETS = None          # None: as many as the row count asks for
 ROWS_PER_BUCKET = 100_000       # target distinct rows per (group, bucket) window
 
 
-def score_edges(df: DataFrame, score: str, buckets: int = DEFAULT_BUCKETS,
+def score_edges(df: DataFrame, score: str, buckets: int | None = DEFAULT_BUCKETS,
                 rows_per_bucket: int | None = None) -> list[float]:
-    """Approximate quantile edges of the distinct scores (deduplicated).
-
-    One aggregate returns the row count and ``buckets - 1`` candidate edges;
-    the number actually used grows with the data (about ``rows_per_bucket``
-    rows per bucket), so small inputs are not over-split and large ones are
-    spread evenly."""
+    """Approximate quantile edges of the distinct scores (deduplicated): one
+    bucket per ``rows_per_bucket`` rows, or ``buckets`` when given."""
+    if buckets is None:
+        per = max(rows_per_bucket or ROWS_PER_BUCKET, 1)    # module setting, read at call time
+        buckets = -(-df.count() // per)
     if buckets <= 1:
         return []
-    if rows_per_bucket is None:
-        rows_per_bucket = ROWS_PER_BUCKET  # module setting, read at call time
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(F.col(score).cast("double"), probs, 10_000).alias("e")).first()
-    want = max(1, min(buckets, -(-int(row["n"] or 0) // max(rows_per_bucket, 1))))
-    cand = list(row["e"] or [])
-    step = buckets // want
-    picked = [cand[i - 1] for i in range(step, buckets, step)] if want > 1 else []
-    return sorted(set(x for x in picked if x is not None))
+    row = df.agg(F.percentile_approx(F.col(score).cast("double"), probs, max(10_000, 10 * buckets)).alias("e")).first()
+    return sorted(set(x for x in row["e"] or [] if x is not None))
 
 
 def bucket_of(df: DataFrame, score: str, edges: Sequence[float], out: str = "__b") -> DataFrame:
@@ -62,7 +53,7 @@ def bucket_of(df: DataFrame, score: str, edges: Sequence[float], out: str = "__b
 
 
 def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequence[str],
-               descending: bool = False, buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_",
+               descending: bool = False, buckets: int | None = DEFAULT_BUCKETS, prefix: str = "cum_",
                with_next: bool = False, materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``counts`` in score order within each group.
 
@@ -96,7 +87,10 @@ def cumulative(df: DataFrame, groups: Sequence[str], score: str, counts: Sequenc
 
     # groups x buckets rows: AQE sees the materialised size at runtime and
     # broadcasts it (spark.sql.autoBroadcastJoinThreshold), else sort-merge.
-    j = d.join(offsets, [*groups, "__b"])
+    # Null groups are groups.
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in groups] + [F.col("d.__b") == F.col("o.__b")]
+    extra = [c for c in offsets.columns if c not in groups and c != "__b"]
+    j = d.alias("d").join(offsets.alias("o"), same).select("d.*", *extra)
     w = Window.partitionBy(*groups, "__b").orderBy(order_s)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {f"{prefix}{c}": F.sum(c).over(run) + F.col(f"__o_{c}") for c in counts}

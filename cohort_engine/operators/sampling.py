@@ -16,7 +16,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_engine.operators.joins import join_small
 
 HASH_BUCKET_HEX = 3          # at least 16^3 = 4096 buckets per class
 ROWS_PER_HASH_BUCKET = 1_000_000
@@ -36,8 +35,9 @@ def seeded_hash(key, seed: int = 42):
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-def hash_int(h, digits: int = 8):
-    """First ``digits`` hex digits of a hash as a non-negative integer."""
+def hash_int(h, digits: int = 15):
+    """First ``digits`` hex digits of a hash as a non-negative integer: 60
+    bits by default, far above any row count, so a modulus reaches every rank."""
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint")
 
 
@@ -53,7 +53,9 @@ def rank_within(df: DataFrame, label: str, key: str, seed: int = 42, col: str =
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     # classes x 16^digits rows: AQE broadcasts it from its runtime size when
     # small, else sort-merge.
-    j = d.join(offsets, [label, "__b"])
+    # Null labels are a class of their own.
+    j = d.alias("d").join(offsets.alias("o"), F.col(f"d.{label}").eqNullSafe(F.col(f"o.{label}"))
+                          & (F.col("d.__b") == F.col("o.__b"))).select("d.*", "o.__off")
     w = Window.partitionBy(label, "__b").orderBy("__h", key)
     return j.select(*df.columns, (F.row_number().over(w) + F.col("__off")).alias(col))
 
@@ -92,7 +94,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2
     r = rank_within(df, label, key, seed, "__rk", hash_digits(counts))
     limit = None
     for c, s in sizes.items():
-        cond = F.col(label) == F.lit(c)
+        cond = F.col(label).eqNullSafe(F.lit(c))
         limit = F.when(cond, F.lit(s)) if limit is None else limit.when(cond, F.lit(s))
     return r.withColumn(col, F.when(F.col("__rk") <= limit, F.lit("test")).otherwise(F.lit("train"))).drop("__rk")
 
@@ -126,10 +128,9 @@ def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> Da
                        hash_digits({minority: n_min}))
     draws = spark.range(n_maj).select(F.col("id").alias("draw"),
                                       (hash_int(seeded_hash(F.col("id"), seed)) % n_min + 1).alias("__rk"))
-    # A tiny minority makes every draw hit a few ranks: broadcast the ranked
-    # minority when its size is proven small, else sort-merge (AQE splits
-    # any skewed draw partition).
-    drawn = join_small(draws, mino, "__rk").drop("__rk")
+    # The planner broadcasts the ranked minority by its size in bytes, else
+    # sort-merge (AQE splits any skewed draw partition).
+    drawn = draws.join(mino, "__rk").drop("__rk")
     keep = df.filter(F.col(label) != F.lit(minority)).withColumn("draw", F.lit(None).cast("bigint"))
     return keep.unionByName(drawn)
 

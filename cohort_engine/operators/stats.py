@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from cohort_engine.functions import distributions as dist
 
-MAX_LEVELS = 1000
-
 
 def _measures_long(df: DataFrame, value_cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     structs = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in value_cols]
@@ -38,11 +36,13 @@ def welch_t(df: DataFrame, value_cols: Sequence[str], group: str, first=1, secon
         F.var_samp(F.when(a, F.col("x"))).alias("var1"),
         F.count(F.when(b, F.col("x"))).alias("n2"), F.avg(F.when(b, F.col("x"))).alias("mean2"),
         F.var_samp(F.when(b, F.col("x"))).alias("var2"))
-    se1, se2 = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
+    # null where a group has fewer than two values or nothing varies
+    q = F.try_divide
+    se1, se2 = q(F.col("var1"), F.col("n1")), q(F.col("var2"), F.col("n2"))
     out = m.select("measure", "n1", "mean1", "var1", "n2", "mean2", "var2",
-                   ((F.col("mean1") - F.col("mean2")) / F.sqrt(se1 + se2)).alias("t"),
-                   (((se1 + se2) * (se1 + se2)) /
-                    (se1 * se1 / (F.col("n1") - 1) + se2 * se2 / (F.col("n2") - 1))).alias("df"))
+                   q(F.col("mean1") - F.col("mean2"), F.sqrt(se1 + se2)).alias("t"),
+                   q((se1 + se2) * (se1 + se2),
+                     q(se1 * se1, F.col("n1") - 1) + q(se2 * se2, F.col("n2") - 1)).alias("df"))
     if pvalues:
         out = out.withColumn("p_value", dist.t_pvalue("t", "df")) \
                  .withColumn("significant", F.col("p_value") < F.lit(alpha))
@@ -63,52 +63,47 @@ def anova_oneway(df: DataFrame, value: str, group: str, pvalues: bool = False) -
     parameter (one number); the sums of squares are a second aggregate over
     the k moment rows — nothing is gathered into a list."""
     gm = group_moments(df, value, group)
-    g = gm.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")).first()["grand"]
+    g = gm.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("grand")).first()["grand"]
     out = gm.agg(F.sum(F.col("n") * (F.col("mean") - F.lit(g)) ** 2).alias("ss_between"),
                  F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ss_within"),
                  (F.count(F.lit(1)) - 1).cast("bigint").alias("df_between"),
                  (F.sum("n") - F.count(F.lit(1))).cast("bigint").alias("df_within"))
-    out = out.withColumns({"ms_between": F.col("ss_between") / F.col("df_between"),
-                           "ms_within": F.col("ss_within") / F.col("df_within")})
-    out = out.withColumn("f", F.col("ms_between") / F.col("ms_within"))
+    # null for one group, or one value per group
+    out = out.withColumns({"ms_between": F.try_divide("ss_between", "df_between"),
+                           "ms_within": F.try_divide("ss_within", "df_within")})
+    out = out.withColumn("f", F.try_divide("ms_between", "ms_within"))
     if pvalues:
         out = out.withColumn("p_value", dist.f_pvalue("f", "df_between", "df_within"))
     return out
 
 
 def tukey_pairs(df: DataFrame, value: str, group: str, levels: Sequence | None = None,
-                pvalues: bool = False) -> DataFrame:
+                pvalues: bool = False, confidence: float = 0.95) -> DataFrame:
     """ST3: Tukey-Kramer pairwise differences (later level minus earlier),
-    standard error sqrt(MSW/2 (1/ni + 1/nj)) and q = |diff| / se.  Pairs are
-    formed from the k group-moment rows; k is checked against ``MAX_LEVELS``
-    first, so the k(k-1)/2 comparisons have a proven bound."""
+    standard error sqrt(MSW/2 (1/ni + 1/nj)) and q = |diff| / se; with
+    ``pvalues`` also the adjusted p and the confidence limits.  Pairs (the
+    feature itself) come from a self-join of the group-moment table."""
     gm = group_moments(df, value, group)
-    k_levels = gm.limit(MAX_LEVELS + 1).count()
-    if k_levels > MAX_LEVELS:
-        raise ValueError(f"Tukey pairs need at most {MAX_LEVELS} groups, found more")
     if levels is not None:
         order = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(group))
     else:
         order = F.dense_rank().over(Window.orderBy(group))
-    gm = gm.withColumn("__o", order)
-    folded = gm.agg(F.array_sort(F.collect_list(F.struct("__o", F.col(group).cast("string").alias("level"),
-                                                         "n", "mean", "var"))).alias("g"),
-                    F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
-                    F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw"))
-    pairs = folded.select("N", "k", "ssw", F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("g") - 1),
-        lambda i: F.transform(F.sequence(F.lit(0), F.size("g") - 1),
-                              lambda j: F.struct(F.col("g")[i].alias("a"), F.col("g")[j].alias("b"),
-                                                 (i < j).alias("keep")))))).alias("p"))
-    pairs = pairs.filter("p.keep")
-    msw = F.col("ssw") / (F.col("N") - F.col("k"))
-    diff = F.col("p.b.mean") - F.col("p.a.mean")
-    se = F.sqrt(msw / 2 * (F.lit(1.0) / F.col("p.a.n") + F.lit(1.0) / F.col("p.b.n")))
-    out = pairs.select(F.concat_ws("-", F.col("p.b.level"), F.col("p.a.level")).alias("comparison"),
-                       diff.alias("diff"), se.alias("se"), (F.abs(diff) / se).alias("q"),
-                       F.col("k").cast("bigint").alias("k"), (F.col("N") - F.col("k")).cast("bigint").alias("df"))
+    gm = gm.select(order.cast("long").alias("o"), F.col(group).cast("string").alias("level"), "n", "mean", "var")
+    whole = gm.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+                   F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw")).first()
+    k, free = whole["k"], (whole["N"] or 0) - whole["k"]
+    msw = F.lit(whole["ssw"] / free if free else None).cast("double")
+    a, b = gm.alias("a"), gm.alias("b")
+    pairs = a.join(b, F.col("a.o") < F.col("b.o"))
+    diff = F.col("b.mean") - F.col("a.mean")
+    se = F.sqrt(msw / 2 * (F.lit(1.0) / F.col("a.n") + F.lit(1.0) / F.col("b.n")))
+    out = pairs.select(F.concat_ws("-", F.col("b.level"), F.col("a.level")).alias("comparison"),
+                       diff.alias("diff"), se.alias("se"), F.try_divide(F.abs(diff), se).alias("q"),
+                       F.lit(k).cast("bigint").alias("k"), F.lit(free).cast("bigint").alias("df"))
     if pvalues:
-        out = out.withColumn("p_adj", dist.tukey_pvalue("q", "k", "df"))
+        reach = F.col("se") * F.lit(dist.tukey_quantile(confidence, k, free) if k > 1 and free > 0 else None).cast("double")
+        out = out.withColumn("p_adj", dist.tukey_pvalue("q", "k", "df")).withColumns(
+            {"lower": F.col("diff") - reach, "upper": F.col("diff") + reach})
     return out
 
 
@@ -148,15 +143,18 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "pairwise") ->
     aggs, pairs = [], []
     for i, x in enumerate(cols):
         for y in cols[i + 1:]:
-            aggs.append(F.corr(x, y).alias(f"{x}__{y}"))
+            # over the rows that have both; null when one side is constant there
+            px, py = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(px) * F.stddev_pop(py)).alias(f"{x}__{y}"))
             pairs.append((x, y))
-    row = src.agg(*aggs) if aggs else None
-    structs = [F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.lit(1.0).alias("r")) for c in cols]
+    aggs += [(F.stddev_pop(c) > 0).alias(f"__varies_{c}") for c in cols]
+    row = src.agg(*aggs)
+    structs = [F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.when(F.col(f"__varies_{c}"), 1.0).alias("r"))
+               for c in cols]
     for x, y in pairs:
         structs.append(F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), F.col(f"{x}__{y}").alias("r")))
         structs.append(F.struct(F.lit(y).alias("var1"), F.lit(x).alias("var2"), F.col(f"{x}__{y}").alias("r")))
-    base = row if row is not None else src.limit(1)
-    return base.select(F.explode(F.array(*structs)).alias("s")).select("s.var1", "s.var2", "s.r")
+    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.var1", "s.var2", "s.r")
 
 
 def corr_target(df: DataFrame, target: str, cols: Sequence[str], nulls: str = "listwise") -> DataFrame:
@@ -175,8 +173,10 @@ def group_linear_fit(df: DataFrame, y: str, x: str, by: str, at: float | None =
                             F.regr_intercept(yy, xx).alias("intercept"), F.regr_r2(yy, xx).alias("r2"),
                             F.regr_sxx(yy, xx).alias("sxx"), F.regr_syy(yy, xx).alias("syy"),
                             F.regr_sxy(yy, xx).alias("sxy"), F.regr_avgx(yy, xx).alias("x_mean"))
-    s = F.sqrt(F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2))
+    # null for two points or fewer, or a constant x
+    rest = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
+    s = F.sqrt(F.when(F.col("slope").isNotNull(), F.try_divide(rest, F.when(F.col("n") > 2, F.col("n") - 2))))
     x0 = F.col("x_mean") if at is None else F.lit(float(at))
-    se = s * F.sqrt(F.lit(1.0) / F.col("n") + (x0 - F.col("x_mean")) ** 2 / F.col("sxx"))
+    se = s * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide((x0 - F.col("x_mean")) ** 2, F.col("sxx")))
     return g.select(by, F.col("n").cast("bigint").alias("n"), "slope", "intercept", "r2", "sxx", "x_mean",
                     s.alias("resid_se"), se.alias("se_fit"))

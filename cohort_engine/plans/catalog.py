@@ -636,19 +636,32 @@ def q_bi_cohort(spark, sf_dir):
     return bi.tableau_output(spark, sf_dir)
 
 
-def _panel(name, sql_name=None):
-    def build(spark, sf_dir):
-        return bi.panel(spark, sf_dir, name)
-    register(name, ids="B", sql=with_(BI, bi.PANELS[sql_name or name]))(build)
-
-
-for _p in ("bi_total", "bi_rate", "bi_accuracy", "bi_best_auc", "bi_rate_by_age", "bi_rate_by_insurance",
-           "confidence_distribution", "bi_metrics_table"):
-    _panel(_p)
-
-
-@register("confusion_components", ids="B8,W6,K6", sql=with_(
-    BI, "SELECT metric, CAST(value AS BIGINT) AS value FROM (" + bi.PANELS["confusion_components_sql"] + ") AS p"))
+# Oracle SQL of the panels, written from their meaning (sums and counts).
+_PANEL_SQL = {
+    "bi_total": "SELECT count(patient_id) AS value FROM final_predictions",
+    "bi_rate": "SELECT round(CAST(sum(actual_adherence) AS DOUBLE) * 100 / count(*), 2) AS value FROM final_predictions",
+    "bi_accuracy": "SELECT round(CAST(count(*) FILTER (correct_prediction = 1) AS DOUBLE) * 100 / count(*), 2) AS value "
+                   "FROM final_predictions",
+    "bi_best_auc": "SELECT round(roc_auc, 4) AS value FROM model_metrics ORDER BY roc_auc DESC LIMIT 1",
+    "bi_rate_by_age": "SELECT age_group_label AS group_name, round(CAST(sum(adherent) AS DOUBLE) * 100 / count(adherent), 2) "
+                      "AS adherence_rate FROM tableau_output GROUP BY 1",
+    "bi_rate_by_insurance": "SELECT insurance_type, round(CAST(sum(adherent) AS DOUBLE) * 100 / count(adherent), 2) "
+                            "AS adherence_rate FROM tableau_output GROUP BY 1",
+    "confidence_distribution": "SELECT confidence, count(patient_id) AS patients FROM final_predictions GROUP BY 1",
+    "bi_metrics_table": "SELECT model, round(accuracy * 100, 2) AS accuracy_pct, precision, recall, f1_score, roc_auc "
+                        "FROM model_metrics",
+}
+
+
+for _name, _build in bi.PANELS.items():
+    register(_name, ids="B", sql=with_(BI, _PANEL_SQL[_name]))(_build)
+
+
+@register("confusion_components", ids="B8,W6,K6", sql=with_(BI, """
+SELECT c.metric, count(f.patient_id) AS value
+FROM (VALUES ('TP', 1, 1), ('TN', 0, 0), ('FP', 0, 1), ('FN', 1, 0)) AS c(metric, y, y_hat)
+LEFT JOIN final_predictions f ON f.actual_adherence = c.y AND f.predicted_adherence = c.y_hat
+GROUP BY c.metric"""))
 def q_confusion_components(spark, sf_dir):
     # One conditional aggregate + unpivot instead of four scans.
     fp = bi.final_predictions(spark, sf_dir).select(
@@ -964,7 +977,7 @@ cc AS (SELECT adherent, count(*) AS n FROM cohort GROUP BY adherent),
 mn AS (SELECT adherent AS minority, n AS n_min FROM cc ORDER BY n, CAST(adherent AS VARCHAR) LIMIT 1),
 mx AS (SELECT n AS n_maj FROM cc ORDER BY n DESC, CAST(adherent AS VARCHAR) LIMIT 1),
 draws AS (
-  SELECT i AS draw, CAST(('0x' || substr(md5('42|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) % n_min + 1 AS rk
+  SELECT i AS draw, CAST(('0x' || substr(md5('42|' || CAST(i AS VARCHAR)), 1, 15)) AS BIGINT) % n_min + 1 AS rk
   FROM mx, mn, range(0, (SELECT n_maj FROM mx)) t(i)
 )
 SELECT c.patient_id, c.adherent, CAST(NULL AS BIGINT) AS draw FROM cohort c, mn WHERE c.adherent <> mn.minority

@@ -8,6 +8,7 @@ runs (tests, bench) get a private checkpoint folder under /tmp.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local runs,
-    tests) a fresh private folder is created and registered.
+    Read from ``spark.checkpoint.dir``; only when it is unset under a local
+    master (tests, bench) a fresh private folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -59,6 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cohort-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:

@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_engine.functions.scalar import normalize_name
+from cohort_engine.functions.scalar import NUMBER_PATTERN, normalize_name
 
 INT_PATTERN = r"^[+-]?[0-9]+$"
-SPARK_TYPES = {"INTEGER": "bigint", "REAL": "double", "TEXT": "string"}
+# INTEGER columns beyond 64 bits are WIDE, beyond 38 digits TEXT: no value is lost.
+SPARK_TYPES = {"INTEGER": "bigint", "WIDE": "decimal(38,0)", "REAL": "double", "TEXT": "string"}
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -36,12 +37,15 @@ def infer_frame(df: DataFrame) -> DataFrame:
         nb = (t != F.lit("")) & t.isNotNull()
         aggs += [F.count(F.when(nb, 1)).alias(f"nb{i}"),
                  F.count(F.when(nb & t.rlike(INT_PATTERN), 1)).alias(f"ni{i}"),
-                 F.count(F.when(nb & t.try_cast("double").isNotNull(), 1)).alias(f"nf{i}")]
+                 F.count(F.when(nb & t.rlike(INT_PATTERN) & t.try_cast("bigint").isNotNull(), 1)).alias(f"nl{i}"),
+                 F.count(F.when(nb & t.rlike(INT_PATTERN) & t.try_cast("decimal(38,0)").isNotNull(), 1)).alias(f"nw{i}"),
+                 F.count(F.when(nb & t.rlike(NUMBER_PATTERN) & t.try_cast("double").isNotNull(), 1)).alias(f"nf{i}")]
     row = df.agg(*aggs)
     structs = []
     for i, c in enumerate(df.columns):
         nb, ni, nf = F.col(f"nb{i}"), F.col(f"ni{i}"), F.col(f"nf{i}")
-        typ = F.when(ni == nb, F.lit("INTEGER")).when(nf == nb, F.lit("REAL")).otherwise(F.lit("TEXT"))
+        whole = F.when(F.col(f"nl{i}") == nb, "INTEGER").when(F.col(f"nw{i}") == nb, "WIDE").otherwise("TEXT")
+        typ = F.when(ni == nb, whole).when(nf == nb, F.lit("REAL")).otherwise(F.lit("TEXT"))
         structs.append(F.struct(F.lit(c).alias("column"), typ.alias("sql_type"), nb.alias("non_blank"),
                                 F.lit(i).alias("ordinal")))
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
