@@ -170,6 +170,8 @@ class WarcReader(DataSourceReader):
         return [WarcFile(p) for p, _ in fsio.files(self.path, ".warc")]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
+        if partition is None:       # an archive without files
+            return
         tests, source, rows, held = [_test(f) for f in self.filters], Input(partition.value), [], 0
         while (head := source.head()) is not None:
             row = parse(head)
