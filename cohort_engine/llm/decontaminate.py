@@ -73,7 +73,13 @@ def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
     table = np.zeros(1 << (bits - 6), np.int64)
     table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+    """Which uint64 hashes may be among those of the table."""
+    at = hashes >> U64(64 - bits)
+    return (table[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
 
 
 def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
@@ -89,10 +95,10 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, containmen
     """
     shingles = written(item_shingles(items, containment, words), "decontaminate-items")
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())   # at most ``words`` numbers
-    packed = spark.sparkContext.broadcast(np.packbits(bit_table(shingles)))              # TABLE_BITS fixes its size
+    packed = spark.sparkContext.broadcast(bit_table(shingles))              # TABLE_BITS fixes its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(packed.value).astype(bool)
+        table = packed.value
         for batch in batches:
             for part in textkit.slices(batch, "text"):
                 h, ptr = textkit.words(part.column("text"), textkit.PUNCTUATION)
@@ -103,7 +109,7 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, containmen
                         grams, at = textkit.shingles(h, ptr, words)
                     else:
                         grams, at = short_windows(h, ptr, width)
-                    hit = np.flatnonzero(table[(grams >> U64(64 - TABLE_BITS)).astype(np.int64)])
+                    hit = np.flatnonzero(in_table(table, grams))
                     row = np.searchsorted(at, hit, "right") - 1
                     found = np.unique(np.stack([row.astype(U64), grams[hit]]), axis=1)
                     yield pa.RecordBatch.from_arrays(

@@ -10,9 +10,10 @@ alone.
 2. Of every node the prefix of the order that any partner must share (its
    first n - ceil(t n) + 1 n-grams) is dealt to the fragments; a fragment
    returns the n-grams that two nodes or more have there.
-3. Star step: in each such group nodes are paired with one leader of their
-   size band, every node with the leader it shares most with.  Pairs are
-   verified; links give components, so a group of g near copies costs g pairs.
+3. Star steps: in each such group the nodes of a size band are paired with one
+   leader, each node with a few leaders only.  Pairs are verified, links give
+   components, and the next step pairs what is still apart with the largest
+   ones; a group of g near copies costs a few g pairs.
 4. Exact step: all pairs that share a prefix n-gram, pass the size and
    position bounds and are not yet in one component are verified.  No other
    pair can change a component.
@@ -29,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohort_engine.llm import textkit
 from cohort_engine.llm.components import components
-from cohort_engine.llm.decontaminate import TABLE_BITS, bit_table
+from cohort_engine.llm.decontaminate import bit_table, in_table
 from cohort_engine.llm.store import written
 
 WORDS = 5
@@ -45,6 +46,7 @@ FRAGMENT_ENTRIES = 1_500_000    # prefix n-grams per fragment
 LEAST_FRAGMENTS = 64
 SET_FRAGMENT = 100_000          # n-grams of one text per fragment, when verifying
 MERGE_ENTRIES = 400_000
+STAR_STEPS = ((4, 6), (16, 48))   # leaders a group offers, and a node is verified with, by step
 U64 = np.uint64
 
 
@@ -248,7 +250,7 @@ def _cut_sets(words: int, table, fragments: int):
     """(node, doc_id, fragment, grams) of the texts whose node may be asked
     for; of equal sets in a slice the smallest doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table.value).astype(bool)
+        bits = table.value
         for batch in batches:
             for part in textkit.slices(batch, "text"):
                 sets, ptr = doc_sets(part, words)
@@ -257,7 +259,7 @@ def _cut_sets(words: int, table, fragments: int):
                 key = np.asarray(ids.fill_null(np.iinfo(np.int64).max))
                 order = np.lexsort((key, nodes))
                 order = order[np.concatenate([[True], nodes[order][1:] != nodes[order][:-1]])] if len(order) else order
-                rows = order[(nodes[order] != 0) & bits[(nodes[order] >> U64(64 - TABLE_BITS)).astype(np.int64)]]
+                rows = order[(nodes[order] != 0) & in_table(bits, nodes[order])]
                 values, sizes = [], []
                 for r in rows:
                     own = sets[ptr[r]:ptr[r + 1]]
@@ -276,17 +278,19 @@ def _cut_sets(words: int, table, fragments: int):
 
 
 def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS,
-             fragments: int = 4) -> DataFrame:
+             fragments: int = 2) -> DataFrame:
     """The pairs (a, na, b, nb) of nodes that link.  ``nodes``: (node, rep)."""
-    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node"), "ngram-asked")
-    table = spark.sparkContext.broadcast(np.packbits(bit_table(asked.select(F.col("node").alias("h")))))
+    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), "ngram-asked")
+    table = spark.sparkContext.broadcast(bit_table(asked.select(F.col("node").alias("h"))))
     cut = (docs.select("doc_id", "text").mapInArrow(_cut_sets(words, table, fragments), "node long, doc_id long, fragment int, grams array<long>"))
     own = asked.withColumnRenamed("node", "k")
     sets = cut.join(own, (F.col("node") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "fragment", "grams")
     num, den = SIMILARITY
-    left = pairs.join(sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
-    right = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = (left.join(right, ["b", "fragment"])
+    # both sides join on (node, fragment), so the sets are read and dealt once
+    # for both (the exchange is reused)
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    left = each.join(sets.toDF("a", "fragment", "ga"), ["a", "fragment"])
+    partial = (left.join(sets.toDF("b", "fragment", "gb"), ["b", "fragment"])
                .select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("common")))
     return (partial.groupBy("a", "na", "b", "nb", "fragment").agg(F.max("common").alias("common"))
             .groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
@@ -295,23 +299,50 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
 
 # -- the join ---------------------------------------------------------------------
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """Every node with the leader of its (n-gram, size band) groups that it
-    shares most n-grams with."""
-    banded = shared.withColumn("band", F.floor(F.log("n") / F.log(F.lit(SIMILARITY[1] / SIMILARITY[0]))).cast("int"))
-    lead = banded.groupBy("h", "band").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
-    lead = lead.filter(F.col("lead.node") != F.col("last")).drop("last")
-    return (banded.join(lead, ["h", "band"]).filter(F.col("node") != F.col("lead.node"))
-            .groupBy("node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).agg(F.count(F.lit(1)).alias("shares"))
-            .groupBy(F.col("node").alias("a"), F.col("n").alias("na")).agg(F.max(F.struct("shares", "b", "nb")).alias("best"))
-            .select("a", "na", "best.b", "best.nb"))
+def with_roots(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Adds root, the component of the node (itself when it has no link)."""
+    if comps is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def star_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame | None, done: DataFrame | None, step: int) -> DataFrame:
+    """Every node with a few leaders of its (n-gram, size band) groups that
+    are in other components and were not tried: those of the largest groups,
+    then those it shares most with.  A group's leaders are the largest nodes
+    under a few orders that are the same in all groups.  ``STAR_STEPS`` has
+    the numbers: the fewer nodes are still apart, the more leaders each can
+    try.  ``nodes``: (node, n)."""
+    offered, tried = STAR_STEPS[step]
+    turns = [F.lit(int(x)) for x in textkit.signed(textkit.mix64(np.arange(offered, dtype=U64) + U64(1000 * step + 1)))]
+    band = F.floor(F.log("n") / F.log(F.lit(SIMILARITY[1] / SIMILARITY[0]))).cast("int")
+    rows = with_roots(shared, comps).withColumn("band", band)
+    groups = (rows.groupBy("h", "band")
+              .agg(*[F.max(F.col("node").bitwiseXOR(x)).alias(f"lead{k}") for k, x in enumerate(turns)],
+                   F.count(F.lit(1)).alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+              .filter("lo <> hi")
+              .select("h", "band", "g", F.explode(F.array_distinct(F.array(
+                  *[F.col(f"lead{k}").bitwiseXOR(x) for k, x in enumerate(turns)]))).alias("b")))
+    asked = (rows.join(groups, ["h", "band"]).filter("node <> b")
+             .groupBy(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b")
+             .agg(F.max("g").alias("g"), F.count(F.lit(1)).alias("shares")))
+    known = with_roots(nodes.select("node", "n"), comps).toDF(*("b", "nb", "rb"))
+    asked = (asked.join(known, "b").filter("ra <> rb")
+             .select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "*"))
+    if done is not None:
+        asked = asked.join(done.select(F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"], "left_anti")
+    order = Window.partitionBy("a").orderBy(F.col("g").desc(), F.col("shares").desc(), "b")
+    best = asked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= tried)
+    first = F.col("a") <= F.col("b")
+    return best.select(F.least("a", "b").alias("a"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"),
+                       F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
 
 def open_pairs(shared: DataFrame, comps: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs that share a prefix n-gram, may link by size and place, lie in
     different components and were not verified before."""
     num, den = SIMILARITY
-    placed = (shared.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = with_roots(shared, comps)
     mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
     some = written(placed.join(mixed, "h", "left_semi"), "ngram-open")
     x = some.select("h", *[F.col(c).alias("x" + c) for c in ("node", "n", "rank", "root")])
@@ -322,8 +353,7 @@ def open_pairs(shared: DataFrame, comps: DataFrame, done: DataFrame) -> DataFram
                >= (F.col("xn") + F.col("yn")) * num))
     pairs = (x.join(y, "h").filter(fits)
              .select(F.col("xnode").alias("a"), F.col("xn").alias("na"), F.col("ynode").alias("b"), F.col("yn").alias("nb")).distinct())
-    tried = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -338,14 +368,19 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     sizes, classes = measured(docs, words)
     known = sizes.agg(F.sum("n"), F.max("n")).first()
     entries = (known[0] or 0) * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1]
-    fragments = max(4, -(-(known[1] or 0) // SET_FRAGMENT))
-    nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "ngram-nodes")
+    fragments = max(2, -(-(known[1] or 0) // SET_FRAGMENT))
+    nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-nodes")
     shared = postings(spark, docs, classes, entries, words)
-    first = written(star_pairs(shared), "ngram-star")
-    links = written(verified(spark, docs, nodes, first, words, fragments), "ngram-links")
-    rest = written(open_pairs(shared, components(links), first), "ngram-rest")
-    more = written(verified(spark, docs, nodes, rest, words, fragments), "ngram-links")
-    comps = components(links.union(more).select("a", "b"))
+    comps = done = links = None
+    for step in range(len(STAR_STEPS)):
+        pairs = written(star_pairs(shared, nodes, comps, done, step), "ngram-star")
+        found = written(verified(spark, docs, nodes, pairs, words, fragments), "ngram-links").select("a", "b")
+        links = found if links is None else links.union(found)
+        done = pairs if done is None else done.union(pairs)
+        comps = written(components(links), "ngram-components")
+    rest = written(open_pairs(shared, comps, done), "ngram-rest")
+    more = written(verified(spark, docs, nodes, rest, words, fragments), "ngram-links").select("a", "b")
+    comps = components(links.union(more))
     placed = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     where = placed.join(least, "root").select("node", "component_id")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21           # bytes hashed at a time, cut between words
-SLICE_BYTES = 8 << 20           # text bytes handled at a time, cut between rows
+SLICE_BYTES = 4 << 20           # text bytes handled at a time, cut between rows
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
