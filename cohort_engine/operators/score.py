@@ -15,18 +15,22 @@ from pyspark.sql import functions as F
 from cohort_engine.functions.scalar import ADHERENCE_LABELS, confidence_band, round_half_up
 
 
-def pick_model(scores: DataFrame, name: str, model_col: str = "model") -> DataFrame:
-    """Rows of the named model, or of the first model when it is absent."""
+def pick_model(scores: DataFrame, name: str, model_col: str = "model", models: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the named model, or of the first model when it is absent.
+    With the short list of ``models`` known, the choice needs no data and the
+    filter is an ordinary one; else the names come from one aggregate."""
+    if models is not None:
+        return scores.filter(F.col(model_col) == (name if name in models else min(models)))
     chosen = scores.agg(F.coalesce(F.max(F.when(F.col(model_col) == F.lit(name), F.col(model_col))),
                                    F.min(model_col)).alias("__chosen"))
     return scores.join(F.broadcast(chosen), scores[model_col] == chosen["__chosen"]).drop("__chosen")
 
 
 def predictions_export(scores: DataFrame, model: str = "ratio_score", key: str = "patient_id",
-                       extra: Sequence[str] = ()) -> DataFrame:
+                       extra: Sequence[str] = (), models: Sequence[str] | None = None) -> DataFrame:
     """Actual, predicted, probability (4 dp), correct flag, labels
     and confidence band (computed on the rounded probability)."""
-    s = pick_model(scores, model)
+    s = pick_model(scores, model, models=models)
     p4 = round_half_up(F.col("p"), 4)
     label = lambda c: F.when(F.col(c) == 1, F.lit(ADHERENCE_LABELS[1])).when(
         F.col(c) == 0, F.lit(ADHERENCE_LABELS[0]))

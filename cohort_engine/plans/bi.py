@@ -32,7 +32,7 @@ def tableau_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.predictions_export(bindings.score_table(spark, sf_dir), EXPORT_MODEL)
+    return score.predictions_export(bindings.score_table(spark, sf_dir), EXPORT_MODEL, models=bindings.SCORE_MODELS)
 
 
 def model_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
