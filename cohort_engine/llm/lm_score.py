@@ -39,12 +39,13 @@ from cohort_engine.llm import textkit
 from cohort_engine.llm.store import written
 
 SEGMENT_BITS = 22               # a filter segment: 2 ** 22 bits, 512 KB
-MOST_SEGMENTS = 128             # largest filter: 64 MB
+MOST_SEGMENTS = 64              # largest filter: 32 MB
 BITS = 10                       # bits per entry where there is room
 LEAST_BITS = 7
 HEAD_WORDS = 1 << 19            # largest broadcast table of counts: 8 MB
 FRAGMENT_BYTES = 12 << 20       # text bytes whose counts make one fragment
 LEAST_FRAGMENT_BITS = 6
+DEAL_ROWS = 1 << 20             # entries dealt to segments at a time
 D2 = 1.5                       # discount of pairs
 ALPHA = 32                      # levels of the mass left over
 U64 = np.uint64
@@ -218,31 +219,38 @@ class Filter:
     probes: int
 
     def test(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """Membership of (key, level): a key is out at its first clear bit."""
         segment, spots = places(keys, level, len(self.data) >> (SEGMENT_BITS - 3), self.probes)
-        base = segment << U64(SEGMENT_BITS)
-        ok = np.ones(len(keys), bool)
-        for s in spots:
-            at = base + s
-            ok &= (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+        ok, live, base = np.ones(len(keys), bool), np.arange(len(keys)), segment << U64(SEGMENT_BITS)
+        for spot in spots:
+            at = base[live] + spot(live)
+            hit = (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+            ok[live[~hit]] = False
+            live = live[hit]
         return ok
 
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
-        """Level of each key: probes go on until one fails."""
-        out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        """Level of each key: probes go on until one fails.  Keys are taken in
+        the order of their segments, which keeps the probes near each other."""
+        order = np.argsort(keys >> U64(32))
+        own, out, live = keys[order], np.zeros(len(keys), np.int64), np.arange(len(keys))
         for level in range(1, most + 1):
-            live = live[self.test(keys[live], level)]
+            live = live[self.test(own[live], level)]
             if not len(live):
                 break
-            out[live] = level
+            out[order[live]] = level
         return out
 
 
-def places(keys: np.ndarray, level, segments: int, probes: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(segment, bit in it per probe) of (key, level)."""
+def places(keys: np.ndarray, level, segments: int, probes: int) -> tuple[np.ndarray, list]:
+    """(segment, function per probe: bit in the segment) of (key, level)."""
     segment = ((keys >> U64(32)) * U64(segments)) >> U64(32)
-    x = textkit.mix64(keys + np.asarray(level, U64) * U64(0x9E3779B97F4A7C15))
-    a, b = x & U64(0xFFFFFFFF), (x >> U64(32)) | U64(1)
-    return segment, [(a + U64(j) * b) & U64((1 << SEGMENT_BITS) - 1) for j in range(probes)]
+    x = textkit.mix64(keys + np.asarray(level, U64) * U64(0x9E3779B97F4A7C15)) if probes else keys
+    a, b, mask = x & U64(0xFFFFFFFF), (x >> U64(32)) | U64(1), U64((1 << SEGMENT_BITS) - 1)
+
+    def probe(j: int):
+        return lambda of=slice(None): (a[of] + U64(j) * b[of]) & mask
+    return segment, [probe(j) for j in range(probes)]
 
 
 def _levels(kind: np.ndarray, c: np.ndarray, start: int) -> np.ndarray:
@@ -251,20 +259,30 @@ def _levels(kind: np.ndarray, c: np.ndarray, start: int) -> np.ndarray:
 
 
 def _deal(segments: int, start: int):
+    def dealt(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        kind, c, key = (np.concatenate([np.asarray(p.column(k)) for p in parts]) for k in ("kind", "c", "key"))
+        key = key.view(U64)
+        key = np.where(kind == 1, word_key(key), key)
+        level = np.minimum(_levels(kind, c, start), 255).astype(np.uint8)
+        segment, _ = places(key, 0, segments, 0)
+        order = np.argsort(segment, kind="stable")
+        order = order[level[order] > 0]
+        cut = np.searchsorted(segment[order], np.arange(segments + 1, dtype=U64))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array([key[order[cut[s]:cut[s + 1]]].tobytes() for s in some], pa.binary()),
+             pa.array([level[order[cut[s]:cut[s + 1]]].tobytes() for s in some], pa.binary())], names=["segment", "keys", "levels"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            kind, c = np.asarray(batch.column("kind")), np.asarray(batch.column("c"))
-            key = np.asarray(batch.column("key")).view(U64)
-            key = np.where(kind == 1, word_key(key), key)
-            level = np.minimum(_levels(kind, c, start), 255).astype(np.uint8)
-            segment, _ = places(key, 0, segments, 0)
-            order = np.argsort(segment, kind="stable")
-            order = order[level[order] > 0]
-            cut = np.searchsorted(segment[order], np.arange(segments + 1, dtype=U64))
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array([key[order[cut[s]:cut[s + 1]]].tobytes() for s in some], pa.binary()),
-                 pa.array([level[order[cut[s]:cut[s + 1]]].tobytes() for s in some], pa.binary())], names=["segment", "keys", "levels"])
+            held.append(batch)
+            size += batch.num_rows
+            if size >= DEAL_ROWS:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
     return run
 
 
@@ -283,9 +301,9 @@ def _fill(segments: int, probes: int):
                         yield out()
                     now, bits = row["segment"], np.zeros(1 << SEGMENT_BITS, bool)
                 keys, level = np.frombuffer(row["keys"], U64), np.frombuffer(row["levels"], np.uint8)
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    for s in places(keys[level >= q], q, segments, probes)[1]:
-                        bits[s] = True
+                q = np.arange(int(level.sum())) - np.repeat(np.cumsum(level, dtype=np.int64) - level, level) + 1
+                for spot in places(np.repeat(keys, level), q, segments, probes)[1]:
+                    bits[spot()] = True
         if now is not None:
             yield out()
     return run
@@ -323,10 +341,10 @@ def train(spark: SparkSession, docs: DataFrame, most_segments: int = MOST_SEGMEN
     segments = min(max(1, math.ceil(entries * BITS / (1 << SEGMENT_BITS))), most_segments)
     probes = min(max(round(math.log(2) * (segments << SEGMENT_BITS) / max(entries, 1)), 1), 8)
     stored = grams.filter((F.col("kind") < 3) | (F.col("start") == max(start, 2))).select("kind", "key", "c")
-    rows = (stored.mapInArrow(_deal(segments, start), "segment int, keys binary, levels binary")
-            .repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill(segments, probes), "segment int, bits binary").collect())
+    filled = (stored.mapInArrow(_deal(segments, start), "segment int, keys binary, levels binary")
+            .repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill(segments, probes), "segment int, bits binary"))
     data = np.zeros((segments, 1 << (SEGMENT_BITS - 3)), np.uint8)
-    for r in rows:
+    for r in filled.toLocalIterator():      # a few segments at a time beside the filter itself
         data[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return Model(grams, bits, sum(r["c"] for r in words), sum(r["n"] for r in words), ones / (ones + 2 * twos) if ones else 0.5,
                  start, Filter(data.ravel(), probes))

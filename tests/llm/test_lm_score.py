@@ -59,7 +59,7 @@ def test_filter_reads_back_levels():
     bits = np.zeros(1 << lm_score.SEGMENT_BITS, bool)
     for q in range(1, 9):
         for spots in lm_score.places(keys[level >= q], q, 1, 4)[1]:
-            bits[spots] = True
+            bits[spots()] = True
     f = lm_score.Filter(np.packbits(bits, bitorder="little"), 4)
     got = f.levels(keys, 20)
     assert (got >= level).all() and (got == level).mean() > 0.99      # errors are one-sided and rare
