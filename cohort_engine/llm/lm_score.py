@@ -13,10 +13,14 @@ bigram model
 with all counts read from the filter; a(v), the mass that the stored pairs of
 v leave over, is a third kind of entry.
 
-The filter has a fixed largest size (``MOST_SEGMENTS``).  Pairs seen once are
-never stored; where the corpus has more entries than the filter holds at
-``LEAST_BITS`` bits each, the quantiser's first level starts at a higher count
-(2, 4, 8, ...).  All counts are made over all texts at every size.
+The filter grows with the corpus, ``BITS`` bits an entry; pairs seen once are
+never stored.  Where it would be larger than ``MOST_SEGMENTS`` at ``LEAST_BITS``
+bits an entry, it stays a table of segments.  Only a head filter is broadcast
+then: words and pairs from a count of ``start`` (2, 4, 8, ...) on, with so many
+bits that hardly an n-gram is taken for a frequent one.  What a slice of texts
+does not find there is sent to its segments, probed, and sent back; the levels
+are those of the whole filter.  All counts are made over all texts at every
+size.
 
 The add-one base score needs exact counts: those of the most frequent words (a
 table of at most ``HEAD_WORDS`` words) are broadcast, the other words of every
@@ -39,9 +43,11 @@ from cohort_engine.llm import textkit
 from cohort_engine.llm.store import written
 
 SEGMENT_BITS = 22               # a filter segment: 2 ** 22 bits, 512 KB
-MOST_SEGMENTS = 64              # largest filter: 32 MB
-BITS = 10                       # bits per entry where there is room
-LEAST_BITS = 7
+MOST_SEGMENTS = 64              # largest broadcast filter: 32 MB
+BITS = 10                       # bits per entry of the whole filter
+LEAST_BITS = 20                 # bits per entry of a head filter
+MOST_PROBES = 14
+SHARD = 8                       # segments that one task holds for probing: 4 MB
 HEAD_WORDS = 1 << 19            # largest broadcast table of counts: 8 MB
 FRAGMENT_BYTES = 12 << 20       # text bytes whose counts make one fragment
 LEAST_FRAGMENT_BITS = 6
@@ -168,8 +174,7 @@ class Counts:
 
     def rows(self, bits: int) -> pa.RecordBatch:
         """kind 1: words (key is the word's hash); 2: pairs seen twice or
-        more; 3: contexts, with the level of the mass that their pairs with
-        counts of ``start`` or more hold, for each start 2, 4, 8, ..."""
+        more; 3: contexts, with the level of the mass that these pairs hold."""
         self.settle()
         words, c = self.words[0][0], self.words[1][0]
         pairs, n = self.pairs[0][0], self.pairs[1][0]
@@ -177,21 +182,18 @@ class Counts:
         stored = n >= 2
         v = pairs >> U64(32)
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-        kinds, starts = [np.full(len(words), 1), np.full(int(stored.sum()), 2)], [np.zeros(len(words) + int(stored.sum()))]
-        keys, counts, start = [words, pair_key(frag, pairs[stored])], [c, n[stored]], 2
-        while len(v) and n.max() >= start:
-            held = np.add.reduceat(np.where(n >= start, n - D2, 0.0), first)
+        kinds = [np.full(len(words), 1), np.full(int(stored.sum()), 2)]
+        keys, counts = [words, pair_key(frag, pairs[stored])], [c, n[stored]]
+        if len(v):
+            held = np.add.reduceat(np.where(stored, n - D2, 0.0), first)
             level = np.rint(ALPHA * held / np.add.reduceat(n, first)).astype(np.int64)
             some = level > 0
             kinds.append(np.full(int(some.sum()), 3))
-            starts.append(np.full(int(some.sum()), start))
             keys.append(context_key(frag, v[first][some]))
             counts.append(level[some])
-            start *= 2
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)),
-             pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(starts).astype(np.int64))],
-            names=["kind", "key", "c", "start"])
+             pa.array(np.concatenate(counts).astype(np.int64))], names=["kind", "key", "c"])
 
 
 def _merge(bits: int):
@@ -215,13 +217,15 @@ def _merge(bits: int):
 
 @dataclass
 class Filter:
-    data: np.ndarray            # bytes of all segments
+    data: np.ndarray            # bytes of its segments
     probes: int
+    segments: int = 0           # of the whole filter, if data has only a part of them
+    first: int = 0              # segment that data starts with
 
     def test(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Membership of (key, level): a key is out at its first clear bit."""
-        segment, spots = places(keys, level, len(self.data) >> (SEGMENT_BITS - 3), self.probes)
-        ok, live, base = np.ones(len(keys), bool), np.arange(len(keys)), segment << U64(SEGMENT_BITS)
+        segment, spots = places(keys, level, self.segments or len(self.data) >> (SEGMENT_BITS - 3), self.probes)
+        ok, live, base = np.ones(len(keys), bool), np.arange(len(keys)), (segment - U64(self.first)) << U64(SEGMENT_BITS)
         for spot in spots:
             at = base[live] + spot(live)
             hit = (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
@@ -316,21 +320,25 @@ class Model:
     tokens: int                 # N
     types: int                  # V
     discount: float             # D1
-    start: int                  # first count of the quantiser
-    filter: Filter
+    start: int                  # first count of the broadcast filter (1: it is the whole filter)
+    filter: Filter              # the broadcast one
+    whole: DataFrame | None = None      # segment, bits of the whole filter, if it is not broadcast
+    segments: int = 0           # of the whole filter
+    probes: int = 0
 
 
 def train(spark: SparkSession, docs: DataFrame, most_segments: int = MOST_SEGMENTS, least_bits: int = LEAST_BITS) -> Model:
-    """Counts all texts of ``docs`` and builds the filter, of at most
-    ``most_segments`` segments with ``least_bits`` bits an entry at least."""
+    """Counts all texts of ``docs`` and builds the filter; a broadcast one has
+    at most ``most_segments`` segments with ``least_bits`` bits an entry at
+    least."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_FRAGMENT_BITS, math.ceil(math.log2(max(size / FRAGMENT_BYTES, 1))))
     dealt = docs.select("text").mapInArrow(_count(bits), "fragment int, " + ", ".join(f"{k} binary" for k in _PARTS))
     grams = written(dealt.repartition("fragment").sortWithinPartitions("fragment")
-                    .mapInArrow(_merge(bits), "kind int, key long, c long, start long"), "lm-grams")
+                    .mapInArrow(_merge(bits), "kind int, key long, c long"), "lm-grams")
     # a histogram by power of two: a few dozen rows, whatever the corpus
     octave = F.floor(F.log2(F.col("c"))).cast("int")
-    hist = (grams.groupBy("kind", "start", octave.alias("octave")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"),
+    hist = (grams.groupBy("kind", octave.alias("octave")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"),
                                                               F.count(F.when(F.col("c") == 1, 1)).alias("ones"),
                                                               F.count(F.when(F.col("c") == 2, 1)).alias("twos")).collect())
     words = [r for r in hist if r["kind"] == 1]
@@ -338,16 +346,31 @@ def train(spark: SparkSession, docs: DataFrame, most_segments: int = MOST_SEGMEN
     start = 1
     while (entries := _entries(hist, start)) * least_bits > most_segments << SEGMENT_BITS:
         start *= 2
-    segments = min(max(1, math.ceil(entries * BITS / (1 << SEGMENT_BITS))), most_segments)
-    probes = min(max(round(math.log(2) * (segments << SEGMENT_BITS) / max(entries, 1)), 1), 8)
-    stored = grams.filter((F.col("kind") < 3) | (F.col("start") == max(start, 2))).select("kind", "key", "c")
-    filled = (stored.mapInArrow(_deal(segments, start), "segment int, keys binary, levels binary")
-            .repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill(segments, probes), "segment int, bits binary"))
+    segments = min(max(1, math.ceil(entries * BITS / (1 << SEGMENT_BITS))), most_segments) if start == 1 else most_segments
+    probes = _probes(segments, entries)
     data = np.zeros((segments, 1 << (SEGMENT_BITS - 3)), np.uint8)
-    for r in filled.toLocalIterator():      # a few segments at a time beside the filter itself
+    for r in _built(grams, segments, probes, start).toLocalIterator():      # a few segments at a time beside the filter itself
         data[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return Model(grams, bits, sum(r["c"] for r in words), sum(r["n"] for r in words), ones / (ones + 2 * twos) if ones else 0.5,
-                 start, Filter(data.ravel(), probes))
+    model = Model(grams, bits, sum(r["c"] for r in words), sum(r["n"] for r in words), ones / (ones + 2 * twos) if ones else 0.5,
+                  start, Filter(data.ravel(), probes))
+    if start > 1:
+        entries = _entries(hist, 1)
+        model.segments = max(1, math.ceil(entries * BITS / (1 << SEGMENT_BITS)))
+        model.probes = _probes(model.segments, entries)
+        model.whole = written(_built(grams, model.segments, model.probes, 1), "lm-filter")
+    return model
+
+
+def _probes(segments: int, entries: int) -> int:
+    return min(max(round(math.log(2) * (segments << SEGMENT_BITS) / max(entries, 1)), 1), MOST_PROBES)
+
+
+def _built(grams: DataFrame, segments: int, probes: int, start: int) -> DataFrame:
+    """(segment, bits) of the filter of counts from ``start`` on; contexts are
+    in the whole filter only."""
+    stored = grams if start == 1 else grams.filter((F.col("kind") < 3) & (F.col("c") >= start))
+    return (stored.mapInArrow(_deal(segments, start), "segment int, keys binary, levels binary")
+            .repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill(segments, probes), "segment int, bits binary"))
 
 
 def _entries(hist: list, start: int) -> int:
@@ -355,7 +378,7 @@ def _entries(hist: list, start: int) -> int:
     total = 0
     for r in hist:
         if r["kind"] == 3:
-            total += r["c"] * (r["start"] == max(start, 2))
+            total += r["c"] * (start == 1)
         elif 2 ** r["octave"] >= start:
             top = np.array([2 ** (r["octave"] + 1) - 1])
             kind = np.array([r["kind"]])
@@ -366,31 +389,141 @@ def _entries(hist: list, start: int) -> int:
 
 # -- scoring -----------------------------------------------------------------------
 
-def text_scores(texts: pa.Array, f: Filter, bits: int, tokens: int, types: int, discount: float, start: int) -> np.ndarray:
-    """log10 probability of each text, its end included."""
-    seq, before, ptr = stream(texts)
-    if len(seq) == 0:
-        return np.zeros(len(texts))
-    words, of = np.unique(seq, return_inverse=True)
-    count = count_of(f.levels(word_key(words), len(WORD_LEVELS)), WORD_LEVELS, start)
-    frag, v = _context(words, bits)
-    left = f.levels(context_key(frag, v), ALPHA)
-    alpha = np.where(left >= ALPHA, 0.5 / ALPHA, 1 - left / ALPHA)
-    single = np.where(count > 0, np.maximum(count - discount, 0.25), max(discount, 0.25)) / max(tokens, 1)
-    if tokens == 0:
-        single[:] = 1.0
-    b_of = np.empty_like(of)
-    b_of[1:] = of[:-1]
-    b_of[0] = np.searchsorted(words, END[0])
-    pairs, p_of = np.unique(b_of * len(words) + of, return_inverse=True)
-    pv, pw = pairs // len(words), pairs % len(words)
-    both = f.levels(pair_key(frag[pv], (v[pv] << U64(32)) | (words[pw] >> U64(32))), len(PAIR_LEVELS))
-    seen = count_of(both, PAIR_LEVELS, max(start, 2))
-    context = np.maximum(count[pv], np.maximum(seen, 1))
-    known = count[pv] > 0
-    p = np.where(known, np.maximum(seen - D2, 0) * (both > 0) / context + alpha[pv] * single[pw], single[pw])
-    logs = np.log10(np.minimum(p, 1.0))[p_of]
-    return np.add.reduceat(logs, ptr[:-1])
+@dataclass
+class Grams:
+    """Distinct n-grams of a slice of texts: its words, the same as contexts,
+    and its pairs."""
+    words: np.ndarray
+    of: np.ndarray              # word of each token
+    bits: int
+
+    def __post_init__(self):
+        b_of = np.empty_like(self.of)
+        b_of[1:] = self.of[:-1]
+        b_of[0] = np.searchsorted(self.words, END[0])
+        pairs, self.p_of = np.unique(b_of * len(self.words) + self.of, return_inverse=True)
+        self.pv, self.pw = pairs // len(self.words), pairs % len(self.words)
+        frag, v = _context(self.words, self.bits)
+        self.parts = (word_key(self.words), context_key(frag, v),
+                      pair_key(frag[self.pv], (v[self.pv] << U64(32)) | (self.words[self.pw] >> U64(32))))
+
+    def head_levels(self, f: Filter, start: int) -> np.ndarray:
+        """Levels of all n-grams as far as the broadcast filter tells them."""
+        most = (len(WORD_LEVELS), ALPHA if start == 1 else 0, len(PAIR_LEVELS))
+        out = [f.levels(k, m) for k, m in zip(self.parts, most, strict=True)]
+        for i, levels in ((0, WORD_LEVELS), (2, PAIR_LEVELS)):
+            skipped = max(int(np.searchsorted(levels, start, "right")) - 1, 0)
+            out[i] = np.where(out[i] > 0, out[i] + skipped, 0)
+        return np.concatenate(out)
+
+    def shards(self, asked: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the n-grams ``asked`` for, in the order of their shards;
+        the n-grams they are of; their shards."""
+        keys = np.concatenate(self.parts)[asked]
+        shard = places(keys, 0, segments, 0)[0] // U64(SHARD)
+        order = np.argsort(shard, kind="stable")
+        return keys[order], asked[order], shard[order]
+
+    def logs(self, levels: np.ndarray, tokens: int, discount: float) -> np.ndarray:
+        """log10 probability of each token."""
+        n = len(self.words)
+        count = count_of(np.minimum(levels[:n], len(WORD_LEVELS)), WORD_LEVELS, 1)
+        left = np.minimum(levels[n:2 * n], ALPHA)
+        both = np.minimum(levels[2 * n:], len(PAIR_LEVELS))
+        alpha = np.where(left >= ALPHA, 0.5 / ALPHA, 1 - left / ALPHA)
+        single = np.where(count > 0, np.maximum(count - discount, 0.25), max(discount, 0.25)) / max(tokens, 1)
+        if tokens == 0:
+            single[:] = 1.0
+        seen = count_of(both, PAIR_LEVELS, 2)
+        context = np.maximum(count[self.pv], np.maximum(seen, 1))
+        known = count[self.pv] > 0
+        p = np.where(known, np.maximum(seen - D2, 0) * (both > 0) / context + alpha[self.pv] * single[self.pw], single[self.pw])
+        return np.log10(np.minimum(p, 1.0))[self.p_of]
+
+
+def _ask(bits: int, segments: int):
+    """Per slice and shard one row with the keys to probe there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                grams, asked = _grams(row, bits)
+                keys, _, shard = grams.shards(asked, segments)
+                some, at = np.unique(shard, return_index=True)
+                ends = np.append(at[1:], len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["slice"], np.int64)), pa.nulls(len(some), pa.int32()),
+                     pa.array([keys[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())], names=["shard", "slice", "segment", "blob"])
+    return run
+
+
+def _grams(row: dict, bits: int) -> tuple[Grams, np.ndarray]:
+    """The n-grams of a slice and which of them were not found."""
+    grams = Grams(np.frombuffer(row["words"], U64), np.frombuffer(row["tokens"], np.uint32).astype(np.int64), bits)
+    return grams, np.flatnonzero(np.frombuffer(row["levels"], np.uint8) == 0)
+
+
+def _probe(segments: int, probes: int):
+    """Rows come sorted by shard, the segments of a shard before the keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["shard"] != now:
+                    now = row["shard"]
+                    f = Filter(np.zeros(SHARD << (SEGMENT_BITS - 3), np.uint8), probes, segments, now * SHARD)
+                if row["segment"] is not None:
+                    at = (row["segment"] - f.first) << (SEGMENT_BITS - 3)
+                    f.data[at:at + (1 << (SEGMENT_BITS - 3))] = np.frombuffer(row["blob"], np.uint8)
+                    continue
+                levels = f.levels(np.frombuffer(row["blob"], U64), 255).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({"slice": [row["slice"]], "shard": [now], "words": [None], "tokens": [None], "sizes": [None], "levels": [levels.tobytes()]},
+                                                 schema=_ANSWERS)
+    return run
+
+
+_ANSWERS = pa.schema([("slice", pa.int64()), ("shard", pa.int32())] + [(k, pa.binary()) for k in ("words", "tokens", "sizes", "levels")])
+
+
+def _combine(bits: int, segments: int, tokens: int, discount: float):
+    """Rows come sorted by slice and shard, the slice itself (shard -1) first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, answers = None, []
+
+        def out():
+            grams, asked = _grams(held, bits)
+            levels = np.frombuffer(held["levels"], np.uint8).astype(np.int64)
+            if answers:
+                levels[grams.shards(asked, segments)[1]] = np.frombuffer(b"".join(answers), np.uint8)
+            sizes = np.frombuffer(held["sizes"], np.int64)
+            scores = np.add.reduceat(grams.logs(levels, tokens, discount), np.cumsum(sizes) - sizes)
+            return pa.RecordBatch.from_arrays([pa.array(held["slice"] + np.arange(len(sizes))), pa.array(scores)], names=["row", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["shard"] >= 0:
+                    answers.append(row["levels"])
+                    continue
+                if held is not None:
+                    yield out()
+                held, answers = row, []
+        if held is not None:
+            yield out()
+    return run
+
+
+def _whole_scores(scored: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of the slices in ``scored``, whose n-grams that the head
+    filter does not have are probed in the whole one."""
+    slices = scored.filter("words IS NOT NULL").select(F.col("row").alias("slice"), F.lit(-1).alias("shard"), "words", "tokens", "sizes", "levels")
+    asked = slices.mapInArrow(_ask(model.bits, model.segments), "shard int, slice long, segment int, blob binary")
+    parts = model.whole.select(F.floor(F.col("segment") / SHARD).cast("int").alias("shard"), F.lit(-1).cast("long").alias("slice"), "segment",
+                               F.col("bits").alias("blob"))
+    answers = (parts.union(asked).repartition("shard").sortWithinPartitions("shard", "slice")
+               .mapInArrow(_probe(model.segments, model.probes), "slice long, shard int, words binary, tokens binary, sizes binary, levels binary"))
+    return (slices.union(answers).repartition("slice").sortWithinPartitions("slice", "shard")
+            .mapInArrow(_combine(model.bits, model.segments, model.tokens, model.discount), "row long, score double"))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -413,7 +546,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -
     counted = model.grams.filter("kind = 1").select(F.col("key").alias("h"), "c")
     head = counted.filter(F.col("c") >= least).toPandas().sort_values("h")
     sent = spark.sparkContext.broadcast((head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), model.filter))
-    settings = (model.bits, model.tokens, model.types, model.discount, model.start)
+    bits, tokens, discount, start = model.bits, model.tokens, model.discount, model.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, f = sent.value
@@ -428,18 +561,32 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -
                 logs = np.where(hit, np.log10(counts[at] + 1.0), 0.0) if len(hashes) else np.zeros(len(h))
                 rest = np.concatenate([[0], np.cumsum(~hit)])[ptr]
                 n = part.num_rows
+                words, of = np.unique(seq, return_inverse=True)
+                grams = Grams(words, of, bits)
+                levels = grams.head_levels(f, start)
+                score = pa.array(np.add.reduceat(grams.logs(levels, tokens, discount), ptr[:-1])) if start == 1 else pa.nulls(n, pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(n)), *[part.column(k) for k in keep], pa.array(np.diff(ptr)),
                      pa.array(np.add.reduceat(hit.astype(np.int64), ptr[:-1])), pa.array(np.add.reduceat(logs, ptr[:-1])),
-                     pa.array(text_scores(texts, f, *settings)),
-                     pa.LargeListArray.from_arrays(pa.array(rest), pa.array(h[~hit])).cast(pa.list_(pa.int64()))],
-                    names=["row", *keep, "n_tokens", "head_known", "head_logs", "score", "rest"])
+                     score, pa.LargeListArray.from_arrays(pa.array(rest), pa.array(h[~hit])).cast(pa.list_(pa.int64())),
+                     *[pa.nulls(n, pa.binary())] * 4], names=names)
+                if start > 1:       # the slice, for its n-grams that the head filter does not have
+                    blobs = (words, of.astype(np.uint32), np.diff(ptr).astype(np.int64), np.minimum(levels, 255).astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row]), *[pa.nulls(1, part.column(k).type) for k in keep], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                         pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.int64())),
+                         *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=names)
                 row += n
 
+    names = ["row", *keep, "n_tokens", "head_known", "head_logs", "score", "rest", "words", "tokens", "sizes", "levels"]
     kept = docs.select(*keep, "text")
     schema = ", ".join(["row long", *[f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keep],
-                        "n_tokens long, head_known long, head_logs double, score double, rest array<long>"])
-    scored = written(kept.mapInArrow(run, schema), "lm-scores")
+                        "n_tokens long, head_known long, head_logs double, score double, rest array<long>",
+                        *[f"{k} binary" for k in names[-4:]]])
+    every = written(kept.mapInArrow(run, schema), "lm-scores")
+    scored = every.filter("words IS NULL").drop(*names[-4:])
+    if model.whole is not None:
+        scored = scored.drop("score").join(_whole_scores(every, model), "row")
     tail = (scored.select("row", F.explode("rest").alias("h")).join(counted.filter(F.col("c") < least), "h")
             .groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("logs")))
     whole = math.log10(model.tokens + (model.types + 1))

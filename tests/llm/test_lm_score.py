@@ -72,3 +72,29 @@ def test_a_full_filter_starts_at_a_higher_count(spark):
     assert model.start > 1 and len(model.filter.data) == 1 << (lm_score.SEGMENT_BITS - 3)
     scored = lm_score.score(spark, docs, model, ["doc_id"])
     assert scored.filter(F.col("score") <= 0).count() == docs.count()
+
+
+def test_a_head_filter_does_not_coarsen_the_scores(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lambda model: {r["doc_id"]: r for r in lm_score.score(spark, docs, model, ["doc_id"]).collect()}
+    whole, head = (lm_score.train(spark, docs.select("text"), **k) for k in ({}, {"most_segments": 1, "least_bits": 300}))
+    assert whole.start == 1 and head.start > 1
+    one, two = rows(whole), rows(head)
+    assert set(one) == set(two)
+    for i, r in one.items():
+        assert two[i]["score"] == pytest.approx(r["score"], rel=2e-3)
+        assert (two[i]["n_known"], two[i]["base_score"]) == (r["n_known"], pytest.approx(r["base_score"]))
+
+
+def test_a_shard_answers_like_the_whole_filter():
+    rng = np.random.default_rng(2)
+    segments, size = 19, 1 << (lm_score.SEGMENT_BITS - 3)
+    data = np.packbits(rng.random(segments << lm_score.SEGMENT_BITS) < 0.6, bitorder="little")
+    grams = lm_score.Grams(np.unique(np.append(lm_score.textkit.mix64(np.arange(999, dtype=np.uint64)), lm_score.END)), np.arange(1000), 6)
+    keys, asked, shard = grams.shards(np.arange(0, 3000, 3), segments)
+    assert len(np.unique(shard)) == 3 and (np.concatenate(grams.parts)[asked] == keys).all()
+    want = lm_score.Filter(data, 4).levels(keys, 255)
+    for s in range(3):
+        part = data[s * lm_score.SHARD * size:(s + 1) * lm_score.SHARD * size]
+        f = lm_score.Filter(part, 4, segments, s * lm_score.SHARD)
+        assert (f.levels(keys[shard == s], 255) == want[shard == s]).all()
