@@ -107,32 +107,32 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
 
 
 def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """R2: majority rows plus as many draws with replacement from the
-    minority (detected, not assumed), so the classes are at parity.
-
-    Draw i picks minority rank (hash(seed|i) mod n_min) + 1; draws are a
-    ``range`` joined to the ranked minority on that rank (an equi-join; each
-    rank receives ~n_major/n_min draws, so no key is hot).  Output carries
-    ``draw`` (null for kept majority rows).
+    """R2: majority rows plus as many draws with replacement from each
+    smaller class (detected, not assumed), so the classes are at parity.
+    Rows without label are no class: they are kept as they are.
+
+    Draw i picks rank (hash(seed|i) mod n) + 1 of a class of n rows; draws are
+    a ``range`` joined to the ranked class on that rank (an equi-join; each
+    rank receives ~n_major/n draws, so no key is hot).  Output carries
+    ``draw`` (null for kept rows).
     """
-    counts = class_counts(df, label)
-    if len(counts) < 2:
-        return df.withColumn("draw", F.lit(None).cast("bigint"))
-    minority = min(counts, key=lambda c: (counts[c], str(c)))
-    majority = max(counts, key=lambda c: (counts[c], str(c)))
-    n_min, n_maj = counts[minority], counts[majority]
-    if n_min == n_maj:
-        return df.withColumn("draw", F.lit(None).cast("bigint"))
+    counts = {c: n for c, n in class_counts(df, label).items() if c is not None}
+    n_maj = max(counts.values(), default=0)
+    small = sorted((c for c in counts if counts[c] < n_maj), key=str)
     spark = df.sparkSession
-    mino = rank_within(df.filter(F.col(label) == F.lit(minority)), label, key, seed, "__rk",
-                       hash_digits({minority: n_min}))
-    draws = spark.range(n_maj).select(F.col("id").alias("draw"),
-                                      (hash_int(seeded_hash(F.col("id"), seed)) % n_min + 1).alias("__rk"))
-    # The planner broadcasts the ranked minority by its size in bytes, else
-    # sort-merge (AQE splits any skewed draw partition).
-    drawn = draws.join(mino, "__rk").drop("__rk")
-    keep = df.filter(F.col(label) != F.lit(minority)).withColumn("draw", F.lit(None).cast("bigint"))
-    return keep.unionByName(drawn)
+    raised = F.lit(False)
+    for c in small:
+        raised = raised | F.col(label).eqNullSafe(F.lit(c))
+    out = df.filter(~raised).withColumn("draw", F.lit(None).cast("bigint"))
+    for c in small:
+        n = counts[c]
+        ranked = rank_within(df.filter(F.col(label).eqNullSafe(F.lit(c))), label, key, seed, "__rk", hash_digits({c: n}))
+        draws = spark.range(n_maj).select(F.col("id").alias("draw"),
+                                          (hash_int(seeded_hash(F.col("id"), seed)) % n + 1).alias("__rk"))
+        # The planner broadcasts the ranked class by its size in bytes, else
+        # sort-merge (AQE splits any skewed draw partition).
+        out = out.unionByName(draws.join(ranked, "__rk").drop("__rk"))
+    return out
 
 
 def resample_report(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
