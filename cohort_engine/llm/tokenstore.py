@@ -274,6 +274,19 @@ class ShardFile:
         ok[ok] = self.keys[out[ok]] == keys[ok]         # the stored key settles a false print
         return np.where(ok, out, -1)
 
+    def places(self) -> np.ndarray:
+        """Place of every document, by the index; a repeated key's documents
+        lie behind its first, those without key are in stored order."""
+        out, named = np.arange(self.docs), np.flatnonzero(self.nulls == 0)
+        if len(named):
+            keys, at = self.keys[named], np.arange(len(named))
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], keys[1:] != keys[:-1]]), at, 0))
+            found = self.find(keys)
+            if (found < 0).any():
+                raise ValueError("a stored key is not in the index of its shard")
+            out[named] = found + at - first
+        return out
+
 
 # -- the operator --------------------------------------------------------------
 
@@ -331,22 +344,23 @@ def _each(schema: str, make):
 
 def read_store(manifest: DataFrame) -> DataFrame:
     """Every document of the shards: doc_id, start (ids of all documents
-    before it), n_tokens and the CRC-32 of its ids, read from the files."""
+    before it), n_tokens and the CRC-32 of its ids, read from the files at the
+    place that the shard's index gives for its key."""
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)   # one row per shard
     based = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
 
     def make(row: dict) -> pa.RecordBatch:
         shard = ShardFile(row["path"])
-        crc, step = np.zeros(shard.docs, np.int64), 1024
+        place, crc, step = shard.places(), np.zeros(shard.docs, np.int64), 1024
         for at in range(0, shard.docs, step):
-            to = min(at + step, shard.docs)
-            first = int(shard.starts[at])
-            data = shard.ids(first, int(shard.starts[to]))
-            for r in range(at, to):
-                crc[r] = zlib.crc32(data[shard.starts[r] - first:shard.starts[r + 1] - first])
+            own = place[at:at + step]
+            first = int(shard.starts[own.min()])
+            data = shard.ids(first, int(shard.starts[own.max() + 1]))
+            for r, d in enumerate(own, at):
+                crc[r] = zlib.crc32(data[shard.starts[d] - first:shard.starts[d + 1] - first])
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard.keys.astype(np.int64), mask=shard.nulls.astype(bool)), pa.array(shard.starts[:-1] + row["base"]),
-             pa.array(np.diff(shard.starts)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            [pa.array(shard.keys.astype(np.int64), mask=shard.nulls.astype(bool)), pa.array(shard.starts[place] + row["base"]),
+             pa.array(shard.starts[place + 1] - shard.starts[place]), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (based.repartition(F.col("path"))
             .mapInArrow(*_each("doc_id long, start long, n_tokens long, ids_crc32 long", make)))

@@ -65,3 +65,15 @@ def test_edges(spark, documents, tmpdir_path):
     assert [r["doc_id"] for r in T.lookup(manifest, docs.select("doc_id")).sort("doc_id").collect()] == [1, 2, 3]
     none = T.write_store(documents([]), tmpdir_path + "/none", PATH)
     assert T.read_store(none).count() == 0 and T.lookup(none, docs.select("doc_id")).count() == 0
+
+
+def test_rows_come_through_the_index(spark, documents, tmpdir_path):
+    manifest = T.write_store(documents([(k, f"text {k}") for k in range(9)]).coalesce(1), tmpdir_path, PATH)
+    assert T.read_store(manifest).count() == 9
+    for r in manifest.collect():
+        path = r["path"].removeprefix("file:")
+        data = bytearray(open(path, "rb").read())
+        data[-4 * r["docs"]:] = bytes(4 * r["docs"])      # the index names document 0 for all keys
+        open(path, "wb").write(data)
+    with pytest.raises(Exception, match="not in the index"):
+        T.read_store(manifest).collect()
