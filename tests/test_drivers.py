@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cohort_engine.operators import explain
 from cohort_engine.plans import catalog, modeling
 
-from conftest import SF001
+from places import SF001
 
 
 def test_every_record_is_explained_against_all_medians(spark):

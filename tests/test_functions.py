@@ -160,7 +160,7 @@ def test_distributed_quantiles_equal_exact(spark, monkeypatch):
     monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 50)
     from cohort_engine.operators.quantiles import exact_quantiles
     from cohort_engine.sources import bindings
-    from conftest import SF01
+    from places import SF01
     c = bindings.cohort(spark, SF01)
     cols = ["age", "annual_contribution", "claim_amount", "expected_refills"]
     probs = [0.25, 0.5, 0.75, 1 / 3]
@@ -179,7 +179,7 @@ def test_box_stats_distributed_equals_exact(spark, monkeypatch):
     monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 20)
     from cohort_engine.operators import profile
     from cohort_engine.sources import bindings
-    from conftest import SF01
+    from places import SF01
     f = feat.derive_features(bindings.cohort(spark, SF01))
     a = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group").collect())
     b = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group", method="distributed").collect())
@@ -191,7 +191,7 @@ def test_numeric_summary_methods_agree(spark, monkeypatch):
     monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 50)
     from cohort_engine.operators import profile
     from cohort_engine.sources import bindings
-    from conftest import SF01
+    from places import SF01
     c = bindings.cohort(spark, SF01)
     cols = ["age", "annual_contribution", "claim_amount"]
     a = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None).collect())

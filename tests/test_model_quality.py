@@ -4,7 +4,7 @@ at-risk recall > .55, refill ratio the top feature."""
 from cohort_engine.operators import metrics, models
 from cohort_engine.plans import modeling
 
-from conftest import SF01
+from places import SF01
 
 
 def test_forest_floors(spark):

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 import cohort_engine.plans
 
-from conftest import SF001
+from places import SF001
 
 SLOW = {"fit_gbt", "score_all_models", "cv_auc"}
 CORE = cohort_engine.plans.queries()  # the llm operators have their own tests

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cohort_engine.operators import metrics
 from cohort_engine.sources import bindings
 
-from conftest import SF01
+from places import SF01
 
 
 def plan(df):

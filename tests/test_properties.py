@@ -9,7 +9,7 @@ from cohort_engine.functions import scalar
 from cohort_engine.operators import clean, reports
 from cohort_engine.sources import bindings
 
-from conftest import SF01
+from places import SF01
 
 
 def test_capping_idempotent(spark):

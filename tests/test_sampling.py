@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cohort_engine.operators import sampling
 from cohort_engine.sources import bindings
 
-from conftest import SF01
+from places import SF01
 
 
 def test_split_sizes_and_partition(spark):

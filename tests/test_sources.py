@@ -58,7 +58,7 @@ def test_model_save_load_skip_bad(spark, tmpdir_path):
 def test_publish_split_and_pretty(spark, tmpdir_path):
     from cohort_engine.operators import reports
     from cohort_engine.plans import modeling
-    from conftest import SF001
+    from places import SF001
     out = os.path.join(tmpdir_path, "test_split")
     modeling.publish_split(spark, SF001, out)
     t = spark.read.parquet(out)

@@ -9,7 +9,7 @@ from cohort_engine.plans import pipeline
 from cohort_engine.sources import bindings
 from cohort_engine.streaming.scoring import score_profiles, start_scoring_stream
 
-from conftest import SF001
+from places import SF001
 
 
 def test_stream_matches_batch(spark, tmpdir_path):
