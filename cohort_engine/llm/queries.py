@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from cohort_engine.llm import decontaminate, licenses, lm_score, mixing, ngram_join, passages, quality, tokenstore, topk, warc
+from cohort_engine.llm import (collocations, decontaminate, licenses, lm_score, mixing, near_vectors, ngram_join, passages, quality, tokenstore,
+                               topk, turn_repair, warc)
 from cohort_engine.llm.store import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -208,6 +209,164 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired at the least cost, with the repaired
+    lines' hash.  Conversations that lost all rows have zeros, an empty audit
+    and the hash of an empty text."""
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = turn_repair.repair(spark, turn_repair.damaged(conversations))
+    key = turn_repair.conversation_key(F.col("conv_id"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    report = repaired.report.select(key.alias("conv"), *counts, "audit")
+    ids = conversations.select("conv_id").distinct().select(key.alias("conv"), "conv_id")
+    return (ids.join(report, "conv", "left").join(turn_repair.text_hashes(repaired.turns), "conv", "left")
+            .select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
+def _op11_sql() -> str:
+    """The cheapest edits row by row; a state is its cost, 12 digits, and its
+    audit, so that the least text is the cheapest and ASCII-least."""
+    plus = lambda x, k, a: f"(lpad(CAST(CAST(left({x}, 12) AS BIGINT) + {k} AS VARCHAR), 12, '0') || substr({x}, 13) || '{a}')"
+    least = lambda *x: f"least({', '.join(x)})"
+    user = least("u", plus("z", 2, "I"), plus("s", 2, "I"), plus("a", 2, "I"))
+    asst = least("a", plus("u", 2, "I"), plus("z", 4, "II"), plus("s", 4, "II"))
+    near = least("z", "s", "ia")
+    keep = lambda x, role: f"CASE WHEN r.fault IN (0, 3) AND r.initial = '{role}' THEN {plus(x, 'r.extra', 'K')} END"
+    turn = lambda x: f"CASE WHEN r.fault IN (0, 3) THEN {plus(x, '2 + r.extra', 'R')} END"
+    return rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(CAST(role AS VARCHAR), ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                        lambda c: CAST(ascii(c) AS BIGINT)) AS b
+  FROM conversations
+), kinds AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x:
+      list_reduce(list_prepend(xor(c, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))),
+      CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM src
+), rows_ AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM rows_
+), faults AS (
+  SELECT *, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
+  FROM placed
+), r AS (
+  SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS extra FROM faults
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM r GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '000000000000' AS z, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a
+  FROM counted
+  UNION ALL
+  SELECT q.conv_id, r.pos, {plus("z", 3, "D")}, {least(plus("s", 3, "D"), keep("z", "s"))},
+         {least(plus("iu", 3, "D"), keep(near, "u"), turn(near))}, {least(plus("ia", 3, "D"), keep("iu", "a"), turn("iu"))}
+  FROM (SELECT *, {user} AS iu, {asst} AS ia FROM dp) q JOIN r ON r.conv_id IS NOT DISTINCT FROM q.conv_id AND r.pos = q.pos + 1
+), best AS (
+  SELECT dp.conv_id, {least("z", "a", plus("u", 2, "I"), plus("s", 4, "II"))} AS w
+  FROM dp JOIN counted c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.pos
+), letters AS (
+  SELECT conv_id, unnest(string_split(substr(w, 13), '')) AS letter, generate_subscripts(string_split(substr(w, 13), ''), 1) AS step FROM best
+), steps AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY step) AS pos,
+         count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY step) AS place
+  FROM letters WHERE letter <> ''
+), lines AS (
+  SELECT t.*, r.role, r.text, max(CASE WHEN place = 1 AND letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id) AS led
+  FROM steps t LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.pos = t.pos AND letter <> 'I'
+), hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || coalesce(text, ''), chr(10) ORDER BY step)) AS h
+  FROM lines WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(CAST(left(b.w, 12) AS BIGINT), 0) AS cost,
+       coalesce(substr(b.w, 13), '') AS audit, coalesce(h.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose cosine is 0.95 or more, and their components."""
+    return near_vectors.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), fit AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other
+), comp AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language."""
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+_OP13_GRAMS = "\n  UNION ALL\n  ".join(
+    f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM pieces)"
+    for k in range(1, 6))
+OP13_SQL = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)
+), grams AS (
+  {_OP13_GRAMS}
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 100
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, t.n, x.a AS l, y.a AS r,
+         CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS score, at
+  FROM (SELECT *, unnest(range(1, k)) AS at FROM c) c JOIN total t USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.k = at AND x.phrase = array_to_string(w[1:at], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - at AND y.phrase = array_to_string(w[at + 1:], ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c b, unnest(range(2, b.k)) AS m(size), unnest(range(1, b.k - m.size + 2)) AS o(start)
+  JOIN c s ON s.lang = b.lang AND s.k = m.size AND s.phrase = array_to_string(b.w[o.start:o.start + m.size - 1], ' ')
+  WHERE 100 * b.a >= 100 * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored
+  ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -225,9 +384,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_license_scan": op10_license_scan,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_warc": OP7_SQL, "op9_exact_topk": OP9_SQL,
+                       "op11_turn_repair": _op11_sql(), "op12_near_vectors": OP12_SQL, "op13_collocations": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
