@@ -254,9 +254,11 @@ WITH RECURSIVE src AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM rows_
 ), faults AS (
   SELECT *, left(role, 1) AS initial,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1
               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
-              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault,
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault,
          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
   FROM placed
 ), r AS (
@@ -349,12 +351,12 @@ WITH pieces AS (
   SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 100
 ), cuts AS (
   SELECT c.lang, c.k, c.phrase, c.a, t.n, x.a AS l, y.a AS r,
-         CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS score, at
-  FROM (SELECT *, unnest(range(1, k)) AS at FROM c) c JOIN total t USING (lang)
-  JOIN f x ON x.lang = c.lang AND x.k = at AND x.phrase = array_to_string(w[1:at], ' ')
-  JOIN f y ON y.lang = c.lang AND y.k = c.k - at AND y.phrase = array_to_string(w[at + 1:], ' ')
+         CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS score, cut
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN total t USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(w[cut + 1:], ' ')
 ), scored AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), inside AS (
   SELECT DISTINCT s.lang, s.phrase FROM c b, unnest(range(2, b.k)) AS m(size), unnest(range(1, b.k - m.size + 2)) AS o(start)
   JOIN c s ON s.lang = b.lang AND s.k = m.size AND s.phrase = array_to_string(b.w[o.start:o.start + m.size - 1], ' ')
