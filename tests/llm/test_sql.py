@@ -5,7 +5,7 @@ import pytest
 from cohort_engine.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -34,4 +34,4 @@ def test_matches_sql(spark, con, name):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in Q.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in Q.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in Q.queries()
