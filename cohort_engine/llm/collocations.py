@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohort_engine.llm import textkit
-from cohort_engine.llm.decontaminate import bit_table, in_table
+from cohort_engine.llm.decontaminate import in_table
 from cohort_engine.llm.store import written
 
 LEAST = 100                     # occurrences of a phrase
@@ -33,7 +33,8 @@ BEST = 2000                     # phrases of a language in the report
 SAMPLE = 0.125                  # share of the documents that proposes
 LOWERED = 0.4                   # sample threshold, of the share's part of LEAST
 LEAST_BITS, MOST_BITS = 25, 28  # bits of a proposal table: 4 to 32 MB
-HELD = 1 << 20                  # counts a task holds before it passes them on
+HELD = 1 << 18                  # counts of one length a task holds before it passes them on
+SLICE_BYTES = 1 << 20           # text bytes whose phrases are hashed at a time
 SALTS = 64
 U64 = np.uint64
 
@@ -90,7 +91,7 @@ class Grams:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
     for batch in batches:
-        for part in textkit.slices(batch, "text"):
+        for part in textkit.slices(batch, "text", SLICE_BYTES):
             yield Grams(part.column("text"), part.column("lang"))
 
 
@@ -141,7 +142,13 @@ class Table:
     def __init__(self, spark: SparkSession, hashes: DataFrame):
         n = hashes.count()
         self.bits = min(max(LEAST_BITS, (16 * n).bit_length()), MOST_BITS)
-        self.data = spark.sparkContext.broadcast(bit_table(hashes.select("h"), self.bits))
+        at = F.shiftrightunsigned("h", 64 - self.bits)
+        parts = (hashes.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+                 .collect())                    # 2 ** (bits - 15) rows of 4 KB at most
+        table = np.zeros(1 << (self.bits - 3), np.uint8)
+        for p in parts:
+            table[p["part"] << 12:(p["part"] + 1) << 12] = np.frombuffer(p["bits"], np.uint8)
+        self.data = spark.sparkContext.broadcast(table)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         return in_table(self.data.value, hashes, self.bits)
