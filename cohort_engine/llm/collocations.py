@@ -35,6 +35,7 @@ LOWERED = 0.4                   # sample threshold, of the share's part of LEAST
 LEAST_BITS, MOST_BITS = 25, 28  # bits of a proposal table: 4 to 32 MB
 HELD = 1 << 18                  # counts of one length a task holds before it passes them on
 SLICE_BYTES = 1 << 20           # text bytes whose phrases are hashed at a time
+SPELLED = 1 << 19              # phrases a task holds before it passes them on
 SALTS = 64
 U64 = np.uint64
 
@@ -246,7 +247,7 @@ def _spell(table: Table, words: int):
                 for p, count in zip(at[first].tolist(), n.tolist()):
                     key = (g.names[g.row[p]], k, g.phrase(p, k))
                     held[key] = held.get(key, 0) + count
-            if len(held) > HELD // 2:
+            if len(held) > SPELLED:
                 yield out(held)
                 held = {}
         if held:
