@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, explain, metrics, models, profile, reports, sampling, score, stats
+from cohort_engine.operators import clean, explain, metrics, models, profile, reports, sampling, score, smote, stats
 from cohort_engine.operators import features as feat
 from cohort_engine.plans import bi, modeling, pipeline
 from cohort_engine.plans.registry import register
@@ -1001,6 +1001,55 @@ def q_resample_report(spark, sf_dir):
     return sampling.resample_report(c, sampling.random_oversample(c, "adherent", "patient_id", 42), "adherent")
 
 
+_SMOTE = ("age", "num_medications", "refills_received", "annual_contribution", "claim_amount")
+_SMOTE_KNN = """
+fit AS (
+  SELECT patient_id, adherent, {cols} FROM cohort
+  WHERE annual_contribution IS NOT NULL AND claim_amount IS NOT NULL AND age IS NOT NULL AND num_medications IS NOT NULL
+    AND refills_received IS NOT NULL
+), pairs AS (
+  SELECT a.adherent, a.patient_id AS key, b.patient_id AS neighbour, {distance} AS distance2
+  FROM fit a JOIN fit b ON a.adherent = b.adherent AND a.patient_id <> b.patient_id
+), knn AS (
+  SELECT adherent, key, row_number() OVER (PARTITION BY key ORDER BY distance2, neighbour) AS rank, neighbour, distance2 FROM pairs
+  QUALIFY rank <= 5
+)""".format(cols=", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SMOTE),
+            distance="(" * len(_SMOTE) + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c}))" for c in _SMOTE))
+
+
+@register("smote_knn", ids="R3", round6=("distance2",), sql=with_(COHORT + "," + _SMOTE_KNN, """
+SELECT CAST(adherent AS VARCHAR) AS cls, key, CAST(rank AS INTEGER) AS rank, neighbour, distance2 FROM knn"""))
+def q_smote_knn(spark, sf_dir):
+    return smote.smote_knn(bindings.cohort(spark, sf_dir), "adherent", "patient_id", _SMOTE)
+
+
+_HASH15 = "CAST(('0x' || substr(md5('42|{}|' || CAST(i AS VARCHAR)), 1, 15)) AS BIGINT)"
+_SMOTE_SQL = with_(COHORT + "," + _SMOTE_KNN + """,
+cc AS (SELECT adherent, count(*) AS n FROM cohort GROUP BY adherent),
+small AS (
+  SELECT cc.adherent, (SELECT max(n) FROM cc) - cc.n AS want, count(fit.patient_id) AS n
+  FROM cc LEFT JOIN fit ON fit.adherent = cc.adherent WHERE cc.n < (SELECT max(n) FROM cc) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY adherent ORDER BY md5('42|' || CAST(patient_id AS VARCHAR)), patient_id) AS rk FROM fit
+), draws AS (
+  SELECT small.adherent, i AS draw, """ + _HASH15.format("base") + """ % n + 1 AS rk, """ + _HASH15.format("near") + """ % least(5, n - 1) + 1 AS rank,
+         CAST(""" + _HASH15.format("u") + """ AS DOUBLE) / 1152921504606846976.0::DOUBLE AS u
+  FROM small, unnest(range(0, want)) AS t(i)
+)""", """
+SELECT patient_id, adherent, {plain}, CAST(NULL AS BIGINT) AS draw, CAST(NULL AS BIGINT) AS base, CAST(NULL AS BIGINT) AS neighbour, CAST(NULL AS DOUBLE) AS u
+FROM cohort
+UNION ALL
+SELECT NULL, d.adherent, {mixed}, d.draw, x.patient_id, y.patient_id, d.u
+FROM draws d JOIN ranked x ON x.adherent = d.adherent AND x.rk = d.rk
+JOIN knn ON knn.key = x.patient_id AND knn.rank = d.rank JOIN fit y ON y.patient_id = knn.neighbour""".format(
+    plain=", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SMOTE), mixed=", ".join(f"x.{c} + d.u * (y.{c} - x.{c}) AS {c}" for c in _SMOTE)))
+
+
+@register("smote_oversample", ids="R3,R5", round6=(*_SMOTE, "u"), sql=_SMOTE_SQL)
+def q_smote_oversample(spark, sf_dir):
+    return smote.smote_oversample(bindings.cohort(spark, sf_dir), "adherent", "patient_id", _SMOTE)
+
+
 # --------------------------------------------------------------------------
 # Models (M1-M9, ST6, ST7): MLlib PipelineModels; results are not bit-equal
 # to other libraries (binned splits, RNG), so these get the rows-only check
