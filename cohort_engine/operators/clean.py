@@ -1,14 +1,11 @@
 """Cleaning as fit -> transform pairs.
 
-Every ``fit_*`` runs ONE aggregate over all requested columns and returns a
-small frozen parameter object (a few numbers per column) — the only data
+Every ``fit_*`` reads all requested columns together and returns a small frozen
+parameter object (a few numbers per column) — the only data
 that ever reaches the driver.  Every ``transform`` is a projection.
 
-Quantile methods: ``exact`` (default, ``percentile``: one value->count map
-per column merged in one task, fine to ~10^7 distinct values),
-``distributed`` (same exact values via distinct counts + bucketed running
-counts, no single-task map — for high-cardinality columns at scale) and
-``approx`` (``percentile_approx``, bounded memory, rank error 1/accuracy).
+Quantiles are exact (``quantiles``: radix selection, aggregates of fixed size);
+``method='approx'`` asks for ``percentile_approx`` (rank error 1/accuracy).
 """
 
 from __future__ import annotations
@@ -16,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from cohort_engine.functions.scalar import clip
+from cohort_engine.operators.quantiles import exact_quantiles
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -35,12 +33,26 @@ def categorical_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, StringType) and f.name not in exclude]
 
 
-def _quantiles(c: str, probs: Sequence[float], method: str, accuracy: int = 100_000) -> Column:
-    x = F.col(c).cast("double")
-    arr = F.array(*[F.lit(float(p)) for p in probs])
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact") -> dict[str, list]:
+    """{column: [quantile per prob]}, None where a column has no value."""
     if method == "approx":
-        return F.percentile_approx(x, arr, accuracy)
-    return F.percentile(x, arr)
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), arr, 100_000).alias(c) for c in cols]).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
+    return exact_quantiles(df, cols, probs)
+
+
+def modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent value of each text column, ties to the smallest (None for
+    an all-null column).  Values are counted by (column, value), partly before
+    the shuffle, so no column's values meet in one task."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("s"))
+    n = pairs.select("s.c", "s.v").filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("v")).collect()
+    return {c: None for c in cols} | {r["c"]: r["v"] for r in best}
 
 
 # ---------------------------------------------------------------- C1-C3
@@ -54,25 +66,11 @@ class ImputeParams:
 def fit_impute(df: DataFrame, num_cols: Sequence[str] | None = None, cat_cols: Sequence[str] | None = None,
                exclude: Sequence[str] = (), method: str = "exact") -> ImputeParams:
     """Medians of numeric columns and modes (ties -> smallest value) of
-    categorical columns, one aggregate for all of them."""
+    categorical columns."""
     num_cols = list(num_cols) if num_cols is not None else numeric_columns(df, exclude)
     cat_cols = list(cat_cols) if cat_cols is not None else categorical_columns(df, exclude)
-    if method == "distributed":
-        from cohort_engine.operators.quantiles import exact_quantiles
-        med = {c: v[0] for c, v in exact_quantiles(df, num_cols, [0.5]).items()} if num_cols else {}
-        modes = fit_impute(df, [], cat_cols).modes if cat_cols else {}
-        return ImputeParams(med, modes)
-    aggs = []
-    for c in num_cols:
-        m = (F.median(F.col(c).cast("double")) if method == "exact"
-             else F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000))
-        aggs.append(m.alias(f"m__{c}"))
-    for c in cat_cols:
-        aggs.append(F.mode(F.col(c), True).alias(f"o__{c}"))
-    if not aggs:
-        return ImputeParams()
-    row = df.agg(*aggs).first()
-    return ImputeParams({c: row[f"m__{c}"] for c in num_cols}, {c: row[f"o__{c}"] for c in cat_cols})
+    med = {c: q[0] for c, q in quantiles(df, num_cols, [0.5], method).items()} if num_cols else {}
+    return ImputeParams(med, modes(df, cat_cols))
 
 
 def impute(df: DataFrame, params: ImputeParams) -> DataFrame:
@@ -85,13 +83,6 @@ def impute(df: DataFrame, params: ImputeParams) -> DataFrame:
     return df.withColumns(repl) if repl else df
 
 
-def impute_values(params: ImputeParams, spark) -> DataFrame:
-    """Fitted values as a (column, kind, value) table for reports."""
-    rows = [(c, "median", None if v is None else str(v)) for c, v in params.medians.items()]
-    rows += [(c, "mode", v) for c, v in params.modes.items()]
-    return spark.createDataFrame(rows, "column string, kind string, value string")
-
-
 def null_total(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Total remaining nulls over all columns, one pass."""
     cols = list(cols) if cols is not None else df.columns
@@ -133,17 +124,9 @@ OUTLIER_COLS = ("age", "annual_contribution", "claim_amount", "expected_refills"
 
 
 def fences_frame(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "exact") -> DataFrame:
-    """C5 as a table (column, q1, q3, lower, upper): one aggregate, unpivoted."""
+    """C5 as a table (column, q1, q3, lower, upper)."""
     cols = [c for c in cols if c in df.columns]
-    if method == "distributed":
-        from cohort_engine.operators.quantiles import exact_quantiles
-        q = exact_quantiles(df, cols, (0.25, 0.75))
-        row = df.sparkSession.createDataFrame([tuple(q[c] for c in cols)],
-                                              ", ".join(f"`{c}` array<double>" for c in cols))
-    else:
-        row = df.agg(*[_quantiles(c, (0.25, 0.75), method).alias(c) for c in cols])
-    long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q"))
-                                          for c in cols])).alias("s")).select("s.column", "s.q")
+    long = df.sparkSession.createDataFrame(list(quantiles(df, cols, (0.25, 0.75), method).items()), "column string, q array<double>")
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return long.select("column", q1.alias("q1"), q3.alias("q3"),
                        (q1 - F.lit(k) * (q3 - q1)).alias("lower"),

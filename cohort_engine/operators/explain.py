@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort_engine.operators.quantiles import exact_quantiles
+
 # Verdict texts and feature display names of the explanation view.
 DIRECTION = ("Supports adherence", "Raises risk")
 FEATURE_LABELS = {
@@ -43,14 +45,11 @@ def feature_label(col):
 
 def baseline_medians(df: DataFrame, features: Sequence[str]) -> dict:
     """Exact population medians of the features (fitted parameter)."""
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features]).first()
-    return {c: row[c] for c in features}
+    return {c: q[0] for c, q in exact_quantiles(df, features, [0.5]).items()}
 
 
 def medians_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("median"))
-                                          for c in features])).alias("s")).select("s.feature", "s.median")
+    return df.sparkSession.createDataFrame(list(baseline_medians(df, features).items()), "feature string, median double")
 
 
 def counterfactuals(df: DataFrame, key: str, features: Sequence[str], medians: dict) -> DataFrame:

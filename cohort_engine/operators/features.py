@@ -21,6 +21,7 @@ from cohort_engine.functions.scalar import (
     guarded_ratio,
     nonneg_gap,
 )
+from cohort_engine.operators.quantiles import exact_quantiles
 
 FEATURE_COLS = ["refill_ratio", "financial_burden", "age_group", "medication_complexity",
                 "supply_category", "refill_gap"]
@@ -66,8 +67,8 @@ class BucketRule:
 
 
 def fit_bucket_rules(df: DataFrame, ranges: dict | None = None, q: int = 3) -> dict[str, BucketRule]:
-    """One aggregate: per column, is *every* value inside its valid range
-    (null counts as outside), plus the quantile edges used otherwise."""
+    """Per column, is *every* value inside its valid range (null counts as
+    outside), plus the quantile edges used otherwise."""
     ranges = ranges or VALID_RANGES
     cols = [c for c in ranges if c in df.columns]
     if not cols:
@@ -77,12 +78,12 @@ def fit_bucket_rules(df: DataFrame, ranges: dict | None = None, q: int = 3) -> d
     for c in cols:
         lo, hi = ranges[c]
         aggs.append(F.min(F.coalesce(F.col(c).between(lo, hi), F.lit(False)).cast("int")).alias(f"{c}__ok"))
-        aggs.append(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"{c}__q"))
     row = df.agg(*aggs).first()
+    edges_of = exact_quantiles(df, cols, probs)
     rules = {}
     for c in cols:
         ok = row[f"{c}__ok"]
-        edges = tuple(row[f"{c}__q"] or ())
+        edges = tuple(x for x in edges_of[c] if x is not None)
         rules[c] = BucketRule(c, bool(ok == 1), edges)
     return rules
 

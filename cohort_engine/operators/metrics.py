@@ -56,12 +56,11 @@ def _distinct_scores(scores, by, y, score_expr, positive):
             .agg(F.sum("__pos").alias("pos"), F.sum(F.lit(1) - F.col("__pos")).alias("neg")))
 
 
-def roc_auc(scores: DataFrame, by="model", y: str = "y", p: str = "p",
-            buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+def roc_auc(scores: DataFrame, by="model", y: str = "y", p: str = "p") -> DataFrame:
     """K4: ROC-AUC with ties counted half: sum over distinct scores of
     pos * (negatives below + neg/2), divided by P*N."""
     d = _distinct_scores(scores, by, y, F.col(p).cast("double"), 1)
-    cum = rankcum.cumulative(d, _l(by), "s", ["neg"], descending=False, buckets=buckets)
+    cum = rankcum.cumulative(d, _l(by), "s", ["neg"], descending=False)
     below = F.col("cum_neg") - F.col("neg")
     # null for a group with one class only
     return cum.groupBy(*_l(by)).agg(
@@ -69,13 +68,12 @@ def roc_auc(scores: DataFrame, by="model", y: str = "y", p: str = "p",
                      F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame, by="model", y: str = "y", p: str = "p", positive: int = 0,
-                      buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+def average_precision(scores: DataFrame, by="model", y: str = "y", p: str = "p", positive: int = 0) -> DataFrame:
     """K5: step-wise average precision sum(dR * P) for ``positive`` class.
     For class 0 the score is 1 - p (as the reference flips scores)."""
     s = (F.lit(1.0) - F.col(p).cast("double")) if positive == 0 else F.col(p).cast("double")
     d = _distinct_scores(scores, by, y, s, positive)
-    cum = rankcum.cumulative(d, _l(by), "s", ["pos", "neg"], descending=True, buckets=buckets)
+    cum = rankcum.cumulative(d, _l(by), "s", ["pos", "neg"], descending=True)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     name = "pr_auc_at_risk" if positive == 0 else "average_precision"
     return cum.groupBy(*_l(by)).agg(
@@ -83,13 +81,12 @@ def average_precision(scores: DataFrame, by="model", y: str = "y", p: str = "p",
         .alias(name))
 
 
-def roc_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", drop_intermediate: bool = True,
-               buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+def roc_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", drop_intermediate: bool = True) -> DataFrame:
     """K8: ROC curve (threshold, fpr, tpr) per group, descending thresholds,
     starting at (0, 0) with a null threshold.  ``drop_intermediate`` drops
     points where neither count changes its step (collinear points)."""
     d = _distinct_scores(scores, by, y, F.col(p).cast("double"), 1)
-    cum = rankcum.cumulative(d, _l(by), "s", ["pos", "neg"], descending=True, buckets=buckets,
+    cum = rankcum.cumulative(d, _l(by), "s", ["pos", "neg"], descending=True,
                              with_next=True)
     tot = d.groupBy(*_l(by)).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"),
                                  F.max("s").alias("__top"))
@@ -108,14 +105,13 @@ def roc_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", drop_i
     return curve.unionByName(start)
 
 
-def pr_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", positive: int = 0,
-              buckets: int | None = rankcum.DEFAULT_BUCKETS) -> DataFrame:
+def pr_points(scores: DataFrame, by="model", y: str = "y", p: str = "p", positive: int = 0) -> DataFrame:
     """K9: precision-recall curve for ``positive`` (class 0 uses score 1 - p):
     one point per distinct threshold plus the closing point (recall 0,
     precision 1, null threshold)."""
     s = (F.lit(1.0) - F.col(p).cast("double")) if positive == 0 else F.col(p).cast("double")
     d = _distinct_scores(scores, by, y, s, positive)
-    cum = rankcum.cumulative(d, _l(by), "s", ["pos", "neg"], descending=True, buckets=buckets)
+    cum = rankcum.cumulative(d, _l(by), "s", ["pos", "neg"], descending=True)
     tot = d.groupBy(*_l(by)).agg(F.sum("pos").alias("__P"))
     j = cum.join(tot, _l(by))
     prec = F.coalesce(F.try_divide(F.col("cum_pos").cast("double"),
@@ -163,7 +159,7 @@ def class_report(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_ha
 
 
 def model_metrics(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_hat", p: str = "p",
-                  digits: int | None = 4, buckets: int | None = rankcum.DEFAULT_BUCKETS,
+                  digits: int | None = 4,
                   materialize: bool = True) -> DataFrame:
     """One row per model: accuracy, precision, recall, at-risk recall,
     F1, ROC-AUC and PR-AUC (at-risk), rounded to ``digits``.  The three
@@ -173,8 +169,8 @@ def model_metrics(scores: DataFrame, by="model", y: str = "y", y_hat: str = "y_h
         from cohort_engine.session import cut_lineage
         scores = cut_lineage(scores.select(*_l(by), y, y_hat, p))
     cm = class_metrics(scores, by, y, y_hat)
-    auc = roc_auc(scores, by, y, p, buckets)
-    ap = average_precision(scores, by, y, p, 0, buckets)
+    auc = roc_auc(scores, by, y, p)
+    ap = average_precision(scores, by, y, p, 0)
     out = cm.join(auc, _l(by)).join(ap, _l(by))
     if digits is not None:
         out = out.select(*_l(by), *[F.round(F.col(c), digits).alias(c) for c in out.columns if c not in _l(by)])

@@ -9,9 +9,11 @@ can never pair a model with the wrong scaler or column list.
 from __future__ import annotations
 
 import logging
+import math
 import os
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -21,11 +23,10 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_engine.operators import clean
+from cohort_engine.operators import clean, irls
 
 log = logging.getLogger(__name__)
 
@@ -87,16 +88,6 @@ def fit_model(train: DataFrame, features: Sequence[str], name: str, label: str =
     return Pipeline(stages=[sql, asm, est]).fit(train)
 
 
-def fit_models(train: DataFrame, features: Sequence[str], names: Sequence[str] | None = None,
-               label: str = "label", scale: bool = True) -> dict[str, PipelineModel]:
-    """M1-M4: fit every requested spec on the same (persisted) training table."""
-    train = train.persist()
-    try:
-        return {nm: fit_model(train, features, nm, label, scale) for nm in (names or list(MODEL_SPECS))}
-    finally:
-        train.unpersist()
-
-
 def score(model: PipelineModel, df: DataFrame, key: str, label: str = "label", name: str = "model",
           threshold: float = 0.5) -> DataFrame:
     """M6: probability of class 1 and the hard prediction, one transform."""
@@ -148,20 +139,15 @@ def load_models(path: str, names: Sequence[str]) -> dict[str, PipelineModel]:
 
 def glm_summary(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """ST6: inferential binomial GLM (logit): coefficient, SE, z, p per term
-    plus deviance and AIC, from MLlib's IRLS fit (one pass per iteration)."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features")
-    data = asm.transform(df.select(F.col(label).cast("double").alias("label"), *features))
-    m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
-                                    labelCol="label", maxIter=100).fit(data)
-    s = m.summary
-    names = ["(Intercept)"] + list(features)
-    coef = [m.intercept] + list(m.coefficients)
-    # MLlib lists the intercept's statistics last.
-    se = [s.coefficientStandardErrors[-1]] + list(s.coefficientStandardErrors[:-1])
-    z = [s.tValues[-1]] + list(s.tValues[:-1])
-    p = [s.pValues[-1]] + list(s.pValues[:-1])
-    rows = [(nm, float(c), float(e), float(t), float(pv), float(s.deviance), float(s.nullDeviance), float(s.aic))
-            for nm, c, e, t, pv in zip(names, coef, se, z, p)]
+    plus deviance and AIC, from Newton steps (``irls``); rows with a null in
+    any column are left out."""
+    m = irls.fit(df, label, features)
+    se = np.sqrt(np.clip(np.diag(m.inverse), 0.0, None))
+    rows = []
+    for t, c, e in zip(m.terms, m.beta.tolist(), se.tolist()):
+        z = c / e if e else None
+        p = None if z is None else math.erfc(abs(z) / math.sqrt(2))
+        rows.append((t, c, e, z, p, m.deviance, m.null_deviance, m.deviance + 2 * len(m.terms)))
     return df.sparkSession.createDataFrame(
         rows, "term string, coefficient double, std_error double, z double, p_value double, "
               "deviance double, null_deviance double, aic double")

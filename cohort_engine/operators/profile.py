@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort_engine.operators import clean
 from cohort_engine.operators.clean import numeric_columns
+from cohort_engine.operators.quantiles import grouped_quantiles
 
 
 def _list(x):
@@ -66,24 +68,14 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = 2,
                     method: str = "exact") -> DataFrame:
-    """A4: count, mean, sample sd, min, quartiles, max per numeric column —
-    one aggregate (exact linear-interpolated quartiles by default;
-    ``method='distributed'`` for exact quartiles of high-cardinality columns,
-    ``'approx'`` for bounded-memory sketches)."""
+    """A4: count, mean, sample sd, min, quartiles, max per numeric column
+    (exact linear-interpolated quartiles; ``method='approx'`` for sketches)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    dq = None
-    if method == "distributed":
-        from cohort_engine.operators.quantiles import exact_quantiles
-        dq = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+    quartiles = clean.quantiles(df, cols, (0.25, 0.5, 0.75), method)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        if dq is not None:
-            q = F.array(*[F.lit(v).cast("double") for v in dq[c]])
-        elif method == "exact":
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000)
+        q = F.array(*[F.lit(v).cast("double") for v in quartiles[c]])
         aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"),
                              F.max(x).alias("max")).alias(f"s{i}"))
@@ -141,27 +133,14 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None,
                          (F.col("__lo") + (F.col("bin") + 1) * width).alias("hi_edge"), "n")
 
 
-def box_stats(df: DataFrame, value: str, by, k: float = 1.5, method: str = "exact") -> DataFrame:
+def box_stats(df: DataFrame, value: str, by, k: float = 1.5) -> DataFrame:
     """Per group quartiles, whiskers (extreme points inside the 1.5 IQR
-    fences) and outlier count.  Two aggregates: quartiles per group, then —
-    after a join with the k-row quartile table — conditional
-    min/max/count per group."""
+    fences) and outlier count.  Quartiles per group by running counts over range partitions, then — after
+    a join with the k-row quartile table — conditional min/max/count per group."""
     by = _list(by)
     x = F.col(value).cast("double")
     src = df.filter(x.isNotNull())
-    if method == "distributed":
-        # exact quartiles per group without a per-group value map in one task
-        from cohort_engine.operators.quantiles import grouped_quantiles
-        got = grouped_quantiles(src, [value], (0.25, 0.5, 0.75), by)
-        schema = src.select(*by).schema
-        qrows = [(*key[1:], v) for key, v in got.items()]
-        from pyspark.sql.types import ArrayType, DoubleType
-        qtab = df.sparkSession.createDataFrame(qrows, schema.add("__q", ArrayType(DoubleType())))
-        counts = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        q = counts.join(qtab, by)
-    else:
-        q = src.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
-                                 F.count(F.lit(1)).alias("n"))
+    q = grouped_quantiles(src, [value], (0.25, 0.5, 0.75), by).withColumnRenamed("q", "__q")
     q = q.select(*by, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                  F.col("__q")[2].alias("q3"))
     lo = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, explain, metrics, models, profile, reports, sampling, score, smote, stats
+from cohort_engine.operators import clean, explain, irls, metrics, models, profile, reports, sampling, score, smote, stats
 from cohort_engine.operators import features as feat
 from cohort_engine.plans import bi, modeling, pipeline
 from cohort_engine.plans.registry import register
@@ -948,15 +948,17 @@ _RANKED = """
   FROM cohort
 )"""
 
-_SPLIT_SQL = with_(COHORT, _RANKED.replace("\n, ranked AS", ", ranked AS", 1) + """,
+_SPLIT_CTES = _RANKED.replace("\n, ranked AS", ", ranked AS", 1) + """,
 cc AS (SELECT adherent, count(*) AS n FROM cohort GROUP BY adherent),
 tot AS (SELECT sum(n) AS total, sum(n) - CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_train FROM cc),
 fl AS (SELECT adherent, n, n_train, floor(n_train * n / total) AS fl,
               n_train * n / total - floor(n_train * n / total) AS frac FROM cc, tot),
 al AS (SELECT adherent, n - (fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, CAST(adherent AS VARCHAR))
-                                       <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS test_size FROM fl)
-SELECT r.patient_id, r.adherent, CASE WHEN r.rk <= al.test_size THEN 'test' ELSE 'train' END AS split
-FROM ranked r JOIN al ON r.adherent = al.adherent""")
+                                       <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS test_size FROM fl)"""
+_SPLIT_LAST = """SELECT r.patient_id, r.adherent, CASE WHEN r.rk <= al.test_size THEN 'test' ELSE 'train' END AS split
+FROM ranked r JOIN al ON r.adherent = al.adherent"""
+_SPLIT_SQL = with_(COHORT, _SPLIT_CTES + _SPLIT_LAST)
+_SPLIT_SQL_CTES = COHORT + _SPLIT_CTES + ", parted AS (" + _SPLIT_LAST + ")"
 
 
 @register("stratified_split", ids="R1,S9", sql=_SPLIT_SQL)
@@ -1081,21 +1083,21 @@ def q_score_all_models(spark, sf_dir):
 
 @register("cv_auc", ids="M5,R4")
 def q_cv_auc(spark, sf_dir):
-    """5-fold stratified CV ROC-AUC (mean, population sd) of the logistic
-    model on the training split; each fold fits on the other four."""
+    """5-fold stratified CV ROC-AUC (mean, population sd) of all four models on
+    the training split; each fold fits on the other four, oversampled there."""
     train, _ = modeling.train_test(spark, sf_dir, oversample=False)
-    folds = sampling.stratified_folds(train, modeling.LABEL, modeling.KEY, 5, 42).persist()
-    feats = modeling.feature_names(train)
-    parts = []
-    for f in range(5):
-        m = models.fit_model(folds.filter(F.col("fold") != f), feats, "Logistic Regression")
-        parts.append(models.score(m, folds.filter(F.col("fold") == f), modeling.KEY, name=f"fold{f}"))
-    s = parts[0]
-    for p in parts[1:]:
-        s = s.unionByName(p)
-    auc = metrics.roc_auc(s)
-    return auc.agg(F.avg("roc_auc").alias("cv_auc_mean"), F.stddev_pop("roc_auc").alias("cv_auc_sd"),
-                   F.count(F.lit(1)).alias("folds"))
+    return modeling.cross_validate(train, list(models.MODEL_SPECS), 5, 42)
+
+
+@register("cv_folds", ids="M5,R4", sql=with_(_SPLIT_SQL_CTES, """
+SELECT fold, adherent AS label, count(*) AS n FROM (
+  SELECT adherent, (row_number() OVER (PARTITION BY adherent ORDER BY md5('42|' || CAST(patient_id AS VARCHAR)), patient_id) - 1) % 5 AS fold
+  FROM parted WHERE split = 'train')
+GROUP BY ALL"""))
+def q_cv_folds(spark, sf_dir):
+    """Rows of every fold and class of the cross-validation."""
+    train, _ = modeling.train_test(spark, sf_dir, oversample=False)
+    return modeling.folds(train, 5, 42).groupBy(F.col("fold").cast("long").alias("fold"), modeling.LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("feature_importance", ids="M9,W3")
@@ -1108,8 +1110,26 @@ _GLM_FEATURES = ["refill_ratio", "burden_r", "age", "gender_male", "long_supply"
 
 @register("glm_summary", ids="ST6,F9")
 def q_glm_summary(spark, sf_dir):
-    rf = feat.indicators(r_features(spark, sf_dir)).filter(F.col("burden_r").isNotNull())
-    return models.glm_summary(rf, "adherent", _GLM_FEATURES)
+    return models.glm_summary(_complete_glm(spark, sf_dir), "adherent", _GLM_FEATURES)
+
+
+def _complete_glm(spark, sf_dir):
+    return feat.indicators(r_features(spark, sf_dir)).filter(F.col("burden_r").isNotNull())
+
+
+_GLM_SQL = {"(Intercept)": "1.0", "refill_ratio": "refill_ratio", "burden_r": "burden_r", "age": "age", "gender_male": "CAST(gender = 'Male' AS INTEGER)",
+            "long_supply": "CAST(days_supply = 90 AS INTEGER)", "high_med": "CAST(num_medications >= 5 AS INTEGER)"}
+
+
+@register("glm_score_equations", ids="ST6,M1", round6=("total",), sql=with_(RFEAT + """,
+g AS (SELECT adherent, {} FROM rfeat), h AS (SELECT * FROM g WHERE {})""".format(
+    ", ".join(f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(_GLM_SQL.values())),
+    " AND ".join(f"x{i} IS NOT NULL" for i in range(len(_GLM_SQL)))), "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS term, count(*) AS n, sum(CASE WHEN adherent = 1 THEN x{i} ELSE 0.0 END) AS total FROM h" for i, t in enumerate(_GLM_SQL))))
+def q_glm_score_equations(spark, sf_dir):
+    """Fitted totals of every term; at the optimum those of the positive rows."""
+    rf = _complete_glm(spark, sf_dir)
+    return irls.fitted_totals(rf, "adherent", _GLM_FEATURES, irls.fit(rf, "adherent", _GLM_FEATURES))
 
 
 @register("odds_ratios", ids="ST7")
@@ -1402,8 +1422,7 @@ GROUP BY q.age_group, q.adherence_label, n, q1, median, q3""".replace("\n, q AS"
 def q_box_stats_by_age_label(spark, sf_dir):
     """Two-key box statistics (the statistics script's burden-by-age-and-label
     chart), R burden form; exact quartiles computed without per-group maps."""
-    return profile.box_stats(r_features(spark, sf_dir), "burden_r", ["age_group", "adherence_label"],
-                             method="distributed")
+    return profile.box_stats(r_features(spark, sf_dir), "burden_r", ["age_group", "adherence_label"])
 
 
 
@@ -1424,7 +1443,7 @@ def q_claims_box_stats(spark, sf_dir):
     flag holds about half the rows) with exact quartiles computed without a
     per-group value map in one task."""
     li = bindings.table(spark, sf_dir, "lineitem", ["l_returnflag", "l_extendedprice"])
-    return profile.box_stats(li, "l_extendedprice", "l_returnflag", method="distributed")
+    return profile.box_stats(li, "l_extendedprice", "l_returnflag")
 
 
 

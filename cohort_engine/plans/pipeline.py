@@ -30,9 +30,9 @@ class CleaningParams:
 
 def fit_cleaning(raw: DataFrame, key: str = "patient_id", target: str = "adherent",
                  max_levels: int = clean.MAX_LEVELS) -> CleaningParams:
-    """All fitted parameters of the cleaning + feature stages in TWO
-    aggregates: (1) on the raw rows — bucket-range checks and quantile edges,
-    medians, modes and a level-count bound per categorical; (2) on the
+    """All fitted parameters of the cleaning + feature stages: (1) on the raw
+    rows — bucket-range checks, quantile edges and medians (one selection for
+    all columns), modes and a level-count bound per categorical; (2) on the
     imputed rows — IQR quartiles and the sorted level sets (built only after
     the bound in (1) holds)."""
     num = clean.numeric_columns(raw, (key, target))
@@ -43,25 +43,19 @@ def fit_cleaning(raw: DataFrame, key: str = "patient_id", target: str = "adheren
     a1 = []
     for c, (lo, hi) in ranges.items():
         a1.append(F.min(F.coalesce(F.col(c).between(lo, hi), F.lit(False)).cast("int")).alias(f"ok__{c}"))
-        a1.append(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q__{c}"))
-    a1 += [F.median(F.col(c).cast("double")).alias(f"m__{c}") for c in num]
-    a1 += [F.mode(F.col(c), True).alias(f"o__{c}") for c in cat]
     a1 += [F.approx_count_distinct(c).alias(f"d__{c}") for c in enc_cols]
-    r1 = raw.agg(*a1).first()
-    rules = {c: feat.BucketRule(c, r1[f"ok__{c}"] == 1, tuple(r1[f"q__{c}"] or ())) for c in ranges}
-    imp = clean.ImputeParams({c: r1[f"m__{c}"] for c in num}, {c: r1[f"o__{c}"] for c in cat})
+    r1 = raw.agg(*a1).first() if a1 else {}
+    q = clean.quantiles(raw, list(dict.fromkeys([*ranges, *num])), [*probs, 0.5])
+    rules = {c: feat.BucketRule(c, r1[f"ok__{c}"] == 1, tuple(x for x in q[c][:4] if x is not None)) for c in ranges}
+    imp = clean.ImputeParams({c: q[c][4] for c in num}, clean.modes(raw, cat))
     big = [c for c in enc_cols if r1[f"d__{c}"] > max_levels]
     if big:
         raise ValueError(f"too many levels to encode: {big}")
     x = clean.impute(raw, imp)
     fcols = [c for c in clean.OUTLIER_COLS if c in raw.columns]
-    a2 = [F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"f__{c}") for c in fcols]
-    a2 += [F.array_sort(F.collect_set(c)).alias(f"l__{c}") for c in enc_cols]
-    r2 = x.agg(*a2).first()
-    q1 = {c: r2[f"f__{c}"][0] for c in fcols}
-    q3 = {c: r2[f"f__{c}"][1] for c in fcols}
-    fences = clean.Fences(q1, q3, {c: q1[c] - 1.5 * (q3[c] - q1[c]) for c in fcols},
-                          {c: q3[c] + 1.5 * (q3[c] - q1[c]) for c in fcols})
+    fences = clean.fit_fences(x, fcols)
+    a2 = [F.array_sort(F.collect_set(c)).alias(f"l__{c}") for c in enc_cols]
+    r2 = x.agg(*a2).first() if a2 else {}
     enc = clean.Encoder({c: list(r2[f"l__{c}"]) for c in LABEL_COLS if c in enc_cols},
                         {c: list(r2[f"l__{c}"]) for c in ONEHOT_COLS if c in enc_cols})
     return CleaningParams(rules, imp, fences, enc)

@@ -1,9 +1,10 @@
 """Literal cases of the reference's feature and cleaning tests (FIXTURES 2-5)."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean
+from cohort_engine.operators import clean, profile, quantiles
 from cohort_engine.operators import features as feat
 from cohort_engine.sources import typed
 
@@ -155,48 +156,73 @@ def test_model_matrix_token_match(spark):
     assert "insurance_type_Medicaid" not in sub.columns
 
 
-def test_distributed_quantiles_equal_exact(spark, monkeypatch):
-    from cohort_engine.operators import rankcum
-    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 50)
-    from cohort_engine.operators.quantiles import exact_quantiles
+def percentiles(df, cols, probs):
+    row = df.agg(*[F.percentile(F.col(x).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(x) for x in cols]).first()
+    return {x: [None] * len(probs) if row[x] is None else list(row[x]) for x in cols}
+
+
+@pytest.mark.parametrize("finish", [quantiles.FINISH, 0, 3])
+def test_radix_selection_equals_percentile(spark, monkeypatch, finish):
+    """To the last bit, whether prefixes end by reading values or after 64 bits."""
+    monkeypatch.setattr(quantiles, "FINISH", finish)
+    rng = np.random.default_rng(2)
+    wide = np.concatenate([rng.standard_normal(300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, 5e-324, -5e-324, 1.7e308]])
+    rows = [(float(w), None, int(i % 7), float(1 + i * 2.0**-52) if i % 3 else None, -float(i)) for i, w in enumerate(wide)]
+    df = spark.createDataFrame(rows, "a double, b double, c int, d double, e float").repartition(5)
+    probs = [0, 0.1, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1]
+    assert quantiles.exact_quantiles(df, df.columns, probs) == percentiles(df, df.columns, probs)
+    assert quantiles.exact_quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]} and quantiles.exact_quantiles(df, [], [0.5]) == {}
+
+
+def test_infinities_and_nan_sort_last(spark):
+    df = spark.createDataFrame([(float(x),) for x in ("nan", "inf", "-inf", "1", "2")], "a double")
+    got = quantiles.exact_quantiles(df, ["a"], [0, 0.25, 0.5, 0.75, 1])["a"]
+    assert got[:4] == [float("-inf"), 1.0, 2.0, float("inf")] and got[4] != got[4]
+
+
+def test_fits_equal_percentile_and_mode(spark):
     from cohort_engine.sources import bindings
     from places import SF01
     c = bindings.cohort(spark, SF01)
     cols = ["age", "annual_contribution", "claim_amount", "expected_refills"]
-    probs = [0.25, 0.5, 0.75, 1 / 3]
-    got = exact_quantiles(c, cols, probs, buckets=8)
-    row = c.agg(*[F.percentile(F.col(x).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(x)
-                  for x in cols]).first()
-    assert got == {x: list(row[x]) for x in cols}
-    a = clean.fit_fences(c, method="exact")
-    b = clean.fit_fences(c, method="distributed")
-    assert a == b
-    assert clean.fit_impute(c, method="distributed") == clean.fit_impute(c)
-
-
-def test_box_stats_distributed_equals_exact(spark, monkeypatch):
-    from cohort_engine.operators import rankcum
-    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 20)
-    from cohort_engine.operators import profile
-    from cohort_engine.sources import bindings
-    from places import SF01
-    f = feat.derive_features(bindings.cohort(spark, SF01))
-    a = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group").collect())
-    b = sorted(tuple(r) for r in profile.box_stats(f, "financial_burden", "age_group", method="distributed").collect())
-    assert a == b
+    want = percentiles(c, cols, [0.25, 0.5, 0.75])
+    f = clean.fit_fences(c, cols)
+    assert f.q1 == {x: want[x][0] for x in cols} and f.q3 == {x: want[x][2] for x in cols}
+    assert clean.fit_impute(c, cols, []).medians == {x: want[x][1] for x in cols}
+    s = {r["column"]: r for r in profile.numeric_summary(c, cols, digits=None).collect()}
+    assert {x: [s[x]["p25"], s[x]["p50"], s[x]["p75"]] for x in cols} == want
+
 
+def test_mode_of_a_million_values(spark):
+    df = spark.range(1_000_000).select(F.col("id").cast("string").alias("many"), F.when(F.col("id") % 2 == 0, "b").when(F.col("id") < 10, None)
+                                       .otherwise("a").alias("few"), F.lit(None).cast("string").alias("none"))
+    df = df.unionByName(spark.range(2).select(F.lit("77").alias("many"), F.lit("a").alias("few"), F.lit(None).cast("string").alias("none")))
+    assert clean.modes(df, ["many", "few", "none"]) == {"many": "77", "few": "b", "none": None}
+    tie = spark.createDataFrame([("y",), ("x",), ("x",), ("y",), (None,), (None,), (None,)], "t string")
+    assert clean.modes(tie, ["t"]) == {"t": "x"}
 
-def test_numeric_summary_methods_agree(spark, monkeypatch):
-    from cohort_engine.operators import rankcum
-    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 50)
-    from cohort_engine.operators import profile
+
+def test_grouped_quantiles_equal_percentile(spark):
     from cohort_engine.sources import bindings
     from places import SF01
-    c = bindings.cohort(spark, SF01)
-    cols = ["age", "annual_contribution", "claim_amount"]
-    a = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None).collect())
-    b = sorted(tuple(r) for r in profile.numeric_summary(c, cols, digits=None, method="distributed").collect())
-    assert a == b
+    f = feat.derive_features(bindings.cohort(spark, SF01))
+    probs = [0.0, 0.25, 1 / 3, 0.5, 1.0]
+    got = {(r["age_group"], r["col"]): (r["n"], r["q"]) for r in
+           quantiles.grouped_quantiles(f, ["financial_burden", "age"], probs, ["age_group"]).collect()}
+    for c in ("financial_burden", "age"):
+        want = (f.groupBy("age_group").agg(F.count(c).alias("n"), F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("q")))
+        for r in want.collect():
+            assert got[r["age_group"], c] == (r["n"], r["q"])
+
+
+def test_no_value_map_in_the_fits():
+    """No fit gathers a value map: ``percentile``, ``median`` and ``mode`` do."""
+    import pathlib
+    import re
+    root = pathlib.Path(clean.__file__).parent.parent
+    for sub in ("operators", "plans"):
+        for path in (root / sub).glob("*.py"):
+            assert not re.search(r"F\.(percentile|median|mode)\(", path.read_text()), path
 
 
 def test_scoring_page_ratio_guard(spark):

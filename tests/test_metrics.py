@@ -62,22 +62,24 @@ def rand_scores(spark):
 
 
 @pytest.fixture()
-def small_buckets(monkeypatch):
-    # force the multi-bucket path on small test inputs
-    monkeypatch.setattr(rankcum, "ROWS_PER_BUCKET", 1)
+def partitions(spark, request):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 256])
-def test_auc_matches_brute_force(rand_scores, buckets, small_buckets):
+@pytest.mark.parametrize("partitions", [1, 7, 40], indirect=True)
+def test_auc_matches_brute_force(rand_scores, partitions):
     df, y, p = rand_scores
-    got = metrics.roc_auc(df, buckets=buckets).first()["roc_auc"]
+    got = metrics.roc_auc(df).first()["roc_auc"]
     assert got == pytest.approx(brute_auc(y, p), abs=1e-12)
 
 
-@pytest.mark.parametrize("buckets", [1, 16])
-def test_ap_matches_brute_force(rand_scores, buckets, small_buckets):
+@pytest.mark.parametrize("partitions", [1, 16], indirect=True)
+def test_ap_matches_brute_force(rand_scores, partitions):
     df, y, p = rand_scores
-    got = metrics.average_precision(df, positive=0, buckets=buckets).first()["pr_auc_at_risk"]
+    got = metrics.average_precision(df, positive=0).first()["pr_auc_at_risk"]
     assert got == pytest.approx(brute_ap((y == 0).astype(int), 1 - p), abs=1e-12)
 
 
@@ -89,7 +91,7 @@ def test_auc_symmetry_and_partition_invariance(rand_scores):
     assert metrics.roc_auc(df.repartition(13)).first()["roc_auc"] == pytest.approx(a, abs=1e-12)
 
 
-def test_roc_points_brute_force(rand_scores, small_buckets):
+def test_roc_points_brute_force(rand_scores):
     df, y, p = rand_scores
     pts = metrics.roc_points(df).collect()
     thr = np.unique(p)[::-1]
@@ -103,13 +105,24 @@ def test_roc_points_brute_force(rand_scores, small_buckets):
            {(a, round(b, 12), round(c, 12)) for a, b, c in want}
 
 
-def test_cumulative_order_independent_of_buckets(spark, small_buckets):
-    df = spark.createDataFrame([("g", float(i % 17), 1) for i in range(500)], "g string, s double, c int") \
-        .groupBy("g", "s").agg(F.sum("c").alias("c"))
-    a = {r["s"]: r["cum_c"] for r in rankcum.cumulative(df, ["g"], "s", ["c"], buckets=1).collect()}
-    b = {r["s"]: r["cum_c"] for r in rankcum.cumulative(df, ["g"], "s", ["c"], buckets=5).collect()}
-    assert a == b and max(a.values()) == 500
-    assert len(rankcum.score_edges(df, "s", 5)) > 1  # the multi-bucket path really ran
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("parts", [1, 5, 30])
+def test_running_sums_in_any_cut(spark, parts, descending):
+    """Groups (null too) and scores cut into partitions and small batches."""
+    rng = np.random.default_rng(parts)
+    rows = [(g, float(s), int(c), float(c) / 4) for g in ("a", "b", None, "zz") for s, c in
+            zip(rng.permutation(200)[:(150 if g == "b" else 9)], rng.integers(0, 9, 200))]
+    df = spark.createDataFrame(rows, "g string, s double, c long, w double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    out = rankcum.cumulative(df, ["g"], "s", ["c", "w"], descending, with_next=True, partitions=parts).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for g in ("a", "b", None, "zz"):
+        own = sorted([r for r in rows if r[0] == g], key=lambda r: r[1], reverse=descending)
+        for i, r in enumerate(own):
+            nxt = own[i + 1][2:] if i + 1 < len(own) else (None, None)
+            want.append((*r, sum(x[2] for x in own[:i + 1]), sum(x[3] for x in own[:i + 1]), *nxt))
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
 
 
 def test_class_report_supports(spark):
