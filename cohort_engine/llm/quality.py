@@ -144,13 +144,15 @@ def score_rows(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents in a seeded order.
-    Rows of one document with different labels count by the larger; null
-    labels and ids are left out."""
+    """(doc_id, text, label) of at most ``rows`` labelled documents in a seeded
+    order.  Rows of one document with different labels count by the larger, of
+    several texts with one doc_id that with the smallest hash; null labels and
+    ids are left out."""
     ids = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
            .agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows))
     # at most ``rows`` pairs of numbers: the size is bounded
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    return (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label")
+            .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label"))
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     the driver is bounded: ``rows`` documents of at most 2 ** BITS features."""
     got = labelled(docs, labels, rows).mapInArrow(_featurise, "doc_id long, label int, ids binary, shares binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    return fit([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in got[:2 * rows]])
+    return fit([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in got])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

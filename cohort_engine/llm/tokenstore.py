@@ -20,12 +20,15 @@ read of the payload.
 A text's ids are those of its pieces cut at single spaces after a
 non-space character.  The tokenizer's own pre-tokenisation always cuts there,
 so each distinct piece is encoded once per worker and its ids are reused.
+A special token spelled out in a text has no space inside, so it lies in one
+piece and gets its own id, as the library's encoder does by default.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +43,9 @@ from cohort_engine.llm.store import new_folder, written
 
 MAGIC = b"IDSHARD1"
 SHARD_IDS = 1 << 24             # a shard is closed when it holds this many ids
-CACHE_PIECES = 1_500_000        # pieces a worker keeps; then it starts anew
+SHARD_DOCS = 1 << 20            # or this many documents
+CACHE_PIECES = 600_000          # pieces a worker keeps; then it starts anew
+SLICE_BYTES = 1 << 20           # text bytes encoded at a time (one row at least)
 JOIN = 2048                     # new pieces encoded as one text
 END_ID = 2
 _MANIFEST = "part int, number int, path string, first_key long, last_key long, docs long, ids long"
@@ -53,7 +58,6 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)   # bytes of an id: a byte-level token has a character per byte
@@ -211,17 +215,17 @@ class Shard:
     """Documents in order, gathered until the shard is written."""
 
     def __init__(self, dtype: np.dtype):
-        self.dtype, self.keys, self.nulls, self.sizes, self.ids, self.count = dtype, [], [], [], [], 0
+        self.dtype, self.keys, self.nulls, self.sizes, self.ids, self.count = dtype, array("q"), bytearray(), array("q"), bytearray(), 0
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
         self.keys.append(key or 0)
         self.nulls.append(key is None)
         self.sizes.append(len(ids))
-        self.ids.append(ids)
+        self.ids += ids.tobytes()
         self.count += len(ids)
 
     def write(self, path: str) -> None:
-        keys, nulls = np.array(self.keys, "<i8"), np.array(self.nulls, np.uint8)
+        keys, nulls = np.array(self.keys, "<i8"), np.frombuffer(bytes(self.nulls), np.uint8)
         named = np.flatnonzero(nulls == 0)
         distinct, first = np.unique(keys[named].view(U64), return_index=True)
         sizes, bits, slot = build_index(distinct)
@@ -231,8 +235,7 @@ class Shard:
         starts[1:] = np.cumsum(self.sizes)
         with fsio.Writer(path) as f:
             f.write(MAGIC + struct.pack("<6Q", self.dtype.itemsize, len(keys), self.count, len(distinct), len(sizes), len(bits)))
-            for ids in self.ids:
-                f.write(ids.tobytes())
+            f.write(self.ids)
             for section in (starts, keys, nulls, sizes, bits, mark, docs):
                 f.write(section.tobytes())
 
@@ -291,7 +294,7 @@ class ShardFile:
 # -- the operator --------------------------------------------------------------
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID,
-                shard_ids: int = SHARD_IDS) -> DataFrame:
+                shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encodes and writes every text; returns the written manifest, one row
     per shard.  ``tokenizer`` is the path of its file on every worker.
 
@@ -311,17 +314,17 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
             nonlocal number, shard
             path = f"{folder}/shard-{part:06d}-{number:04d}.ids"
             shard.write(path)
-            named = [k for k, no in zip(shard.keys, shard.nulls, strict=True) if not no]
-            rows.append({"part": part, "number": number, "path": path, "first_key": min(named, default=None),
-                         "last_key": max(named, default=None), "docs": len(shard.keys), "ids": shard.count})
+            named = np.array(shard.keys)[np.frombuffer(bytes(shard.nulls), np.uint8) == 0]
+            rows.append({"part": part, "number": number, "path": path, "first_key": int(named.min()) if len(named) else None,
+                         "last_key": int(named.max()) if len(named) else None, "docs": len(shard.keys), "ids": shard.count})
             number, shard = number + 1, Shard(enc.dtype)
 
         for batch in batches:
-            for piece in textkit.slices(batch, "text"):
+            for piece in textkit.slices(batch, "text", SLICE_BYTES):
                 ids, ptr = enc.encode(piece.column("text"))
                 for r, key in enumerate(piece.column("doc_id").to_pylist()):
                     shard.add(key, np.concatenate([ids[ptr[r]:ptr[r + 1]], end]))
-                    if shard.count >= shard_ids:
+                    if shard.count >= shard_ids or len(shard.keys) >= shard_docs:
                         close()
         if shard.keys:
             close()

@@ -8,6 +8,15 @@ from cohort_engine.llm import queries
 SF = "/root/testdata/sf0.01"
 
 
+def test_one_row_of_each_labelled_document(spark, documents):
+    """An id on many rows sends one of them to the fit, whichever way they come."""
+    docs = documents([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b"), (3, "c"), (None, "d")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (4, 1)], "doc_id long, quality int")
+    got = Q.labelled(docs, labels).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == [(1, 1), (2, 0)]
+    assert sorted(map(tuple, Q.labelled(docs.repartition(7), labels).collect())) == sorted(map(tuple, got))
+
+
 def test_held_out_accuracy(spark):
     got = queries.op8_quality(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")

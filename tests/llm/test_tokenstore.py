@@ -14,13 +14,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_pieces_give_the_tokenizer_s_ids(tokenizer, monkeypatch):
-    texts = ["", " ", "a", "  two  spaces ", "don't 's x  y", "é è  ñ　 b", "line\n\nnext \t tab", "<|endoftext|> plain", "emoji 😀 x😀 y",
+    texts = ["", " ", "a", "  two  spaces ", "don't 's x  y", "é è  ñ　 b", "line\n\nnext \t tab", "<|endoftext|> plain", "a <|endoftext|>b", "x  <|endoftext|><|endoftext|>  y <|endo ftext|>", "q<|endoftext|>" * 3, "emoji 😀 x😀 y",
              "x\x1c y\x85 z", "1 22  333", None, "word " * 500]
     enc = T.Encoder(PATH)
     for _ in range(2):                                   # the second time from what is known
@@ -57,6 +55,23 @@ def test_store_round_trip(spark, tokenizer, tmpdir_path, shard_ids):
     assert sorted(found) == [0, 7, 199] and all(len(v) == got[k]["n_tokens"] and v[-1] == 2 for k, v in found.items())
 
 
+def test_special_tokens_keep_their_id(tokenizer):
+    ids, _ = T.Encoder(PATH).encode(pa.array(["a <|endoftext|>b"]))
+    assert ids.tolist() == tokenizer.encode("a <|endoftext|>b", add_special_tokens=False).ids == [64, 220, 50256, 65]
+
+
+def test_many_empty_and_one_long_text(spark, documents, tokenizer, tmpdir_path):
+    """Shards close by documents too; a long text is one document of one shard."""
+    long = "word é  \n x1 " * 60_000
+    docs = documents([(i, "" if i % 2 else None) for i in range(250)] + [(900, long)]).coalesce(1)
+    manifest = T.write_store(docs, tmpdir_path, PATH, shard_docs=100)
+    shards = manifest.collect()
+    assert max(r["docs"] for r in shards) <= 100 and sum(r["docs"] for r in shards) == 251
+    rows = {r["doc_id"]: r for r in T.read_store(manifest).collect()}
+    want = np.array([*tokenizer.encode(long, add_special_tokens=False).ids, 2], "<u4")
+    assert tuple(rows[900])[1:] == (250, len(want), zlib.crc32(want.tobytes())) and all(rows[i]["n_tokens"] == 1 for i in range(250))
+
+
 def test_edges(spark, documents, tmpdir_path):
     docs = documents([(3, "c"), (None, "n"), (1, None), (3, "c"), (2, ""), (None, "m")])
     manifest = T.write_store(docs, tmpdir_path, PATH)
