@@ -28,7 +28,7 @@ NEIGHBOURS = 5                  # fixed value: the neighbours a synthetic row ma
 BLOCK_ROWS = 2048
 _HASH_RANGE = float(2**60)      # fifteen hex digits
 
-_BLOCK = "cls string, block long, lo double, hi double, reach double, ids binary, data binary"
+_BLOCK = "cls string, block long, lo double, hi double, reach double, bound binary, ids binary, data binary"
 _TILE = "cls string, key long, neighbour long, distance2 double"
 
 
@@ -71,14 +71,15 @@ def _pack(rows: int, axis: int, k: int):
     def block(cls: str, number: int, held: list) -> pa.RecordBatch:
         ids = np.array([h[0] for h in held], np.int64)
         data = np.array([h[1] for h in held], np.float64)
-        reach = np.inf
+        bound = np.full(len(ids), np.inf)       # squared distance to the k-th neighbour in the block
         if len(ids) > k:
             i, _, d = nearest(data, ids, data, ids, k)
-            if (np.bincount(i, minlength=len(ids)) == k).all():
-                reach = float(np.sqrt(d.max()) * (1 + 1e-9))
+            full = np.flatnonzero(np.bincount(i, minlength=len(ids)) == k)
+            bound[full] = d[np.searchsorted(i, full, "right") - 1]
+        reach = float(np.sqrt(bound.max()) * (1 + 1e-9))
         return pa.RecordBatch.from_pydict({
             "cls": [cls], "block": [number], "lo": [float(data[:, axis].min())], "hi": [float(data[:, axis].max())],
-            "reach": [reach], "ids": [ids.tobytes()], "data": [data.tobytes()]})
+            "reach": [reach], "bound": [bound.tobytes()], "ids": [ids.tobytes()], "data": [data.tobytes()]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -105,7 +106,7 @@ def _targets(blocks: dict):
                 meet = number[(lo <= r["hi"] + r["reach"]) & (hi >= r["lo"] - r["reach"])]
                 for part in np.array_split(meet, max(1, len(meet) // 64)):
                     n = len(part)
-                    yield pa.RecordBatch.from_pydict({"cls": [r["cls"]] * n, "block": pa.array(part, pa.int64()), "q_ids": [r["ids"]] * n,
+                    yield pa.RecordBatch.from_pydict({"cls": [r["cls"]] * n, "block": pa.array(part, pa.int64()), "bound": [r["bound"]] * n, "q_ids": [r["ids"]] * n,
                                                       "q_data": [r["data"]] * n})
     return run
 
@@ -117,6 +118,8 @@ def _meet(features: int, k: int):
                 qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, c = (np.frombuffer(r[x], np.float64).reshape(-1, features) for x in ("q_data", "data"))
                 i, other, d = nearest(q, qi, c, ci, k)
+                near = d <= np.frombuffer(r["bound"], np.float64)[i]         # what the row's own block doesn't rule out
+                i, other, d = i[near], other[near], d[near]
                 yield pa.RecordBatch.from_pydict({"cls": pa.array([r["cls"]] * len(i), pa.string()), "key": pa.array(qi[i]),
                                                   "neighbour": pa.array(other), "distance2": pa.array(d)})
     return run
@@ -146,7 +149,7 @@ def smote_knn(df: DataFrame, label: str, key: str, features: Sequence[str], k: i
     ends = blocks.select("cls", "block", "lo", "hi").toPandas()         # a row per BLOCK_ROWS rows of the data
     known = {c: tuple(g[x].to_numpy() for x in ("block", "lo", "hi")) for c, g in ends.groupby("cls")}
     table = spark.sparkContext.broadcast(known)
-    asked = blocks.mapInArrow(_targets(table), "cls string, block long, q_ids binary, q_data binary")
+    asked = blocks.mapInArrow(_targets(table), "cls string, block long, bound binary, q_ids binary, q_data binary")
     part = asked.join(blocks.select("cls", "block", "ids", "data"), ["cls", "block"]).mapInArrow(_meet(len(features), k), _TILE)
     best = Window.partitionBy("cls", "key").orderBy("distance2", "neighbour")
     return (part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -51,7 +51,7 @@ def test_far_blocks_do_not_meet(spark):
     assert got == want
     ends = [(i, float(i * 100), float(i * 100 + 90)) for i in range(20)]
     number, lo, hi = (np.array(c) for c in zip(*ends))
-    one = pa.RecordBatch.from_pydict({"cls": ["1"], "block": [5], "lo": [500.0], "hi": [590.0], "reach": [20.1], "ids": [b""], "data": [b""]})
+    one = pa.RecordBatch.from_pydict({"cls": ["1"], "block": [5], "lo": [500.0], "hi": [590.0], "reach": [20.1], "bound": [b""], "ids": [b""], "data": [b""]})
     met = [n for b in smote._targets(SimpleNamespace(value={"1": (number, lo, hi)}))([one]) for n in b.column(1).to_pylist()]
     assert met == [4, 5, 6]
 
