@@ -4,7 +4,8 @@ Every rolling word pair of every text is hashed and joined (a broadcast of the
 fixed template list) to the places where a template has the same pair.  A hit
 at text word p and template word t lies on diagonal p - t; hits are counted by
 (text, template, diagonal), neighbouring diagonals (a word put in or left out)
-are merged, and a merged span is kept when it covers enough of the template.
+are merged into runs, and a stretch of a run no wider than the template is kept
+when hits in rising order of text and template cover enough of the template.
 A phrase of the base list counts only when its own diagonal is complete.
 """
 
@@ -54,6 +55,21 @@ def template_pairs(base, notices) -> list[tuple]:
     return rows
 
 
+def in_order(diagonals: str, pairs: str):
+    """Length of the longest chain of hits whose places in the text and in the
+    template both rise, over an array of (d, bits)."""
+    hit = lambda d, t: F.struct((d + t).alias("p"), (-t).alias("back"))
+    places = F.sequence(F.lit(0), F.col(pairs) - 1)
+    hits = F.array_sort(F.flatten(F.transform(diagonals, lambda x: F.transform(
+        F.filter(places, lambda t: F.getbit(x["bits"], t) == 1), lambda t: hit(x["d"], t)))))
+
+    def longer(best, x):
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), -x["back"])), F.lit(0))
+        return F.transform(best, lambda v, i: F.when(i == -x["back"], F.greatest(v, before + 1)).otherwise(v))
+
+    return F.array_max(F.aggregate(hits, F.array_repeat(F.lit(0), F.col(pairs)), longer))
+
+
 def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   base=BASE, notices=NOTICES, coverage: float = COVERAGE) -> DataFrame:
     """One row per input row: its id, n_words, n_base, first_word, last_word,
@@ -62,8 +78,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Defined cases: a null text counts as empty (n_words 0, no labels, score
     0); a null id stays null; repeated rows each give a row; other columns of
     the input are not read; an empty table gives an empty result.  ``score``
-    is the best coverage of any template span that was kept (1 for a base
-    place).
+    is the best coverage of any stretch that was kept (1 for a base place).
+    Word pairs out of the template's order do not count towards its coverage.
     """
     pairs = spark.createDataFrame(
         template_pairs(base, notices),
@@ -89,24 +105,29 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # votes by diagonal; a template's covered pairs are one bit each
     voted = (hits.withColumn("d", F.col("p") - F.col("t"))
              .groupBy("row", "id", "n_words", "template", "label", "is_base", "pairs", "d")
-             .agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("bits"), F.min("p").alias("lo"), F.max("p").alias("hi")))
+             .agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("bits")))
     order = Window.partitionBy("row", "template").orderBy("d")
-    apart = (F.col("d") - F.lag("d").over(order) > GAP) | F.col("is_base")
-    merged = (voted.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(
-                  order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .groupBy("row", "id", "n_words", "template", "label", "is_base", "pairs", "span")
-              .agg(F.bit_count(F.bit_or("bits")).alias("covered"), F.min("d").alias("d"),
-                   (F.max("hi") - F.min("lo") + 1).alias("length")))
-    # a span is verified by what it covers and by its length in the text
-    share = F.try_divide(F.col("covered"), F.col("pairs"))
-    place = F.col("is_base") & (F.col("covered") == F.col("pairs"))
-    notice = ~F.col("is_base") & (share >= coverage) & (F.col("length") <= F.col("pairs") * 2 + GAP)
+    apart = F.coalesce(F.col("d") - F.lag("d").over(order) > GAP, F.lit(True))
+    run = F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a run of neighbouring diagonals is verified stretch by stretch: from each
+    # of its diagonals on, the diagonals at most pairs + GAP further
+    most = max((len(re.findall(WORD, text)) for text, _ in [*base, *notices]), default=0) + GAP
+    ahead = Window.partitionBy("row", "template", "run").orderBy("d").rangeBetween(Window.currentRow, most)
+    stretch = F.filter("ahead", lambda x: x["d"] <= F.col("d") + F.col("pairs") + GAP)
+    merged = (voted.withColumn("run", run).withColumn("ahead", F.collect_list(F.struct("d", "bits")).over(ahead))
+              .withColumn("ahead", F.when(~F.col("is_base"), stretch)))
+    votes = F.bit_count(F.aggregate("ahead", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x["bits"])))
+    enough = F.try_divide(votes, F.col("pairs")) >= coverage
+    share = F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.try_divide(in_order("ahead", "pairs"), F.col("pairs")))
+    merged = merged.withColumn("share", F.when(F.col("is_base") | enough, share))
+    place = F.col("is_base") & (F.bit_count("bits") == F.col("pairs"))
+    notice = ~F.col("is_base") & (F.col("share") >= coverage)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (merged.groupBy("row", "id", "n_words")
             .agg(F.count(F.when(place, 1)).alias("n_base"),
                  F.min(F.when(place, F.col("d"))).cast("long").alias("first_word"),
                  F.max(F.when(place, F.col("d"))).cast("long").alias("last_word"),
                  joined(place).alias("base_labels"), joined(place | notice).alias("labels"),
-                 F.coalesce(F.max(F.when(place | notice, share)), F.lit(0.0)).alias("score"))
+                 F.coalesce(F.max(F.when(place | notice, F.col("share"))), F.lit(0.0)).alias("score"))
             .select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word",
                     "last_word", "base_labels", "labels", F.col("score").cast("double").alias("score")))

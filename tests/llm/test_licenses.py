@@ -33,3 +33,54 @@ def test_notices_with_changed_words(spark, documents):
     got = {r["doc_id"]: (r["labels"], r["n_base"]) for r in L.scan_licenses(spark, documents(rows)).collect()}
     assert got == {1: ("mit", 0), 2: ("mit", 0), 3: ("mit", 0), 4: ("", 0), 5: ("", 0), 6: ("apache-2.0", 0)}
     assert L.scan_licenses(spark, documents([])).count() == 0
+
+
+def brute_notices(text):
+    """Labels and score by the definition, over all pairs of places."""
+    w = WORDS.findall((text or "").translate(str.maketrans(L.UPPER, L.LOWER)))
+    _, n_base, _, _, labels = brute_base(text)
+    found, score = set(labels.split(",")) - {""}, 1.0 if n_base else 0.0
+    for notice, label in L.NOTICES:
+        words = WORDS.findall(notice)
+        pairs = len(words) - 1
+        hits = [(p, t) for p in range(len(w) - 1) for t in range(pairs) if w[p:p + 2] == words[t:t + 2]]
+        diagonals = sorted({p - t for p, t in hits})
+        runs = []
+        for d in diagonals:
+            if runs and d - runs[-1][-1] <= L.GAP:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            for start in run:
+                some = sorted((p, t) for p, t in hits if p - t in run and start <= p - t <= start + pairs + L.GAP)
+                chain = {}
+                for p, t in some:
+                    chain[p, t] = 1 + max((n for (a, b), n in chain.items() if a < p and b < t), default=0)
+                share = max(chain.values()) / pairs
+                if share >= L.COVERAGE:
+                    found.add(label)
+                    score = max(score, share)
+    return ",".join(sorted(found)), score
+
+
+def test_labels_and_score_match_brute_force(spark, documents):
+    rng = random.Random(4)
+    texts = ["licensed under " * 40 + "the apache license version 2.0", "apache license version 2.0 licensed under the",
+             " ".join(reversed(L.NOTICES[0][0].split())), "", None, "word " * 20000 + L.NOTICES[2][0] + " tail" * 20000]
+    for _ in range(250):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            words = rng.choice(L.NOTICES)[0].split()
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(words))
+                words[at:at + rng.randint(0, 1)] = rng.choice([[], ["x"], [words[at]], words[at:at + 2] * 2, ["the"]])
+                words = words or ["x"]
+            cut = rng.randrange(len(words))
+            text += rng.choice([words, words[cut:] + words[:cut]]) + ["y"] * rng.randint(0, 3)
+        texts.append(" ".join(text))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan_licenses(spark, documents(list(enumerate(texts)))).collect()}
+    want = {i: brute_notices(t) for i, t in enumerate(texts)}
+    assert got == want
+    assert want[0] == ("apache-2.0", 1.0) and want[1] == want[2] == ("", 0.0)
+    assert len({x for x, _ in want.values()}) > 8
