@@ -1,18 +1,19 @@
 """Local ablation explanations.
 
-For every record and every feature whose value differs from the population
-median, a counterfactual row with that feature set to the median is built
-with ``explode`` — N x (1 + F) rows — and the whole batch is scored by ONE
-model transform.  Each record's base probability is read with a window
-partitioned by the record key (at most 1 + F rows per key), then the top-n
-features by |delta| are kept per record.
+Every record is scored as it is and once per feature with that feature at the
+population median.  All 1 + F probabilities stand in the record's own row and
+its top-n features by |delta| are sorted there, so nothing is exploded before
+the result and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_engine.operators.quantiles import exact_quantiles
@@ -52,50 +53,70 @@ def medians_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(baseline_medians(df, features).items()), "feature string, median double")
 
 
-def counterfactuals(df: DataFrame, key: str, features: Sequence[str], medians: dict) -> DataFrame:
-    """Base row (``ablated`` null) plus one row per feature that differs from
-    its median, with that feature replaced by the median."""
-    feats = list(features)
-    tags = F.array(F.lit(None).cast("string"), *[F.lit(c) for c in feats])
-    x = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats],
-                  F.explode(tags).alias("ablated"))
-    keep = F.col("ablated").isNull()
-    for c in feats:
-        keep = keep | ((F.col("ablated") == F.lit(c)) & ~F.col(c).eqNullSafe(F.lit(medians[c])))
-    x = x.filter(keep)
-    return x.withColumns({c: F.when(F.col("ablated") == F.lit(c), F.lit(medians[c])).otherwise(F.col(c))
-                          for c in feats})
-
-
-def local_drivers(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], key: str,
+def local_drivers(df: DataFrame, scorer: Callable[[DataFrame, dict], DataFrame], key: str,
                   features: Sequence[str], medians: dict, top_n: int = 6, min_abs: float = 1e-4) -> DataFrame:
     """Per record, the top-n features by |p(x) - p(x with feature :=
     median)|, skipping |delta| < ``min_abs``; positive delta supports the
-    positive class.  ``scorer`` adds a probability column ``p`` (one
-    transform over all counterfactual rows)."""
-    cf = counterfactuals(df, key, features, medians)
-    scored = scorer(cf)
-    base = F.max(F.when(F.col("ablated").isNull(), F.col("p"))).over(Window.partitionBy(key))
-    d = scored.withColumn("base_p", base).filter(F.col("ablated").isNotNull())
-    d = d.withColumn("delta", F.col("base_p") - F.col("p")).filter(F.abs(F.col("delta")) >= F.lit(min_abs))
-    med = F.lit(None).cast("double")
-    for c in features:
-        med = F.when(F.col("ablated") == F.lit(c), F.lit(medians[c])).otherwise(med)
-    # |delta| rounded to 12 dp: mathematically equal deltas tie (then by
-    # feature name) whatever the last bits of exp() are.
-    w = Window.partitionBy(key).orderBy(F.round(F.abs(F.col("delta")), 12).desc(), F.col("ablated"))
-    ranked = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-    return ranked.select(key, "rank", F.col("ablated").alias("feature"), feature_label("ablated").alias("label"),
-                         med.alias("median"), "base_p", "delta",
-                         F.when(F.col("delta") > 0, F.lit(DIRECTION[0])).otherwise(F.lit(DIRECTION[1]))
-                         .alias("direction"))
-
-
-def linear_scorer(weights: dict, bias: float) -> Callable[[DataFrame], DataFrame]:
+    positive class.  A feature that is at its median already is skipped.
+    ``scorer`` adds a probability ``p`` and an array ``p_at`` of the
+    probabilities with each feature, in turn, at its median."""
+    feats = list(features)
+    x = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats])
+    scored = scorer(x, {c: medians[c] for c in feats})
+
+    def driver(i: int, c: str):
+        delta = F.col("p") - F.col("p_at")[i]
+        moved = ~F.col(c).eqNullSafe(F.lit(medians[c]).cast("double")) & (F.abs(delta) >= F.lit(min_abs))
+        # |delta| rounded to 12 dp: mathematically equal deltas tie (then by
+        # feature name) whatever the last bits of exp() are.
+        return F.when(moved, F.struct((-F.round(F.abs(delta), 12)).alias("order"), F.lit(c).alias("feature"),
+                                      F.lit(medians[c]).cast("double").alias("median"), delta.alias("delta")))
+
+    # one row per record all along: its drivers are sorted inside the row
+    found = F.array_compact(F.array(*[driver(i, c) for i, c in enumerate(feats)]))
+    top = scored.select(key, F.col("p").alias("base_p"), F.slice(F.array_sort(found), 1, top_n).alias("found"))
+    return (top.select(key, "base_p", F.posexplode("found").alias("at", "d"))
+            .select(key, (F.col("at") + 1).alias("rank"), "d.feature", feature_label("d.feature").alias("label"),
+                    "d.median", "base_p", "d.delta",
+                    F.when(F.col("d.delta") > 0, F.lit(DIRECTION[0])).otherwise(F.lit(DIRECTION[1]))
+                    .alias("direction")))
+
+
+def linear_scorer(weights: dict, bias: float) -> Callable[[DataFrame, dict], DataFrame]:
     """Closed-form logistic score p = 1 / (1 + exp(-(b + sum w_f x_f)))."""
-    def run(d: DataFrame) -> DataFrame:
+    def p(medians: dict):
         z = F.lit(float(bias))
         for c, w in weights.items():
-            z = z + F.lit(float(w)) * F.col(c)
-        return d.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+            z = z + F.lit(float(w)) * (F.lit(medians[c]) if c in medians else F.col(c))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+    return lambda d, medians: d.withColumns({"p": p({}), "p_at": F.array(*[p({c: m}) for c, m in medians.items()])})
+
+
+def model_scorer(model: PipelineModel) -> Callable[[DataFrame, dict], DataFrame]:
+    """Scores of a fitted pipeline (scaler, assembler, estimator): the record
+    is scaled once, then each feature's scaled median takes its place in a
+    vector of its own, so a row stays a row."""
+    scaler, assembler, estimator = model.stages
+    names = assembler.getInputCols()
+
+    def probability(d: DataFrame, inputs: list, out: str) -> DataFrame:
+        vec = out + "_vec"
+        d = VectorAssembler(inputCols=inputs, outputCol=vec, handleInvalid="keep").transform(d)
+        est = estimator.copy({estimator.featuresCol: vec, estimator.probabilityCol: out,
+                              estimator.rawPredictionCol: "", estimator.predictionCol: ""})
+        return est.transform(d).drop(vec)
+
+    def run(d: DataFrame, medians: dict) -> DataFrame:
+        # one row of constants: the medians as the scaler gives them
+        one = d.sparkSession.range(1).select(*[F.lit(m).cast("double").alias(c) for c, m in medians.items()])
+        scaled = scaler.transform(one).select(*names).first()
+        out = probability(scaler.transform(d), names, "__p")
+        for c in medians:
+            n = c if c in names else c + "__z"
+            out = out.withColumn("__median", F.lit(scaled[n]).cast("double"))
+            out = probability(out, ["__median" if x == n else x for x in names], "__p_" + c).drop("__median")
+        at = lambda c: vector_to_array(F.col(c))[1]
+        return out.select(*d.columns, at("__p").alias("p"), F.array(*[at("__p_" + c) for c in medians]).alias("p_at"))
+
     return run

@@ -1189,19 +1189,12 @@ def q_ablation_linear(spark, sf_dir):
 @register("local_drivers", ids="M11,W4,M3,M10")
 def q_local_drivers(spark, sf_dir):
     """Forest ablation drivers for every record against the medians of all:
-    all counterfactuals scored in one transform, top 6 per record."""
+    all scores of a record in its row, top 6 per record."""
     every = modeling.split_table(spark, sf_dir).drop("split")
     feats = modeling.feature_names(every)
     model = modeling.fitted(spark, sf_dir, "Random Forest")
     med = explain.baseline_medians(every, feats)
-
-    return explain.local_drivers(every, lambda d: _score_keep(model, d), modeling.KEY, feats, med, top_n=6)
-
-
-def _score_keep(model, d):
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(d)
-    return out.withColumn("p", vector_to_array(F.col("probability"))[1])
+    return explain.local_drivers(every, explain.model_scorer(model), modeling.KEY, feats, med, top_n=6)
 
 
 @register("score_batch", ids="M8,P12,F11")
