@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import distributions as dist
 
+ROUNDING = 1e-14                # spread that double arithmetic alone leaves in a constant
+
 
 def _measures_long(df: DataFrame, value_cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     structs = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in value_cols]
@@ -133,28 +137,86 @@ def chi2_independence(df: DataFrame, a: str, b: str, pvalues: bool = False, alph
     return out
 
 
+def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per pair of columns (i <= j) and per partition: rows that have both
+    (n), the two means, co-moment and second moments over those rows.
+
+    A block of rows is taken at once: values and their masks go through matrix
+    products, so the work is a few products however many pairs there are.
+    Blocks are shifted by their own column means and merged by the deltas of
+    the pairs' means, which keeps large offsets from eating the digits.
+    """
+    k = len(cols)
+    upper = np.triu_indices(k)
+
+    def block(x):
+        have = ~np.isnan(x)
+        m = have.astype(float)
+        shift = np.divide(np.where(have, x, 0.0).sum(0), m.sum(0), out=np.zeros(k), where=m.any(0))
+        v = np.where(have, x - shift, 0.0)
+        n = m.T @ m
+        safe = np.maximum(n, 1.0)
+        mean = v.T @ m / safe                            # [i, j]: mean of i over the rows that have i and j
+        raw = (v * v).T @ m
+        square = raw - n * mean * mean
+        square = np.where(square > ROUNDING * raw, square, 0.0)
+        both = v.T @ v - n * mean * mean.T
+        return n, np.where(n > 0, mean + shift[:, None], 0.0), square, both
+
+    def merged(a, b):
+        n = a[0] + b[0]
+        part = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+        delta = b[1] - a[1]
+        return (n, a[1] + delta * part, a[2] + b[2] + delta * delta * a[0] * part,
+                a[3] + b[3] + delta * delta.T * a[0] * part)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                part = block(x)
+                total = part if total is None else merged(total, part)
+        if total is not None:
+            n, mean, square, both = total
+            flat = [n[upper], mean[upper], mean.T[upper], square[upper], square.T[upper], both[upper]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *[pa.array(a, pa.float64()) for a in flat]],
+                names=["i", "j", "n", "mi", "mj", "ii", "jj", "ij"])
+
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    return src.mapInArrow(run, "i int, j int, n double, mi double, mj double, ii double, jj double, ij double")
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "pairwise") -> DataFrame:
-    """ST8/ST9: Pearson correlation of every ordered pair (var1, var2, r) in
-    one aggregate.  ``pairwise``: each pair skips rows null in either;
-    ``listwise``: complete cases over all columns first."""
+    """ST8/ST9: Pearson correlation of every ordered pair (var1, var2, r).
+    ``pairwise``: each pair skips rows null in either; ``listwise``: complete
+    cases over all columns first.  r is null where a side does not vary over
+    the pair's rows (a deviation within ``ROUNDING`` of the mean is none), and
+    without rows; NaN counts as null.  The rows are read once; a row per pair and partition is shuffled."""
     cols = list(cols)
-    src = df.dropna(subset=cols) if nulls == "listwise" else df
-    src = src.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs, pairs = [], []
-    for i, x in enumerate(cols):
-        for y in cols[i + 1:]:
-            # over the rows that have both; null when one side is constant there
-            px, py = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
-            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(px) * F.stddev_pop(py)).alias(f"{x}__{y}"))
-            pairs.append((x, y))
-    aggs += [(F.stddev_pop(c) > 0).alias(f"__varies_{c}") for c in cols]
-    row = src.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.when(F.col(f"__varies_{c}"), 1.0).alias("r"))
-               for c in cols]
-    for x, y in pairs:
-        structs.append(F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), F.col(f"{x}__{y}").alias("r")))
-        structs.append(F.struct(F.lit(y).alias("var1"), F.lit(x).alias("var2"), F.col(f"{x}__{y}").alias("r")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.var1", "s.var2", "s.r")
+    parts = co_moments(df.dropna(subset=cols) if nulls == "listwise" else df, cols)
+    # partitions are merged around the mean of their means
+    here = Window.partitionBy("i", "j")
+    near = parts.filter("n > 0").withColumns({"di": F.col("mi") - F.avg("mi").over(here), "dj": F.col("mj") - F.avg("mj").over(here)})
+    n, si, sj = F.sum("n"), F.sum(F.col("n") * F.col("di")), F.sum(F.col("n") * F.col("dj"))
+
+    def whole(moment, a, b, sa, sb):
+        return F.sum(moment) + F.sum(F.col("n") * F.col(a) * F.col(b)) - sa * sb / n
+
+    pairs = near.groupBy("i", "j").agg(whole("ii", "di", "di", si, si).alias("ii"), whole("jj", "dj", "dj", sj, sj).alias("jj"),
+                                       whole("ij", "di", "dj", si, sj).alias("ij"), n.alias("n"),
+                                       F.avg("mi").alias("mi"), F.avg("mj").alias("mj"))
+    level = lambda c: F.sqrt(F.col("n")) * F.col(c) * F.lit(ROUNDING)
+    varies = (F.sqrt("ii") > F.abs(level("mi"))) & (F.sqrt("jj") > F.abs(level("mj")))
+    r = F.when(varies, F.when(F.col("i") == F.col("j"), 1.0)
+               .otherwise(F.col("ij") / F.sqrt(F.col("ii")) / F.sqrt(F.col("jj"))))
+    names = F.array(*[F.lit(c) for c in cols])
+    every = (df.sparkSession.range(len(cols) ** 2, numPartitions=1)
+             .select((F.col("id") / len(cols)).cast("int").alias("a"), (F.col("id") % len(cols)).cast("int").alias("b")))
+    keyed = every.select("a", "b", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    return (keyed.join(pairs.select("i", "j", r.alias("r")), ["i", "j"], "left")
+            .select(names[F.col("a")].alias("var1"), names[F.col("b")].alias("var2"), "r"))
 
 
 def corr_target(df: DataFrame, target: str, cols: Sequence[str], nulls: str = "listwise") -> DataFrame:

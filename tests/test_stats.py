@@ -1,6 +1,8 @@
 """Statistical tests against direct numpy computation and published tails."""
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohort_engine.functions import distributions as d
 from cohort_engine.operators import stats
@@ -67,3 +69,32 @@ def test_corr_pairwise_skips_nulls(spark):
     m = {(r["var1"], r["var2"]): r["r"] for r in stats.corr_matrix(df, ["a", "b", "c"]).collect()}
     assert m[("a", "c")] == pytest.approx(np.corrcoef([2, 3, 4], [1, 2, 2.5])[0, 1])
     assert m[("a", "a")] == 1.0 and m[("b", "a")] == m[("a", "b")]
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 12)) @ rng.normal(size=(12, 12)) + 1e6 * np.arange(12)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 11] = 0.1
+    x[:, 10] = np.nan
+    cols = [f"x.{i}" for i in range(12)]
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(12)])
+    df = spark.createDataFrame(pdf).toDF(*cols).repartition(7)
+    df = df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")).alias(c.replace(".", "_")) for c in cols])
+    got = {(r["var1"], r["var2"]): r["r"] for r in stats.corr_matrix(df, df.columns).collect()}
+    assert len(got) == 144
+    for i in range(12):
+        for j in range(12):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[f"x_{i}", f"x_{j}"]
+            if 10 in (i, j) or 11 in (i, j):
+                assert r is None
+            elif i == j:
+                assert r == 1.0
+            else:
+                assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    some = df.columns[:4]
+    whole = x[:, :4][~np.isnan(x[:, :4]).any(1)]
+    got = {(r["var1"], r["var2"]): r["r"] for r in stats.corr_matrix(df, some, nulls="listwise").collect()}
+    assert got["x_0", "x_3"] == pytest.approx(np.corrcoef(whole[:, 0], whole[:, 3])[0, 1], abs=1e-9)
+    assert all(r["r"] is None for r in stats.corr_matrix(df.limit(0), some).collect())
