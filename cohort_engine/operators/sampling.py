@@ -6,7 +6,9 @@ distributed: rows are bucketed by the first hex digits of that hash (uniform
 by construction, so a class holding a third of all rows is spread evenly;
 the prefix length grows with the class size, ~1M rows per bucket, at least
 4096 buckets), per (class, bucket) counts give offsets, and the row number is
-taken inside (class, bucket) only — never one window over a whole class.
+taken inside (class, bucket) only — never one window over a whole class.  A
+split needs one rank per class, so it ranks one bucket per class and compares
+all other rows with the row found there.
 """
 
 from __future__ import annotations
@@ -86,17 +88,47 @@ def split_sizes(counts: dict, test_frac: float) -> dict:
     return {c: counts[c] - train[c] for c in counts}
 
 
+def per_class(label: str, values: dict):
+    """The class's value as a column (null labels are a class; null where none is given)."""
+    out = F.lit(None)
+    for c, v in values.items():
+        out = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(v)).otherwise(out)
+    return out
+
+
+def rank_cuts(df: DataFrame, label: str, key: str, sizes: dict, seed: int, digits: int) -> dict:
+    """Per class the (hash, key) of the row with rank ``sizes[class]``.  Counts
+    by hash prefix name the one bucket it lies in; only that bucket's rows are
+    ranked.  One row per class is collected."""
+    h = F.coalesce(seeded_hash(key, seed), F.lit(""))
+    d = df.select(F.col(label).alias("c"), F.col(key).alias("k"), h.alias("h"), F.substring(h, 1, digits).alias("b"))
+    per = d.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = (per.withColumns({"upto": upto, "want": per_class("c", sizes).cast("bigint")})
+             .filter((F.col("want") > F.col("upto") - F.col("n")) & (F.col("want") <= F.col("upto")))
+             .select("c", "b", (F.col("want") - F.col("upto") + F.col("n")).alias("rest")).collect())
+    near = per_class("c", {r["c"]: r["b"] for r in edges}) == F.col("b")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("h", "k"))
+    found = (d.filter(near).withColumn("rank", rank)
+             .filter(F.col("rank") == per_class("c", {r["c"]: r["rest"] for r in edges})).collect()) if edges else []
+    return {r["c"]: (r["h"], r["k"]) for r in found}
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
                      col: str = "split") -> DataFrame:
-    """Exact stratified train/test split; adds ``split`` in {train, test}."""
+    """Exact stratified train/test split; adds ``split`` in {train, test}.
+
+    Rows are compared with their class's cut, so the split itself moves no
+    row.  Rows that share their key (or have none) stay on one side; sizes are
+    exact when keys are unique."""
     counts = class_counts(df, label)
-    sizes = split_sizes(counts, test_frac)
-    r = rank_within(df, label, key, seed, "__rk", hash_digits(counts))
-    limit = None
-    for c, s in sizes.items():
-        cond = F.col(label).eqNullSafe(F.lit(c))
-        limit = F.when(cond, F.lit(s)) if limit is None else limit.when(cond, F.lit(s))
-    return r.withColumn(col, F.when(F.col("__rk") <= limit, F.lit("test")).otherwise(F.lit("train"))).drop("__rk")
+    cuts = rank_cuts(df, label, key, split_sizes(counts, test_frac), seed, hash_digits(counts))
+    h = F.coalesce(seeded_hash(key, seed), F.lit(""))
+    test = F.lit(False)
+    for c, (ch, ck) in cuts.items():
+        at = (h == F.lit(ch)) if ck is None else (h == F.lit(ch)) & (F.col(key) <= F.lit(ck))
+        test = test | (F.col(label).eqNullSafe(F.lit(c)) & ((h < F.lit(ch)) | at))
+    return df.withColumn(col, F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,

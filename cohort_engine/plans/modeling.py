@@ -1,9 +1,9 @@
 """Train/test setup for the model queries.
 
-model input (cleaned + features) -> exact stratified split, checkpointed
-into the shared checkpoint folder (the one materialisation point of the
-batch pipeline, so a lost executor recomputes from it, not from the raw
-scan) -> oversampled train -> fitted PipelineModels.  Fitted models are kept
+model input (cleaned + features), checkpointed into the shared checkpoint
+folder (the one materialisation point of the batch pipeline, so a lost
+executor recomputes from it, not from the raw scan) -> exact stratified split
+(comparisons with one cut per class) -> oversampled train -> fitted PipelineModels.  Fitted models are kept
 per (data dir, model) within the process so several queries reuse a fit.
 """
 
@@ -35,7 +35,7 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (_app(spark), sf_dir)
     if k not in _SPLITS:
         mi = pipeline.model_input(bindings.cohort(spark, sf_dir), KEY, "adherent")
-        _SPLITS[k] = cut_lineage(sampling.stratified_split(mi, LABEL, KEY, 0.2, 42))
+        _SPLITS[k] = sampling.stratified_split(cut_lineage(mi), LABEL, KEY, 0.2, 42)
     return _SPLITS[k]
 
 

@@ -65,3 +65,25 @@ def test_hash_digits_grow_with_class_size(spark):
     a = {tuple(r) for r in sampling.rank_within(c, "adherent", "patient_id", digits=1).collect()}
     b = {tuple(r) for r in sampling.rank_within(c, "adherent", "patient_id", digits=4).collect()}
     assert a == b
+
+
+def test_split_equals_full_ranking_and_moves_no_row(spark):
+    df = spark.range(20000).select((F.col("id") * 7).alias("key"), F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 3).alias("y"))
+    got = sampling.stratified_split(df, "y", "key", 0.23, 5)
+    counts = sampling.class_counts(df, "y")
+    sizes = sampling.split_sizes(counts, 0.23)
+    want = {c: set() for c in counts}
+    for r in sampling.rank_within(df, "y", "key", 5).collect():
+        if r["rank"] <= sizes[r["y"]]:
+            want[r["y"]].add(r["key"])
+    have = {c: set() for c in counts}
+    for r in got.filter("split = 'test'").collect():
+        have[r["y"]].add(r["key"])
+    assert have == want and None in have and got.count() == 20000
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # copies of a key and rows without one stay together; no row is lost
+    odd = df.unionByName(df).unionByName(spark.range(50).select(F.lit(None).cast("bigint").alias("key"), F.lit(1).cast("bigint").alias("y")))
+    split = sampling.stratified_split(odd, "y", "key", 0.23, 5)
+    assert split.count() == 40050
+    assert split.groupBy("key").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    assert sampling.stratified_split(df.limit(0), "y", "key").count() == 0
