@@ -64,16 +64,19 @@ def local_drivers(df: DataFrame, scorer: Callable[[DataFrame, dict], DataFrame],
     x = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats])
     scored = scorer(x, {c: medians[c] for c in feats})
 
-    def driver(i: int, c: str):
-        delta = F.col("p") - F.col("p_at")[i]
-        moved = ~F.col(c).eqNullSafe(F.lit(medians[c]).cast("double")) & (F.abs(delta) >= F.lit(min_abs))
+    names, at = F.array(*[F.lit(c) for c in feats]), F.array(*[F.lit(medians[c]).cast("double") for c in feats])
+    same = F.array(*[F.col(c).eqNullSafe(F.lit(medians[c]).cast("double")) for c in feats])
+
+    def driver(p, i):
+        delta = F.col("p") - p
         # |delta| rounded to 12 dp: mathematically equal deltas tie (then by
         # feature name) whatever the last bits of exp() are.
-        return F.when(moved, F.struct((-F.round(F.abs(delta), 12)).alias("order"), F.lit(c).alias("feature"),
-                                      F.lit(medians[c]).cast("double").alias("median"), delta.alias("delta")))
+        return F.struct((-F.round(F.abs(delta), 12)).alias("order"), names[i].alias("feature"), at[i].alias("median"),
+                        delta.alias("delta"), same[i].alias("same"))
 
-    # one row per record all along: its drivers are sorted inside the row
-    found = F.array_compact(F.array(*[driver(i, c) for i, c in enumerate(feats)]))
+    # one row per record all along: its drivers are sorted inside the row; the
+    # scores are read once, as an array, so that no model call is repeated
+    found = F.filter(F.transform("p_at", driver), lambda d: ~d["same"] & (F.abs(d["delta"]) >= F.lit(min_abs)))
     top = scored.select(key, F.col("p").alias("base_p"), F.slice(F.array_sort(found), 1, top_n).alias("found"))
     return (top.select(key, "base_p", F.posexplode("found").alias("at", "d"))
             .select(key, (F.col("at") + 1).alias("rank"), "d.feature", feature_label("d.feature").alias("label"),

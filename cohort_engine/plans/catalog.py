@@ -1189,8 +1189,13 @@ def q_ablation_linear(spark, sf_dir):
 @register("local_drivers", ids="M11,W4,M3,M10")
 def q_local_drivers(spark, sf_dir):
     """Forest ablation drivers for every record against the medians of all:
-    all scores of a record in its row, top 6 per record."""
+    all scores of a record in its row, top 6 per record.  A table in fewer
+    partitions than there are cores is dealt to all of them first, as every
+    row costs one forest call per feature."""
     every = modeling.split_table(spark, sf_dir).drop("split")
+    cores = spark.sparkContext.defaultParallelism
+    if every.rdd.getNumPartitions() < cores:
+        every = every.repartition(cores, modeling.KEY)
     feats = modeling.feature_names(every)
     model = modeling.fitted(spark, sf_dir, "Random Forest")
     med = explain.baseline_medians(every, feats)

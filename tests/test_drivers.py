@@ -44,4 +44,5 @@ def test_every_record_is_explained_against_all_medians(spark):
         assert [d for _, d in found] == pytest.approx([d for _, _, d in best], abs=1e-12)
     assert rows.keys() & {r[0] for r in every.filter("split = 'train'").select(modeling.KEY).collect()}
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Window" not in plan
+    # dealt once before scoring; nothing is exchanged or ranked by key after it
+    assert plan.count("Exchange") <= 1 and "Window" not in plan
