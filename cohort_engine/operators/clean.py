@@ -218,13 +218,6 @@ def scale_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]
     return [c for c in cols if mm[f"lo__{c}"] is not None and inner[c] > 0]
 
 
-def scale_columns_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """P5 as a table: (column, n_distinct, scaled) with an exact distinct count."""
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols])
-    long = row.unpivot([], list(cols), "column", "n_distinct")
-    return long.withColumn("scaled", F.col("n_distinct") > 2)
-
-
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
     """Mean and population sd (sd = 0 -> 1) of each column, one aggregate."""
     row = df.agg(*[F.avg(c).alias(f"m__{c}") for c in cols], *[F.stddev_pop(c).alias(f"s__{c}") for c in cols]).first()

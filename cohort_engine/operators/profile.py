@@ -1,7 +1,7 @@
 """Profiling.
 
-Every profile is one fused aggregate over all columns, unpivoted to long
-form.  Histograms need the value range first (one tiny aggregate, collected
+Profiles are fused aggregates over all columns, unpivoted to long form; exact
+distinct counts group each column on its own.  Histograms need the value range first (one tiny aggregate, collected
 as a parameter), then one grouped count.  Box statistics compute per-group
 quartiles, then join the k-row quartile table back (checked broadcast).
 """
@@ -9,6 +9,7 @@ quartiles, then join the k-row quartile table back (checked broadcast).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from cohort_engine.operators import clean
 from cohort_engine.operators.clean import numeric_columns
 from cohort_engine.operators.quantiles import grouped_quantiles
+from cohort_engine.session import staged
 
 
 def _list(x):
@@ -27,30 +29,56 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
-def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
-    """A2: per column dtype, non-null, null, null %, distinct — one aggregate.
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, scan: bool = False) -> DataFrame:
+    """Rows, non-null and distinct values of every column: (ordinal, column,
+    rows, non_null, n_distinct), exact.
 
-    ``distinct='approx'`` uses HyperLogLog++ (bounded memory, no Expand); the
-    exact form makes Spark expand rows once per column.
+    Each column is grouped on its own (map-side combine, hash partitions of
+    distinct values), so no row is copied once per column.  The columns are read
+    from a columnar table, each once: ``scan=True`` says that ``df`` is a plain
+    read of one, otherwise ``df`` is written first.  NaN is one value, -0.0 is
+    0.0; no columns give an empty table."""
+    spark = df.sparkSession
+    cols = list(cols) if cols is not None else df.columns
+    if not cols:
+        return spark.createDataFrame([], "ordinal int, column string, rows bigint, non_null bigint, n_distinct bigint")
+    if not scan:
+        df = staged(df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]))
+    else:
+        df = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = []
+    for i, c in enumerate(cols):
+        values = df.groupBy(f"c{i}").agg(F.count(F.lit(1)).alias("n"))
+        known = F.col(f"c{i}").isNotNull()
+        parts.append(values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"),
+                                F.count(F.when(known, 1)).alias("n_distinct"))
+                     .select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), "rows", "non_null", "n_distinct"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "exact", scan: bool = False) -> DataFrame:
+    """A2: per column dtype, non-null, null, null %, distinct.
+
+    ``distinct='approx'`` uses HyperLogLog++ in one aggregate (bounded memory);
+    the exact form is ``distinct_counts``, which explains ``scan``.
     """
     cols = list(cols) if cols is not None else df.columns
     types = dict(df.dtypes)
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(c)).alias(f"nn{i}"))
-        d = F.count_distinct(F.col(c)) if distinct == "exact" else F.approx_count_distinct(F.col(c))
-        aggs.append(d.alias(f"nd{i}"))
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                        F.col(f"nn{i}").alias("non_null"), F.col(f"nd{i}").alias("n_distinct"),
-                        F.lit(i).alias("ordinal"))
-               for i, c in enumerate(cols)]
-    long = row.select("__n", F.explode(F.array(*structs)).alias("s"))
+    if distinct == "exact":
+        long = distinct_counts(df, cols, scan)
+    else:
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, c in enumerate(cols):
+            aggs += [F.count(F.col(c)).alias(f"nn{i}"), F.approx_count_distinct(F.col(c)).alias(f"nd{i}")]
+        structs = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"nn{i}").alias("non_null"),
+                            F.col(f"nd{i}").alias("n_distinct")) for i, c in enumerate(cols)]
+        long = df.agg(*aggs).select("rows", F.explode(F.array(*structs)).alias("s")).select("rows", "s.*")
+    nulls = F.col("rows") - F.col("non_null")
+    dtype = F.element_at(F.array(*[F.lit(types[c]) for c in cols]), F.col("ordinal") + 1) if cols else F.lit("")
     return long.select(
-        "s.column", "s.dtype", F.col("s.non_null").cast("bigint").alias("non_null"),
-        (F.col("__n") - F.col("s.non_null")).cast("bigint").alias("nulls"),
-        F.round(F.try_divide((F.col("__n") - F.col("s.non_null")) * F.lit(100.0), F.col("__n")), 2).alias("null_pct"),
-        F.col("s.n_distinct").cast("bigint").alias("n_distinct"), "s.ordinal")
+        "column", dtype.alias("dtype"), F.col("non_null").cast("bigint").alias("non_null"), nulls.cast("bigint").alias("nulls"),
+        F.round(F.try_divide(nulls * F.lit(100.0), F.col("rows")), 2).alias("null_pct"),
+        F.col("n_distinct").cast("bigint").alias("n_distinct"), "ordinal")
 
 
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

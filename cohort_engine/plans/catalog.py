@@ -6,10 +6,11 @@ express it.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohort_engine.functions import scalar
-from cohort_engine.operators import clean, explain, irls, metrics, models, profile, reports, sampling, score, smote, stats
+from cohort_engine.operators import cart, clean, explain, irls, metrics, models, profile, reports, sampling, score, smote, stats
 from cohort_engine.operators import features as feat
 from cohort_engine.plans import bi, modeling, pipeline
 from cohort_engine.plans.registry import register
@@ -27,7 +28,7 @@ from cohort_engine.plans.sqlbase import (
     mode_sql,
     with_,
 )
-from cohort_engine.session import cut_lineage
+from cohort_engine.session import cut_lineage, shared_path
 from cohort_engine.sources import bindings
 
 
@@ -213,7 +214,8 @@ _SCALE_CAND = ("age", "annual_contribution", "claim_amount", "expected_refills",
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) > 2 AS scaled "
     f"FROM cohort" for c in _SCALE_CAND)))
 def q_scale_columns(spark, sf_dir):
-    return clean.scale_columns_frame(bindings.cohort(spark, sf_dir), _SCALE_CAND)
+    found = profile.distinct_counts(bindings.cohort(spark, sf_dir), _SCALE_CAND)
+    return found.select("column", "n_distinct", (F.col("n_distinct") > 2).alias("scaled"))
 
 
 @register("burden_complete", ids="P7", sql=with_(COHORT, """
@@ -1132,6 +1134,38 @@ def q_glm_score_equations(spark, sf_dir):
     return irls.fitted_totals(rf, "adherent", _GLM_FEATURES, irls.fit(rf, "adherent", _GLM_FEATURES))
 
 
+_TREE_COLUMNS = ("refill_ratio", "burden_r", "age", "days_supply", "num_medications")
+_TREE_DATA = RFEAT + """,
+t AS (SELECT adherent AS y, {} FROM rfeat WHERE {}),
+whole AS (SELECT count(*) AS n, sum(y) AS pos FROM t),
+cells AS ({}),
+runs AS (SELECT f, v, lead(v) OVER w AS after, CAST(sum(n) OVER w AS BIGINT) AS n_left, CAST(sum(pos) OVER w AS BIGINT) AS pos_left
+         FROM (SELECT f, v, count(*) AS n, sum(y) AS pos FROM cells GROUP BY ALL) WINDOW w AS (PARTITION BY f ORDER BY v)),
+cuts AS (SELECT f, v / 2 + after / 2 AS threshold, n_left, pos_left, CAST(n_left AS DOUBLE) AS a, CAST(pos_left AS DOUBLE) AS b,
+                CAST(n - n_left AS DOUBLE) AS c, CAST(pos - pos_left AS DOUBLE) AS d
+         FROM runs, whole WHERE after IS NOT NULL AND n_left >= 10 AND n - n_left >= 10)""".format(
+    ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_TREE_COLUMNS)),
+    " AND ".join(f"{c} IS NOT NULL" for c in _TREE_COLUMNS),
+    " UNION ALL ".join(f"SELECT {i} AS f, x{i} AS v, y FROM t" for i in range(len(_TREE_COLUMNS))))
+
+
+@register("tree_root_splits", ids="M2", round6=("threshold", "purity"), sql=with_(_TREE_DATA, """
+SELECT f, threshold, purity, n_left, pos_left,
+       CAST(row_number() OVER (ORDER BY purity DESC, f, threshold) AS INTEGER) AS place
+FROM (SELECT *, (b * b + (a - b) * (a - b)) / a + (d * d + (c - d) * (c - d)) / c AS purity FROM cuts
+      QUALIFY row_number() OVER (PARTITION BY f ORDER BY purity DESC, threshold) = 1)"""))
+def q_tree_root_splits(spark, sf_dir):
+    """The best exact split of every column at the root of the tree; the first
+    place is the split that the tree takes."""
+    data = cart.prepared(r_features(spark, sf_dir), "adherent", _TREE_COLUMNS)
+    found = cart.candidates(data, F.lit(cart.ROOT), _TREE_COLUMNS, 10)
+    best = F.min(F.struct((-F.col("purity")).alias("p"), "threshold", "n_left", "pos_left")).alias("b")
+    each = found.groupBy("node", "f").agg(best).select("node", "f", "b.threshold", (-F.col("b.p")).alias("purity"), "b.n_left", "b.pos_left")
+    # a row per column
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("purity"), "f", "threshold"))
+    return each.withColumn("place", place).drop("node")
+
+
 @register("odds_ratios", ids="ST7")
 def q_odds_ratios(spark, sf_dir):
     return models.odds_ratios(q_glm_summary(spark, sf_dir))
@@ -1234,6 +1268,25 @@ def q_typed_load(spark, sf_dir):
     return typed.infer_frame(typed.as_text(bindings.cohort(spark, sf_dir)))
 
 
+_REPORT_TEXT = ("patient_id", "age", "insurance_type", "claim_amount", "chronic_condition", "note")
+_REPORT_NOTE = """CASE patient_id % 4 WHEN 0 THEN '  '
+  WHEN 1 THEN ' said "' || insurance_type || '", then' || chr(10) || 'left' WHEN 2 THEN '"' || chr(13) || chr(10) || gender || ',' ELSE gender END"""
+
+
+@register("csv_load", ids="S1,S2,S4,S5,S6", sql=with_(COHORT, """
+SELECT CAST(patient_id AS BIGINT) AS patient_id, CAST(age AS BIGINT) AS age, insurance_type, claim_amount, chronic_condition,
+       nullif(trim(note), '') AS note_text FROM (SELECT *, {} AS note FROM cohort)""".format(_REPORT_NOTE)))
+def q_csv_load(spark, sf_dir):
+    """The cohort written as CSV, with blanks, quotes and line ends in cells, and
+    loaded again: names normalised, types inferred."""
+    from cohort_engine.sources import tables, typed
+    path = shared_path(spark, "csv")
+    rows = bindings.cohort(spark, sf_dir).withColumn("note", F.expr(_REPORT_NOTE))
+    rows = rows.select(*_REPORT_TEXT).withColumnRenamed("note", "Note Text")
+    tables.write_table(rows, path, fmt="csv")
+    return typed.typed_load(spark, path, normalize=True)
+
+
 # The report's display header of the metric table.
 METRIC_HEADERS = {"model": "Model", "accuracy": "Accuracy", "precision": "Precision", "recall": "Recall",
                   "at_risk_recall": "At-Risk Recall", "f1_score": "F1 Score", "roc_auc": "ROC-AUC",
@@ -1311,7 +1364,7 @@ _CLAIM_TYPES = ("bigint", "int", "double", "double", "double", "double", "string
     f"round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct, count(DISTINCT {c}) AS n_distinct, "
     f"{i} AS ordinal FROM lineitem" for i, (c, t) in enumerate(zip(_CLAIM_COLS, _CLAIM_TYPES))))
 def q_claims_profile(spark, sf_dir):
-    return profile.profile_columns(bindings.table(spark, sf_dir, "lineitem", list(_CLAIM_COLS)))
+    return profile.profile_columns(bindings.table(spark, sf_dir, "lineitem", list(_CLAIM_COLS)), scan=True)
 
 
 @register("claims_split", ids="R1", sql="""

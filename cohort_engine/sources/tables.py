@@ -37,16 +37,17 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
-               fmt: str = "csv", null_values=(), header: bool = True) -> DataFrame:
+               fmt: str = "csv", null_values=(), header: bool = True, multiline: bool = False) -> DataFrame:
     """CSV (header, explicit schema or all strings) or parquet scan.
 
     ``null_values``: extra text tokens read as NULL; by default only blank is
-    null, so a category literally named 'None' stays a value.
+    null, so a category literally named 'None' stays a value.  ``multiline``:
+    cells may hold line ends; such files are not split.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+        reader = spark.read.options(header=header, mode="PERMISSIVE", escape='"', multiLine=multiline)
         if schema is not None:
             reader = reader.schema(schema)
         else:
@@ -94,6 +95,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # quotes inside cells are doubled, blanks around text stay
+        w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         w.format(fmt).save(path)

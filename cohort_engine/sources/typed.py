@@ -1,6 +1,6 @@
 """Typed loads of text tables.
 
-A report CSV is read with every column as text; ONE aggregate per table
+A report CSV is read once with every column as text; one aggregate per table
 counts, per column, the non-blank cells, those that are integers (regex on
 the trimmed text) and those that parse as doubles.  The type rule: all
 non-blank cells integer (or no non-blank cell) -> INTEGER; all numeric ->
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohort_engine.functions.scalar import NUMBER_PATTERN, normalize_name
+from cohort_engine.session import staged
 
 INT_PATTERN = r"^[+-]?[0-9]+$"
 # INTEGER columns beyond 64 bits are WIDE, beyond 38 digits TEXT: no value is lost.
@@ -57,9 +59,13 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Blank -> NULL, trimmed text, numeric casts per inferred type."""
+    """Blank -> NULL, trimmed text, numeric casts per inferred type; columns
+    without a type stay as they are."""
     out = []
     for c in df.columns:
+        if c not in types:
+            out.append(F.col(c))
+            continue
         t = F.trim(F.col(c))
         v = F.when(t != F.lit(""), t)
         st = SPARK_TYPES[types[c]]
@@ -67,10 +73,36 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def typed_load(spark: SparkSession, path: str, normalize: bool = False) -> DataFrame:
-    """Read a header CSV as text, optionally normalise names, infer and apply types."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    df = df.toDF(*[c.strip() for c in df.columns])
+def text_scan(spark: SparkSession, path: str, corrupt: str | None = None, multiline: bool = True) -> DataFrame:
+    """A header CSV as text columns, quotes inside cells doubled.  ``corrupt``
+    names one more column: the line of a row with too few or too many cells,
+    else null (missing cells are null, further ones only stand there).
+    ``multiline=False`` takes a line end as the end of a row also inside quotes;
+    then large files are split."""
+    head = spark.read.options(header=True, multiLine=multiline, escape='"', inferSchema=False).csv(path)
+    names = head.columns
+    schema = StructType([StructField(c, StringType()) for c in names] + ([StructField(corrupt, StringType())] if corrupt else []))
+    reader = spark.read.schema(schema).options(header=True, multiLine=multiline, escape='"', mode="PERMISSIVE", enforceSchema=True)
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.csv(path).toDF(*[c.strip() for c in names], *([corrupt] if corrupt else []))
+
+
+def typed_load(spark: SparkSession, path: str, normalize: bool = False, multiline: bool = True,
+               corrupt: str | None = None) -> DataFrame:
+    """A header CSV with inferred types, names optionally normalised.
+
+    The text is read once: it is written as a Parquet table in the shared
+    folder, from which types are counted and rows returned.  (``observe`` would
+    count during the write, but a session that has observed can't send a logistic
+    model with its training summary to executors.)
+    ``multiline`` and ``corrupt`` as in ``text_scan``.  A file without rows gives
+    an empty table; columns without a cell that isn't blank are INTEGER."""
+    df = text_scan(spark, path, corrupt, multiline)
     if normalize:
-        df = normalize_columns(df)
-    return apply_types(df, infer_types(df))
+        names = normalize_columns(df).columns
+        df = df.toDF(*(names[:-1] + [corrupt] if corrupt else names))
+    cells = [c for c in df.columns if c != corrupt]
+    kept = staged(df, "typed")
+    types = infer_types(kept.select(*cells))
+    return apply_types(kept, types)

@@ -67,3 +67,29 @@ def test_publish_split_and_pretty(spark, tmpdir_path):
     assert "patient_id" in t.columns and "label" in t.columns and "split" not in t.columns
     r = reports.pretty(t.select("patient_id", "label"), {"label": "Adherent", "nope": "x"})
     assert r.columns == ["patient_id", "Adherent"]
+
+
+def test_typed_load_quotes_line_ends_and_bad_rows(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "r.csv")
+    with open(p, "w", newline="") as fh:
+        fh.write('Id, Free Text ,Score\r\n1," a ""b"",\nc ",0.5\r\n2,  ,1\r\n3\r\n4,x,2,left over\r\n,"",\r\n')
+    t = typed.typed_load(spark, p, normalize=True, corrupt="bad")
+    assert t.dtypes == [("id", "bigint"), ("free_text", "string"), ("score", "double"), ("bad", "string")]
+    rows = [tuple(r) for r in t.collect()]
+    assert (1, 'a "b",\nc', 0.5, None) in rows and (2, None, 1.0, None) in rows
+    assert [r[3] is not None for r in sorted(rows, key=lambda r: r[0] or 0)] == [False, False, False, True, True]
+    assert (4, "x", 2.0) in [r[:3] for r in rows] and (3, None, None) in [r[:3] for r in rows]
+    q = os.path.join(tmpdir_path, "e.csv")
+    with open(q, "w") as fh:
+        fh.write("a,b\n")
+    e = typed.typed_load(spark, q)
+    assert e.count() == 0 and e.columns == ["a", "b"]
+
+
+def test_csv_cells_come_back(spark, tmpdir_path):
+    rows = [(1, ' "q" ', "l\nm"), (2, 'a\\"b', "\r\n"), (3, None, "\\"), (4, "", ",")]
+    out = os.path.join(tmpdir_path, "cells")
+    tables.write_table(spark.createDataFrame(rows, "k int, s string, t string"), out, fmt="csv")
+    back = tables.read_table(spark, out, "k int, s string, t string", multiline=True)
+    got = {r["k"]: (r["s"] or None, r["t"]) for r in back.collect()}
+    assert got == {k: (s or None, t) for k, s, t in rows}
