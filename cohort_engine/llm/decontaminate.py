@@ -139,6 +139,8 @@ def short_windows(h: np.ndarray, ptr: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that hold no item (rows that share a doc_id go together)."""
-    bad = contained(spark, docs, items, containment).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents that hold no item.  Each row is judged by its own text, also
+    where rows share a doc_id or have none; equal texts are searched as one."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = contained(spark, texts, items, containment).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["__bad"], "left_anti")

@@ -390,18 +390,28 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with one of each component: that of the smallest doc_id.
-
-    Of rows that repeat a doc_id one stays (components with the same smallest
-    doc_id count as one); rows without doc_id all stay."""
-    found = link_components(spark, docs, words).filter(F.col("doc_id").isNotNull())
-    each = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"),
-                                       F.count(F.lit(1)).alias("rows"))
-    each = written(each.filter("first = 0 OR rows > 1"), "ngram-gone")
-    drop = each.select(F.col("doc_id").alias("__id"))
-    again = each.filter("first = 1").select(F.col("doc_id").alias("__id"))
-    rest = docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")
+    """The documents with one of each component: that of the smallest doc_id
+    (a row without doc_id only where no other is in the component).
+
+    A document is its doc_id and text: different texts that share a doc_id, or
+    have none, are judged each on its own.  Of rows that repeat both one stays;
+    rows with neither doc_id nor words all stay."""
+    text = F.xxhash64("text")
+    found = (link_components(spark, docs.select(text.alias("doc_id"), "text"), words).filter("n_shingles > 0")
+             .select(F.col("doc_id").alias("h"), "component_id").distinct())
+    placed = written(docs.select("doc_id", text.alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+                     .join(found, "h", "left"), "ngram-placed")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
+    first = placed.filter("component_id IS NOT NULL").groupBy("component_id").agg(F.min(order).alias("first"))
+    marked = placed.join(first, "component_id", "left").select(
+        "doc_id", "h", "rows", "component_id", (F.col("first").isNull() | F.col("first").eqNullSafe(order)).alias("stays"))
+    several = F.col("stays") & (F.col("rows") > 1) & (F.col("doc_id").isNotNull() | F.col("component_id").isNotNull())
+    marked = written(marked.filter(~F.col("stays") | several).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "stays"), "ngram-gone")
+    same = docs["doc_id"].eqNullSafe(marked["__id"]) & (F.xxhash64(docs["text"]) == marked["__h"])
+    rest = docs.join(marked, same, "left_anti")
+    again = marked.filter("stays")
     if again.isEmpty():
         return rest
-    row = F.min(F.struct(*docs.columns)).alias("row")
-    return rest.unionByName(docs.join(again, docs["doc_id"] == again["__id"], "left_semi").groupBy("doc_id").agg(row).select("row.*"))
+    row = F.min(F.struct(*docs.columns)).alias("__row")
+    copies = docs.join(again, same, "left_semi")
+    return rest.unionByName(copies.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h")).agg(row).select("__row.*"))

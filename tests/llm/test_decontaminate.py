@@ -57,5 +57,7 @@ def test_edges(spark, documents):
     assert got == [(0, 0, 1, 1), (1, 1, 3, 3)]
     kept = D.clean_documents(spark, docs, items)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6] and kept.columns == docs.columns
+    unnamed = documents([(None, "one two three"), (None, "ALPHA-beta"), (1, "x " + item), (1, "clean")])
+    assert sorted(r["text"] for r in D.clean_documents(spark, unnamed, items).collect()) == ["clean", "one two three"]
     assert D.contained(spark, documents([]), items).count() == 0
     assert D.contained(spark, docs, items.limit(0)).count() == 0

@@ -84,10 +84,19 @@ def test_edges(spark, documents):
                  for r in J.link_components(spark, docs).collect())
     assert got == [(-1, 0, -1), (-1, 36, 5), (2, 1, 2), (5, 36, 5), (5, 36, 5), (7, 0, 7), (8, 0, 8), (8, 0, 8), (9, 36, 5)]
     kept = J.one_of_each(spark, docs)
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 2, 5, 7, 8] and kept.columns == docs.columns
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 5, 7, 8] and kept.columns == docs.columns
     assert J.link_components(spark, documents([])).count() == 0
 
 
+def test_each_text_of_a_shared_id_is_judged(spark, documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = documents([(1, a), (1, b), (1, b), (3, a + " more"), (None, c), (None, c + " more"), (None, b), (None, None), (None, None), (4, "")])
+    kept = J.one_of_each(spark, docs)
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
+    assert (1, a) in got and (1, b) in got and sum(i == -1 and t.startswith("c0") for i, t in got) == 1
+    assert sorted(i for i, _ in got) == [-1, -1, -1, 1, 1, 4] and kept.dtypes == docs.dtypes
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(7, 7), (None, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
