@@ -1246,6 +1246,15 @@ def q_score_batch(spark, sf_dir):
     return score_profiles(profiles, model)
 
 
+@register("score_records", ids="M8,C1,C7")
+def q_score_records(spark, sf_dir):
+    """Records scored with the batch pipeline's own imputation, capping and
+    encoding; the held-out ones agree with ``score_test``."""
+    from cohort_engine.streaming.scoring import score_records
+    model = modeling.fitted(spark, sf_dir, "Random Forest")
+    return score_records(bindings.cohort(spark, sf_dir), model, modeling.cleaning(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # Typed text loads
 # --------------------------------------------------------------------------

@@ -39,6 +39,11 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _SPLITS[k]
 
 
+def cleaning(spark: SparkSession, sf_dir: str) -> pipeline.CleaningParams:
+    """The fitted parameters behind ``split_table``."""
+    return pipeline.fit_cleaning(cut_lineage(bindings.cohort(spark, sf_dir)), KEY, "adherent")
+
+
 def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (KEY, LABEL, "split", "draw")]
 

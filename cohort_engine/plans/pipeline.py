@@ -7,9 +7,10 @@ train split instead.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_engine.operators import clean
@@ -74,17 +75,36 @@ def clean_cohort(raw: DataFrame, key: str = "patient_id", target: str = "adheren
     return apply_cleaning(x, p)
 
 
+def prepared(raw: DataFrame, p: CleaningParams) -> DataFrame:
+    """F8 of one table: a row's cleaned columns, then the features of its raw
+    values.  Projections only, so a row needs no key, no join, and the same
+    function serves a stream."""
+    out = apply_cleaning(feat.derive_features(raw, p.rules), p)
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c not in feat.FEATURE_COLS], *feat.FEATURE_COLS)
+
+
 def feature_table(raw: DataFrame, key: str = "patient_id", materialize: bool = True) -> DataFrame:
-    """F8: cleaned rows left-joined with features derived from raw values.
+    """F8: the cleaned rows with features derived from raw values.
 
-    The raw table feeds five parameter fits and both join sides, so it is
+    The raw table feeds five parameter fits and the result, so it is
     written once to the shared checkpoint folder (one pass over the source
     tables instead of one per fit)."""
     if materialize:
         raw = cut_lineage(raw)
-    p = fit_cleaning(raw, key)
-    return feat.feature_matrix(raw, apply_cleaning(raw, p), key, rules=p.rules)
+    return prepared(raw, fit_cleaning(raw, key))
 
 
 def model_input(raw: DataFrame, key: str = "patient_id", target: str = "adherent") -> DataFrame:
     return feat.model_matrix(feature_table(raw, key), target, key)
+
+
+def save_cleaning(spark: SparkSession, p: CleaningParams, path: str) -> None:
+    """The fitted parameters as one line of JSON, next to the models."""
+    line = json.dumps(asdict(p))
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_cleaning(spark: SparkSession, path: str) -> CleaningParams:
+    d = json.loads(spark.read.text(path).first()["value"])
+    rules = {c: feat.BucketRule(r["column"], r["fixed"], tuple(r["edges"])) for c, r in d["rules"].items()}
+    return CleaningParams(rules, clean.ImputeParams(**d["impute"]), clean.Fences(**d["fences"]), clean.Encoder(**d["encoder"]))
