@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_engine.operators.rankcum import cumulative
-from cohort_engine.session import cut_lineage
+from cohort_engine.session import staged
 
 ROOT = 1                        # the children of node k are 2k and 2k + 1
 
@@ -114,7 +114,7 @@ def prepared(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
 def fit(df: DataFrame, label: str, features: Sequence[str], max_depth: int = 6, min_split: int = 20, min_leaf: int = 10) -> Tree:
     """The tree of ``df``; its depth bounds the driver's part (2 ** depth nodes).
     Empty tables raise a ValueError."""
-    data = cut_lineage(prepared(df, label, features))
+    data = staged(prepared(df, label, features), "tree")
     n, pos = data.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not n:
         raise ValueError("no complete rows to fit")
