@@ -26,6 +26,8 @@ from cohort_engine.session import cut_lineage
 
 NEIGHBOURS = 5                  # fixed value: the neighbours a synthetic row may lean to
 BLOCK_ROWS = 2048
+QUERY_ROWS = 256                # rows of a block compared with another block at a time
+SENT_ROWS = 16                  # blocks a task passes on at a time
 _HASH_RANGE = float(2**60)      # fifteen hex digits
 
 _BLOCK = "cls string, block long, lo double, hi double, reach double, bound binary, ids binary, data binary"
@@ -43,7 +45,14 @@ def usable(df: DataFrame, label: str, key: str, features: Sequence[str]) -> Data
 
 def nearest(q: np.ndarray, qi: np.ndarray, c: np.ndarray, ci: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate id, squared distance) of each query's k nearest
-    candidates but itself; ties to the smaller id."""
+    candidates but itself; ties to the smaller id.  ``QUERY_ROWS`` queries are
+    compared at a time."""
+    parts = [_nearest(q[at:at + QUERY_ROWS], qi[at:at + QUERY_ROWS], c, ci, k) for at in range(0, max(len(q), 1), QUERY_ROWS)]
+    return (np.concatenate([p[0] + n * QUERY_ROWS for n, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]),
+            np.concatenate([p[2] for p in parts]))
+
+
+def _nearest(q: np.ndarray, qi: np.ndarray, c: np.ndarray, ci: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sq, sc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
     rough = sq[:, None] + sc[None, :] - 2 * (q @ c.T)
     own = qi[:, None] == ci[None, :]
@@ -96,32 +105,39 @@ def _pack(rows: int, axis: int, k: int):
     return run
 
 
-def _targets(blocks: dict):
+def _rows(batches: Iterator[pa.RecordBatch], *blobs: str) -> Iterator[dict]:
+    """The rows one by one; the ``blobs`` stay in the batch's own memory."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_buffer() if c in blobs else batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _targets(blocks: dict, shares: int = 1):
     """A block once for every block of its class that it may find neighbours
-    in.  ``blocks``: per class the numbers, lower and upper ends, sorted."""
+    in.  ``blocks``: per class the numbers, lower and upper ends, sorted; the
+    blocks asking one block are dealt to ``shares``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                number, lo, hi = blocks.value[r["cls"]]
-                meet = number[(lo <= r["hi"] + r["reach"]) & (hi >= r["lo"] - r["reach"])]
-                for part in np.array_split(meet, max(1, len(meet) // 64)):
-                    n = len(part)
-                    yield pa.RecordBatch.from_pydict({"cls": [r["cls"]] * n, "block": pa.array(part, pa.int64()), "bound": [r["bound"]] * n, "q_ids": [r["ids"]] * n,
-                                                      "q_data": [r["data"]] * n})
+        for r in _rows(batches):
+            number, lo, hi = blocks.value[r["cls"]]
+            share = int(np.searchsorted(lo, r["lo"], "left")) % shares
+            meet = number[(lo <= r["hi"] + r["reach"]) & (hi >= r["lo"] - r["reach"])]
+            for part in np.array_split(meet, max(1, -(-len(meet) // SENT_ROWS))):
+                n = len(part)
+                yield pa.RecordBatch.from_pydict({"cls": [r["cls"]] * n, "block": pa.array(part, pa.int64()), "share": pa.array([share] * n, pa.int32()), "bound": [r["bound"]] * n, "q_ids": [r["ids"]] * n,
+                                                  "q_data": [r["data"]] * n})
     return run
 
 
 def _meet(features: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = (np.frombuffer(r[x], np.float64).reshape(-1, features) for x in ("q_data", "data"))
-                i, other, d = nearest(q, qi, c, ci, k)
-                near = d <= np.frombuffer(r["bound"], np.float64)[i]         # what the row's own block doesn't rule out
-                i, other, d = i[near], other[near], d[near]
-                yield pa.RecordBatch.from_pydict({"cls": pa.array([r["cls"]] * len(i), pa.string()), "key": pa.array(qi[i]),
-                                                  "neighbour": pa.array(other), "distance2": pa.array(d)})
+        for r in _rows(batches, "bound", "q_ids", "ids", "q_data", "data"):
+            qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+            q, c = (np.frombuffer(r[x], np.float64).reshape(-1, features) for x in ("q_data", "data"))
+            i, other, d = nearest(q, qi, c, ci, k)
+            near = d <= np.frombuffer(r["bound"], np.float64)[i]         # what the row's own block doesn't rule out
+            i, other, d = i[near], other[near], d[near]
+            yield pa.RecordBatch.from_pydict({"cls": pa.array([r["cls"]] * len(i), pa.string()), "key": pa.array(qi[i]),
+                                              "neighbour": pa.array(other), "distance2": pa.array(d)})
     return run
 
 
@@ -147,10 +163,17 @@ def smote_knn(df: DataFrame, label: str, key: str, features: Sequence[str], k: i
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = cut_lineage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(block_rows, axis, k), _BLOCK))
     ends = blocks.select("cls", "block", "lo", "hi").toPandas()         # a row per BLOCK_ROWS rows of the data
-    known = {c: tuple(g[x].to_numpy() for x in ("block", "lo", "hi")) for c, g in ends.groupby("cls")}
+    known = {c: tuple(g[x].to_numpy() for x in ("block", "lo", "hi")) for c, g in ends.sort_values(["lo", "block"]).groupby("cls")}
     table = spark.sparkContext.broadcast(known)
-    asked = blocks.mapInArrow(_targets(table), "cls string, block long, bound binary, q_ids binary, q_data binary")
-    part = asked.join(blocks.select("cls", "block", "ids", "data"), ["cls", "block"]).mapInArrow(_meet(len(features), k), _TILE)
+    # a task's rows reach Python together, so a task gets few: about SENT_ROWS
+    # blocks ask a share of a block, and there is a task for every other share
+    shares = max([1, *(-(-len(g[0]) // SENT_ROWS) for g in known.values())])
+    tasks = max(1, -(-len(ends) * shares // 2))
+    place = ["cls", "block", "share"]
+    asked = blocks.mapInArrow(_targets(table, shares), "cls string, block long, share int, bound binary, q_ids binary, q_data binary")
+    held = blocks.select("cls", "block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "ids", "data")
+    part = (asked.repartition(tasks, *place).join(held.repartition(tasks, *place).hint("shuffle_hash"), place)
+            .mapInArrow(_meet(len(features), k), _TILE))
     best = Window.partitionBy("cls", "key").orderBy("distance2", "neighbour")
     return (part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("cls", "key", "rank", "neighbour", "distance2"))
