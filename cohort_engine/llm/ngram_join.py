@@ -47,6 +47,7 @@ LEAST_FRAGMENTS = 64
 SET_FRAGMENT = 100_000          # n-grams of one text per fragment, when verifying
 MERGE_ENTRIES = 400_000
 STAR_STEPS = ((4, 6), (16, 48))   # leaders a group offers, and a node is verified with, by step
+SHARES_SLACK = 2                # a star pair's groups count so many times against the least a link has
 U64 = np.uint64
 
 
@@ -283,12 +284,15 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), "ngram-asked")
     table = spark.sparkContext.broadcast(bit_table(asked.select(F.col("node").alias("h"))))
     cut = (docs.select("doc_id", "text").mapInArrow(_cut_sets(words, table, fragments), "node long, doc_id long, fragment int, grams array<long>"))
-    own = asked.withColumnRenamed("node", "k")
-    sets = cut.join(own, (F.col("node") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "fragment", "grams")
+    # dealt by (node, fragment) from the start: the choice of one copy's sets (by
+    # two bounds, which are no key to deal by), the join with a and that with b
+    # use the same exchange
+    every = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))
+    own = asked.select(F.col("node").alias("k"), "rep", every.alias("part"))
+    chosen = (F.col("doc_id").isNull() & F.col("rep").isNull()) | ((F.col("doc_id") >= F.col("rep")) & (F.col("doc_id") <= F.col("rep")))
+    sets = cut.join(own, (F.col("node") == F.col("k")) & (F.col("fragment") == F.col("part")) & chosen).select("node", "fragment", "grams")
     num, den = SIMILARITY
-    # both sides join on (node, fragment), so the sets are read and dealt once
-    # for both (the exchange is reused)
-    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    each = pairs.withColumn("fragment", every)
     left = each.join(sets.toDF("a", "fragment", "ga"), ["a", "fragment"])
     partial = (left.join(sets.toDF("b", "fragment", "gb"), ["b", "fragment"])
                .select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("common")))
@@ -306,28 +310,41 @@ def with_roots(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def enough(shares, na: str, nb: str):
+    """Whether texts of ``na`` and ``nb`` n-grams that have ``shares`` prefix
+    n-grams in common may link: past the end of the prefix that ends first
+    they share no more than what its text has left."""
+    num, den = SIMILARITY
+    left = lambda n: F.ceil(F.col(n) * num / den) - 1  # noqa: E731  n - prefix_size(n)
+    return (shares + F.greatest(left(na), left(nb))) * (num + den) >= (F.col(na) + F.col(nb)) * num
+
+
 def star_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame | None, done: DataFrame | None, step: int) -> DataFrame:
     """Every node with a few leaders of its (n-gram, size band) groups that
     are in other components and were not tried: those of the largest groups,
     then those it shares most with.  A group's leaders are the largest nodes
     under a few orders that are the same in all groups.  ``STAR_STEPS`` has
     the numbers: the fewer nodes are still apart, the more leaders each can
-    try.  ``nodes``: (node, n)."""
+    try.  A pair is left to the exact step when the groups it was found in are
+    far too few for a link (``SHARES_SLACK`` allows for groups that the leader
+    is in but does not lead).  ``nodes``: (node, n)."""
     offered, tried = STAR_STEPS[step]
     turns = [F.lit(int(x)) for x in textkit.signed(textkit.mix64(np.arange(offered, dtype=U64) + U64(1000 * step + 1)))]
     band = F.floor(F.log("n") / F.log(F.lit(SIMILARITY[1] / SIMILARITY[0]))).cast("int")
-    rows = with_roots(shared, comps).withColumn("band", band)
-    groups = (rows.groupBy("h", "band")
-              .agg(*[F.max(F.col("node").bitwiseXOR(x)).alias(f"lead{k}") for k, x in enumerate(turns)],
-                   F.count(F.lit(1)).alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-              .filter("lo <> hi")
-              .select("h", "band", "g", F.explode(F.array_distinct(F.array(
-                  *[F.col(f"lead{k}").bitwiseXOR(x) for k, x in enumerate(turns)]))).alias("b")))
-    asked = (rows.join(groups, ["h", "band"]).filter("node <> b")
+    group = Window.partitionBy("h", "band")
+    # dealt once, as they are: each row gets its group's leaders afterwards
+    rows = (with_roots(shared.select("h", "node", "n"), comps).withColumn("band", band).repartition("h", "band")
+            .select("node", "n", "root", F.count(F.lit(1)).over(group).alias("g"),
+                    F.min("root").over(group).alias("lo"), F.max("root").over(group).alias("hi"),
+                    *[F.max(F.col("node").bitwiseXOR(x)).over(group).alias(f"lead{k}") for k, x in enumerate(turns)])
+            .filter("lo <> hi"))
+    asked = (rows.select("node", "n", "root", "g", F.explode(F.array_distinct(F.array(
+                 *[F.col(f"lead{k}").bitwiseXOR(x) for k, x in enumerate(turns)]))).alias("b"))
+             .filter("node <> b")
              .groupBy(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b")
              .agg(F.max("g").alias("g"), F.count(F.lit(1)).alias("shares")))
     known = with_roots(nodes.select("node", "n"), comps).toDF(*("b", "nb", "rb"))
-    asked = (asked.join(known, "b").filter("ra <> rb")
+    asked = (asked.join(known, "b").filter("ra <> rb").filter(enough(F.col("shares") * SHARES_SLACK, "na", "nb"))
              .select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "*"))
     if done is not None:
         asked = asked.join(done.select(F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"], "left_anti")
@@ -343,8 +360,9 @@ def open_pairs(shared: DataFrame, comps: DataFrame, done: DataFrame) -> DataFram
     different components and were not verified before."""
     num, den = SIMILARITY
     placed = with_roots(shared, comps)
-    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-    some = written(placed.join(mixed, "h", "left_semi"), "ngram-open")
+    group = Window.partitionBy("h")
+    some = written(placed.select("h", "node", "n", "rank", "root", F.min("root").over(group).alias("lo"), F.max("root").over(group).alias("hi"))
+                   .filter("lo <> hi").drop("lo", "hi"), "ngram-open")
     x = some.select("h", *[F.col(c).alias("x" + c) for c in ("node", "n", "rank", "root")])
     y = some.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "rank", "root")])
     fits = ((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot"))
@@ -368,7 +386,7 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     sizes, classes = measured(docs, words)
     known = sizes.agg(F.sum("n"), F.max("n")).first()
     entries = (known[0] or 0) * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1]
-    fragments = max(2, -(-(known[1] or 0) // SET_FRAGMENT))
+    fragments = max(1, -(-(known[1] or 0) // SET_FRAGMENT))
     nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-nodes")
     shared = postings(spark, docs, classes, entries, words)
     comps = done = links = None

@@ -5,6 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from cohort_engine.llm import ngram_join as J
 from cohort_engine.llm.components import components
 
@@ -107,3 +109,34 @@ def test_fingerprints_follow_the_set():
     part = lambda *t: pa.RecordBatch.from_arrays([pa.array(t)], names=["text"])
     x = J.fingerprints(*J.doc_sets(part("a b c d e f a b c d e f", "A b c d e  f a b c d e f", "a b c d e f", ""), 5))
     assert x[0] == x[1] != x[2] and x[3] == 0
+
+
+def test_star_pairs_that_share_too_little_are_not_verified(spark):
+    shared = [(1, 11, 100, 0), (1, 12, 100, 0)] + [(h, node, 100, h) for h in range(2, 22) for node in (13, 14)]
+    nodes = spark.createDataFrame([(x, x, 100) for x in range(11, 15)], "node long, rep long, n long")
+    df = spark.createDataFrame(shared, "h long, node long, n long, rank int")
+    assert [tuple(r) for r in J.star_pairs(df, nodes, None, None, 0).collect()] == [(13, 100, 14, 100)]
+
+
+def test_texts_that_link_share_enough_of_their_prefixes(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(3000):
+        n = rng.randint(1, 90)
+        a = set(rng.sample(range(400), n))
+        b = (a - set(rng.sample(sorted(a), min(n, rng.randint(0, 1 + n // 6))))) | set(rng.sample(range(400), rng.randint(0, 1 + n // 6)))
+        if b:
+            px, py = (set(sorted(x)[:int(J.prefix_size(np.array([len(x)]))[0])]) for x in (a, b))
+            rows.append((len(px & py), len(a), len(b), 4 * len(a & b) >= 3 * len(a | b)))
+    df = spark.createDataFrame(rows, "s long, na long, nb long, links boolean").withColumn("enough", J.enough(F.col("s"), "na", "nb"))
+    got = {(r["links"], r["enough"]) for r in df.collect()}
+    assert (True, False) not in got and {(True, True), (False, False)} <= got
+
+
+@pytest.mark.parametrize("most,fragments", [(J.SET_FRAGMENT, 1), (20, 8)])
+def test_sets_are_cut_by_their_size(spark, documents, monkeypatch, most, fragments):
+    rows, used = corpus(3), []
+    real = J.verified
+    monkeypatch.setattr(J, "SET_FRAGMENT", most)
+    monkeypatch.setattr(J, "verified", lambda *a: used.append(a[5]) or real(*a))
+    got = sorted(tuple(r) for r in J.link_components(spark, documents(rows)).collect())
+    assert got == brute(rows) and set(used) == {-(-max(n for _, n, _ in got) // most)} and fragments - 1 <= used[0] <= fragments
