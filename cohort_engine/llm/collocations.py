@@ -9,8 +9,10 @@ further pass counts what is new, until nothing is.
 
 The passes count by 64-bit hash of (language, phrase); proposals reach the
 tasks as a bit table of at most 2 ** MOST_BITS bits, where a chance hit means
-one phrase counted more, never less.  What is frequent by hash is counted once
-more by its words, so the counts are those of phrases and not of hashes.
+one phrase counted more, never less.  What is frequent is spelled from a few of
+its occurrences: the more it has, the smaller the share of the documents that
+is read for it.  What these did not show, and hashes that two phrases were seen
+to share, are counted once more by their words over all documents.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ LEAST_BITS, MOST_BITS = 25, 28  # bits of a proposal table: 4 to 32 MB
 HELD = 1 << 18                  # counts of one length a task holds before it passes them on
 SLICE_BYTES = 1 << 20           # text bytes whose phrases are hashed at a time
 SPELLED = 1 << 19              # phrases a task holds before it passes them on
+SPELL_FROM = 4                  # occurrences, of LEAST, expected in the documents that spell
+TIERS = 4                       # each has phrases four times as frequent, and a quarter of the documents
 SALTS = 64
 U64 = np.uint64
 
@@ -46,6 +50,10 @@ _PIECE_END[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _lang_hash(lang: str) -> np.uint64:
+    return U64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+
+
 class Grams:
     """Words of a slice of documents with the hashes of their phrases."""
 
@@ -57,7 +65,7 @@ class Grams:
         breaks = np.concatenate([[0], np.cumsum(_PIECE_END[self.raw])])[self.starts]
         self.join = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])     # word i and i + 1 are of one piece
         self.names = langs.to_pylist()
-        known = {x: U64(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in set(self.names)}
+        known = {x: _lang_hash(x) for x in set(self.names)}
         self.row = row
         self.salt = np.array([known[x] for x in self.names], U64)[row] if len(row) else np.zeros(0, U64)
         self._made: dict[int, np.ndarray] = {}
@@ -160,9 +168,11 @@ class Table:
 
 def border(table: Table, counted: list[Table], words: int, singles: bool):
     """Chooses the phrases whose two inner phrases one word shorter are in
-    ``table``, and that no earlier pass chose."""
+    ``table``, and that no earlier pass chose; with ``singles`` all words too,
+    and each language's words as k = 0."""
     def pick(g: Grams):
         if singles:
+            yield 0, g.salt
             yield 1, g.hashes(1)
         for k in range(2, words + 1):
             ok = g.inside(k, table.has(g.hashes(k - 1)), k - 1)
@@ -206,12 +216,13 @@ def proposals(spark: SparkSession, sample: DataFrame, least: int, words: int) ->
 
 
 def frequent(spark: SparkSession, docs: DataFrame, least: int, words: int, sample: float, lowered: float) -> DataFrame:
-    """(k, h, n) of every word or phrase with ``least`` occurrences or more."""
+    """(k, h, n) of every word or phrase with ``least`` occurrences or more; k = 0
+    has the words of each language by its hash."""
     known = written(proposals(spark, docs.sample(False, sample, 42), max(1, int(least * sample * lowered)), words), "phrase-proposals").select("k", "h")
     table, counted = Table(spark, known), []
     found = written(counts(docs, border(table, [], words, True), least), "phrase-counts")
     while True:
-        new = found.select("k", "h").filter(F.col("k") < words).join(known, ["k", "h"], "left_anti")
+        new = found.select("k", "h").filter((F.col("k") > 0) & (F.col("k") < words)).join(known, ["k", "h"], "left_anti")
         if new.isEmpty():
             break
         known = written(known.unionByName(found.select("k", "h")).distinct(), "phrase-proposals")
@@ -227,8 +238,7 @@ _SPELLED = "lang string, k int, phrase string, n long"
 
 
 def _spell(table: Table, words: int):
-    """(lang, k, phrase, n) per task of the phrases in the table, and each
-    language's words as k = 0."""
+    """(lang, k, phrase, n) per task of the phrases in the table."""
     def out(held: dict) -> pa.RecordBatch:
         rows = [(lang, k, phrase, n) for (lang, k, phrase), n in held.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))],
@@ -237,9 +247,6 @@ def _spell(table: Table, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, int] = {}
         for g in _slices(batches):
-            rows, sizes = np.unique(g.row, return_counts=True)
-            for r, n in zip(rows.tolist(), sizes.tolist()):
-                held[g.names[r], 0, ""] = held.get((g.names[r], 0, ""), 0) + n
             for k in range(1, words + 1):
                 h = g.hashes(k)
                 at = np.flatnonzero(g.whole(k) & table.has(h))
@@ -255,16 +262,83 @@ def _spell(table: Table, words: int):
     return run
 
 
+_EXAMPLE = "k int, h long, lang string, phrase string"
+
+
+def _examples(tables: list[Table], shares: list[float], words: int):
+    """The phrase of each hash in ``tables``, once a task; rows of ``draw`` below
+    ``shares[i]`` are read for table i."""
+    def out(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int32(), pa.int64(), pa.string(), pa.string()))],
+                                          names=["k", "h", "lang", "phrase"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            for part in textkit.slices(batch, "text", SLICE_BYTES):
+                g, held = Grams(part.column("text"), part.column("lang")), []
+                draw = np.asarray(part.column("draw"))[g.row]
+                for k in range(1, words + 1):
+                    h = g.hashes(k)
+                    hit = np.zeros(len(h), bool)
+                    for table, share in zip(tables, shares, strict=True):
+                        at = np.flatnonzero(draw[:len(h)] < share)
+                        hit[at] |= table.has(h[at])
+                    at = np.flatnonzero(hit & g.whole(k))
+                    values, first = np.unique(h[at], return_index=True)
+                    for value, p in zip(textkit.signed(values).tolist(), at[first].tolist()):
+                        row = (k, value, g.names[g.row[p]], g.phrase(p, k))
+                        if row not in seen:
+                            seen.add(row)
+                            held.append(row)
+                if held:
+                    yield out(held)
+                if len(seen) > SPELLED:
+                    seen.clear()
+    return run
+
+
+def spelled(spark: SparkSession, docs: DataFrame, found: DataFrame, least: int, words: int) -> DataFrame:
+    """(lang, k, phrase, n) of the hashes ``found`` (k, h, n)."""
+    shares = [min(1.0, SPELL_FROM / least) / 4 ** i for i in range(TIERS)]
+    tier = F.least(F.floor(F.log2(F.col("n") / least) / 2), F.lit(TIERS - 1))
+    tables = [Table(spark, found.filter(tier == i).select("h")) for i in range(TIERS)]
+    drawn = docs.withColumn("draw", F.rand(7)).filter(F.col("draw") < shares[0])
+    seen = written(drawn.mapInArrow(_examples(tables, shares, words), _EXAMPLE).distinct(), "phrase-examples")
+    for t in tables:
+        t.data.destroy()
+    # chance hits of the tables fall out of the join; a hash that two phrases share counts as not seen
+    one = (seen.groupBy("k", "h").agg(F.count(F.lit(1)).alias("phrases"), F.min(F.struct("lang", "phrase")).alias("of"))
+           .filter("phrases = 1").select("k", "h", "of.lang", "of.phrase"))
+    told = written(found.join(one, ["k", "h"], "left"), "phrase-spelled")
+    out = told.filter("phrase IS NOT NULL").select("lang", "k", "phrase", "n")
+    rest = told.filter("phrase IS NULL").select("k", "h")
+    if rest.isEmpty():
+        return out
+    table = Table(spark, rest)
+    again = docs.mapInArrow(_spell(table, words), _SPELLED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    # chance hits of this table are phrases that are spelled already
+    more = written(again.join(out, ["lang", "k", "phrase"], "left_anti"), "phrase-rest")
+    table.data.destroy()
+    return out.unionByName(more)
+
+
+def _langs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = np.array([_lang_hash(x) for x in batch.column("lang").to_pylist()], U64)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(textkit.signed(h))], names=["lang", "h"])
+
+
 def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, words: int = WORDS, sample: float = SAMPLE,
                   lowered: float = LOWERED) -> DataFrame:
     """(lang, k, phrase, n) of every phrase of k <= ``words`` words with n >=
     ``least`` contiguous occurrences inside pieces, words joined by one space;
-    k = 0 has the number of all word occurrences of the language."""
-    table = Table(spark, frequent(spark, docs, least, words, sample, lowered))
-    spelled = docs.mapInArrow(_spell(table, words), _SPELLED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    out = written(spelled.filter((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
-    table.data.destroy()
-    return out
+    k = 0 has the number of all word occurrences of each language that has
+    ``least`` or more."""
+    found = written(frequent(spark, docs, least, words, sample, lowered), "phrase-frequent")
+    langs = docs.select("lang").distinct().mapInArrow(_langs, "lang string, h long")
+    totals = found.filter("k = 0").join(langs, "h").select("lang", "k", F.lit("").alias("phrase"), "n")
+    return written(spelled(spark, docs, found.filter("k > 0"), least, words).unionByName(totals), "phrases")
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, words: int = WORDS, best: int = BEST,

@@ -90,3 +90,36 @@ def test_large_counts_stay_exact(spark):
     wide = lambda c: f"cast({c} as decimal(17,0))"
     got = df.selectExpr(f"(cast(1000 as decimal(4,0)) * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('r')}) as s").first()["s"]
     assert got == 1000 * a * n // (x * y)
+
+
+def test_a_phrase_is_spelled_by_few_tasks(spark, monkeypatch):
+    """Rows that spell frequent phrases follow the phrases, not the tasks; what
+    the drawn documents do not show is found as well."""
+    rows = [("the new york city hall is new. " * 3, "en")] * 400 + [("rare words meet here, " * 20, "fr"), ("ab ba " * 70, None)]
+    made = []
+    real = C._examples
+    monkeypatch.setattr(C, "_examples", lambda *a: made.append(a[1]) or real(*a))
+    df = frame(spark, rows).repartition(40)
+    for from_ in (C.SPELL_FROM, 0):
+        monkeypatch.setattr(C, "SPELL_FROM", from_)
+        got = sorted(tuple(r) for r in C.collocations(spark, df, least=20).collect())
+        assert got == brute(rows, 20) and len(got) > 5
+    assert [m[0] for m in made] == [0.2, 0.0] and made[0][3] == 0.2 / 64
+
+
+def test_a_hash_of_two_phrases_is_counted_by_words(spark, monkeypatch):
+    """Where two phrases are seen under one hash, the hash tells neither."""
+    real = C._examples
+
+    def twice(*args):
+        run = real(*args)
+
+        def both(batches):
+            for b in run(batches):
+                yield b
+                yield b.set_column(3, "phrase", b.column("lang"))
+        return both
+    monkeypatch.setattr(C, "_examples", twice)
+    rows = corpus(6)
+    got = sorted(tuple(r) for r in C.collocations(spark, frame(spark, rows), least=12).collect())
+    assert got == brute(rows, 12) and len(got) > 20
