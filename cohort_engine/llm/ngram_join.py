@@ -15,8 +15,9 @@ alone.
    components, and the next step pairs what is still apart with the largest
    ones; a group of g near copies costs a few g pairs.
 4. Exact step: all pairs that share a prefix n-gram, pass the size and
-   position bounds and are not yet in one component are verified.  No other
-   pair can change a component.
+   position bounds, differ in few enough bits of their marks (each n-gram of
+   a set turns one bit over) and are not yet in one component are verified.
+   No other pair can change a component.
 
 A pair is verified by its partial overlaps: both sets are cut into fragments,
 the common n-grams of each fragment are counted separately and summed.
@@ -48,6 +49,9 @@ SET_FRAGMENT = 100_000          # n-grams of one text per fragment, when verifyi
 MERGE_ENTRIES = 400_000
 STAR_STEPS = ((4, 6), (16, 48))   # leaders a group offers, and a node is verified with, by step
 SHARES_SLACK = 2                # a star pair's groups count so many times against the least a link has
+EARLIER = 8                     # n-grams before one of a node's that are kept beside it
+MARK_LONGS = 4                  # longs of a set's marks, whatever its size
+MARKS = [f"m{k}" for k in range(MARK_LONGS)]
 U64 = np.uint64
 
 
@@ -64,6 +68,20 @@ def fingerprints(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.where(n > 0, out, U64(0))
 
 
+def marks(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """64 * MARK_LONGS bits of each row's set, as longs: every n-gram turns one
+    bit over, so that two sets differ in at least as many n-grams as bits."""
+    width, rows = 64 * MARK_LONGS, len(ptr) - 1
+    out = np.empty((rows, MARK_LONGS), np.int64)
+    for at in range(0, rows, 4096):
+        end = min(at + 4096, rows)
+        own = textkit.mix64(sets[ptr[at]:ptr[end]]) % U64(width)
+        spot = np.repeat(np.arange(end - at), np.diff(ptr[at:end + 1])) * width + own.astype(np.int64)
+        odd = np.bincount(spot, minlength=(end - at) * width) % 2 == 1
+        out[at:end] = np.packbits(odd).reshape(end - at, -1).copy().view(np.int64)
+    return out
+
+
 def prefix_size(n: np.ndarray) -> np.ndarray:
     num, den = SIMILARITY
     return n - (n * num + den - 1) // den + 1
@@ -72,6 +90,8 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 # -- first reading: sizes, fingerprints, counts --------------------------------
 
 def _measure(words: int):
+    names = ["part", "doc_id", "n", "node", *MARKS, "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
         seen = False
@@ -83,15 +103,15 @@ def _measure(words: int):
                 m = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, -1, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)),
-                     pa.array(fingerprints(sets, ptr).view(np.int64)), pa.nulls(m, pa.binary())],
-                    names=["part", "doc_id", "n", "node", "counts"])
+                     pa.array(fingerprints(sets, ptr).view(np.int64)), *[pa.array(x) for x in marks(sets, ptr).T.copy()], pa.nulls(m, pa.binary())],
+                    names=names)
         if seen:
             # partial counts up to 255 are kept as they are; more does not change a class by much
             small = np.minimum(counts, 255).astype(np.uint8).reshape(COUNT_PARTS, -1)
             none = pa.nulls(COUNT_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(COUNT_PARTS, dtype=np.int32)), none, none, none, pa.array([x.tobytes() for x in small], pa.binary())],
-                names=["part", "doc_id", "n", "node", "counts"])
+                [pa.array(np.arange(COUNT_PARTS, dtype=np.int32)), *[none] * (3 + MARK_LONGS), pa.array([x.tobytes() for x in small], pa.binary())],
+                names=names)
     return run
 
 
@@ -114,16 +134,17 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of every row, and the frequency class of each count
-    bucket (2 ** COUNT_BITS bytes)."""
-    mixed = written(docs.select("doc_id", "text").mapInArrow(_measure(words), "part int, doc_id long, n long, node long, counts binary"),
+    """(doc_id, n, node, marks) of every row, and the frequency class of each
+    count bucket (2 ** COUNT_BITS bytes)."""
+    longs = ", ".join(f"{m} long" for m in MARKS)
+    mixed = written(docs.select("doc_id", "text").mapInArrow(_measure(words), f"part int, doc_id long, n long, node long, {longs}, counts binary"),
                     "ngram-sets")
     rows = (mixed.filter("part >= 0").select("part", "counts").repartition("part").sortWithinPartitions("part")
             .mapInArrow(_sum_counts, "part int, classes binary").collect())
     classes = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), np.uint8)
     for r in rows:
         classes[r["part"]] = np.frombuffer(r["classes"], np.uint8)
-    return mixed.filter("part < 0").select("doc_id", "n", "node"), classes.ravel()
+    return mixed.filter("part < 0").select("doc_id", "n", "node", *MARKS), classes.ravel()
 
 
 # -- second reading: prefixes to fragments --------------------------------------
@@ -319,6 +340,14 @@ def enough(shares, na: str, nb: str):
     return (shares + F.greatest(left(na), left(nb))) * (num + den) >= (F.col(na) + F.col(nb)) * num
 
 
+def near_enough(x: str, y: str, nx: str, ny: str):
+    """Whether sets with the marks ``x`` and ``y`` (prefixes of the columns) may
+    link: linked ones differ in (na + nb) / 7 n-grams at most."""
+    num, den = SIMILARITY
+    apart = sum((F.bit_count(F.col(x + m).bitwiseXOR(F.col(y + m))) for m in MARKS[1:]), F.bit_count(F.col(x + MARKS[0]).bitwiseXOR(F.col(y + MARKS[0]))))
+    return apart * (num + den) <= (F.col(nx) + F.col(ny)) * (den - num)
+
+
 def star_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame | None, done: DataFrame | None, step: int) -> DataFrame:
     """Every node with a few leaders of its (n-gram, size band) groups that
     are in other components and were not tried: those of the largest groups,
@@ -355,20 +384,26 @@ def star_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame | None, don
                        F.greatest("a", "b").alias("b"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
 
-def open_pairs(shared: DataFrame, comps: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs that share a prefix n-gram, may link by size and place, lie in
-    different components and were not verified before."""
+def open_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs that share a prefix n-gram, may link by size, place and marks, lie
+    in different components and were not verified before; each comes from the
+    first n-grams it shares.  ``nodes``: (node, marks)."""
     num, den = SIMILARITY
     placed = with_roots(shared, comps)
     group = Window.partitionBy("h")
-    some = written(placed.select("h", "node", "n", "rank", "root", F.min("root").over(group).alias("lo"), F.max("root").over(group).alias("hi"))
-                   .filter("lo <> hi").drop("lo", "hi"), "ngram-open")
-    x = some.select("h", *[F.col(c).alias("x" + c) for c in ("node", "n", "rank", "root")])
-    y = some.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "rank", "root")])
+    mixed = (placed.select("h", "node", "n", "rank", "root", F.min("root").over(group).alias("lo"), F.max("root").over(group).alias("hi"))
+             .filter("lo <> hi").drop("lo", "hi"))
+    # a pair that also shares an n-gram before this one has its row there
+    order = Window.partitionBy("node").orderBy("rank", "h").rowsBetween(-EARLIER, -1)
+    some = written(mixed.withColumn("earlier", F.collect_list("h").over(order)).join(nodes.select("node", *MARKS), "node"), "ngram-open")
+    columns = ("node", "n", "rank", "root", "earlier", *MARKS)
+    x = some.select("h", *[F.col(c).alias("x" + c) for c in columns])
+    y = some.select("h", *[F.col(c).alias("y" + c) for c in columns])
     fits = ((F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot"))
             & (F.col("xn") * den >= F.col("yn") * num) & (F.col("yn") * den >= F.col("xn") * num)
             & (F.least(F.col("xn") - F.col("xrank"), F.col("yn") - F.col("yrank")) * (num + den)
-               >= (F.col("xn") + F.col("yn")) * num))
+               >= (F.col("xn") + F.col("yn")) * num)
+            & near_enough("x", "y", "xn", "yn") & ~F.arrays_overlap("xearlier", "yearlier"))
     pairs = (x.join(y, "h").filter(fits)
              .select(F.col("xnode").alias("a"), F.col("xn").alias("na"), F.col("ynode").alias("b"), F.col("yn").alias("nb")).distinct())
     return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -387,7 +422,7 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     known = sizes.agg(F.sum("n"), F.max("n")).first()
     entries = (known[0] or 0) * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1]
     fragments = max(1, -(-(known[1] or 0) // SET_FRAGMENT))
-    nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-nodes")
+    nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in MARKS]), "ngram-nodes")
     shared = postings(spark, docs, classes, entries, words)
     comps = done = links = None
     for step in range(len(STAR_STEPS)):
@@ -396,7 +431,7 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
         links = found if links is None else links.union(found)
         done = pairs if done is None else done.union(pairs)
         comps = written(components(links), "ngram-components")
-    rest = written(open_pairs(shared, comps, done), "ngram-rest")
+    rest = written(open_pairs(shared, nodes, comps, done), "ngram-rest")
     more = written(verified(spark, docs, nodes, rest, words, fragments), "ngram-links").select("a", "b")
     comps = components(links.union(more))
     placed = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))

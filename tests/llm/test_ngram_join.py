@@ -140,3 +140,37 @@ def test_sets_are_cut_by_their_size(spark, documents, monkeypatch, most, fragmen
     monkeypatch.setattr(J, "verified", lambda *a: used.append(a[5]) or real(*a))
     got = sorted(tuple(r) for r in J.link_components(spark, documents(rows)).collect())
     assert got == brute(rows) and set(used) == {-(-max(n for _, n, _ in got) // most)} and fragments - 1 <= used[0] <= fragments
+
+
+def _marked(sets):
+    """A node of each set with its marks, and a posting of each n-gram."""
+    ptr = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    m = J.marks(np.concatenate([np.array(sorted(s), np.uint64) for s in sets]), ptr)
+    rows = [(k, len(s), *map(int, x)) for k, (s, x) in enumerate(zip(sets, m))]
+    return rows, "node long, n long, " + ", ".join(f"{c} long" for c in J.MARKS)
+
+
+def test_marks_part_no_texts_that_link(spark):
+    rng, sets = random.Random(9), []
+    for _ in range(400):
+        a = rng.sample(range(2000), rng.randint(1, 300))
+        b = a[rng.randint(0, 1 + len(a) // 3):] + rng.sample(range(2000, 4000), rng.randint(0, 1 + len(a) // 3))
+        sets += [set(a), set(b)]
+    rows, schema = _marked(sets)
+    df = spark.createDataFrame(rows, schema)
+    x, y = (df.select(*[F.col(c).alias(p + c) for c in df.columns]).filter(f"{p}node % 2 = {k}") for k, p in enumerate("xy"))
+    got = {r["xnode"]: r["near"] for r in x.join(y, F.col("ynode") == F.col("xnode") + 1).withColumn("near", J.near_enough("x", "y", "xn", "yn")).collect()}
+    links = [4 * len(sets[k] & sets[k + 1]) >= 3 * len(sets[k] | sets[k + 1]) for k in range(0, len(sets), 2)]
+    assert all(got[2 * k] for k, linked in enumerate(links) if linked) and sum(links) > 50
+    assert sum(not x for x in got.values()) > 50
+
+
+def test_open_pairs_of_a_common_line_are_not_all_pairs(spark):
+    line = list(range(12))                        # that all texts share, and of which two texts link
+    sets = [set(line + [1000 * k + i for i in range(40)]) for k in range(1, 30)]
+    sets.append(sets[0] - {1000} | {77})
+    rows, schema = _marked(sets)
+    shared = [(h, k, len(s), r) for k, s in enumerate(sets) for r, h in enumerate(line)]
+    pairs = J.open_pairs(spark.createDataFrame(shared, "h long, node long, n long, rank int"), spark.createDataFrame(rows, schema),
+                         spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "a long, b long"))
+    assert [tuple(r) for r in pairs.collect()] == [(0, 52, 29, 52)]
