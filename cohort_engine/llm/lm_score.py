@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from cohort_engine.llm import textkit
 from cohort_engine.llm.store import written
+from cohort_engine.llm.textkit import from_planes, packed, planes, unpacked
 
 SEGMENT_BITS = 22               # a filter segment: 2 ** 22 bits, 512 KB
 MOST_SEGMENTS = 64              # largest broadcast filter: 32 MB
@@ -134,9 +135,9 @@ def _count(bits: int):
                     pairs, n = np.unique(pair[at[f]:at[f + 1]], return_counts=True)
                     many = np.flatnonzero(n > 1)
                     out["fragment"].append(f)
-                    for k, x in zip(_PARTS, (words[cut[f]:cut[f + 1]], counts[cut[f]:cut[f + 1]].astype(np.uint32), pairs,
-                                             many.astype(np.uint32), n[many].astype(np.uint32)), strict=True):
-                        out[k].append(x.tobytes())
+                    for k, x in zip(_PARTS, (packed(words[cut[f]:cut[f + 1]]), counts[cut[f]:cut[f + 1]].astype(np.uint32).tobytes(), packed(pairs),
+                                             many.astype(np.uint32).tobytes(), n[many].astype(np.uint32).tobytes()), strict=True):
+                        out[k].append(x)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("fragment", pa.int32())] + [(k, pa.binary()) for k in _PARTS]))
     return run
 
@@ -157,9 +158,9 @@ class Counts:
         self.words, self.pairs = ([], []), ([], [])
 
     def add(self, row: dict) -> None:
-        self.words[0].append(np.frombuffer(row["words"], U64))
+        self.words[0].append(unpacked(row["words"]))
         self.words[1].append(np.frombuffer(row["word_counts"], np.uint32).astype(np.int64))
-        pairs = np.frombuffer(row["pairs"], U64)
+        pairs = unpacked(row["pairs"])
         n = np.ones(len(pairs), np.int64)
         n[np.frombuffer(row["many"], np.uint32)] = np.frombuffer(row["many_counts"], np.uint32)
         self.pairs[0].append(pairs)
@@ -269,12 +270,12 @@ def _deal(segments: int, start: int):
         key = np.where(kind == 1, word_key(key), key)
         level = np.minimum(_levels(kind, c, start), 255).astype(np.uint8)
         segment, _ = places(key, 0, segments, 0)
-        order = np.argsort(segment, kind="stable")
+        order = np.argsort(key)     # segments are ranges of keys
         order = order[level[order] > 0]
         cut = np.searchsorted(segment[order], np.arange(segments + 1, dtype=U64))
         some = np.flatnonzero(np.diff(cut))
         return pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([key[order[cut[s]:cut[s + 1]]].tobytes() for s in some], pa.binary()),
+            [pa.array(some.astype(np.int32)), pa.array([packed(key[order[cut[s]:cut[s + 1]]]) for s in some], pa.binary()),
              pa.array([level[order[cut[s]:cut[s + 1]]].tobytes() for s in some], pa.binary())], names=["segment", "keys", "levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +305,7 @@ def _fill(segments: int, probes: int):
                     if now is not None:
                         yield out()
                     now, bits = row["segment"], np.zeros(1 << SEGMENT_BITS, bool)
-                keys, level = np.frombuffer(row["keys"], U64), np.frombuffer(row["levels"], np.uint8)
+                keys, level = unpacked(row["keys"]), np.frombuffer(row["levels"], np.uint8)
                 q = np.arange(int(level.sum())) - np.repeat(np.cumsum(level, dtype=np.int64) - level, level) + 1
                 for spot in places(np.repeat(keys, level), q, segments, probes)[1]:
                     bits[spot()] = True
@@ -417,12 +418,12 @@ class Grams:
         return np.concatenate(out)
 
     def shards(self, asked: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the n-grams ``asked`` for, in the order of their shards;
-        the n-grams they are of; their shards."""
+        """Keys of the n-grams ``asked`` for in ascending order, which is that
+        of their shards; the n-grams they are of; their shards."""
         keys = np.concatenate(self.parts)[asked]
-        shard = places(keys, 0, segments, 0)[0] // U64(SHARD)
-        order = np.argsort(shard, kind="stable")
-        return keys[order], asked[order], shard[order]
+        order = np.argsort(keys)
+        keys = keys[order]
+        return keys, asked[order], places(keys, 0, segments, 0)[0] // U64(SHARD)
 
     def logs(self, levels: np.ndarray, tokens: int, discount: float) -> np.ndarray:
         """log10 probability of each token."""
@@ -453,14 +454,14 @@ def _ask(bits: int, segments: int):
                 ends = np.append(at[1:], len(keys))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["slice"], np.int64)), pa.nulls(len(some), pa.int32()),
-                     pa.array([keys[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())], names=["shard", "slice", "segment", "blob"])
+                     pa.array([packed(keys[x:y]) for x, y in zip(at, ends, strict=True)], pa.binary())], names=["shard", "slice", "segment", "blob"])
     return run
 
 
 def _grams(row: dict, bits: int) -> tuple[Grams, np.ndarray]:
     """The n-grams of a slice and which of them were not found."""
-    grams = Grams(np.frombuffer(row["words"], U64), np.frombuffer(row["tokens"], np.uint32).astype(np.int64), bits)
-    return grams, np.flatnonzero(np.frombuffer(row["levels"], np.uint8) == 0)
+    grams = Grams(unpacked(row["words"]), from_planes(row["tokens"], np.uint32).astype(np.int64), bits)
+    return grams, np.flatnonzero(from_planes(row["levels"], np.uint8) == 0)
 
 
 def _probe(segments: int, probes: int):
@@ -477,8 +478,8 @@ def _probe(segments: int, probes: int):
                     at = (row["segment"] - f.first) << (SEGMENT_BITS - 3)
                     f.data[at:at + (1 << (SEGMENT_BITS - 3))] = np.frombuffer(row["blob"], np.uint8)
                     continue
-                levels = f.levels(np.frombuffer(row["blob"], U64), 255).astype(np.uint8)
-                yield pa.RecordBatch.from_pydict({"slice": [row["slice"]], "shard": [now], "words": [None], "tokens": [None], "sizes": [None], "levels": [levels.tobytes()]},
+                levels = f.levels(unpacked(row["blob"]), 255).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({"slice": [row["slice"]], "shard": [now], "words": [None], "tokens": [None], "sizes": [None], "levels": [planes(levels)]},
                                                  schema=_ANSWERS)
     return run
 
@@ -493,9 +494,9 @@ def _combine(bits: int, segments: int, tokens: int, discount: float):
 
         def out():
             grams, asked = _grams(held, bits)
-            levels = np.frombuffer(held["levels"], np.uint8).astype(np.int64)
+            levels = from_planes(held["levels"], np.uint8).astype(np.int64)
             if answers:
-                levels[grams.shards(asked, segments)[1]] = np.frombuffer(b"".join(answers), np.uint8)
+                levels[grams.shards(asked, segments)[1]] = np.concatenate([from_planes(x, np.uint8) for x in answers])
             sizes = np.frombuffer(held["sizes"], np.int64)
             scores = np.add.reduceat(grams.logs(levels, tokens, discount), np.cumsum(sizes) - sizes)
             return pa.RecordBatch.from_arrays([pa.array(held["slice"] + np.arange(len(sizes))), pa.array(scores)], names=["row", "score"])
@@ -556,12 +557,13 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -
                 texts = part.column("text")
                 seq, _, ptr = stream(texts)
                 h = seq.view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                logs = np.where(hit, np.log10(counts[at] + 1.0), 0.0) if len(hashes) else np.zeros(len(h))
+                words, of = np.unique(seq, return_inverse=True)     # each word is looked up once
+                at = np.minimum(np.searchsorted(hashes, words.view(np.int64)), max(len(hashes) - 1, 0))
+                known = hashes[at] == words.view(np.int64) if len(hashes) else np.zeros(len(words), bool)
+                logs = np.where(known, np.log10(counts[at] + 1.0), 0.0)[of] if len(hashes) else np.zeros(len(h))
+                hit = known[of]
                 rest = np.concatenate([[0], np.cumsum(~hit)])[ptr]
                 n = part.num_rows
-                words, of = np.unique(seq, return_inverse=True)
                 grams = Grams(words, of, bits)
                 levels = grams.head_levels(f, start)
                 score = pa.array(np.add.reduceat(grams.logs(levels, tokens, discount), ptr[:-1])) if start == 1 else pa.nulls(n, pa.float64())
@@ -571,11 +573,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -
                      score, pa.LargeListArray.from_arrays(pa.array(rest), pa.array(h[~hit])).cast(pa.list_(pa.int64())),
                      *[pa.nulls(n, pa.binary())] * 4], names=names)
                 if start > 1:       # the slice, for its n-grams that the head filter does not have
-                    blobs = (words, of.astype(np.uint32), np.diff(ptr).astype(np.int64), np.minimum(levels, 255).astype(np.uint8))
+                    blobs = (packed(words), planes(of.astype(np.uint32)), np.diff(ptr).astype(np.int64).tobytes(), planes(np.minimum(levels, 255).astype(np.uint8)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row]), *[pa.nulls(1, part.column(k).type) for k in keep], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                          pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.int64())),
-                         *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=names)
+                         *[pa.array([x], pa.binary()) for x in blobs]], names=names)
                 row += n
 
     names = ["row", *keep, "n_tokens", "head_known", "head_logs", "score", "rest", "words", "tokens", "sizes", "levels"]

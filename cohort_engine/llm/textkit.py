@@ -175,3 +175,27 @@ def row_sets(values: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as a signed integer (Spark's long)."""
     return x.view(np.int64)
+
+
+# -- bytes between tasks -----------------------------------------------------------
+
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned integers as bytes: their number, then all first bytes, all
+    second bytes and so on, compressed."""
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def from_planes(blob: bytes, kind) -> np.ndarray:
+    size, n = np.dtype(kind).itemsize, int.from_bytes(blob[:4], "little")
+    flat = pa.decompress(blob[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers in ascending order, by their steps."""
+    return planes(np.diff(x, prepend=U64(0)))
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(blob, U64), dtype=U64)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,18 @@ def test_a_shard_answers_like_the_whole_filter():
         part = data[s * lm_score.SHARD * size:(s + 1) * lm_score.SHARD * size]
         f = lm_score.Filter(part, 4, segments, s * lm_score.SHARD)
         assert (f.levels(keys[shard == s], 255) == want[shard == s]).all()
+
+
+def test_slices_and_counts_travel_in_fewer_bytes_than_their_keys(spark):
+    rng = np.random.default_rng(6)
+    text = " ".join(f"w{i}" for i in rng.zipf(1.3, 60_000) % 30_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+    row = next(lm_score._count(6)(iter([batch]))).to_pydict()
+    counts, plain = lm_score.Counts(0), 0
+    for f, w, p in zip(row["fragment"], row["words"], row["pairs"]):
+        plain += 8 * (len(lm_score.unpacked(w)) + len(lm_score.unpacked(p)))
+    assert sum(map(len, row["words"] + row["pairs"])) < 0.85 * plain
+    for i in range(len(row["fragment"])):
+        counts.add({k: v[i] for k, v in row.items()})
+    counts.settle()
+    assert counts.words[1][0].sum() == 60_001 == counts.pairs[1][0].sum()

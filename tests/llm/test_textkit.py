@@ -40,3 +40,14 @@ def test_chunks_and_slices_change_nothing(monkeypatch):
     parts = list(textkit.slices(batch, "text", 100))
     assert sum(p.num_rows for p in parts) == 5 and len(parts) > 2
     assert np.concatenate([textkit.words(p.column("text"))[0] for p in parts]).tolist() == h.tolist()
+
+
+def test_numbers_come_back_from_fewer_bytes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        x = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (textkit.unpacked(textkit.packed(x)) == x).all()
+        for kind in (np.uint8, np.uint32):
+            y = rng.integers(0, 200, n).astype(kind)
+            assert (textkit.from_planes(textkit.planes(y), kind) == y).all()
+    assert len(textkit.packed(x)) < 0.9 * x.nbytes and len(textkit.planes(y)) < 0.5 * y.nbytes
