@@ -424,16 +424,15 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     fragments = max(1, -(-(known[1] or 0) // SET_FRAGMENT))
     nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in MARKS]), "ngram-nodes")
     shared = postings(spark, docs, classes, entries, words)
-    comps = done = links = None
+    comps = done = None
     for step in range(len(STAR_STEPS)):
         pairs = written(star_pairs(shared, nodes, comps, done, step), "ngram-star")
         found = written(verified(spark, docs, nodes, pairs, words, fragments), "ngram-links").select("a", "b")
-        links = found if links is None else links.union(found)
         done = pairs if done is None else done.union(pairs)
-        comps = written(components(links), "ngram-components")
+        comps = written(components(found if comps is None else found.union(comps)), "ngram-components")
     rest = written(open_pairs(shared, nodes, comps, done), "ngram-rest")
     more = written(verified(spark, docs, nodes, rest, words, fragments), "ngram-links").select("a", "b")
-    comps = components(links.union(more))
+    comps = components(more.union(comps))      # a node and its root are a link that stands for all before
     placed = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     where = placed.join(least, "root").select("node", "component_id")

@@ -67,17 +67,21 @@ def feature_runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield _grams(raw, n), off[:-1], np.maximum(off[1:] - n + 1, off[:-1])
 
 
-def row_features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per row: (distinct buckets, their share of the row's features)."""
+def row_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row: (distinct buckets, how often the row has each)."""
     runs = list(feature_runs(texts))
     out = []
     for r in range(len(texts)):
         own = np.concatenate([b[s[r]:e[r]] for b, s, e in runs])
-        ids, counts = np.unique(own, return_counts=True)
-        out.append((ids, (counts / max(len(own), 1)).astype(np.float32)))
+        out.append(np.unique(own, return_counts=True))
     return out
 
 
+def row_features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row: (distinct buckets, their share of the row's features)."""
+    return [(ids, (counts / max(int(counts.sum()), 1)).astype(np.float32)) for ids, counts in row_counts(texts)]
+
+
 @dataclass
 class Model:
     vectors: np.ndarray         # 2 ** BITS x DIM
@@ -158,20 +162,28 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textkit.slices(batch, "text"):
-            found = row_features(part.column("text"))
+            found = row_counts(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()),
-                 pa.array([i.tobytes() for i, _ in found], pa.binary()),
-                 pa.array([s.tobytes() for _, s in found], pa.binary())],
-                names=["doc_id", "label", "ids", "shares"])
+                 pa.array([textkit.packed(i.astype(np.uint64)) for i, _ in found], pa.binary()),
+                 pa.array([textkit.planes(c.astype(np.uint32)) for _, c in found], pa.binary())],
+                names=["doc_id", "label", "ids", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on the labelled documents given (see ``labelled``).  What reaches
     the driver is bounded: ``rows`` documents of at most 2 ** BITS features."""
-    got = labelled(docs, labels, rows).mapInArrow(_featurise, "doc_id long, label int, ids binary, shares binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    return fit([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in got])
+    got = labelled(docs, labels, rows).mapInArrow(_featurise, "doc_id long, label int, ids binary, counts binary").collect()
+    got.sort(key=lambda r: r["doc_id"])     # a document has one row
+    sizes = [int.from_bytes(r["ids"][:4], "little") for r in got]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    # two large arrays and views of them: their memory goes back when the fit ends
+    ids, shares = np.empty(sum(sizes), np.uint32), np.empty(sum(sizes), np.float32)
+    for r, n, end in zip(got, sizes, ends.tolist(), strict=True):
+        counts = textkit.from_planes(r["counts"], np.uint32)
+        ids[end - n:end] = textkit.unpacked(r["ids"])
+        shares[end - n:end] = counts / max(int(counts.sum()), 1)
+    return fit([(ids[end - n:end], shares[end - n:end], r["label"]) for r, n, end in zip(got, sizes, ends.tolist(), strict=True)])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
