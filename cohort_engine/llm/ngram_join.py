@@ -49,7 +49,7 @@ SET_FRAGMENT = 100_000          # n-grams of one text per fragment, when verifyi
 MERGE_ENTRIES = 400_000
 STAR_STEPS = ((4, 6), (16, 48))   # leaders a group offers, and a node is verified with, by step
 SHARES_SLACK = 2                # a star pair's groups count so many times against the least a link has
-EARLIER = 8                     # n-grams before one of a node's that are kept beside it
+EARLIER = 2                     # n-grams before one of a node's that are kept beside it
 MARK_LONGS = 4                  # longs of a set's marks, whatever its size
 MARKS = [f"m{k}" for k in range(MARK_LONGS)]
 U64 = np.uint64
