@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 HASH_BUCKET_HEX = 3          # at least 16^3 = 4096 buckets per class
 ROWS_PER_HASH_BUCKET = 1_000_000
+SENT_DRAWS = 1 << 18         # draws (two longs each) that go to every task; more are dealt by rank
 
 
 def hash_digits(counts: dict, rows_per_bucket: int = ROWS_PER_HASH_BUCKET) -> int:
@@ -53,10 +54,10 @@ def rank_within(df: DataFrame, label: str, key: str, seed: int = 42, col: str =
     wb = Window.partitionBy(label).orderBy("__b")
     offsets = counts.select(label, "__b", F.coalesce(F.sum("__n").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    # classes x 16^digits rows: AQE broadcasts it from its runtime size when
-    # small, else sort-merge.
+    # The offsets, classes x 16^digits rows, are the side that is sent: left to
+    # choose by its estimates, the planner sends the rows through the driver.
     # Null labels are a class of their own.
-    j = d.alias("d").join(offsets.alias("o"), F.col(f"d.{label}").eqNullSafe(F.col(f"o.{label}"))
+    j = d.alias("d").join(F.broadcast(offsets).alias("o"), F.col(f"d.{label}").eqNullSafe(F.col(f"o.{label}"))
                           & (F.col("d.__b") == F.col("o.__b"))).select("d.*", "o.__off")
     w = Window.partitionBy(label, "__b").orderBy("__h", key)
     return j.select(*df.columns, (F.row_number().over(w) + F.col("__off")).alias(col))
@@ -161,8 +162,9 @@ def random_oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> Da
         ranked = rank_within(df.filter(F.col(label).eqNullSafe(F.lit(c))), label, key, seed, "__rk", hash_digits({c: n}))
         draws = spark.range(n_maj).select(F.col("id").alias("draw"),
                                           (hash_int(seeded_hash(F.col("id"), seed)) % n + 1).alias("__rk"))
-        # The planner broadcasts the ranked class by its size in bytes, else
-        # sort-merge (AQE splits any skewed draw partition).
+        # The ranked class is never sent: its estimated size says little about
+        # its rows (AQE splits any skewed draw partition).
+        draws = F.broadcast(draws) if n_maj <= SENT_DRAWS else draws.hint("merge")
         out = out.unionByName(draws.join(ranked, "__rk").drop("__rk"))
     return out
 
