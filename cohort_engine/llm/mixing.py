@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,12 +182,26 @@ def mix(spark: SparkSession, sizes: DataFrame, sources: DataFrame, block_words:
                     (F.col("lo") - F.col("at")).alias("from_word"), (F.col("hi") - F.col("lo")).alias("n_words")))
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED) -> DataFrame:
+def _numbered(docs: DataFrame, stored: bool) -> DataFrame:
+    """(doc, row): rows of stored files are named by file and place in it; the
+    others are written, so that their numbers stay."""
+    doc = F.struct(*docs.columns).alias("doc")
+    if stored:
+        try:
+            place = docs.metadataColumn("_metadata")
+            return docs.select(doc, F.struct(place["file_path"].alias("file"), place["row_index"].alias("at")).alias("row"))
+        except AnalysisException:       # no files behind it
+            pass
+    return written(docs.select(doc, F.monotonically_increasing_id().alias("row")), "mix-documents")
+
+
+def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED, stored: bool = False) -> DataFrame:
     """The mixed documents with their own columns: one row per document and
     repeat the mix takes; of the document where a source's target ends, only
     the words taken (joined by single spaces; n_chars, if there is such a
-    column, follows).  Other columns may have any names."""
-    kept = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-documents")
+    column, follows).  Other columns may have any names.  ``stored``: ``docs``
+    is a plain read of Parquet files, which needs no copy."""
+    kept = _numbered(docs, stored)
     sizes = written(sized(kept.select("row", "doc.doc_id", "doc.source", "doc.text"), seed, "row"), "mix-sizes")
     sources = written(source_targets(sizes), "mix-sources")
     taken = (mix(spark, sizes, sources, seed=seed).groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from cohort_engine.llm import textkit
 from cohort_engine.llm.components import components
 from cohort_engine.llm.decontaminate import bit_table, in_table
-from cohort_engine.llm.store import written
+from cohort_engine.llm.store import scratch, written
 
 WORDS = 5
 SIMILARITY = (3, 4)             # a pair links when 4 * common >= 3 * union
@@ -449,16 +449,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> Dat
     have none, are judged each on its own.  Of rows that repeat both one stays;
     rows with neither doc_id nor words all stay."""
     text = F.xxhash64("text")
-    found = (link_components(spark, docs.select(text.alias("doc_id"), "text"), words).filter("n_shingles > 0")
-             .select(F.col("doc_id").alias("h"), "component_id").distinct())
-    placed = written(docs.select("doc_id", text.alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
-                     .join(found, "h", "left"), "ngram-placed")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
-    first = placed.filter("component_id IS NOT NULL").groupBy("component_id").agg(F.min(order).alias("first"))
-    marked = placed.join(first, "component_id", "left").select(
-        "doc_id", "h", "rows", "component_id", (F.col("first").isNull() | F.col("first").eqNullSafe(order)).alias("stays"))
-    several = F.col("stays") & (F.col("rows") > 1) & (F.col("doc_id").isNotNull() | F.col("component_id").isNotNull())
-    marked = written(marked.filter(~F.col("stays") | several).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "stays"), "ngram-gone")
+    with scratch(spark, "ngram-groups") as keep:
+        found = (link_components(spark, docs.select(text.alias("doc_id"), "text"), words).filter("n_shingles > 0")
+                 .select(F.col("doc_id").alias("h"), "component_id").distinct())
+        placed = written(docs.select("doc_id", text.alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+                         .join(found, "h", "left"), "ngram-placed")
+        first = placed.filter("component_id IS NOT NULL").groupBy("component_id").agg(F.min(order).alias("first"))
+        marked = placed.join(first, "component_id", "left").select(
+            "doc_id", "h", "rows", "component_id", (F.col("first").isNull() | F.col("first").eqNullSafe(order)).alias("stays"))
+        several = F.col("stays") & (F.col("rows") > 1) & (F.col("doc_id").isNotNull() | F.col("component_id").isNotNull())
+        marked = keep(marked.filter(~F.col("stays") | several).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "stays"), "ngram-gone")
     same = docs["doc_id"].eqNullSafe(marked["__id"]) & (F.xxhash64(docs["text"]) == marked["__h"])
     rest = docs.join(marked, same, "left_anti")
     again = marked.filter("stays")
