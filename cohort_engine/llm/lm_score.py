@@ -521,10 +521,11 @@ def _whole_scores(scored: DataFrame, model: Model) -> DataFrame:
     asked = slices.mapInArrow(_ask(model.bits, model.segments), "shard int, slice long, segment int, blob binary")
     parts = model.whole.select(F.floor(F.col("segment") / SHARD).cast("int").alias("shard"), F.lit(-1).cast("long").alias("slice"), "segment",
                                F.col("bits").alias("blob"))
-    answers = (parts.union(asked).repartition("shard").sortWithinPartitions("shard", "slice")
-               .mapInArrow(_probe(model.segments, model.probes), "slice long, shard int, words binary, tokens binary, sizes binary, levels binary"))
-    return (slices.union(answers).repartition("slice").sortWithinPartitions("slice", "shard")
-            .mapInArrow(_combine(model.bits, model.segments, model.tokens, model.discount), "row long, score double"))
+    # both written: the keys and then the slices in the shuffle files go before the next step
+    answers = written(parts.union(asked).repartition("shard").sortWithinPartitions("shard", "slice")
+                      .mapInArrow(_probe(model.segments, model.probes), "slice long, shard int, words binary, tokens binary, sizes binary, levels binary"), "lm-answers")
+    return written(slices.union(answers).repartition("slice").sortWithinPartitions("slice", "shard")
+                   .mapInArrow(_combine(model.bits, model.segments, model.tokens, model.discount), "row long, score double"), "lm-whole-scores")
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
