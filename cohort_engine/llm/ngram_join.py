@@ -46,6 +46,7 @@ COUNT_PARTS = 64
 FRAGMENT_ENTRIES = 1_500_000    # prefix n-grams per fragment
 LEAST_FRAGMENTS = 64
 SET_FRAGMENT = 100_000          # n-grams of one text per fragment, when verifying
+LEAST_GRAMS = 1 << 24           # so many n-grams of moved sets are no matter for the disk
 MERGE_ENTRIES = 400_000
 STAR_STEPS = ((4, 6), (16, 48))   # leaders a group offers, and a node is verified with, by step
 SHARES_SLACK = 2                # a star pair's groups count so many times against the least a link has
@@ -322,6 +323,19 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
             .filter(F.col("common") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "na", "b", "nb", "common"))
 
 
+def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, grams: int, words: int = WORDS, fragments: int = 2) -> DataFrame:
+    """(a, b) of the pairs that link.  Every pair moves the set of its a: pairs
+    whose sets have more than ``grams`` n-grams in all are verified in parts by
+    a, one after the other, so what lies on disk at a time follows the text."""
+    parts = max(1, -(-int(pairs.agg(F.sum("na")).first()[0] or 0) // max(grams, LEAST_GRAMS)))
+    out = None
+    for i in range(parts):
+        own = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == i) if parts > 1 else pairs
+        found = written(verified(spark, docs, nodes, own, words, fragments), "ngram-links").select("a", "b")
+        out = found if out is None else out.union(found)
+    return out
+
+
 # -- the join ---------------------------------------------------------------------
 
 def with_roots(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -422,23 +436,26 @@ def link_components(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     known = sizes.agg(F.sum("n"), F.max("n")).first()
     entries = (known[0] or 0) * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1]
     fragments = max(1, -(-(known[1] or 0) // SET_FRAGMENT))
-    nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in MARKS]), "ngram-nodes")
-    shared = postings(spark, docs, classes, entries, words)
-    comps = done = None
-    for step in range(len(STAR_STEPS)):
-        pairs = written(star_pairs(shared, nodes, comps, done, step), "ngram-star")
-        found = written(verified(spark, docs, nodes, pairs, words, fragments), "ngram-links").select("a", "b")
-        done = pairs if done is None else done.union(pairs)
-        comps = written(components(found if comps is None else found.union(comps)), "ngram-components")
-    rest = written(open_pairs(shared, nodes, comps, done), "ngram-rest")
-    more = written(verified(spark, docs, nodes, rest, words, fragments), "ngram-links").select("a", "b")
-    comps = components(more.union(comps))      # a node and its root are a link that stands for all before
-    placed = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    where = placed.join(least, "root").select("node", "component_id")
-    return (sizes.join(where, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    grams = known[0] or 0
+    with scratch(spark, "ngram-steps") as keep:
+        nodes = written(sizes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in MARKS]), "ngram-nodes")
+        with scratch(spark, "ngram-tries") as hold:         # postings and tried pairs go before the last verification
+            shared = postings(spark, docs, classes, entries, words)
+            comps = done = None
+            for step in range(len(STAR_STEPS)):
+                pairs = written(star_pairs(shared, nodes, comps, done, step), "ngram-star")
+                found = links(spark, docs, nodes, pairs, grams, words, fragments)
+                done = pairs if done is None else done.union(pairs)
+                comps = hold(components(found if comps is None else found.union(comps)), "ngram-components")
+            rest = hold(open_pairs(shared, nodes, comps, done), "ngram-rest")
+        more = links(spark, docs, nodes, rest, grams, words, fragments)
+        comps = components(more.union(comps))      # a node and its root are a link that stands for all before
+        placed = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+        where = placed.join(least, "root").select("node", "component_id")
+        return keep(sizes.join(where, "node", "left")
+                    .select("doc_id", F.col("n").alias("n_shingles"),
+                            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "ngram-components")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -174,3 +174,19 @@ def test_open_pairs_of_a_common_line_are_not_all_pairs(spark):
     pairs = J.open_pairs(spark.createDataFrame(shared, "h long, node long, n long, rank int"), spark.createDataFrame(rows, schema),
                          spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "a long, b long"))
     assert [tuple(r) for r in pairs.collect()] == [(0, 29, 52, 52)]
+
+
+def test_many_pairs_are_verified_in_parts_and_tables_go(spark, documents, monkeypatch):
+    """The sets that pairs move at a time follow the text; postings, pairs and sets don't stay."""
+    import os
+    rows, calls = corpus(4), []
+    real, verified = J.links, J.verified
+    monkeypatch.setattr(J, "LEAST_GRAMS", 1)
+    monkeypatch.setattr(J, "verified", lambda *a: calls.append(1) or verified(*a))
+    monkeypatch.setattr(J, "links", lambda spark, docs, nodes, pairs, grams, *more: real(spark, docs, nodes, pairs, 1500, *more))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = sorted(tuple(r) for r in J.link_components(spark, documents(rows)).collect())
+    assert got == brute(rows) and len(calls) > len(J.STAR_STEPS) + 1
+    left = {f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before}
+    assert not left & {"ngram-postings", "ngram-star", "ngram-asked", "ngram-links", "ngram-open", "ngram-rest", "links"}
